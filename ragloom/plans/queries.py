@@ -145,3 +145,76 @@ def ranked_prompt(spark, sf):
     from ..operators.prompts import ranked_prompt as build
     ctx = _ranked_context(spark, sf)
     return build(ctx.join(D.questions(spark, sf), "query_id")).select("query_id", "prompt")
+
+
+# ------------------------------------------------------------------ web pages
+def _parsed(spark, sf):
+    from ..operators import web
+    return web.parsed_pages(tables.pages(spark, sf))
+
+
+@query
+def pages_scan(spark, sf):
+    p = tables.pages(spark, sf)
+    return p.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
+
+
+@query
+def url_domain(spark, sf):
+    from ..operators.web import url_netloc
+    return tables.pages(spark, sf).select("page_id", url_netloc(F.col("url")).alias("domain"))
+
+
+@query
+def url_key(spark, sf):
+    return tables.pages(spark, sf).select("page_id", "url", chunking.url_key(F.col("url")).alias("key"))
+
+
+@query
+def html_title(spark, sf):
+    return _parsed(spark, sf).select("page_id", "title")
+
+
+@query
+def html_to_text(spark, sf):
+    return _parsed(spark, sf).select("page_id", "text")
+
+
+@query
+def page_links(spark, sf):
+    from ..operators import web
+    return web.page_links(_parsed(spark, sf))
+
+
+@query
+def page_links_capped(spark, sf):
+    from ..operators import web
+    return web.page_links(_parsed(spark, sf), web.MAX_LINKS_SINGLE)
+
+
+@query
+def page_metadata(spark, sf):
+    from ..operators import web
+    return web.page_metadata(_parsed(spark, sf)).drop("metadata")
+
+
+@query
+def linked_content(spark, sf):
+    from ..operators import web
+    return web.linked_content(_parsed(spark, sf))
+
+
+@query
+def page_with_links(spark, sf):
+    from ..operators import web
+    return web.pages_with_links(_parsed(spark, sf)).select(
+        "page_id", "text", "includes_linked_content", "linked_pages_count")
+
+
+@query
+def url_batch_status(spark, sf):
+    """Batch request = every crawled URL plus every kept link URL."""
+    from ..operators import web
+    parsed = _parsed(spark, sf)
+    urls = parsed.select("url").unionByName(web.page_links(parsed).select("url")).distinct()
+    return web.url_batch(urls, parsed).select("url", "status", "document_id", "chunks", "error")
