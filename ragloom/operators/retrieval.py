@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import collection_name, col_of
+from ..functions.text import collection_name
 from .ranking import distributed_row_number, topk_per_group
 
 # Largest question block shipped to tasks at once (rows).  Larger batches are
@@ -213,5 +213,29 @@ def ordered_concat(df: DataFrame, group: list[str], order_col: str, text_col: st
             .select(*group, F.array_join(F.transform("_l", lambda s: s["t"]), sep).alias(out)))
 
 
-def q_vector_col(c):
-    return col_of(c)
+
+
+def scoped_context(chunks: DataFrame, questions: DataFrame, budget: int,
+                   order_cols: tuple[str, str] = ("doc_key", "chunk_index")) -> DataFrame:
+    """J6 + F1 + R6 + A1: per chat request, the chunks of the user's
+    collection that match its folder and/or document, in document order,
+    within ``budget`` characters, joined with blank lines.
+
+    Each scope shape is its own equi-join (collection [, folder] [, document]),
+    so no request is paired with chunks outside its scope."""
+    c = chunks.select("collection", "chunk_id", "text", "folder_name", "document_name", *order_cols)
+    q = questions.withColumn("collection", collection_name(F.col("username")))
+    has_f = F.col("folder_name").isNotNull() & (F.col("folder_name") != "")
+    has_d = F.col("document_name").isNotNull() & (F.col("document_name") != "")
+    parts = []
+    for f_on, d_on in ((False, False), (True, False), (False, True), (True, True)):
+        sel = q.where((has_f if f_on else ~has_f) & (has_d if d_on else ~has_d))
+        keys = ["collection"] + (["folder_name"] if f_on else []) + (["document_name"] if d_on else [])
+        parts.append(sel.select("query_id", *keys)
+                     .join(c.select("chunk_id", "text", *order_cols, *keys), keys)
+                     .select("query_id", "chunk_id", "text", *order_cols))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    kept = context_budget(hits, [F.col(order_cols[0]), F.col(order_cols[1])], budget)
+    return ordered_concat(kept, ["query_id"], "_r")

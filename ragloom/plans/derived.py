@@ -63,3 +63,75 @@ def chunk_terms(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
 
 def question_terms(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
     return hash_sparse(questions(spark, sf_dir), "query_id", "query", dim)
+
+
+def page_chunks(spark, sf_dir) -> DataFrame:
+    """Crawled pages ingested as the reference's URL path does: page text with
+    linked content, placeholder, default packing, md5 document key,
+    collection ``default``."""
+    from ..functions.text import empty_placeholder
+    from ..operators import web
+    from ..operators.chunking import PARAGRAPH_SEP
+
+    content = web.pages_with_links(web.parsed_pages(tables.pages(spark, sf_dir)))
+    content = content.withColumn("text", empty_placeholder(F.col("text"), F.col("url"), kind="url"))
+    content = content.withColumn("doc_key", F.md5("url"))
+    ch = explode_chunks(content, "doc_key", "text", CHUNK_SIZE, PARAGRAPH_SEP, keep=["url", "title"])
+    return ch.select(
+        F.lit("default").alias("collection"), "chunk_id", "doc_key", "chunk_index", "text",
+        F.col("title").alias("document_name"), F.lit(None).cast("string").alias("folder_name"),
+        F.col("url").alias("source"), F.lit("web").alias("source_type"),
+        F.lit("html").alias("content_type"))
+
+
+def store_chunks(spark, sf_dir) -> DataFrame:
+    """The chunk table (D5): document chunks per user plus web chunks."""
+    d = doc_chunks(spark, sf_dir).select(
+        "collection", "chunk_id", F.col("doc_id").cast("string").alias("doc_key"), "chunk_index",
+        "text", "document_name", "folder_name", F.col("document_name").alias("source"),
+        "source_type", "content_type")
+    return d.unionByName(page_chunks(spark, sf_dir))
+
+
+def users(spark, sf_dir) -> DataFrame:
+    from ..operators.registry import users_from_documents
+    return users_from_documents(tables.documents(spark, sf_dir))
+
+
+def page_requests(spark, sf_dir) -> DataFrame:
+    """(username, folder) requests derived from the crawl: the language
+    segment of each page URL asks for a folder named after the page host."""
+    from ..operators.web import url_netloc, url_path
+    p = tables.pages(spark, sf_dir)
+    return p.select(F.regexp_extract(url_path(F.col("url")), "^/([^/]+)", 1).alias("username"),
+                    url_netloc(F.col("url")).alias("folder"))
+
+
+def chat_questions(spark, sf_dir) -> DataFrame:
+    """Chat requests over the corpus scopes: per user (no filter), per
+    (user, folder), per (user, document), per (user, folder, document), and
+    one per user for a folder that does not exist."""
+    docs = tables.documents(spark, sf_dir).select(
+        F.col("lang").alias("username"), F.col("source").alias("f"),
+        document_name(F.col("doc_id")).alias("d"))
+    none = F.lit(None).cast("string")
+    u = docs.select("username").distinct()
+    scopes = [
+        u.select(F.concat(F.lit("U:"), "username").alias("query_id"), "username",
+                 none.alias("folder_name"), none.alias("document_name")),
+        docs.select("username", "f").distinct().select(
+            F.concat_ws(":", F.lit("F"), "username", "f").alias("query_id"), "username",
+            F.col("f").alias("folder_name"), none.alias("document_name")),
+        docs.select(F.concat_ws(":", F.lit("D"), "username", "d").alias("query_id"), "username",
+                    none.alias("folder_name"), F.col("d").alias("document_name")),
+        docs.select(F.concat_ws(":", F.lit("B"), "username", "f", "d").alias("query_id"), "username",
+                    F.col("f").alias("folder_name"), F.col("d").alias("document_name")),
+        u.select(F.concat(F.lit("N:"), "username").alias("query_id"), "username",
+                 F.concat(F.col("username"), F.lit("_archive")).alias("folder_name"),
+                 none.alias("document_name")),
+    ]
+    out = scopes[0]
+    for s in scopes[1:]:
+        out = out.unionByName(s)
+    return out.withColumn("query", F.concat(F.lit("What do the documents in "),
+                                            F.col("query_id"), F.lit(" say?")))

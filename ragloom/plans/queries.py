@@ -218,3 +218,174 @@ def url_batch_status(spark, sf):
     parsed = _parsed(spark, sf)
     urls = parsed.select("url").unionByName(web.page_links(parsed).select("url")).distinct()
     return web.url_batch(urls, parsed).select("url", "status", "document_id", "chunks", "error")
+
+
+# ------------------------------------------------------------------ text rules
+@query
+def empty_placeholder(spark, sf):
+    from ..functions.text import empty_placeholder as ph
+    d = tables.documents(spark, sf)
+    name = F.concat(D.document_name(F.col("doc_id")), F.lit(".txt"))
+    return d.select("doc_id", ph(F.col("text"), name, kind="file").alias("text"))
+
+
+@query
+def collection_names(spark, sf):
+    from ..functions.text import collection_name, display_name
+    langs = tables.documents(spark, sf).select("lang").distinct()
+    return langs.select("lang", collection_name(F.col("lang")).alias("collection"),
+                        display_name(collection_name(F.col("lang"))).alias("display_name"))
+
+
+@query
+def question_filter(spark, sf):
+    from ..functions.text import is_blank
+    c = tables.conversations(spark, sf)
+    return c.where((F.col("role") == "user") & ~is_blank(F.col("text"))).select("conv_id", "turn", "text")
+
+
+@query
+def train_clean_distinct(spark, sf):
+    from ..operators.trainset import clean_distinct
+    return clean_distinct(tables.documents(spark, sf))
+
+
+@query
+def train_pairs(spark, sf):
+    from ..operators.trainset import pair_turns, split_pairs
+    pairs, _ = split_pairs(pair_turns(tables.conversations(spark, sf)))
+    return pairs.select("conv_id", "turn", "question", "answer")
+
+
+@query
+def dedup_infer(spark, sf):
+    from ..operators.prompts import infer, text_length_fn
+    c = tables.conversations(spark, sf).select("conv_id", "turn", "text")
+    return infer(c, text_length_fn, input_col="text", out_col="output").select(
+        "conv_id", "turn", "output")
+
+
+@query
+def transcript(spark, sf):
+    from ..operators.transcript import transcript_lines
+    return transcript_lines(tables.conversations(spark, sf))
+
+
+# ------------------------------------------------------------------ store
+@query
+def list_collections(spark, sf):
+    from ..operators import store
+    return store.list_collections(D.store_chunks(spark, sf))
+
+
+@query
+def collection_counts(spark, sf):
+    from ..operators import store
+    return store.collection_counts(D.store_chunks(spark, sf))
+
+
+@query
+def collection_inventory(spark, sf):
+    from ..operators import store
+    return store.inventory(D.store_chunks(spark, sf))
+
+
+@query
+def scoped_chunks(spark, sf):
+    s = retrieval.scope_filter(D.store_chunks(spark, sf), "en", folder="src3")
+    return s.select("collection", "chunk_id", "text")
+
+
+@query
+def collection_selector(spark, sf):
+    c = D.store_chunks(spark, sf)
+    parts = [retrieval.select_collections(c, sel).select(F.lit(sel).alias("selector"), "collection",
+                                                         "chunk_id")
+             for sel in ("ALL", "user_fr_docs")]
+    return parts[0].unionByName(parts[1])
+
+
+def _ingest_batches(spark, sf):
+    c = D.store_chunks(spark, sf).where(F.col("collection") != "default")
+    first = c.where(F.col("collection").isin("user_en_docs", "user_fr_docs"))
+    second = (c.where(F.col("collection").isin("user_fr_docs", "user_de_docs", "user_es_docs"))
+              .withColumn("source_type", F.lit("reingest")))
+    return first, second
+
+
+@query
+def add_if_absent(spark, sf):
+    from ..operators import store
+    first, second = _ingest_batches(spark, sf)
+    return store.add_if_absent(first, second).select("collection", "chunk_id", "source_type")
+
+
+@query
+def delete_by_ids(spark, sf):
+    """Moderation clean-up: delete every chunk of a document labelled toxic."""
+    from ..operators import store
+    c = D.store_chunks(spark, sf)
+    toxic = tables.table(spark, sf, "labels").where(F.col("toxic") == 1).select(
+        F.col("doc_id").cast("string").alias("doc_key"))
+    ids = c.join(toxic, "doc_key", "left_semi").select("collection", "chunk_id")
+    return store.delete_by_ids(c, ids).select("collection", "chunk_id")
+
+
+@query
+def clear_collection(spark, sf):
+    from ..operators import store
+    req = D.users(spark, sf).select("collection").unionByName(
+        D.page_requests(spark, sf).select(F.concat(F.lit("user_"), "username", F.lit("_docs"))
+                                          .alias("collection")))
+    return store.clear_collections(D.store_chunks(spark, sf), req)
+
+
+# ------------------------------------------------------------------ users
+@query
+def user_lookup(spark, sf):
+    from ..operators import registry
+    return registry.lookup(D.users(spark, sf), D.page_requests(spark, sf))
+
+
+@query
+def user_folders(spark, sf):
+    from ..operators import registry
+    return registry.user_folders(D.users(spark, sf), D.page_requests(spark, sf))
+
+
+@query
+def add_folders(spark, sf):
+    from ..operators import registry
+    reqs = D.page_requests(spark, sf).unionByName(
+        tables.documents(spark, sf).select(F.col("lang").alias("username"), F.col("source").alias("folder")))
+    return registry.add_folders(D.users(spark, sf), reqs)
+
+
+@query
+def clear_folders(spark, sf):
+    from ..operators import registry
+    return registry.clear_folders(D.users(spark, sf), D.page_requests(spark, sf))
+
+
+# ------------------------------------------------------------------ chat
+def _scoped(spark, sf):
+    return retrieval.scoped_context(D.store_chunks(spark, sf), D.chat_questions(spark, sf),
+                                    D.CONTEXT_BUDGET)
+
+
+@query
+def scoped_context(spark, sf):
+    return _scoped(spark, sf)
+
+
+@query
+def chat_prompt(spark, sf):
+    from ..operators.prompts import chat_prompt as build
+    from ..operators.prompts import no_documents_message
+    q = D.chat_questions(spark, sf)
+    j = q.join(_scoped(spark, sf), "query_id", "left").withColumn("_found", F.col("context").isNotNull())
+    found = F.col("_found")
+    out = build(j.withColumn("context", F.coalesce("context", F.lit(""))))
+    return out.select("query_id",
+                      F.when(found, F.col("prompt")).alias("prompt"),
+                      F.when(~found, no_documents_message()).alias("response"))
