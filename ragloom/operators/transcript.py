@@ -38,5 +38,6 @@ def export_transcripts(lines: DataFrame, path: str) -> None:
     """Write each conversation's lines in turn order under
     ``path/conv_id=N/`` (part files in range order)."""
     (lines.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
-     .select("conv_id", "line")
-     .write.mode("error").option("lineSep", "").partitionBy("conv_id").text(path))
+     # every block ends with a newline; the text sink adds it back
+     .select("conv_id", F.expr("substring(line, 1, length(line) - 1)").alias("line"))
+     .write.mode("error").partitionBy("conv_id").text(path))
