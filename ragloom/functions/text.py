@@ -102,3 +102,12 @@ def pair_parts(c) -> Column:
 def java_literal(sep: str) -> str:
     """Regex that matches ``sep`` literally (for ``split``)."""
     return "".join("\\" + ch if re.match(r"[\\.^$|?*+()\[\]{}]", ch) else ch for ch in sep)
+
+
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    An expression referenced inside a higher-order function's lambda is
+    evaluated again for every element; binding it first keeps one
+    evaluation per row."""
+    return F.element_at(F.transform(F.array(col_of(value)), body), 1)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of
+from .text import col_of, let
 
 
 def fit_dimension(v, dim: int) -> Column:
     """Pad with 0.0 or cut to ``dim`` values."""
-    x = F.transform(col_of(v), lambda e: e.cast("double"))
-    pad = F.array_repeat(F.lit(0.0).cast("double"), F.greatest(F.lit(dim) - F.size(x), F.lit(0)))
-    return F.slice(F.concat(x, pad), 1, dim)
+    def fit(x):
+        pad = F.array_repeat(F.lit(0.0).cast("double"), F.greatest(F.lit(dim) - F.size(x), F.lit(0)))
+        return F.slice(F.concat(x, pad), 1, dim)
+    return let(F.transform(col_of(v), lambda e: e.cast("double")), fit)
 
 
 def l2_norm(v) -> Column:
@@ -23,9 +24,9 @@ def l2_norm(v) -> Column:
 
 def l2_normalize(v) -> Column:
     """Divide by the L2 norm; a zero vector is returned unchanged."""
-    x = F.transform(col_of(v), lambda e: e.cast("double"))
-    n = l2_norm(x)
-    return F.when(n > 0, F.transform(x, lambda e: e / n)).otherwise(x)
+    def scale(x):
+        return let(l2_norm(x), lambda n: F.when(n > 0, F.transform(x, lambda e: e / n)).otherwise(x))
+    return let(F.transform(col_of(v), lambda e: e.cast("double")), scale)
 
 
 def squared_l2(a, b) -> Column:

@@ -1,9 +1,9 @@
 """Embedding inputs, the batch embedding hook and the bundled
 feature-hashing provider.
 
-* ``hash_terms`` / ``hash_sparse`` / ``hash_dense`` are the bundled provider,
-  written as native Spark jobs: tokens are exploded, bucketed by md5 and
-  counted with a partial + final aggregate, then L2-normalised.
+* ``hashed_vector`` / ``hash_sparse`` / ``hash_dense`` are the bundled
+  provider, written as native row-local expressions: tokens are bucketed by
+  md5, sorted and run-length counted inside the row, then L2-normalised.
 * ``embed`` is the pluggable hook: any ``list[str] -> list[list[float]]``
   callable runs on executors over Arrow batches (``mapInPandas``); its
   output is fitted to the dimension and normalised exactly as the reference
@@ -15,12 +15,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import col_of
+from ..functions.text import col_of, let
 from ..functions.vectors import fit_dimension, l2_normalize
 
 # Reference embedding dimension and per-text input cap.
@@ -47,38 +46,61 @@ def token_bucket(token, dim: int):
     return (F.conv(F.substring(F.md5(col_of(token)), 1, 8), 16, 10).cast("bigint") % F.lit(dim))
 
 
-def hash_terms(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
-    """(key, bucket, tf): term counts per hashed bucket over the whole text."""
-    toks = df.select(key_col, F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT, -1)).alias("tok"))
-    return (toks.where(F.col("tok") != "")
-            .select(key_col, token_bucket("tok", dim).alias("bucket"))
-            .groupBy(key_col, "bucket")
-            .agg(F.count(F.lit(1)).alias("tf")))
+def hashed_counts(text, dim: int = HASH_DIM):
+    """Row-local term counting: (buckets ARRAY<BIGINT>, counts ARRAY<BIGINT>)
+    for the whole text, buckets ascending.  Tokens are hashed and sorted
+    inside the row and the runs of equal buckets are counted, so no token
+    ever leaves its row (no explode, no shuffle)."""
+    toks = F.filter(F.split(F.lower(col_of(text)), TOKEN_SPLIT, -1), lambda t: t != F.lit(""))
+    sorted_buckets = F.array_sort(F.transform(toks, lambda t: token_bucket(t, dim)))
+
+    def runs(b):
+        starts = F.filter(
+            F.transform(b, lambda x, j: F.when(j == 0, j).otherwise(
+                F.when(x != b[j - 1], j).otherwise(F.lit(-1)))),
+            lambda j: j >= 0)
+
+        def count(st):
+            ends = F.transform(st, lambda s_, k: F.when(k + 1 < F.size(st), st[k + 1])
+                               .otherwise(F.size(b)))
+            return F.struct(F.transform(st, lambda s_: b[s_]).alias("buckets"),
+                            F.zip_with(st, ends, lambda s_, e: (e - s_).cast("bigint")).alias("counts"))
+
+        return let(starts, count)
+
+    return let(sorted_buckets, runs)
+
+
+def hashed_vector(text, dim: int = HASH_DIM):
+    """E2 bundled provider, sparse form in the row: (buckets, weights) with
+    unit L2 norm."""
+    def norm_of(hc):
+        def scale(norm):
+            return F.struct(hc["buckets"].alias("buckets"),
+                            F.transform(hc["counts"], lambda c: c / norm).alias("weights"))
+        return let(F.sqrt(F.aggregate(hc["counts"], F.lit(0).cast("bigint"),
+                                      lambda acc, c: acc + c * c)), scale)
+    return let(hashed_counts(text, dim), norm_of)
 
 
 def hash_sparse(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
-    """E2 (bundled provider, sparse form): (key, bucket, weight) with unit L2
-    norm per key.  The norm window sees at most ``dim`` rows per key."""
-    tf = hash_terms(df, key_col, text_col, dim)
-    w = Window.partitionBy(key_col)
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(w))
-    return tf.select(key_col, "bucket", (F.col("tf") / norm).alias("weight"))
+    """(key, bucket, weight) rows, unit L2 norm per key."""
+    v = df.select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
+    return v.select(key_col, F.inline(F.arrays_zip(F.col("v.buckets").alias("bucket"),
+                                                    F.col("v.weights").alias("weight"))))
 
 
-def sparse_to_dense(sparse: DataFrame, key_col: str, dim: int) -> DataFrame:
-    """(key, bucket, weight) rows -> (key, ARRAY<DOUBLE> of length dim).
-    A group holds at most ``dim`` entries."""
-    m = (sparse.groupBy(key_col)
-         .agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda i: F.coalesce(F.element_at(F.col("m"), i.cast("bigint")),
-                                             F.lit(0.0).cast("double")))
-    return m.select(key_col, dense.alias("embedding"))
+def dense_from_sparse(buckets, weights, dim: int):
+    return let(F.map_from_arrays(col_of(buckets), col_of(weights)), lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.coalesce(F.element_at(m, i.cast("bigint")), F.lit(0.0).cast("double"))))
 
 
 def hash_dense(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
-    """E2 (bundled provider, dense form), already unit length."""
-    return sparse_to_dense(hash_sparse(df, key_col, text_col, dim), key_col, dim)
+    """E2 bundled provider, dense form (ARRAY<DOUBLE> of ``dim``), unit length."""
+    v = df.select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
+    return v.select(key_col, dense_from_sparse(F.col("v.buckets"), F.col("v.weights"), dim)
+                    .alias("embedding"))
 
 
 def _provider_udf(provider: Callable[[list[str]], list[list[float]]], text_col: str,
@@ -133,5 +155,3 @@ def hashing_provider(dim: int = HASH_DIM) -> Callable[[list[str]], list[list[flo
     return provider
 
 
-def pandas_series_of_vectors(vecs) -> pd.Series:
-    return pd.Series([list(map(float, v)) for v in vecs])

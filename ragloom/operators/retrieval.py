@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import collection_name
+from .partitioning import spread
 from .ranking import distributed_row_number, topk_per_group
 
 # Largest question block shipped to tasks at once (rows).  Larger batches are
@@ -118,7 +119,7 @@ def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col):
     return run
 
 
-def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
+def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col, cells: int = 4_000_000):
     def run(batches):
         for pdf in batches:
             if pdf.empty:
@@ -126,9 +127,16 @@ def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
             vecs = _stack(pdf[vec_col])
             ids = pdf[id_col].to_numpy(dtype="int64")
             colls = pdf[coll_col].astype(str).to_numpy()
-            for j, q in enumerate(qids):
-                d = _exact_sq_l2(vecs, qmat[j])
-                yield pd.DataFrame({"query_id": q, "vec_id": ids, "collection": colls,
+            n = len(ids)
+            # difference tensor of n x qblock x dim doubles stays near `cells`
+            qblock = max(1, cells // max(1, n * vecs.shape[1]))
+            for lo in range(0, len(qids), qblock):
+                qb = qmat[lo:lo + qblock]
+                diff = vecs[:, None, :] - qb[None, :, :]
+                d = np.einsum("ijk,ijk->ji", diff, diff).ravel()
+                yield pd.DataFrame({"query_id": np.repeat(qids[lo:lo + qblock], n),
+                                    "vec_id": np.tile(ids, len(qb)),
+                                    "collection": np.tile(colls, len(qb)),
                                     "distance": d, "similarity": np.maximum(0.0, 1.0 - d)})
     return run
 
@@ -142,8 +150,8 @@ def dense_scores(stored: DataFrame, questions: DataFrame, k: int | None,
     ``k`` given: each task emits only its top-k per question (then a final
     bounded WindowGroupLimit is applied by ``topk``).  ``k=None``: all pairs.
     """
-    src = stored.select(F.col(id_col).cast("bigint").alias(id_col),
-                        F.col(coll_col).cast("string").alias(coll_col), vec_col)
+    src = spread(stored.select(F.col(id_col).cast("bigint").alias(id_col),
+                               F.col(coll_col).cast("string").alias(coll_col), vec_col))
     parts = []
     for qids, qmat in _question_blocks(questions, qid, qvec):
         fn = (_topk_mapper(qids, qmat, k, id_col, coll_col, vec_col) if k is not None
@@ -178,17 +186,85 @@ def rank_all(stored: DataFrame, questions: DataFrame, **kw) -> DataFrame:
 # ---------------------------------------------------------------- sparse
 def sparse_scores(chunk_terms: DataFrame, question_terms: DataFrame,
                   chunk_key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
-    """Dot products of unit-length hashed vectors through the shared
-    buckets.  The question postings are bounded (questions x buckets), so
-    they are broadcast; no shuffle of the chunk postings, no skew on hot
-    buckets.  Chunks sharing no bucket with a question score 0 and are not
-    emitted."""
+    """J4 as an inverted-index equi-join: dot products of unit-length hashed
+    vectors through the shared buckets.  The question postings are bounded
+    (questions x buckets) and broadcast, so the chunk postings are not
+    shuffled and a hot bucket causes no skew.  Chunks sharing no bucket with
+    a question score 0 and are not emitted.  Every shared posting becomes a
+    join row, so for large chunk sets prefer ``sparse_rank`` (same scores,
+    computed per Arrow batch)."""
     q = question_terms.select(query_key, "bucket", F.col("weight").alias("qw"))
     joined = chunk_terms.join(F.broadcast(q), "bucket")
     return (joined.groupBy(query_key, chunk_key)
             .agg(F.sum(F.col("weight") * F.col("qw")).alias("score")))
 
 
+_SPARSE_OUT = T.StructType([
+    T.StructField("query_id", T.LongType()),
+    T.StructField("chunk_id", T.StringType()),
+    T.StructField("score", T.DoubleType()),
+    T.StructField("text_len", T.LongType()),
+])
+
+
+def _sparse_mapper(qids, qmat, dim, k, budget, sep_len):
+    def keep(cand):
+        cand = cand.assign(_k=cand["score"].round(9)).sort_values(
+            ["_k", "chunk_id"], ascending=[False, True], kind="mergesort").drop(columns="_k")
+        if k is not None:
+            return cand.head(k)
+        used = (cand["text_len"] + sep_len).cumsum() - sep_len
+        return cand[used <= budget]
+
+    def run(batches):
+        best: dict[int, pd.DataFrame] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            n = len(pdf)
+            lens = pdf["buckets"].map(len).to_numpy()
+            mat = np.zeros((n, dim))
+            if lens.sum():
+                mat[np.repeat(np.arange(n), lens), np.concatenate(pdf["buckets"].to_numpy()).astype("int64")] = \
+                    np.concatenate(pdf["weights"].to_numpy())
+            scores = mat @ qmat.T
+            ids = pdf["chunk_id"].to_numpy()
+            tl = pdf["text_len"].to_numpy(dtype="int64")
+            for j, q in enumerate(qids):
+                hit = scores[:, j] > 0
+                if not hit.any():
+                    continue
+                cand = pd.DataFrame({"chunk_id": ids[hit], "score": scores[hit, j], "text_len": tl[hit]})
+                prev = best.get(q)
+                best[q] = keep(cand if prev is None else pd.concat([prev, cand], ignore_index=True))
+        if best:
+            yield pd.concat([c.assign(query_id=q) for q, c in best.items()], ignore_index=True)[
+                ["query_id", "chunk_id", "score", "text_len"]]
+    return run
+
+
+def sparse_rank(chunk_vectors: DataFrame, question_vectors: DataFrame, dim: int,
+                k: int | None = None, budget: int | None = None, sep_len: int = 2) -> DataFrame:
+    """J4 scored per Arrow batch: each chunk's hashed vector (``buckets``,
+    ``weights``) against a bounded block of question vectors (dense
+    ``embedding`` of width ``dim``).  Only per-partition survivors leave a
+    task: the top ``k`` per question, or - with ``budget`` - the rows whose
+    partition-local running length fits the budget (every row of the global
+    budgeted prefix survives this, so the final cut stays exact)."""
+    src = spread(chunk_vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"),
+                                      "buckets", "weights", F.col("text_len").cast("bigint")))
+    parts = []
+    for qids, qmat in _question_blocks(question_vectors, "query_id", "embedding"):
+        parts.append(src.mapInPandas(_sparse_mapper(qids, qmat, dim, k, budget, sep_len),
+                                     schema=_SPARSE_OUT))
+    if not parts:
+        return chunk_vectors.sparkSession.createDataFrame([], _SPARSE_OUT)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def context_budget(ranked: DataFrame, order: list, budget: int, sep_len: int = 2,
                    group: str = "query_id", text_col: str = "text") -> DataFrame:
     """Keep rows in rank order while the running length (text plus

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.html import parse_html
 from ..functions.text import col_of, empty_placeholder, py_strip, squash_lines
 from .chunking import CHUNK_SIZE, PARAGRAPH_SEP, chunk_text
+from .partitioning import materialize, spread
 
 # Link rules, link caps, block formats.
 EXCLUDED_PATHS = ["/login", "/signup", "/register", "/contact", "/about", "/terms", "/privacy"]
@@ -51,7 +52,7 @@ def url_without_fragment(url) -> Column:
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Parse each page once; add domain, title (``Untitled`` fallback), clean
     text and the raw anchor list."""
-    p = pages.withColumn("_p", parse_html(F.col("html"), F.col("url")))
+    p = spread(pages).withColumn("_p", parse_html(F.col("html"), F.col("url")))
     return p.select(
         "page_id", "url",
         url_netloc(F.col("url")).alias("domain"),
@@ -142,7 +143,7 @@ def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE) -> Data
 
 
 def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
-                     follow_links: bool = True) -> DataFrame:
+                     follow_links: bool = True, materialized: bool = False) -> DataFrame:
     """Page text plus ``--- LINKED CONTENT ---`` and the linked blocks
     joined by a newline in link order; ``linked_pages_count`` counts pages
     (each page has at most ``max_links`` blocks)."""
@@ -150,6 +151,8 @@ def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
         return parsed.select("page_id", "url", "domain", "title", "text",
                              F.lit(False).alias("includes_linked_content"),
                              F.lit(0).cast("bigint").alias("linked_pages_count"))
+    if not materialized:
+        parsed = materialize(parsed)
     blocks = (linked_content(parsed, max_links).groupBy("page_id")
               .agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_b")))
     j = parsed.join(blocks, "page_id", "left")
@@ -166,11 +169,12 @@ def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
 
 def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
               max_links: int = MAX_LINKS_BATCH, follow_links: bool = True,
-              chunk_size: int = CHUNK_SIZE, sep: str = PARAGRAPH_SEP) -> DataFrame:
+              chunk_size: int = CHUNK_SIZE, sep: str = PARAGRAPH_SEP,
+              materialized: bool = False) -> DataFrame:
     """S9 + K3: one receipt per requested URL.  URLs found in the crawl are
     extracted, placeholder-filled and chunked (success rows with the md5
     document id and chunk count); the rest become error rows."""
-    content = pages_with_links(parsed, max_links, follow_links)
+    content = pages_with_links(parsed, max_links, follow_links, materialized)
     text = empty_placeholder(F.col("text"), F.col("url"), kind="url")
     ok = content.select("url", F.size(chunk_text(text, chunk_size, sep)).cast("bigint").alias("_n"))
     j = urls.select("url").join(ok, "url", "left")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collection_name
 from ..operators.chunking import CHUNK_SIZE, explode_chunks
-from ..operators.embedding import hash_dense, hash_sparse
+from ..operators.embedding import hash_dense, hash_sparse, hashed_vector
+from ..operators.partitioning import spread
 from ..sources import tables
 
 # Fixture settings: documents have no blank lines, so the
@@ -30,7 +31,7 @@ def document_name(doc_id) -> F.Column:
 
 def doc_chunks(spark, sf_dir) -> DataFrame:
     """C1 + C2 over every document, with the store columns."""
-    docs = tables.documents(spark, sf_dir)
+    docs = spread(tables.documents(spark, sf_dir))
     ch = explode_chunks(docs, "doc_id", "text", CHUNK_SIZE, FIXTURE_SEP, keep=["lang", "source"])
     return ch.select(
         collection_name(F.col("lang")).alias("collection"),
@@ -57,6 +58,18 @@ def stored_vectors(spark, sf_dir) -> DataFrame:
     return e.select("vec_id", F.col("label").cast("string").alias("collection"), "embedding")
 
 
+def chunk_vectors(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
+    """Hashed vectors of every chunk, kept sparse in the row."""
+    c = doc_chunks(spark, sf_dir)
+    return c.select("chunk_id", hashed_vector(F.col("text"), dim).alias("v"),
+                    F.length("text").cast("bigint").alias("text_len")).select(
+        "chunk_id", "v.buckets", "v.weights", "text_len")
+
+
+def question_dense(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
+    return hash_dense(questions(spark, sf_dir), "query_id", "query", dim)
+
+
 def chunk_terms(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
     return hash_sparse(doc_chunks(spark, sf_dir), "chunk_id", "text", dim)
 

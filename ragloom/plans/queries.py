@@ -104,24 +104,24 @@ def topk(spark, sf):
 
 
 # ------------------------------------------------------------------ sparse retrieval
-def _sparse_ranked(spark, sf):
-    return retrieval.sparse_scores(D.chunk_terms(spark, sf), D.question_terms(spark, sf))
-
-
 def sparse_order():
     return [F.round(F.col("score"), 9).desc(), F.col("chunk_id").asc()]
 
 
 @query
 def rank_sparse(spark, sf):
-    r = topk_per_group(_sparse_ranked(spark, sf), ["query_id"], sparse_order(), D.SPARSE_TOP_K)
+    s = retrieval.sparse_rank(D.chunk_vectors(spark, sf), D.question_dense(spark, sf), D.TEXT_DIM,
+                              k=D.SPARSE_TOP_K)
+    r = topk_per_group(s, ["query_id"], sparse_order(), D.SPARSE_TOP_K)
     return r.select("query_id", "rank", "chunk_id", r6(F.col("score")).alias("score"))
 
 
 def _budgeted(spark, sf):
-    scored = _sparse_ranked(spark, sf)
+    from ..operators.ranking import checked_broadcast
+    survivors = retrieval.sparse_rank(D.chunk_vectors(spark, sf), D.question_dense(spark, sf),
+                                      D.TEXT_DIM, budget=D.CONTEXT_BUDGET)
     chunks = D.doc_chunks(spark, sf).select("chunk_id", "text")
-    ranked = scored.join(chunks, "chunk_id")
+    ranked = chunks.join(checked_broadcast(survivors), "chunk_id")
     return retrieval.context_budget(ranked, sparse_order(), D.CONTEXT_BUDGET)
 
 
@@ -215,9 +215,11 @@ def page_with_links(spark, sf):
 def url_batch_status(spark, sf):
     """Batch request = every crawled URL plus every kept link URL."""
     from ..operators import web
-    parsed = _parsed(spark, sf)
+    from ..operators.partitioning import materialize
+    parsed = materialize(_parsed(spark, sf))
     urls = parsed.select("url").unionByName(web.page_links(parsed).select("url")).distinct()
-    return web.url_batch(urls, parsed).select("url", "status", "document_id", "chunks", "error")
+    return web.url_batch(urls, parsed, materialized=True).select(
+        "url", "status", "document_id", "chunks", "error")
 
 
 # ------------------------------------------------------------------ text rules
@@ -324,7 +326,8 @@ def add_if_absent(spark, sf):
 def delete_by_ids(spark, sf):
     """Moderation clean-up: delete every chunk of a document labelled toxic."""
     from ..operators import store
-    c = D.store_chunks(spark, sf)
+    from ..operators.partitioning import materialize
+    c = materialize(D.store_chunks(spark, sf))
     toxic = tables.table(spark, sf, "labels").where(F.col("toxic") == 1).select(
         F.col("doc_id").cast("string").alias("doc_key"))
     ids = c.join(toxic, "doc_key", "left_semi").select("collection", "chunk_id")
