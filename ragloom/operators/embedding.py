@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import col_of, let
 from ..functions.vectors import fit_dimension, l2_normalize
+from .partitioning import spread
 
 # Reference embedding dimension and per-text input cap.
 EMBEDDING_DIMENSION = 768
@@ -49,24 +50,21 @@ def token_bucket(token, dim: int):
 def hashed_counts(text, dim: int = HASH_DIM):
     """Row-local term counting: (buckets ARRAY<BIGINT>, counts ARRAY<BIGINT>)
     for the whole text, buckets ascending.  Tokens are hashed and sorted
-    inside the row and the runs of equal buckets are counted, so no token
-    ever leaves its row (no explode, no shuffle)."""
-    toks = F.filter(F.split(F.lower(col_of(text)), TOKEN_SPLIT, -1), lambda t: t != F.lit(""))
-    sorted_buckets = F.array_sort(F.transform(toks, lambda t: token_bucket(t, dim)))
+    inside the row; each distinct bucket's count is the distance between the
+    first positions of consecutive distinct buckets.  No token leaves its row
+    (no explode, no shuffle) and only the hashing runs a lambda per token."""
+    toks = F.array_remove(F.split(F.lower(col_of(text)), TOKEN_SPLIT, -1), "")
+    sorted_buckets = F.sort_array(F.transform(toks, lambda t: token_bucket(t, dim)))
 
     def runs(b):
-        starts = F.filter(
-            F.transform(b, lambda x, j: F.when(j == 0, j).otherwise(
-                F.when(x != b[j - 1], j).otherwise(F.lit(-1)))),
-            lambda j: j >= 0)
-
-        def count(st):
-            ends = F.transform(st, lambda s_, k: F.when(k + 1 < F.size(st), st[k + 1])
-                               .otherwise(F.size(b)))
-            return F.struct(F.transform(st, lambda s_: b[s_]).alias("buckets"),
-                            F.zip_with(st, ends, lambda s_, e: (e - s_).cast("bigint")).alias("counts"))
-
-        return let(starts, count)
+        def count(d):
+            def spans(starts):
+                ends = F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(b) + 1))
+                return F.struct(d.alias("buckets"),
+                                F.zip_with(starts, ends, lambda s_, e: (e - s_).cast("bigint"))
+                                .alias("counts"))
+            return let(F.transform(d, lambda x: F.array_position(b, x)), spans)
+        return let(F.array_distinct(b), count)
 
     return let(sorted_buckets, runs)
 
@@ -85,7 +83,7 @@ def hashed_vector(text, dim: int = HASH_DIM):
 
 def hash_sparse(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
     """(key, bucket, weight) rows, unit L2 norm per key."""
-    v = df.select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
+    v = spread(df).select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
     return v.select(key_col, F.inline(F.arrays_zip(F.col("v.buckets").alias("bucket"),
                                                     F.col("v.weights").alias("weight"))))
 
@@ -98,7 +96,7 @@ def dense_from_sparse(buckets, weights, dim: int):
 
 def hash_dense(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
     """E2 bundled provider, dense form (ARRAY<DOUBLE> of ``dim``), unit length."""
-    v = df.select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
+    v = spread(df).select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
     return v.select(key_col, dense_from_sparse(F.col("v.buckets"), F.col("v.weights"), dim)
                     .alias("embedding"))
 

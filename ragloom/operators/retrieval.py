@@ -208,16 +208,17 @@ _SPARSE_OUT = T.StructType([
 
 
 def _sparse_mapper(qids, qmat, dim, k, budget, sep_len):
-    def keep(cand):
-        cand = cand.assign(_k=cand["score"].round(9)).sort_values(
-            ["_k", "chunk_id"], ascending=[False, True], kind="mergesort").drop(columns="_k")
+    def keep(cand: pd.DataFrame) -> pd.DataFrame:
+        # rank order inside the partition: score (9 places) desc, chunk_id asc
+        cand = cand.assign(_k=-cand["score"].round(9)).sort_values(
+            ["query_id", "_k", "chunk_id"], kind="mergesort").drop(columns="_k")
         if k is not None:
-            return cand.head(k)
-        used = (cand["text_len"] + sep_len).cumsum() - sep_len
-        return cand[used <= budget]
+            return cand.groupby("query_id", sort=False).head(k)
+        used = (cand["text_len"] + sep_len).groupby(cand["query_id"], sort=False).cumsum() - sep_len
+        return cand[used.to_numpy() <= budget]
 
     def run(batches):
-        best: dict[int, pd.DataFrame] = {}
+        kept = None
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -225,21 +226,19 @@ def _sparse_mapper(qids, qmat, dim, k, budget, sep_len):
             lens = pdf["buckets"].map(len).to_numpy()
             mat = np.zeros((n, dim))
             if lens.sum():
-                mat[np.repeat(np.arange(n), lens), np.concatenate(pdf["buckets"].to_numpy()).astype("int64")] = \
+                mat[np.repeat(np.arange(n), lens),
+                    np.concatenate(pdf["buckets"].to_numpy()).astype("int64")] = \
                     np.concatenate(pdf["weights"].to_numpy())
             scores = mat @ qmat.T
-            ids = pdf["chunk_id"].to_numpy()
-            tl = pdf["text_len"].to_numpy(dtype="int64")
-            for j, q in enumerate(qids):
-                hit = scores[:, j] > 0
-                if not hit.any():
-                    continue
-                cand = pd.DataFrame({"chunk_id": ids[hit], "score": scores[hit, j], "text_len": tl[hit]})
-                prev = best.get(q)
-                best[q] = keep(cand if prev is None else pd.concat([prev, cand], ignore_index=True))
-        if best:
-            yield pd.concat([c.assign(query_id=q) for q, c in best.items()], ignore_index=True)[
-                ["query_id", "chunk_id", "score", "text_len"]]
+            row, col = np.nonzero(scores > 0)
+            if not len(row):
+                continue
+            cand = pd.DataFrame({"query_id": qids[col], "chunk_id": pdf["chunk_id"].to_numpy()[row],
+                                 "score": scores[row, col],
+                                 "text_len": pdf["text_len"].to_numpy(dtype="int64")[row]})
+            kept = keep(cand if kept is None else pd.concat([kept, cand], ignore_index=True))
+        if kept is not None and len(kept):
+            yield kept[["query_id", "chunk_id", "score", "text_len"]]
     return run
 
 
