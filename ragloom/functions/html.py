@@ -167,9 +167,13 @@ def parse_page(html: str | None, base_url: str | None) -> dict:
     return {"title": p.title(), "text": "\n".join(p.nodes), "links": links}
 
 
-@F.pandas_udf(PARSED)
-def parse_html(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+def _parse_batch(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = [parse_page(h, u) for h, u in zip(html, url)]
     return pd.DataFrame({"title": [r["title"] for r in rows],
                          "text": [r["text"] for r in rows],
                          "links": [r["links"] for r in rows]})
+
+
+# Declared nondeterministic so the optimizer never copies the call into a
+# pushed-down filter: each page is parsed exactly once per plan.
+parse_html = F.pandas_udf(_parse_batch, PARSED).asNondeterministic()

@@ -19,8 +19,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
+GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def topk_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
                    out: str = "rank") -> DataFrame:
+    # The optimizer plans the partial (pre-shuffle) group limit only for k up
+    # to this threshold; raise it so large k keep the bounded plan.
+    spark = df.sparkSession
+    if k >= int(spark.conf.get(GROUP_LIMIT_CONF, "1000")):
+        spark.conf.set(GROUP_LIMIT_CONF, str(k + 1))
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return (df.withColumn(out, F.row_number().over(w))
             .where(F.col(out) <= k)

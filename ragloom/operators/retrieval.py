@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import collection_name
 from .partitioning import spread
-from .ranking import distributed_row_number, topk_per_group
+from .ranking import checked_broadcast, distributed_row_number, topk_per_group
 
 # Largest question block shipped to tasks at once (rows).  Larger batches are
 # split into hash blocks, each scanning the stored vectors once.
@@ -296,21 +296,33 @@ def scoped_context(chunks: DataFrame, questions: DataFrame, budget: int,
     collection that match its folder and/or document, in document order,
     within ``budget`` characters, joined with blank lines.
 
-    Each scope shape is its own equi-join (collection [, folder] [, document]),
-    so no request is paired with chunks outside its scope."""
-    c = chunks.select("collection", "chunk_id", "text", "folder_name", "document_name", *order_cols)
-    q = questions.withColumn("collection", collection_name(F.col("username")))
+    One equi-join matches every scope shape: each chunk carries its four scope
+    keys (user; user+folder; user+document; user+folder+document) and each
+    request computes the one key its filters describe, so no request is paired
+    with chunks outside its scope and the chunk table is read once.  The
+    request batch is the build side of a broadcast hash join after a size
+    check, so the chunk side is streamed, never shuffled, and a user holding
+    most of the chunks does not concentrate in one task (beyond the check the
+    join shuffles and AQE's skew-join splits hot keys)."""
+    none = F.lit("")
+    f = F.coalesce(F.col("folder_name"), none)
+    d = F.coalesce(F.col("document_name"), none)
+    scope_keys = F.array(
+        F.struct(F.lit("U").alias("shape"), none.alias("kf"), none.alias("kd")),
+        F.struct(F.lit("F").alias("shape"), f.alias("kf"), none.alias("kd")),
+        F.struct(F.lit("D").alias("shape"), none.alias("kf"), d.alias("kd")),
+        F.struct(F.lit("B").alias("shape"), f.alias("kf"), d.alias("kd")))
+    c = (chunks.select("collection", "chunk_id", "text", *order_cols, F.explode(scope_keys).alias("k"))
+         .select("collection", "chunk_id", "text", *order_cols, "k.shape", "k.kf", "k.kd"))
     has_f = F.col("folder_name").isNotNull() & (F.col("folder_name") != "")
     has_d = F.col("document_name").isNotNull() & (F.col("document_name") != "")
-    parts = []
-    for f_on, d_on in ((False, False), (True, False), (False, True), (True, True)):
-        sel = q.where((has_f if f_on else ~has_f) & (has_d if d_on else ~has_d))
-        keys = ["collection"] + (["folder_name"] if f_on else []) + (["document_name"] if d_on else [])
-        parts.append(sel.select("query_id", *keys)
-                     .join(c.select("chunk_id", "text", *order_cols, *keys), keys)
-                     .select("query_id", "chunk_id", "text", *order_cols))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    shape = (F.when(has_f & has_d, F.lit("B")).when(has_f, F.lit("F"))
+             .when(has_d, F.lit("D")).otherwise(F.lit("U")))
+    q = questions.select(
+        "query_id", collection_name(F.col("username")).alias("collection"), shape.alias("shape"),
+        F.when(has_f, F.col("folder_name")).otherwise(none).alias("kf"),
+        F.when(has_d, F.col("document_name")).otherwise(none).alias("kd"))
+    hits = c.join(checked_broadcast(q), ["collection", "shape", "kf", "kd"]).select(
+        "query_id", "chunk_id", "text", *order_cols)
     kept = context_budget(hits, [F.col(order_cols[0]), F.col(order_cols[1])], budget)
     return ordered_concat(kept, ["query_id"], "_r")

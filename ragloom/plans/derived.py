@@ -97,13 +97,15 @@ def page_chunks(spark, sf_dir) -> DataFrame:
         F.lit("html").alias("content_type"))
 
 
-def store_chunks(spark, sf_dir) -> DataFrame:
-    """The chunk table (D5): document chunks per user plus web chunks."""
+def store_chunks(spark, sf_dir, include_web: bool = True) -> DataFrame:
+    """The chunk table (D5): document chunks per user plus web chunks in the
+    ``default`` collection.  Jobs scoped to user collections leave the web
+    part out, as partition pruning would on the stored table."""
     d = doc_chunks(spark, sf_dir).select(
         "collection", "chunk_id", F.col("doc_id").cast("string").alias("doc_key"), "chunk_index",
         "text", "document_name", "folder_name", F.col("document_name").alias("source"),
         "source_type", "content_type")
-    return d.unionByName(page_chunks(spark, sf_dir))
+    return d.unionByName(page_chunks(spark, sf_dir)) if include_web else d
 
 
 def users(spark, sf_dir) -> DataFrame:

@@ -295,7 +295,7 @@ def collection_inventory(spark, sf):
 
 @query
 def scoped_chunks(spark, sf):
-    s = retrieval.scope_filter(D.store_chunks(spark, sf), "en", folder="src3")
+    s = retrieval.scope_filter(D.store_chunks(spark, sf, include_web=False), "en", folder="src3")
     return s.select("collection", "chunk_id", "text")
 
 
@@ -309,7 +309,7 @@ def collection_selector(spark, sf):
 
 
 def _ingest_batches(spark, sf):
-    c = D.store_chunks(spark, sf).where(F.col("collection") != "default")
+    c = D.store_chunks(spark, sf, include_web=False)
     first = c.where(F.col("collection").isin("user_en_docs", "user_fr_docs"))
     second = (c.where(F.col("collection").isin("user_fr_docs", "user_de_docs", "user_es_docs"))
               .withColumn("source_type", F.lit("reingest")))
@@ -373,7 +373,7 @@ def clear_folders(spark, sf):
 
 # ------------------------------------------------------------------ chat
 def _scoped(spark, sf):
-    return retrieval.scoped_context(D.store_chunks(spark, sf), D.chat_questions(spark, sf),
+    return retrieval.scoped_context(D.store_chunks(spark, sf, include_web=False), D.chat_questions(spark, sf),
                                     D.CONTEXT_BUDGET)
 
 

@@ -92,7 +92,6 @@ _EXTRACTED = T.StructType([T.StructField("text", T.StringType()),
 def _structured_udf(registry: dict[str, Callable[[bytes], str]]):
     routes = {".json": _json_pretty, ".xml": _xml_text, **registry}
 
-    @F.pandas_udf(_EXTRACTED)
     def extract(content: pd.Series, ext: pd.Series) -> pd.DataFrame:
         texts, errors = [], []
         for b, e in zip(content, ext):
@@ -109,7 +108,8 @@ def _structured_udf(registry: dict[str, Callable[[bytes], str]]):
                 errors.append(f"{type(exc).__name__}: {exc}")
         return pd.DataFrame({"text": texts, "error": errors})
 
-    return extract
+    # nondeterministic: evaluated once, never copied into pushed-down filters
+    return F.pandas_udf(extract, _EXTRACTED).asNondeterministic()
 
 
 def extract_files(files: DataFrame, strict: bool = False) -> DataFrame:
