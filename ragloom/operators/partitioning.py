@@ -11,10 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+_SHUFFLING_NODES = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Distinct", "Expand")
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    qe = df._jdf.queryExecution()
+    logical = qe.optimizedPlan().toString()
+    if any(node in logical for node in _SHUFFLING_NODES):
+        return df  # already laid out by a shuffle with the session's partition count
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # a plan without exchanges: building its RDD lists the input splits, runs no job
+    if qe.executedPlan().execute().getNumPartitions() < target:
         return df.repartition(target)
     return df
 

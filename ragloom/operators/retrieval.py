@@ -53,19 +53,27 @@ def select_collections(chunks: DataFrame, selector: str | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- dense scoring
-def _question_blocks(questions: DataFrame, qid: str, vec: str):
-    """Yield bounded (ids, matrix) blocks of the question batch."""
-    n = questions.count()
-    nblocks = max(1, math.ceil(n / MAX_QUESTION_BLOCK))
-    for b in range(nblocks):
-        part = questions if nblocks == 1 else questions.where(
-            F.pmod(F.xxhash64(qid), F.lit(nblocks)) == b)
-        rows = part.select(qid, vec).collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], dtype="int64")
-        mat = np.array([np.asarray(r[1], dtype="float64") for r in rows])
-        yield ids, mat
+def _to_block(rows):
+    ids = np.array([r[0] for r in rows], dtype="int64")
+    mat = np.array([np.asarray(r[1], dtype="float64") for r in rows])
+    return ids, mat
+
+
+def _question_blocks(questions: DataFrame, qid: str, vec: str, level: int = 0):
+    """Yield bounded (ids, matrix) blocks of the question batch.  A batch that
+    fits one block is fetched once (at most ``MAX_QUESTION_BLOCK`` rows);
+    a larger one is split in two by a hash of the id, recursively, so every
+    block fetched to the driver is bounded and no question is dropped."""
+    rows = questions.select(qid, vec).limit(MAX_QUESTION_BLOCK + 1).collect()
+    if len(rows) <= MAX_QUESTION_BLOCK:
+        if rows:
+            yield _to_block(rows)
+        return
+    if level >= 32:
+        raise ValueError(f"more than {MAX_QUESTION_BLOCK} questions share one id")
+    for b in (0, 1):
+        half = questions.where(F.pmod(F.xxhash64(F.col(qid), F.lit(level)), F.lit(2)) == b)
+        yield from _question_blocks(half, qid, vec, level + 1)
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -204,10 +212,11 @@ _SPARSE_OUT = T.StructType([
     T.StructField("chunk_id", T.StringType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("text_len", T.LongType()),
+    T.StructField("text", T.StringType()),
 ])
 
 
-def _sparse_mapper(qids, qmat, dim, k, budget, sep_len):
+def _sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text):
     def keep(cand: pd.DataFrame) -> pd.DataFrame:
         # rank order inside the partition: score (9 places) desc, chunk_id asc
         cand = cand.assign(_k=-cand["score"].round(9)).sort_values(
@@ -217,6 +226,23 @@ def _sparse_mapper(qids, qmat, dim, k, budget, sep_len):
         used = (cand["text_len"] + sep_len).groupby(cand["query_id"], sort=False).cumsum() - sep_len
         return cand[used.to_numpy() <= budget]
 
+    def select(scores, ids, tl):
+        """(row, question) pairs that can still be in this partition's result."""
+        rounded = np.round(scores, 9)
+        if k is not None:
+            kk = min(k, len(ids))
+            kth = -np.partition(-rounded, kk - 1, axis=0)[kk - 1]
+            return np.nonzero((rounded >= kth[None, :]) & (scores > 0))
+        rows, cols = [], []
+        for j in range(scores.shape[1]):
+            order = np.lexsort((ids, -rounded[:, j]))
+            order = order[scores[order, j] > 0]
+            used = np.cumsum(tl[order] + sep_len) - sep_len
+            order = order[used <= budget]
+            rows.append(order)
+            cols.append(np.full(len(order), j))
+        return np.concatenate(rows), np.concatenate(cols)
+
     def run(batches):
         kept = None
         for pdf in batches:
@@ -230,38 +256,45 @@ def _sparse_mapper(qids, qmat, dim, k, budget, sep_len):
                     np.concatenate(pdf["buckets"].to_numpy()).astype("int64")] = \
                     np.concatenate(pdf["weights"].to_numpy())
             scores = mat @ qmat.T
-            row, col = np.nonzero(scores > 0)
+            ids = pdf["chunk_id"].to_numpy().astype(str)
+            tl = pdf["text_len"].to_numpy(dtype="int64")
+            row, col = select(scores, ids, tl)
             if not len(row):
                 continue
-            cand = pd.DataFrame({"query_id": qids[col], "chunk_id": pdf["chunk_id"].to_numpy()[row],
-                                 "score": scores[row, col],
-                                 "text_len": pdf["text_len"].to_numpy(dtype="int64")[row]})
+            cand = pd.DataFrame({"query_id": qids[col], "chunk_id": ids[row], "score": scores[row, col],
+                                 "text_len": tl[row],
+                                 "text": pdf["text"].to_numpy()[row] if carry_text else None})
             kept = keep(cand if kept is None else pd.concat([kept, cand], ignore_index=True))
         if kept is not None and len(kept):
-            yield kept[["query_id", "chunk_id", "score", "text_len"]]
+            yield kept[["query_id", "chunk_id", "score", "text_len", "text"]]
     return run
 
 
 def sparse_rank(chunk_vectors: DataFrame, question_vectors: DataFrame, dim: int,
-                k: int | None = None, budget: int | None = None, sep_len: int = 2) -> DataFrame:
+                k: int | None = None, budget: int | None = None, sep_len: int = 2,
+                carry_text: bool = False) -> DataFrame:
     """J4 scored per Arrow batch: each chunk's hashed vector (``buckets``,
     ``weights``) against a bounded block of question vectors (dense
     ``embedding`` of width ``dim``).  Only per-partition survivors leave a
     task: the top ``k`` per question, or - with ``budget`` - the rows whose
     partition-local running length fits the budget (every row of the global
-    budgeted prefix survives this, so the final cut stays exact)."""
-    src = spread(chunk_vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"),
-                                      "buckets", "weights", F.col("text_len").cast("bigint")))
+    budgeted prefix survives this, so the final cut stays exact).  With
+    ``carry_text`` the survivors keep their text, so no join back is needed."""
+    cols = [F.col("chunk_id").cast("string").alias("chunk_id"), "buckets", "weights",
+            F.col("text_len").cast("bigint")]
+    if carry_text:
+        cols.append("text")
+    src = spread(chunk_vectors.select(*cols))
     parts = []
     for qids, qmat in _question_blocks(question_vectors, "query_id", "embedding"):
-        parts.append(src.mapInPandas(_sparse_mapper(qids, qmat, dim, k, budget, sep_len),
+        parts.append(src.mapInPandas(_sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text),
                                      schema=_SPARSE_OUT))
     if not parts:
         return chunk_vectors.sparkSession.createDataFrame([], _SPARSE_OUT)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out if carry_text else out.drop("text")
 
 
 def context_budget(ranked: DataFrame, order: list, budget: int, sep_len: int = 2,

@@ -61,9 +61,9 @@ def stored_vectors(spark, sf_dir) -> DataFrame:
 def chunk_vectors(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
     """Hashed vectors of every chunk, kept sparse in the row."""
     c = doc_chunks(spark, sf_dir)
-    return c.select("chunk_id", hashed_vector(F.col("text"), dim).alias("v"),
+    return c.select("chunk_id", "text", hashed_vector(F.col("text"), dim).alias("v"),
                     F.length("text").cast("bigint").alias("text_len")).select(
-        "chunk_id", "v.buckets", "v.weights", "text_len")
+        "chunk_id", "text", "v.buckets", "v.weights", "text_len")
 
 
 def question_dense(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:

@@ -117,13 +117,9 @@ def rank_sparse(spark, sf):
 
 
 def _budgeted(spark, sf):
-    from ..operators.partitioning import materialize
-    from ..operators.ranking import checked_broadcast
-    survivors = materialize(retrieval.sparse_rank(D.chunk_vectors(spark, sf), D.question_dense(spark, sf),
-                                                  D.TEXT_DIM, budget=D.CONTEXT_BUDGET))
-    chunks = D.doc_chunks(spark, sf).select("chunk_id", "text")
-    ranked = chunks.join(checked_broadcast(survivors), "chunk_id")
-    return retrieval.context_budget(ranked, sparse_order(), D.CONTEXT_BUDGET)
+    survivors = retrieval.sparse_rank(D.chunk_vectors(spark, sf), D.question_dense(spark, sf),
+                                      D.TEXT_DIM, budget=D.CONTEXT_BUDGET, carry_text=True)
+    return retrieval.context_budget(survivors, sparse_order(), D.CONTEXT_BUDGET)
 
 
 @query
