@@ -8,16 +8,20 @@ default parallelism first.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 
-_SHUFFLING_NODES = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Distinct", "Expand")
+# Logical nodes that end in a shuffle (a coalesce, "Repartition n, false", does not).
+_SHUFFLING = re.compile(r"Repartition \d+, true|RepartitionByExpression|Aggregate|Join|Window|"
+                        r"Sort |Distinct|Expand")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     qe = df._jdf.queryExecution()
     logical = qe.optimizedPlan().toString()
-    if any(node in logical for node in _SHUFFLING_NODES):
+    if _SHUFFLING.search(logical):
         return df  # already laid out by a shuffle with the session's partition count
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     # a plan without exchanges: building its RDD lists the input splits, runs no job
