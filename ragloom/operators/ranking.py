@@ -50,7 +50,9 @@ def distributed_row_number(df: DataFrame, group_cols: list[str], order: list[Col
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id()))
     # Partition ids and positions must be the same for the count pass and the
-    # output pass: cut the lineage on reliable storage.
+    # output pass: cut the lineage on reliable (shared) storage.
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     numbered = numbered.checkpoint(eager=True)
     counts = (numbered.groupBy("_pid", *group_cols)
               .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")))

@@ -49,12 +49,30 @@ def url_without_fragment(url) -> Column:
     return F.regexp_replace(col_of(url), "#.*$", "")
 
 
+def content_kind(content_type) -> Column:
+    """``pdf`` when the lower-cased content type names a PDF, else
+    ``html`` (also when the type is missing)."""
+    ct = F.lower(F.coalesce(col_of(content_type), F.lit("")))
+    return F.when(F.contains(ct, F.lit("application/pdf")), F.lit("pdf")).otherwise(F.lit("html"))
+
+
+def is_html_type(content_type) -> Column:
+    """Linked pages are used only when their type is ``text/html`` (a missing
+    type counts as HTML: the crawl table stores HTML pages)."""
+    ct = F.lower(F.coalesce(col_of(content_type), F.lit("text/html")))
+    return F.contains(ct, F.lit("text/html"))
+
+
 def parsed_pages(pages: DataFrame) -> DataFrame:
     """Parse each page once; add domain, title (``Untitled`` fallback), clean
-    text and the raw anchor list."""
-    p = spread(pages).withColumn("_p", parse_html(F.col("html"), F.col("url")))
+    text and the raw anchor list.  An optional ``content_type`` column is
+    kept; PDF rows are left to a registered extractor (no text here)."""
+    ct = F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")
+    p = spread(pages).withColumn("content_type", ct)
+    p = p.withColumn("_p", F.when(content_kind(F.col("content_type")) == "html",
+                                  parse_html(F.col("html"), F.col("url"))))
     return p.select(
-        "page_id", "url",
+        "page_id", "url", "content_type",
         url_netloc(F.col("url")).alias("domain"),
         F.coalesce(F.col("_p.title"), F.lit(UNTITLED)).alias("title"),
         squash_lines(F.col("_p.text")).alias("text"),
@@ -105,7 +123,7 @@ def page_metadata(parsed: DataFrame, caller: dict | None = None) -> DataFrame:
     caller = dict(caller or {})
     content = F.create_map(
         F.lit("source"), F.col("url"), F.lit("domain"), F.col("domain"),
-        F.lit("title"), F.col("title"), F.lit("content_type"), F.lit("html"),
+        F.lit("title"), F.col("title"), F.lit("content_type"), content_kind(F.col("content_type")),
         F.lit("source_type"), F.lit("web"))
     if caller:
         given = F.create_map(*[x for k, v in caller.items() for x in (F.lit(k), F.lit(str(v)))])
@@ -134,8 +152,9 @@ def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE) -> Data
     block ``--- Content from TITLE (URL) ---\\n\\nTEXT\\n\\n``.  Links whose
     target is not in the crawl are skipped (they still used up the cap)."""
     links = page_links(parsed, max_links).withColumn("_key", url_without_fragment(F.col("url")))
-    targets = parsed.select(url_without_fragment(F.col("url")).alias("_key"),
-                            F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
+    targets = parsed.where(is_html_type(F.col("content_type"))).select(
+        url_without_fragment(F.col("url")).alias("_key"),
+        F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
     joined = links.join(targets, "_key")
     block = F.concat(F.lit("--- Content from "), F.col("_t_title"), F.lit(" ("), F.col("url"),
                      F.lit(") ---\n\n"), F.col("_t_text"), F.lit("\n\n"))
@@ -174,11 +193,19 @@ def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
     """S9 + K3: one receipt per requested URL.  URLs found in the crawl are
     extracted, placeholder-filled and chunked (success rows with the md5
     document id and chunk count); the rest become error rows."""
-    content = pages_with_links(parsed, max_links, follow_links, materialized)
+    if not materialized:
+        parsed = materialize(parsed)
+    content = pages_with_links(parsed.where(content_kind(F.col("content_type")) == "html"),
+                               max_links, follow_links, materialized=True)
     text = empty_placeholder(F.col("text"), F.col("url"), kind="url")
     ok = content.select("url", F.size(chunk_text(text, chunk_size, sep)).cast("bigint").alias("_n"))
-    j = urls.select("url").join(ok, "url", "left")
+    pdf_urls = parsed.where(content_kind(F.col("content_type")) == "pdf").select(
+        "url", F.lit(True).alias("_pdf"))
+    j = urls.select("url").join(ok, "url", "left").join(pdf_urls, "url", "left")
     found = F.col("_n").isNotNull()
+    missing = F.concat(F.lit("Failed to fetch content from "), F.col("url"), F.lit(": not in the crawl table"))
+    no_pdf = F.concat(F.lit("Failed to process PDF content from "), F.col("url"),
+                      F.lit(": no PDF extractor is available"))
     return j.select(
         "url",
         F.when(found, F.lit("success")).otherwise(F.lit("error")).alias("status"),
@@ -186,6 +213,5 @@ def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
         F.when(found, F.lit("html")).alias("content_type"),
         F.when(found, F.lit(collection)).alias("collection"),
         F.col("_n").alias("chunks"),
-        F.when(~found, F.concat(F.lit("Failed to fetch content from "), F.col("url"),
-                                F.lit(": not in the crawl table"))).alias("error"),
+        F.when(~found, F.when(F.col("_pdf"), no_pdf).otherwise(missing)).alias("error"),
     )

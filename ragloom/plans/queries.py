@@ -367,6 +367,19 @@ def clear_folders(spark, sf):
     return registry.clear_folders(D.users(spark, sf), D.page_requests(spark, sf))
 
 
+@query
+def clear_all_user_data(spark, sf):
+    """A user's chunks (K8) and folders (K10) are cleared; True only when
+    both succeed.  Requests: every user named by a crawled page URL."""
+    from ..operators import registry, store
+    users = D.users(spark, sf)
+    req = D.page_requests(spark, sf).select("username").distinct()
+    k8 = store.clear_collections(
+        D.store_chunks(spark, sf, include_web=False),
+        req.select(F.concat(F.lit("user_"), "username", F.lit("_docs")).alias("collection")))
+    return registry.clear_all(users, k8, req)
+
+
 # ------------------------------------------------------------------ chat
 def _scoped(spark, sf):
     return retrieval.scoped_context(D.store_chunks(spark, sf, include_web=False), D.chat_questions(spark, sf),

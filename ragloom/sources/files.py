@@ -38,6 +38,13 @@ def register_extractor(ext: str, fn: Callable[[bytes], str]) -> None:
     _EXTRACTORS[ext.lower() if ext.startswith(".") else "." + ext.lower()] = fn
 
 
+def register_element_extractor(ext: str, fn: Callable[[bytes], list], sep: str = "\n") -> None:
+    """An extractor that yields document elements; their strings are
+    joined with ``sep`` (a newline on ingest, a blank line in the utility
+    path)."""
+    register_extractor(ext, lambda b: sep.join(str(el) for el in fn(b)))
+
+
 def clear_extractors() -> None:
     _EXTRACTORS.clear()
 

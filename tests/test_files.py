@@ -65,3 +65,14 @@ def test_strict_mode_and_registered_extractor(spark, tmpdir_path):
     assert ex["y.up"].text == "SHOUT"
     assert ex["x.weird"].extract_status.startswith("Unsupported file format")
     assert ex["bad.json"].extract_status.startswith("JSONDecodeError")
+
+
+def test_element_extractor_joins_elements(spark, tmpdir_path):
+    from ragloom.sources.files import register_element_extractor
+    _write(tmpdir_path, "a.parts", b"one|two|three")
+    register_element_extractor(".parts", lambda b: b.decode().split("|"), sep="\n\n")
+    try:
+        ex = extract_files(read_files(spark, tmpdir_path)).first()
+    finally:
+        clear_extractors()
+    assert ex.text == "one\n\ntwo\n\nthree"

@@ -101,3 +101,21 @@ def test_url_batch_receipts(spark):
     assert got["http://h.example.com/e"].chunks == 1  # placeholder text
     assert got["http://nowhere.example.com/"].status == "error"
     assert F is not None
+
+
+def test_content_type_dispatch(spark):
+    rows = [(1, "http://h.example.com/a", "<title>A</title><a href='/doc.pdf'>The pdf document</a>"
+                                          "<a href='/b'>Page bee link</a>", "text/html; charset=utf-8"),
+            (2, "http://h.example.com/doc.pdf", "%PDF-1.4", "application/pdf"),
+            (3, "http://h.example.com/b", "<title>B</title><p>bee</p>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, content_type string")
+    parsed = web.parsed_pages(pages)
+    a = {r.page_id: r for r in web.pages_with_links(parsed).collect()}[1]
+    assert a.linked_pages_count == 1 and "Content from B" in a.text  # the PDF target is skipped
+    urls = pages.select("url")
+    got = {r.url: r for r in web.url_batch(urls, parsed).collect()}
+    assert got["http://h.example.com/doc.pdf"].status == "error"
+    assert "PDF" in got["http://h.example.com/doc.pdf"].error
+    assert got["http://h.example.com/b"].status == "success"
+    meta = {r.page_id: r.content_type for r in web.page_metadata(parsed).collect()}
+    assert meta == {1: "html", 2: "pdf", 3: "html"}
