@@ -28,9 +28,17 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("source_type", T.StringType()),
     T.StructField("content_type", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.DoubleType())),
 ])
 
 
+def conform(df: DataFrame) -> DataFrame:
+    """Columns of the chunk table in order; absent ones (e.g. ``embedding``
+    before the embed step) become typed nulls."""
+    return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns
+                       else F.lit(None).cast(f.dataType).alias(f.name) for f in CHUNK_SCHEMA.fields])
+
+
 def first_write_wins(batch: DataFrame, order_col: str = "ingest_seq") -> DataFrame:
     """One row per (collection, chunk_id): the one with the lowest
     ``order_col``.  ``min_by`` is a partial + final aggregate, so a key with
@@ -141,7 +149,9 @@ class ChunkStore:
     def add(self, new: DataFrame) -> int:
         """K1: insert-if-absent; returns the number of rows added."""
         before = self.read()
-        after = add_if_absent(before, new.select(*[c for c in new.columns]))
+        extra = [c for c in new.columns if c == "ingest_seq"]
+        after = add_if_absent(before, conform(new).select("*", *[new[c] for c in extra])
+                              if extra else conform(new))
         target = self._commit(after)
         return self.spark.read.parquet(target).count() - before.count()
 

@@ -27,24 +27,45 @@ from ..sources.files import BINARY_FILE_SCHEMA, chunk_files, extract_files
 QUESTION_SCHEMA = "query_id string, username string, folder_name string, document_name string, query string"
 
 
+def ingest_files(files: DataFrame, store: ChunkStore, collection: str = "default",
+                 metadata: dict | None = None, provider=None, dim: int = 768,
+                 input_cap: int | None = None) -> DataFrame:
+    """Path A as one batch job: extract -> chunk -> (embed) -> insert-if-absent.
+    Returns the per-file receipts.  The extracted files are persisted so the
+    embedding provider sees each chunk once."""
+    from ..operators.embedding import embed
+    from ..sources.files import ingest_receipts
+
+    extracted = extract_files(files).persist()
+    try:
+        chunks = chunk_files(extracted, collection, metadata)
+        if provider is not None:
+            chunks = embed(chunks, provider, dim=dim, input_cap=input_cap)
+        store.add(chunks)
+        receipts = ingest_receipts(extracted, chunk_files(extracted, collection, metadata))
+        receipts = receipts.cache()
+        receipts.count()
+        return receipts
+    finally:
+        extracted.unpersist()
+
+
 def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore,
                       collection: str = "default", metadata: dict | None = None,
                       checkpoint: str | None = None, available_now: bool = True,
-                      glob: str | None = None, receipts_path: str | None = None) -> StreamingQuery:
+                      glob: str | None = None, receipts_path: str | None = None,
+                      provider=None, dim: int = 768) -> StreamingQuery:
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.option("recursiveFileLookup", "true").load(source_dir)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        extracted = extract_files(batch).persist()
-        try:
-            store.add(chunk_files(extracted, collection, metadata))
-            if receipts_path:
-                (extracted.select("path", "extract_status", F.lit(epoch_id).alias("epoch"))
-                 .write.mode("overwrite").parquet(f"{receipts_path}/epoch={epoch_id}"))
-        finally:
-            extracted.unpersist()
+        receipts = ingest_files(batch, store, collection, metadata, provider, dim)
+        if receipts_path:
+            (receipts.withColumn("epoch", F.lit(epoch_id))
+             .write.mode("overwrite").parquet(f"{receipts_path}/epoch={epoch_id}"))
+        receipts.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option(
         "checkpointLocation", checkpoint or scratch_path(spark, "ingest-ckpt"))

@@ -44,3 +44,28 @@ def test_file_stream_replay_and_restart(spark, tmpdir_path):
     got = {r.query_id: r for r in spark.read.parquet(out).collect()}
     assert got["q1"].prompt.startswith("one\n\ntwo\n\nthree\n\nfour\n\nAnswer concisely")
     assert got["q2"].response.startswith("⚠️ No relevant documents found in your documents")
+
+
+def test_batch_ingest_with_embeddings(spark, tmpdir_path):
+    import numpy as np
+
+    from ragloom.operators.embedding import hashing_provider
+    from ragloom.sources.files import read_files
+    from ragloom.streaming.ingest import ingest_files
+
+    src = os.path.join(tmpdir_path, "docs")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.txt"), "w") as f:
+        f.write("alpha beta\n\ngamma")
+    with open(os.path.join(src, "b.md"), "w") as f:
+        f.write("# delta")
+    st = ChunkStore(spark, scratch_path(spark, "ingest-store"))
+    rec = {os.path.basename(r.path): r for r in
+           ingest_files(read_files(spark, src), st, "user_e_docs", {"folder_name": "F"},
+                        provider=hashing_provider(16), dim=16).collect()}
+    assert rec["a.txt"].status == "success" and rec["a.txt"].chunks == 1
+    rows = st.read().collect()
+    assert {r.chunk_id for r in rows} == {"a_txt_doc_0", "b_md_doc_0"}
+    for r in rows:
+        assert len(r.embedding) == 16 and np.isclose(np.linalg.norm(r.embedding), 1.0)
+        assert r.folder_name == "F" and r.collection == "user_e_docs"
