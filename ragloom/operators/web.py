@@ -147,11 +147,17 @@ def page_metadata(parsed: DataFrame, caller: dict | None = None) -> DataFrame:
     )
 
 
-def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE) -> DataFrame:
+def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
+                   links: DataFrame | None = None) -> DataFrame:
     """For each of the first ``max_links`` kept links, the linked page's
     block ``--- Content from TITLE (URL) ---\\n\\nTEXT\\n\\n``.  Links whose
-    target is not in the crawl are skipped (they still used up the cap)."""
-    links = page_links(parsed, max_links).withColumn("_key", url_without_fragment(F.col("url")))
+    target is not in the crawl are skipped (they still used up the cap).
+    ``links`` (page_id, pos, url) replaces the links found in the pages."""
+    if links is None:
+        links = page_links(parsed, max_links)
+    else:
+        links = links.where(F.col("pos") < max_links)
+    links = links.withColumn("_key", url_without_fragment(F.col("url")))
     targets = parsed.where(is_html_type(F.col("content_type"))).select(
         url_without_fragment(F.col("url")).alias("_key"),
         F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
@@ -162,7 +168,8 @@ def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE) -> Data
 
 
 def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
-                     follow_links: bool = True, materialized: bool = False) -> DataFrame:
+                     follow_links: bool = True, materialized: bool = False,
+                     links: DataFrame | None = None) -> DataFrame:
     """Page text plus ``--- LINKED CONTENT ---`` and the linked blocks
     joined by a newline in link order; ``linked_pages_count`` counts pages
     (each page has at most ``max_links`` blocks)."""
@@ -172,7 +179,7 @@ def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
                              F.lit(0).cast("bigint").alias("linked_pages_count"))
     if not materialized:
         parsed = materialize(parsed)
-    blocks = (linked_content(parsed, max_links).groupBy("page_id")
+    blocks = (linked_content(parsed, max_links, links).groupBy("page_id")
               .agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_b")))
     j = parsed.join(blocks, "page_id", "left")
     has = F.col("_b").isNotNull() & (F.size("_b") > 0)
@@ -215,3 +222,20 @@ def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
         F.col("_n").alias("chunks"),
         F.when(~found, F.when(F.col("_pdf"), no_pdf).otherwise(missing)).alias("error"),
     )
+
+
+def host_successor_links(pages: DataFrame, max_links: int = MAX_LINKS_SINGLE) -> DataFrame:
+    """A derived edge list (page_id, pos, url): each page links to the next
+    ``max_links`` pages of the same host in page_id order.  Pages are ranked
+    per host with the distributed row number (a host holding most pages is
+    spread over many tasks) and each edge is an equi-join on (host, rank +
+    offset), so no window or group ever holds a whole host."""
+    from .ranking import distributed_row_number
+
+    hosts = pages.select("page_id", "url", url_netloc(F.col("url")).alias("host"))
+    ranked = distributed_row_number(hosts, ["host"], [F.col("page_id").asc()], out="host_rank")
+    offsets = F.explode(F.sequence(F.lit(1), F.lit(max_links))).alias("off")
+    src = ranked.select("page_id", "host", "host_rank", offsets)
+    dst = ranked.select("host", F.col("host_rank").alias("_dst_rank"), F.col("url"))
+    edges = src.join(dst, (src.host == dst.host) & (dst._dst_rank == src.host_rank + src.off))
+    return edges.select("page_id", (F.col("off") - 1).cast("bigint").alias("pos"), "url")

@@ -208,6 +208,30 @@ def page_with_links(spark, sf):
         "page_id", "text", "includes_linked_content", "linked_pages_count")
 
 
+def _sitemap(spark, sf):
+    from ..operators import web
+    from ..operators.partitioning import materialize
+    parsed = materialize(_parsed(spark, sf))
+    return parsed, web.host_successor_links(tables.pages(spark, sf))
+
+
+@query
+def sitemap_linked_content(spark, sf):
+    """J1 over the derived host-successor edges (no fixture link resolves)."""
+    from ..operators import web
+    parsed, links = _sitemap(spark, sf)
+    return web.linked_content(parsed, web.MAX_LINKS_SINGLE, links)
+
+
+@query
+def sitemap_page_with_links(spark, sf):
+    """J2 over the derived host-successor edges."""
+    from ..operators import web
+    parsed, links = _sitemap(spark, sf)
+    return web.pages_with_links(parsed, materialized=True, links=links).select(
+        "page_id", "text", "includes_linked_content", "linked_pages_count")
+
+
 @query
 def url_batch_status(spark, sf):
     """Batch request = every crawled URL plus every kept link URL."""
