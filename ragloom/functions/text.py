@@ -25,6 +25,12 @@ EMPTY_DOC_TEXT = "This document ({name}) appears to be empty or could not be pro
 EMPTY_URL_TEXT = "This URL ({name}) appears to be empty or could not be processed."
 
 
+def fill_template(template: str, name) -> Column:
+    """``template`` with ``{name}`` replaced by the column value."""
+    head, tail = template.split("{name}")
+    return F.concat(F.lit(head), col_of(name), F.lit(tail))
+
+
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -62,10 +68,8 @@ def empty_placeholder(text, name, kind: str = "file", ext=None) -> Column:
     t = col_of(text)
     n = col_of(name)
     if kind == "url":
-        return F.when(t.isNull() | (t == ""), F.concat(F.lit("This URL ("), n, F.lit(
-            ") appears to be empty or could not be processed."))).otherwise(t)
-    doc_msg = F.concat(F.lit("This document ("), n,
-                       F.lit(") appears to be empty or could not be processed."))
+        return F.when(t.isNull() | (t == ""), fill_template(EMPTY_URL_TEXT, n)).otherwise(t)
+    doc_msg = fill_template(EMPTY_DOC_TEXT, n)
     is_txt = F.lit(True) if ext is None else (col_of(ext) == F.lit("txt"))
     return (F.when(is_txt & t.isNotNull() & is_blank(t), F.lit(EMPTY_TXT_TEXT))
             .when(t.isNull() | (t == ""), doc_msg)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,12 +54,16 @@ def infer(df: DataFrame, fn: Callable[[list[str]], list[str]], input_col: str =
             pdf[out_col] = list(fn(pdf[input_col].tolist())) if len(pdf) else []
             yield pdf[["_k", out_col]]
 
+    if not dedupe:
+        def run_all(batches):
+            for pdf in batches:
+                pdf[out_col] = list(fn(pdf[input_col].tolist())) if len(pdf) else []
+                yield pdf
+        return df.mapInPandas(run_all, schema=T.StructType(
+            df.schema.fields + [T.StructField(out_col, T.StringType())]))
     schema = T.StructType([T.StructField("_k", T.StringType()),
                            T.StructField(out_col, T.StringType())])
     keyed = df.withColumn("_k", F.md5(F.col(input_col)))
-    if not dedupe:
-        src = keyed.select("_k", input_col)
-        return keyed.join(src.mapInPandas(run, schema=schema), "_k").drop("_k")
     distinct_inputs = keyed.select("_k", input_col).dropDuplicates(["_k"])
     outputs = distinct_inputs.mapInPandas(run, schema=schema)
     return keyed.join(outputs, "_k", "left").drop("_k")
@@ -69,7 +72,3 @@ def infer(df: DataFrame, fn: Callable[[list[str]], list[str]], input_col: str =
 def text_length_fn(texts: list[str]) -> list[str]:
     """Deterministic stand-in model used by the fixture query: output = length."""
     return [str(len(t)) for t in texts]
-
-
-def as_series(values) -> pd.Series:
-    return pd.Series(values)

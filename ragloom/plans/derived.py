@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collection_name
 from ..operators.chunking import CHUNK_SIZE, explode_chunks
-from ..operators.embedding import hash_dense, hash_sparse, hashed_vector
+from ..operators.embedding import hash_dense, hashed_vector
 from ..operators.partitioning import spread
 from ..sources import tables
 
@@ -70,12 +70,6 @@ def question_dense(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
     return hash_dense(questions(spark, sf_dir), "query_id", "query", dim)
 
 
-def chunk_terms(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
-    return hash_sparse(doc_chunks(spark, sf_dir), "chunk_id", "text", dim)
-
-
-def question_terms(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
-    return hash_sparse(questions(spark, sf_dir), "query_id", "query", dim)
 
 
 def page_chunks(spark, sf_dir) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import EMPTY_TXT_TEXT, col_of, is_blank, normalize_newlines
+from ..functions.text import (EMPTY_DOC_TEXT, EMPTY_TXT_TEXT, col_of, fill_template, is_blank,
+                              normalize_newlines)
 from ..operators.chunking import CHUNK_SIZE, PARAGRAPH_SEP, explode_chunks, file_key
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -144,8 +145,7 @@ def extract_files(files: DataFrame, strict: bool = False) -> DataFrame:
              .when((F.col("ext") == ".md") & ~valid_utf8, F.lit("UnicodeDecodeError: not UTF-8"))
              .when(~known & F.lit(strict), F.concat(F.lit("Unsupported file format: "), F.col("ext"))))
     f = f.withColumn("_text", text).withColumn("error", error)
-    placeholder = F.concat(F.lit("This document ("), F.col("name"),
-                           F.lit(") appears to be empty or could not be processed."))
+    placeholder = fill_template(EMPTY_DOC_TEXT, F.col("name"))
     final = F.when(F.col("error").isNull() & ((F.col("_text").isNull()) | (F.col("_text") == "")),
                    placeholder).otherwise(F.col("_text"))
     return f.select("path", "name", "ext",
