@@ -196,13 +196,13 @@ def sparse_scores(chunk_terms: DataFrame, question_terms: DataFrame,
                   chunk_key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
     """J4 as an inverted-index equi-join: dot products of unit-length hashed
     vectors through the shared buckets.  The question postings are bounded
-    (questions x buckets) and broadcast, so the chunk postings are not
-    shuffled and a hot bucket causes no skew.  Chunks sharing no bucket with
+    (questions x buckets) and broadcast after a size check, so the chunk
+    postings are not shuffled and a hot bucket causes no skew.  Chunks sharing no bucket with
     a question score 0 and are not emitted.  Every shared posting becomes a
     join row, so for large chunk sets prefer ``sparse_rank`` (same scores,
     computed per Arrow batch)."""
-    q = question_terms.select(query_key, "bucket", F.col("weight").alias("qw"))
-    joined = chunk_terms.join(F.broadcast(q), "bucket")
+    q = checked_broadcast(question_terms.select(query_key, "bucket", F.col("weight").alias("qw")))
+    joined = chunk_terms.join(q, "bucket")
     return (joined.groupBy(query_key, chunk_key)
             .agg(F.sum(F.col("weight") * F.col("qw")).alias("score")))
 
