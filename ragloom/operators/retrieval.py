@@ -29,6 +29,9 @@ from .ranking import checked_broadcast, distributed_row_number, topk_per_group
 MAX_QUESTION_BLOCK = 4096
 # Candidates kept per question before the exact re-score (beyond k).
 RESCORE_SLACK = 8
+# Doubles in one score block inside a Python worker (~32 MB): questions are
+# scored in sub-blocks so worker memory does not grow with the batch sizes.
+SCORE_CELLS = 4_000_000
 
 
 # ---------------------------------------------------------------- filters
@@ -95,6 +98,7 @@ def _exact_sq_l2(vecs: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col):
+    cells = SCORE_CELLS
     qn = np.einsum("ij,ij->i", qmat, qmat)
 
     def run(batches):
@@ -104,30 +108,34 @@ def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col):
                 continue
             vecs = _stack(pdf[vec_col])
             vn = np.einsum("ij,ij->i", vecs, vecs)
-            approx = vn[:, None] + qn[None, :] - 2.0 * (vecs @ qmat.T)
             ids = pdf[id_col].to_numpy(dtype="int64")
             colls = pdf[coll_col].astype(str).to_numpy()
             m = min(len(pdf), k + RESCORE_SLACK)
-            for j, q in enumerate(qids):
-                sim = np.maximum(0.0, 1.0 - approx[:, j])
-                order = np.lexsort((ids, approx[:, j], colls, -sim))[:m]
-                exact = _exact_sq_l2(vecs[order], qmat[j])
-                cand = pd.DataFrame({"query_id": q, "vec_id": ids[order],
-                                     "collection": colls[order], "distance": exact,
-                                     "similarity": np.maximum(0.0, 1.0 - exact)})
-                prev = best.get(q)
-                if prev is not None:
-                    cand = pd.concat([prev, cand], ignore_index=True)
-                cand = cand.sort_values(["similarity", "collection", "distance", "vec_id"],
-                                        ascending=[False, True, True, True]).head(k)
-                best[q] = cand
+            step = max(1, cells // len(pdf))  # score matrix of about `cells` doubles
+            for lo in range(0, len(qids), step):
+                approx = vn[:, None] + qn[None, lo:lo + step] - 2.0 * (vecs @ qmat[lo:lo + step].T)
+                for jj in range(approx.shape[1]):
+                    j, q = lo + jj, qids[lo + jj]
+                    sim = np.maximum(0.0, 1.0 - approx[:, jj])
+                    order = np.lexsort((ids, approx[:, jj], colls, -sim))[:m]
+                    exact = _exact_sq_l2(vecs[order], qmat[j])
+                    cand = pd.DataFrame({"query_id": q, "vec_id": ids[order],
+                                         "collection": colls[order], "distance": exact,
+                                         "similarity": np.maximum(0.0, 1.0 - exact)})
+                    prev = best.get(q)
+                    if prev is not None:
+                        cand = pd.concat([prev, cand], ignore_index=True)
+                    best[q] = cand.sort_values(["similarity", "collection", "distance", "vec_id"],
+                                               ascending=[False, True, True, True]).head(k)
         if best:
             yield pd.concat(best.values(), ignore_index=True)
 
     return run
 
 
-def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col, cells: int = 4_000_000):
+def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
+    cells = SCORE_CELLS
+
     def run(batches):
         for pdf in batches:
             if pdf.empty:
@@ -217,6 +225,8 @@ _SPARSE_OUT = T.StructType([
 
 
 def _sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text):
+    cells = SCORE_CELLS
+
     def keep(cand: pd.DataFrame) -> pd.DataFrame:
         # rank order inside the partition: score (9 places) desc, chunk_id asc
         cand = cand.assign(_k=-cand["score"].round(9)).sort_values(
@@ -255,16 +265,18 @@ def _sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text):
                 mat[np.repeat(np.arange(n), lens),
                     np.concatenate(pdf["buckets"].to_numpy()).astype("int64")] = \
                     np.concatenate(pdf["weights"].to_numpy())
-            scores = mat @ qmat.T
             ids = pdf["chunk_id"].to_numpy().astype(str)
             tl = pdf["text_len"].to_numpy(dtype="int64")
-            row, col = select(scores, ids, tl)
-            if not len(row):
-                continue
-            cand = pd.DataFrame({"query_id": qids[col], "chunk_id": ids[row], "score": scores[row, col],
-                                 "text_len": tl[row],
-                                 "text": pdf["text"].to_numpy()[row] if carry_text else None})
-            kept = keep(cand if kept is None else pd.concat([kept, cand], ignore_index=True))
+            step = max(1, cells // n)  # score matrix of about `cells` doubles
+            for lo in range(0, len(qids), step):
+                scores = mat @ qmat[lo:lo + step].T
+                row, col = select(scores, ids, tl)
+                if not len(row):
+                    continue
+                cand = pd.DataFrame({"query_id": qids[lo:lo + step][col], "chunk_id": ids[row],
+                                     "score": scores[row, col], "text_len": tl[row],
+                                     "text": pdf["text"].to_numpy()[row] if carry_text else None})
+                kept = keep(cand if kept is None else pd.concat([kept, cand], ignore_index=True))
         if kept is not None and len(kept):
             yield kept[["query_id", "chunk_id", "score", "text_len", "text"]]
     return run

@@ -96,3 +96,30 @@ def test_context_budget_prefix(spark):
     assert sorted(r.pos for r in kept.collect()) == [0, 1, 2]
     ctx = retrieval.ordered_concat(kept, ["query_id"], "_r").first().context
     assert ctx == "\n\n".join(["x" * 10] * 3)
+
+
+def test_scoring_in_small_sub_blocks(spark, monkeypatch):
+    vecs, qs, stored, questions = _data(spark, n=60, q=7)
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 25)  # one question per sub-block
+    got = retrieval.topk(stored, questions, 4).collect()
+    exp = _brute(vecs, qs, 4)
+    assert len(got) == 28
+    for r in got:
+        assert exp[r.query_id][r.rank - 1] == r.vec_id
+    pairs = retrieval.dense_scores(stored, questions, None).count()
+    assert pairs == 60 * 7
+    # sparse scoring: dense question block of width 3, chunks as (buckets, weights)
+    chunks = spark.createDataFrame(
+        [(f"c{i}", [i % 3], [1.0], 10, f"t{i:02d}".ljust(10, ".")) for i in range(12)],
+        "chunk_id string, buckets array<bigint>, weights array<double>, text_len bigint, text string")
+    qv = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 0.6, 0.8])], "query_id long, embedding array<double>")
+    top = retrieval.sparse_rank(chunks, qv, 3, k=2).collect()
+    by_q = {}
+    for r in top:
+        by_q.setdefault(r.query_id, set()).add(r.chunk_id)
+    assert by_q[1] <= {"c0", "c3", "c6", "c9"} and len(by_q[1]) >= 2
+    budgeted = retrieval.sparse_rank(chunks, qv, 3, budget=22, carry_text=True).collect()
+    kept = retrieval.context_budget(spark.createDataFrame(budgeted), [F.round(F.col("score"), 9).desc(),
+                                                                      F.col("chunk_id")], 22).collect()
+    # 10 + 2 + 10 = 22 fits, a third chunk does not; ties on score go by chunk_id
+    assert sorted((r.query_id, r.chunk_id) for r in kept) == [(1, "c0"), (1, "c3"), (2, "c11"), (2, "c2")]
