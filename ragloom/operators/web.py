@@ -148,11 +148,13 @@ def page_metadata(parsed: DataFrame, caller: dict | None = None) -> DataFrame:
 
 
 def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
-                   links: DataFrame | None = None) -> DataFrame:
+                   links: DataFrame | None = None, materialized: bool = False) -> DataFrame:
     """For each of the first ``max_links`` kept links, the linked page's
     block ``--- Content from TITLE (URL) ---\\n\\nTEXT\\n\\n``.  Links whose
     target is not in the crawl are skipped (they still used up the cap).
     ``links`` (page_id, pos, url) replaces the links found in the pages."""
+    if links is None and not materialized:
+        parsed = materialize(parsed)  # read by both sides of the join
     if links is None:
         links = page_links(parsed, max_links)
     else:
@@ -179,7 +181,7 @@ def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
                              F.lit(0).cast("bigint").alias("linked_pages_count"))
     if not materialized:
         parsed = materialize(parsed)
-    blocks = (linked_content(parsed, max_links, links).groupBy("page_id")
+    blocks = (linked_content(parsed, max_links, links, materialized=True).groupBy("page_id")
               .agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("_b")))
     j = parsed.join(blocks, "page_id", "left")
     has = F.col("_b").isNotNull() & (F.size("_b") > 0)
