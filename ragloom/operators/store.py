@@ -113,18 +113,25 @@ class ChunkStore:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[int]:
+    def _version_dirs(self, complete_only: bool) -> list[int]:
         fs, p = self._fs()
         if not fs.exists(p):
             return []
         out = []
         for st in fs.listStatus(p):
             name = st.getPath().getName()
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(
+            if not (name.startswith("v") and name[1:].isdigit()):
+                continue
+            if complete_only and not fs.exists(
                     self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[1:]))
+                continue
+            out.append(int(name[1:]))
         return sorted(out)
 
+    def versions(self) -> list[int]:
+        """Committed versions (their write finished with ``_SUCCESS``)."""
+        return self._version_dirs(complete_only=True)
+
     def current_path(self) -> str | None:
         v = self.versions()
         return f"{self.path}/v{v[-1]:06d}" if v else None
@@ -137,7 +144,9 @@ class ChunkStore:
         return self.spark.read.schema(CHUNK_SCHEMA).parquet(cur)
 
     def _commit(self, df: DataFrame) -> str:
-        v = self.versions()
+        # number past every folder, so a write that died half way (no
+        # _SUCCESS, never read) is skipped rather than reused
+        v = self._version_dirs(complete_only=False)
         target = f"{self.path}/v{(v[-1] + 1 if v else 1):06d}"
         (df.select(*[f.name for f in CHUNK_SCHEMA.fields])
          # Range partitioning keeps a collection's rows together yet spreads a

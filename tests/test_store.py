@@ -79,3 +79,16 @@ def test_registry_flows(spark):
     both = {r.username: r.status for r in registry.clear_all(users, k8, users.select("username")).collect()}
     assert both == {"en": True, "fr": False}
     assert F is not None
+
+
+def test_failed_version_is_skipped(spark):
+    import os
+
+    path = scratch_path(spark, "store-fail")
+    st = store.ChunkStore(spark, path)
+    st.add(spark.createDataFrame(_rows("c", "x", 2), COLS))
+    local = path.replace("file:", "")
+    os.makedirs(os.path.join(local, "v000002"))  # a write that died before _SUCCESS
+    assert st.versions() == [1]
+    st.add(spark.createDataFrame(_rows("c", "y", 1), COLS))
+    assert st.versions() == [1, 3] and st.read().count() == 3
