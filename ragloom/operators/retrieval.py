@@ -1,19 +1,20 @@
 """F1-F4 filters, J3-J6 question-to-chunk retrieval, R1-R6 ranking.
 
 Dense retrieval (J3) is a map-side job, not a join: the question batch is a
-size-checked block shipped to every task, each Arrow batch of stored vectors
-is scored against it with one matrix product, and only each partition's
-running top-k per question leaves the task (``topk``).  Results that keep
-every pair (``rank_all``) stream all scores out of the same map side and are
-numbered with ``distributed_row_number``.
-
-Sparse retrieval (J4) is an inverted-index equi-join on the hash bucket.
+size-checked block shipped to every task (inside the task closure, which
+PySpark broadcasts once it is large), each Arrow batch of stored vectors is
+scored against it with one matrix product, and only each partition's running
+top-k per question leaves the task (``topk``).  Results that keep every pair
+(``rank_all``) stream all scores out of the same map side and are numbered
+with ``distributed_row_number``.
+
+Sparse retrieval (J4) scores hashed chunk vectors the same way
+(``sparse_rank``); the inverted-index equi-join on the hash bucket
+(``sparse_scores``) gives the same scores through a join.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

@@ -1,5 +1,4 @@
 import random
-import sys
 
 from pyspark.sql import functions as F
 
