@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_training_text, pair_parts
+from .partitioning import spread
 
 PAIR_MARK = " || "
 
@@ -19,8 +20,10 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 
 
 def clean_distinct(examples: DataFrame, text_col: str = "text") -> DataFrame:
-    """X17 + A3: strip, newlines to spaces, distinct (order not kept)."""
-    return examples.select(clean_training_text(F.col(text_col)).alias("text")).distinct()
+    """X17 + A3: strip, newlines to spaces, distinct (order not kept).  The
+    distinct is a partial + final aggregate, so copies of one text are
+    collapsed map-side before the shuffle."""
+    return spread(examples).select(clean_training_text(F.col(text_col)).alias("text")).distinct()
 
 
 def split_pairs(examples: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
