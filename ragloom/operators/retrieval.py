@@ -93,12 +93,17 @@ _OUT = T.StructType([
 ])
 
 
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
 def _exact_sq_l2(vecs: np.ndarray, q: np.ndarray) -> np.ndarray:
     d = vecs - q
     return np.einsum("ij,ij->i", d, d)
 
 
-def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col):
+def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col, scale=1.0, unit=False):
     cells = SCORE_CELLS
     qn = np.einsum("ij,ij->i", qmat, qmat)
 
@@ -108,18 +113,20 @@ def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col):
             if pdf.empty:
                 continue
             vecs = _stack(pdf[vec_col])
+            if unit:
+                vecs = _unit_rows(vecs)
             vn = np.einsum("ij,ij->i", vecs, vecs)
             ids = pdf[id_col].to_numpy(dtype="int64")
             colls = pdf[coll_col].astype(str).to_numpy()
             m = min(len(pdf), k + RESCORE_SLACK)
             step = max(1, cells // len(pdf))  # score matrix of about `cells` doubles
             for lo in range(0, len(qids), step):
-                approx = vn[:, None] + qn[None, lo:lo + step] - 2.0 * (vecs @ qmat[lo:lo + step].T)
+                approx = scale * (vn[:, None] + qn[None, lo:lo + step] - 2.0 * (vecs @ qmat[lo:lo + step].T))
                 for jj in range(approx.shape[1]):
                     j, q = lo + jj, qids[lo + jj]
                     sim = np.maximum(0.0, 1.0 - approx[:, jj])
                     order = np.lexsort((ids, approx[:, jj], colls, -sim))[:m]
-                    exact = _exact_sq_l2(vecs[order], qmat[j])
+                    exact = scale * _exact_sq_l2(vecs[order], qmat[j])
                     cand = pd.DataFrame({"query_id": q, "vec_id": ids[order],
                                          "collection": colls[order], "distance": exact,
                                          "similarity": np.maximum(0.0, 1.0 - exact)})
@@ -134,7 +141,7 @@ def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col):
     return run
 
 
-def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
+def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col, scale=1.0, unit=False):
     cells = SCORE_CELLS
 
     def run(batches):
@@ -142,6 +149,8 @@ def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
             if pdf.empty:
                 continue
             vecs = _stack(pdf[vec_col])
+            if unit:
+                vecs = _unit_rows(vecs)
             ids = pdf[id_col].to_numpy(dtype="int64")
             colls = pdf[coll_col].astype(str).to_numpy()
             n = len(ids)
@@ -150,7 +159,7 @@ def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
             for lo in range(0, len(qids), qblock):
                 qb = qmat[lo:lo + qblock]
                 diff = vecs[:, None, :] - qb[None, :, :]
-                d = np.einsum("ijk,ijk->ji", diff, diff).ravel()
+                d = scale * np.einsum("ijk,ijk->ji", diff, diff).ravel()
                 yield pd.DataFrame({"query_id": np.repeat(qids[lo:lo + qblock], n),
                                     "vec_id": np.tile(ids, len(qb)),
                                     "collection": np.tile(colls, len(qb)),
@@ -161,18 +170,26 @@ def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col):
 def dense_scores(stored: DataFrame, questions: DataFrame, k: int | None,
                  id_col: str = "vec_id", coll_col: str = "collection",
                  vec_col: str = "embedding", qid: str = "query_id",
-                 qvec: str = "embedding") -> DataFrame:
-    """Score every stored vector against every question (squared L2, R1/R2).
+                 qvec: str = "embedding", metric: str = "l2") -> DataFrame:
+    """Score every stored vector against every question.
 
+    ``metric='l2'``: distance = squared L2 (the reference's store default).
+    ``metric='cosine'``: distance = 1 - cosine similarity (computed as half
+    the squared L2 of the unit vectors).  similarity = max(0, 1 - distance).
     ``k`` given: each task emits only its top-k per question (then a final
     bounded WindowGroupLimit is applied by ``topk``).  ``k=None``: all pairs.
     """
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    scale, unit = (0.5, True) if metric == "cosine" else (1.0, False)
     src = spread(stored.select(F.col(id_col).cast("bigint").alias(id_col),
                                F.col(coll_col).cast("string").alias(coll_col), vec_col))
     parts = []
     for qids, qmat in _question_blocks(questions, qid, qvec):
-        fn = (_topk_mapper(qids, qmat, k, id_col, coll_col, vec_col) if k is not None
-              else _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col))
+        if unit:
+            qmat = _unit_rows(qmat)
+        fn = (_topk_mapper(qids, qmat, k, id_col, coll_col, vec_col, scale, unit) if k is not None
+              else _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col, scale, unit))
         parts.append(src.mapInPandas(fn, schema=_OUT))
     if not parts:
         return stored.sparkSession.createDataFrame([], _OUT)

@@ -58,6 +58,16 @@ def add_if_absent(existing: DataFrame, new: DataFrame, order_col: str = "ingest_
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+def replace_documents(existing: DataFrame, new: DataFrame, order_col: str = "ingest_seq") -> DataFrame:
+    """Q10 ``replace``: every stored chunk of a (collection, doc_key) present
+    in ``new`` is dropped first, so a shorter re-ingest leaves no stale tail
+    chunks; then the new chunks are added (first write wins inside the batch)."""
+    docs = new.select("collection", "doc_key").distinct()
+    kept = existing.join(docs, ["collection", "doc_key"], "left_anti")
+    fresh = first_write_wins(new, order_col)
+    return kept.unionByName(fresh.select(*existing.columns))
+
+
 def delete_by_ids(existing: DataFrame, ids: DataFrame) -> DataFrame:
     """K9: remove exactly the listed (collection, chunk_id) rows."""
     ids = ids.select(*KEYS).distinct()
@@ -155,12 +165,13 @@ class ChunkStore:
          .write.mode("error").partitionBy("collection").parquet(target))
         return target
 
-    def add(self, new: DataFrame) -> int:
-        """K1: insert-if-absent; returns the number of rows added."""
+    def add(self, new: DataFrame, replace: bool = False) -> int:
+        """K1: insert-if-absent (or, with ``replace``, drop the documents'
+        old chunks first); returns the change in the row count."""
         before = self.read()
         extra = [c for c in new.columns if c == "ingest_seq"]
-        after = add_if_absent(before, conform(new).select("*", *[new[c] for c in extra])
-                              if extra else conform(new))
+        batch = conform(new).select("*", *[new[c] for c in extra]) if extra else conform(new)
+        after = replace_documents(before, batch) if replace else add_if_absent(before, batch)
         target = self._commit(after)
         return self.spark.read.parquet(target).count() - before.count()
 

@@ -123,3 +123,20 @@ def test_scoring_in_small_sub_blocks(spark, monkeypatch):
                                                                       F.col("chunk_id")], 22).collect()
     # 10 + 2 + 10 = 22 fits, a third chunk does not; ties on score go by chunk_id
     assert sorted((r.query_id, r.chunk_id) for r in kept) == [(1, "c0"), (1, "c3"), (2, "c11"), (2, "c2")]
+
+
+def test_cosine_metric(spark):
+    rnd = np.random.default_rng(5)
+    vecs = rnd.normal(size=(80, 8)) * rnd.uniform(0.5, 3, size=(80, 1))  # not unit length
+    qs = rnd.normal(size=(3, 8))
+    stored = spark.createDataFrame([(i, "c", vecs[i].tolist()) for i in range(80)],
+                                   "vec_id long, collection string, embedding array<double>")
+    questions = spark.createDataFrame([(j, qs[j].tolist()) for j in range(3)],
+                                      "query_id long, embedding array<double>")
+    got = retrieval.topk(stored, questions, 4, metric="cosine").collect()
+    for r in got:
+        q = qs[r.query_id]
+        cos = vecs @ q / (np.linalg.norm(vecs, axis=1) * np.linalg.norm(q))
+        order = sorted(range(80), key=lambda i: (-max(0.0, cos[i]), "c", 1 - cos[i], i))
+        assert order[r.rank - 1] == r.vec_id
+        assert np.isclose(r.distance, 1 - cos[r.vec_id]) and np.isclose(r.similarity, max(0, cos[r.vec_id]))

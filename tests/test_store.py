@@ -89,3 +89,11 @@ def test_failed_version_is_skipped(spark):
     assert st.versions() == [1]
     st.add(spark.createDataFrame(_rows("c", "y", 1), COLS))
     assert st.versions() == [1, 3] and st.read().count() == 3
+
+
+def test_replace_drops_stale_tail_chunks(spark):
+    st = store.ChunkStore(spark, scratch_path(spark, "store-replace"))
+    st.add(spark.createDataFrame(_rows("c", "x", 4) + _rows("c", "y", 1), COLS))
+    st.add(spark.createDataFrame(_rows("c", "x", 2, "v2"), COLS), replace=True)
+    got = {r.chunk_id: r.text for r in st.read().collect()}
+    assert got == {"x_doc_0": "v2-x-0", "x_doc_1": "v2-x-1", "y_doc_0": "v1-y-0"}
