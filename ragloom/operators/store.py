@@ -111,78 +111,169 @@ def inventory(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """Versioned, collection-partitioned chunk table on shared storage."""
+    """Versioned, collection-partitioned chunk table on shared storage.
+
+    Layout under ``path``:
+
+    * ``data/bNNNNNN/collection=.../part-*.parquet`` - immutable batch folders
+    * ``_versions/vNNNNNN.json`` - a manifest per version: one JSON line per
+      batch folder, with the collections hidden from it
+
+    A version becomes visible only when its manifest is written, after its
+    data folder is complete, so readers never see a partial write and a
+    version being read is never changed.  Inserts write only the new rows;
+    clearing a collection writes only a manifest; deletes and replacements
+    rewrite only the collections they touch; ``compact`` merges folders.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    # version bookkeeping through the Hadoop FileSystem of the path
+    # ------------------------------------------------------------ manifests
+    def _jpath(self, p: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(p)
+
     def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        p = self._jpath(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _version_dirs(self, complete_only: bool) -> list[int]:
-        fs, p = self._fs()
-        if not fs.exists(p):
+    def _numbers(self, sub: str, prefix: str) -> list[int]:
+        fs, _ = self._fs()
+        d = self._jpath(f"{self.path}/{sub}")
+        if not fs.exists(d):
             return []
         out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if not (name.startswith("v") and name[1:].isdigit()):
-                continue
-            if complete_only and not fs.exists(
-                    self.spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                continue
-            out.append(int(name[1:]))
+        for st in fs.listStatus(d):
+            name = st.getPath().getName().split(".")[0]
+            if name.startswith(prefix) and name[1:].isdigit():
+                out.append(int(name[1:]))
         return sorted(out)
 
     def versions(self) -> list[int]:
-        """Committed versions (their write finished with ``_SUCCESS``)."""
-        return self._version_dirs(complete_only=True)
+        """Committed versions (manifests written after complete data)."""
+        return self._numbers("_versions", "v")
 
-    def current_path(self) -> str | None:
-        v = self.versions()
-        return f"{self.path}/v{v[-1]:06d}" if v else None
+    def _manifest(self, version: int | None = None) -> list[dict]:
+        import json
 
-    def read(self) -> DataFrame:
-        """K2: a missing table reads as an empty DataFrame with the schema."""
-        cur = self.current_path()
-        if cur is None:
-            return self.spark.createDataFrame([], CHUNK_SCHEMA)
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(cur)
-
-    def _commit(self, df: DataFrame) -> str:
-        # number past every folder, so a write that died half way (no
-        # _SUCCESS, never read) is skipped rather than reused
-        v = self._version_dirs(complete_only=False)
-        target = f"{self.path}/v{(v[-1] + 1 if v else 1):06d}"
-        (df.select(*[f.name for f in CHUNK_SCHEMA.fields])
-         # Range partitioning keeps a collection's rows together yet spreads a
-         # very large collection over several writer tasks.
+        v = self.versions()
+        if not v:
+            return []
+        n = v[-1] if version is None else version
+        fs, _ = self._fs()
+        stream = fs.open(self._jpath(f"{self.path}/_versions/v{n:06d}.json"))
+        try:
+            reader = self.spark._jvm.java.io.BufferedReader(
+                self.spark._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            lines = []
+            line = reader.readLine()
+            while line is not None:
+                if line.strip():
+                    lines.append(json.loads(line))
+                line = reader.readLine()
+            return lines
+        finally:
+            stream.close()
+
+    def _next_number(self) -> int:
+        used = self.versions() + self._numbers("data", "b")
+        return (max(used) + 1) if used else 1
+
+    def _publish(self, n: int, entries: list[dict]) -> None:
+        import json
+
+        fs, _ = self._fs()
+        body = "".join(json.dumps(e, sort_keys=True) + "\n" for e in entries)
+        tmp = self._jpath(f"{self.path}/_versions/.v{n:06d}.json.tmp")
+        out = fs.create(tmp, False)
+        try:
+            out.write(bytearray(body.encode("utf-8")))
+        finally:
+            out.close()
+        if not fs.rename(tmp, self._jpath(f"{self.path}/_versions/v{n:06d}.json")):
+            raise RuntimeError(f"version {n} was published concurrently")
+
+    def _write_batch(self, df: DataFrame, n: int) -> str:
+        folder = f"b{n:06d}"
+        (conform(df)
+         # range partitioning keeps a collection's rows together yet spreads a
+         # very large collection over several writer tasks
          .repartitionByRange("collection", "doc_key", "chunk_index")
-         .write.mode("error").partitionBy("collection").parquet(target))
-        return target
+         .write.mode("error").partitionBy("collection").parquet(f"{self.path}/data/{folder}"))
+        return folder
+
+    # ------------------------------------------------------------ reads
+    def _read_entries(self, entries: list[dict]) -> DataFrame:
+        parts = []
+        for e in entries:
+            df = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/data/{e['folder']}")
+            if e.get("excluded"):
+                df = df.where(~F.col("collection").isin(*e["excluded"]))
+            parts.append(df.select(*[f.name for f in CHUNK_SCHEMA.fields]))
+        if not parts:
+            return self.spark.createDataFrame([], CHUNK_SCHEMA)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
+    def read(self, version: int | None = None) -> DataFrame:
+        """K2: the chunk table at a version (latest by default); a missing
+        table reads as an empty DataFrame with the schema."""
+        return self._read_entries(self._manifest(version))
+
+    # ------------------------------------------------------------ writes
     def add(self, new: DataFrame, replace: bool = False) -> int:
-        """K1: insert-if-absent (or, with ``replace``, drop the documents'
-        old chunks first); returns the change in the row count."""
-        before = self.read()
+        """K1 insert-if-absent: only rows whose (collection, chunk_id) is not
+        stored are written, as a new batch folder.  With ``replace`` the
+        stored chunks of the incoming documents are dropped first (only the
+        collections of the batch are rewritten).  Returns the rows written."""
+        entries = self._manifest()
+        current = self._read_entries(entries)
         extra = [c for c in new.columns if c == "ingest_seq"]
         batch = conform(new).select("*", *[new[c] for c in extra]) if extra else conform(new)
-        after = replace_documents(before, batch) if replace else add_if_absent(before, batch)
-        target = self._commit(after)
-        return self.spark.read.parquet(target).count() - before.count()
+        n = self._next_number()
+        if replace:
+            touched = [r[0] for r in batch.select("collection").distinct().collect()]
+            rows = replace_documents(current.where(F.col("collection").isin(*touched)), batch)
+            folder = self._write_batch(rows, n)
+            entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched)))
+                       for e in entries]
+        else:
+            fresh = first_write_wins(batch).join(current.select(*KEYS), KEYS, "left_anti")
+            folder = self._write_batch(fresh, n)
+        written = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/data/{folder}").count()
+        if written or replace:
+            self._publish(n, entries + [{"folder": folder, "excluded": []}])
+        return written
 
     def delete_ids(self, ids: DataFrame) -> None:
-        self._commit(delete_by_ids(self.read(), ids))
+        """K9: rewrite only the collections that hold listed ids."""
+        ids = ids.select(*KEYS).distinct()
+        touched = [r[0] for r in ids.select("collection").distinct().collect()]
+        entries = self._manifest()
+        current = self._read_entries(entries).where(F.col("collection").isin(*touched))
+        n = self._next_number()
+        folder = self._write_batch(delete_by_ids(current, ids), n)
+        entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched))) for e in entries]
+        self._publish(n, entries + [{"folder": folder, "excluded": []}])
 
     def clear(self, collections: list[str]) -> DataFrame:
-        """K8: result rows, then the collections' chunks are dropped."""
+        """K8: result rows, then a new version that hides the collections
+        (no data is rewritten)."""
         cur = self.read()
         req = self.spark.createDataFrame([(c,) for c in collections], "collection string")
         result = clear_collections(cur, req).cache()
         result.count()
-        self._commit(remaining_after_clear(cur, collections))
+        entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(collections)))
+                   for e in self._manifest()]
+        self._publish(self._next_number(), entries)
         return result
+
+    def compact(self) -> None:
+        """Merge every visible row into one batch folder (drops hidden data
+        from the current version; older versions keep their folders)."""
+        n = self._next_number()
+        folder = self._write_batch(self.read(), n)
+        self._publish(n, [{"folder": folder, "excluded": []}])

@@ -38,7 +38,10 @@ def test_chunk_store_replay_delete_clear(spark):
     assert res["user_b_docs"].status and res["user_b_docs"].deleted == 2
     assert not res["user_zz_docs"].status and not res["user_zz_docs"].existed
     assert sorted(r.chunk_id for r in st.read().collect()) == ["x_doc_0", "x_doc_2"]
-    assert len(st.versions()) == 4
+    assert len(st.versions()) == 3  # the replay published nothing
+    assert st.read(st.versions()[0]).count() == 5  # older versions stay readable
+    st.compact()
+    assert sorted(r.chunk_id for r in st.read().collect()) == ["x_doc_0", "x_doc_2"]
 
 
 def test_scope_filter_prunes_partitions(spark):
@@ -85,12 +88,22 @@ def test_failed_version_is_skipped(spark):
     st = store.ChunkStore(spark, path)
     st.add(spark.createDataFrame(_rows("c", "x", 2), COLS))
     local = path.replace("file:", "")
-    os.makedirs(os.path.join(local, "v000002"))  # a write that died before _SUCCESS
+    os.makedirs(os.path.join(local, "data", "b000002"))  # a write that died: no manifest
     assert st.versions() == [1]
-    st.add(spark.createDataFrame(_rows("c", "y", 1), COLS))
+    assert st.add(spark.createDataFrame(_rows("c", "y", 1), COLS)) == 1
     assert st.versions() == [1, 3] and st.read().count() == 3
 
 
+def test_add_writes_only_new_rows(spark):
+    path = scratch_path(spark, "store-append")
+    st = store.ChunkStore(spark, path)
+    st.add(spark.createDataFrame(_rows("c", "x", 3), COLS))
+    assert st.add(spark.createDataFrame(_rows("c", "x", 4), COLS)) == 1  # only x_doc_3 is new
+    m = st._manifest()
+    assert [e["folder"] for e in m] == ["b000001", "b000002"]
+    assert spark.read.parquet(f"{path}/data/b000002").count() == 1
+
+
 def test_replace_drops_stale_tail_chunks(spark):
     st = store.ChunkStore(spark, scratch_path(spark, "store-replace"))
     st.add(spark.createDataFrame(_rows("c", "x", 4) + _rows("c", "y", 1), COLS))
