@@ -82,15 +82,21 @@ def _json_pretty(b: bytes) -> str:
 
 
 def _xml_text(b: bytes) -> str:
+    """Each element renders as its own stripped text and its children's
+    renderings joined by single spaces, then stripped; tail text is not
+    used.  Computed bottom-up with an explicit stack (no recursion limit)."""
     root = ET.fromstring(b)
-
-    def walk(el):
-        text = el.text.strip() if el.text else ""
-        for child in el:
-            text += " " + walk(child)
-        return text.strip()
-
-    return walk(root)
+    rendered: dict[int, str] = {}
+    stack = [(root, False)]
+    while stack:
+        el, children_done = stack.pop()
+        if children_done:
+            pieces = [(el.text or "").strip()] + [rendered.pop(id(c)) for c in el]
+            rendered[id(el)] = " ".join(pieces).strip()
+        else:
+            stack.append((el, True))
+            stack.extend((c, False) for c in el)
+    return rendered[id(root)]
 
 
 _EXTRACTED = T.StructType([T.StructField("text", T.StringType()),
