@@ -54,8 +54,13 @@ def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore,
                       collection: str = "default", metadata: dict | None = None,
                       checkpoint: str | None = None, available_now: bool = True,
                       glob: str | None = None, receipts_path: str | None = None,
-                      provider=None, dim: int = 768) -> StreamingQuery:
-    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                      provider=None, dim: int = 768,
+                      max_files_per_trigger: int = 1000) -> StreamingQuery:
+    """T1 + T3: each micro-batch holds at most ``max_files_per_trigger`` new
+    files (a backlog becomes several bounded batches, also with
+    ``availableNow``) and goes through ``ingest_files``."""
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("maxFilesPerTrigger", max_files_per_trigger))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.option("recursiveFileLookup", "true").load(source_dir)
@@ -75,11 +80,15 @@ def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore,
 
 def start_question_stream(spark: SparkSession, source_dir: str, store: ChunkStore, out_path: str,
                           budget: int = 8000, checkpoint: str | None = None,
-                          available_now: bool = True) -> StreamingQuery:
+                          available_now: bool = True,
+                          max_files_per_trigger: int = 100) -> StreamingQuery:
+    """Question files -> scoped prompts against the current chunk table,
+    one ``epoch=N`` output folder per micro-batch."""
     from ..operators.prompts import chat_prompt, no_documents_message
     from ..operators.retrieval import scoped_context
 
-    stream = spark.readStream.schema(QUESTION_SCHEMA).json(source_dir)
+    stream = (spark.readStream.schema(QUESTION_SCHEMA)
+              .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         ctx = scoped_context(store.read(), batch, budget)
