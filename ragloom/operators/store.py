@@ -241,7 +241,11 @@ class ChunkStore:
             entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched)))
                        for e in entries]
         else:
-            fresh = first_write_wins(batch).join(current.select(*KEYS), KEYS, "left_anti")
+            # only the collections present in the batch are read for the
+            # anti-join (a semi-join on the partition column: pruned at scan)
+            stored_keys = current.select(*KEYS).join(
+                batch.select("collection").distinct(), "collection", "left_semi")
+            fresh = first_write_wins(batch).join(stored_keys, KEYS, "left_anti")
             folder = self._write_batch(fresh, n)
         written = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/data/{folder}").count()
         if written or replace:
