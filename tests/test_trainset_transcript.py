@@ -25,3 +25,12 @@ def test_transcript_export(spark, tmpdir_path):
     d = os.path.join(out, "conv_id=1")
     body = "".join(open(os.path.join(d, f)).read() for f in sorted(os.listdir(d)) if f.startswith("part-"))
     assert body == "H\n\nYou (turn 0):\nhi\n\nAI Assistant (turn 1):\nhello\n\n"
+
+
+def test_training_set_csv(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "dataset.csv")
+    with open(p, "w") as f:
+        f.write('text\n"Q1? || multi\nline answer"\n"plain row"\n"Q1? || multi line answer"\n')
+    ex = read_examples(spark, p, fmt="csv")
+    got = sorted(r.text for r in clean_distinct(ex).collect())
+    assert got == ["Q1? || multi line answer", "plain row"]
