@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from .ranking import BROADCAST_ROW_LIMIT
 
 KEYS = ["collection", "chunk_id"]
+# Largest number of collections one delete/replace names in a manifest; a
+# change touching more collections is written as a full compaction instead.
+MAX_TOUCHED_COLLECTIONS = 10_000
 
 CHUNK_SCHEMA = T.StructType([
     T.StructField("collection", T.StringType()),
@@ -235,11 +238,10 @@ class ChunkStore:
         batch = conform(new).select("*", *[new[c] for c in extra]) if extra else conform(new)
         n = self._next_number()
         if replace:
-            touched = [r[0] for r in batch.select("collection").distinct().collect()]
-            rows = replace_documents(current.where(F.col("collection").isin(*touched)), batch)
-            folder = self._write_batch(rows, n)
-            entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched)))
-                       for e in entries]
+            touched = self._touched(batch)
+            scope = current if touched is None else current.where(F.col("collection").isin(*touched))
+            folder = self._write_batch(replace_documents(scope, batch), n)
+            entries = self._hide(entries, touched)
         else:
             # only the collections present in the batch are read for the
             # anti-join (a semi-join on the partition column: pruned at scan)
@@ -255,13 +257,29 @@ class ChunkStore:
     def delete_ids(self, ids: DataFrame) -> None:
         """K9: rewrite only the collections that hold listed ids."""
         ids = ids.select(*KEYS).distinct()
-        touched = [r[0] for r in ids.select("collection").distinct().collect()]
+        touched = self._touched(ids)
         entries = self._manifest()
-        current = self._read_entries(entries).where(F.col("collection").isin(*touched))
+        current = self._read_entries(entries)
+        if touched is not None:
+            current = current.where(F.col("collection").isin(*touched))
         n = self._next_number()
         folder = self._write_batch(delete_by_ids(current, ids), n)
-        entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched))) for e in entries]
-        self._publish(n, entries + [{"folder": folder, "excluded": []}])
+        self._publish(n, self._hide(entries, touched) + [{"folder": folder, "excluded": []}])
+
+    @staticmethod
+    def _touched(df: DataFrame) -> list[str] | None:
+        """Collections named by ``df`` (bounded fetch); None when there are
+        more than ``MAX_TOUCHED_COLLECTIONS`` - then the change rewrites all."""
+        rows = df.select("collection").distinct().limit(MAX_TOUCHED_COLLECTIONS + 1).collect()
+        return None if len(rows) > MAX_TOUCHED_COLLECTIONS else [r[0] for r in rows]
+
+    @staticmethod
+    def _hide(entries: list[dict], touched: list[str] | None) -> list[dict]:
+        """Previous folders minus the rewritten collections (all of them when
+        the change was a full rewrite)."""
+        if touched is None:
+            return []
+        return [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched))) for e in entries]
 
     def clear(self, collections: list[str]) -> DataFrame:
         """K8: result rows, then a new version that hides the collections

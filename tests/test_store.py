@@ -110,3 +110,15 @@ def test_replace_drops_stale_tail_chunks(spark):
     st.add(spark.createDataFrame(_rows("c", "x", 2, "v2"), COLS), replace=True)
     got = {r.chunk_id: r.text for r in st.read().collect()}
     assert got == {"x_doc_0": "v2-x-0", "x_doc_1": "v2-x-1", "y_doc_0": "v1-y-0"}
+
+
+def test_wide_delete_becomes_compaction(spark, monkeypatch):
+    monkeypatch.setattr(store, "MAX_TOUCHED_COLLECTIONS", 1)
+    st = store.ChunkStore(spark, scratch_path(spark, "store-wide"))
+    st.add(spark.createDataFrame(_rows("c1", "x", 2) + _rows("c2", "y", 2) + _rows("c3", "z", 1), COLS))
+    ids = spark.createDataFrame([("c1", "x_doc_0"), ("c2", "y_doc_1")], "collection string, chunk_id string")
+    st.delete_ids(ids)
+    assert sorted(r.chunk_id for r in st.read().collect()) == ["x_doc_1", "y_doc_0", "z_doc_0"]
+    assert len(st._manifest()) == 1  # one rewritten folder
+    st.add(spark.createDataFrame(_rows("c1", "x", 1, "v9"), COLS), replace=True)
+    assert sorted(r.chunk_id for r in st.read().collect()) == ["x_doc_0", "y_doc_0", "z_doc_0"]
