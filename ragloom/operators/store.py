@@ -83,8 +83,11 @@ def clear_collections(existing: DataFrame, requests: DataFrame, name_col: str =
                       ) -> DataFrame:
     """K8 result rows: per requested collection, whether it existed, how many
     chunks were deleted, and the status (False when missing, else True)."""
-    counts = existing.groupBy("collection").agg(F.count(F.lit(1)).alias("_n"))
-    r = requests.select(F.col(name_col).alias("collection")).distinct().join(counts, "collection", "left")
+    req = requests.select(F.col(name_col).alias("collection")).distinct()
+    # only the requested collections are counted (semi-join on the partition column)
+    counts = (existing.join(req, "collection", "left_semi")
+              .groupBy("collection").agg(F.count(F.lit(1)).alias("_n")))
+    r = req.join(counts, "collection", "left")
     return r.select("collection",
                     F.col("_n").isNotNull().alias("existed"),
                     F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("deleted"),
