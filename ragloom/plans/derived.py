@@ -70,8 +70,6 @@ def question_dense(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
     return hash_dense(questions(spark, sf_dir), "query_id", "query", dim)
 
 
-
-
 def page_chunks(spark, sf_dir) -> DataFrame:
     """Crawled pages ingested as the reference's URL path does: page text with
     linked content, placeholder, default packing, md5 document key,
