@@ -84,9 +84,8 @@ def clear_collections(existing: DataFrame, requests: DataFrame, name_col: str =
     """K8 result rows: per requested collection, whether it existed, how many
     chunks were deleted, and the status (False when missing, else True)."""
     req = requests.select(F.col(name_col).alias("collection")).distinct()
-    # only the requested collections are counted (semi-join on the partition column)
-    counts = (existing.join(req, "collection", "left_semi")
-              .groupBy("collection").agg(F.count(F.lit(1)).alias("_n")))
+    # per-collection counts need only the partition column of the table
+    counts = existing.groupBy("collection").agg(F.count(F.lit(1)).alias("_n"))
     r = req.join(counts, "collection", "left")
     return r.select("collection",
                     F.col("_n").isNotNull().alias("existed"),
@@ -247,9 +246,11 @@ class ChunkStore:
             entries = self._hide(entries, touched)
         else:
             # only the collections present in the batch are read for the
-            # anti-join (a semi-join on the partition column: pruned at scan)
-            stored_keys = current.select(*KEYS).join(
-                batch.select("collection").distinct(), "collection", "left_semi")
+            # anti-join: a partition filter, pruned at the scan
+            touched = self._touched(batch)
+            stored_keys = current.select(*KEYS)
+            if touched is not None:
+                stored_keys = stored_keys.where(F.col("collection").isin(*touched))
             fresh = first_write_wins(batch).join(stored_keys, KEYS, "left_anti")
             folder = self._write_batch(fresh, n)
         written = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/data/{folder}").count()
