@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import (EMPTY_DOC_TEXT, EMPTY_TXT_TEXT, col_of, fill_template, is_blank,
-                              normalize_newlines)
+                              normalize_newlines, py_strip)
 from ..operators.chunking import CHUNK_SIZE, PARAGRAPH_SEP, explode_chunks, file_key
 
 BINARY_FILE_SCHEMA = T.StructType([
@@ -126,24 +126,36 @@ def _structured_udf(registry: dict[str, Callable[[bytes], str]]):
     return F.pandas_udf(extract, _EXTRACTED).asNondeterministic()
 
 
-def extract_files(files: DataFrame, strict: bool = False) -> DataFrame:
+def xml_text_native(text) -> Column:
+    """S4 on the JVM: each element's own leading text (``xpath`` text nodes
+    without a preceding sibling element, so tail text is left out), stripped,
+    joined by single spaces.  Differs from the Python walk only where an
+    element has no leading text: the walk leaves an extra space there."""
+    nodes = F.xpath(col_of(text), F.lit("//*/text()[not(preceding-sibling::*)]"))
+    kept = F.filter(F.transform(nodes, lambda t: py_strip(t)), lambda t: t != F.lit(""))
+    return F.array_join(kept, " ")
+
+
+def extract_files(files: DataFrame, strict: bool = False, xml_mode: str = "python") -> DataFrame:
     """S5 + S2-S4 + X1: (path, name, ext, text, extract_status) per file.
 
     ``.txt`` decodes with fallback and replaces blank content with the
     text-file placeholder; ``.md`` is UTF-8 pass-through; ``.json`` and
-    ``.xml`` are rendered in Python; registered extensions use their
-    extractor; anything else decodes like text (or fails when ``strict``).
-    Empty results get the document placeholder."""
+    ``.xml`` are rendered in Python (``xml_mode="native"`` renders XML with
+    Spark's ``xpath`` instead); registered extensions use their extractor;
+    anything else decodes like text (or fails when ``strict``).  Empty
+    results get the document placeholder."""
     registry = dict(_EXTRACTORS)
     ext = extension(F.col("path"))
     f = files.select("path", "content", base_name(F.col("path")).alias("name"), ext.alias("ext"))
-    structured = {".json", ".xml", *registry}
+    structured = {".json", *registry} | ({".xml"} if xml_mode == "python" else set())
     f = f.withColumn("_s", F.when(F.col("ext").isin(*structured),
                                   _structured_udf(registry)(F.col("content"), F.col("ext"))))
     valid_utf8 = F.is_valid_utf8(F.col("content").cast("string"))
     decoded = decode_text(F.col("content"))
     known = F.col("ext").isin(".txt", ".md", *structured)
     text = (F.when(F.col("ext").isin(*structured), F.col("_s.text"))
+            .when(F.col("ext") == ".xml", xml_text_native(decode_text(F.col("content"))))
             .when(F.col("ext") == ".md", F.when(valid_utf8, decoded))
             .when(F.col("ext") == ".txt", F.when(is_blank(decoded), F.lit(EMPTY_TXT_TEXT)).otherwise(decoded))
             .otherwise(F.lit(None) if strict else decoded))

@@ -76,3 +76,13 @@ def test_element_extractor_joins_elements(spark, tmpdir_path):
     finally:
         clear_extractors()
     assert ex.text == "one\n\ntwo\n\nthree"
+
+
+def test_native_xml_mode(spark, tmpdir_path):
+    _write(tmpdir_path, "a.xml", "<r>head<a> x </a>tail<c>y<d>z</d></c><e>é</e></r>".encode())
+    _write(tmpdir_path, "b.xml", b"<r>h<a/><d>y</d></r>")
+    files = read_files(spark, tmpdir_path)
+    py = {os.path.basename(r.path): r.text for r in extract_files(files).collect()}
+    native = {os.path.basename(r.path): r.text for r in extract_files(files, xml_mode="native").collect()}
+    assert native["a.xml"] == py["a.xml"] == "head x y z é"
+    assert py["b.xml"] == "h  y" and native["b.xml"] == "h y"  # the documented difference
