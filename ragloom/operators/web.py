@@ -241,3 +241,8 @@ def host_successor_links(pages: DataFrame, max_links: int = MAX_LINKS_SINGLE) ->
     dst = ranked.select("host", F.col("host_rank").alias("_dst_rank"), F.col("url"))
     edges = src.join(dst, (src.host == dst.host) & (dst._dst_rank == src.host_rank + src.off))
     return edges.select("page_id", (F.col("off") - 1).cast("bigint").alias("pos"), "url")
+
+
+# Names used by SURVEY §2 for the same operations.
+url_domain = url_netloc
+extract_links = page_links

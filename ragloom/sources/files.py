@@ -198,3 +198,18 @@ def ingest_receipts(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
                     .otherwise(F.lit("error")).alias("status"),
                     F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
                     F.when(F.col("extract_status") != "ok", F.col("extract_status")).alias("error")))
+
+
+# Names used by SURVEY §2 for the same jobs.
+def read_corpus(spark: SparkSession, path: str, strict: bool = False, xml_mode: str = "python") -> DataFrame:
+    """Every file under ``path`` read, decoded and routed by extension."""
+    return extract_files(read_files(spark, path), strict=strict, xml_mode=xml_mode)
+
+
+route_by_extension = extract_files
+
+
+def chunk_file(spark: SparkSession, path: str, chunk_size: int = CHUNK_SIZE, collection: str = "default",
+               metadata: dict | None = None) -> DataFrame:
+    """Extract + chunk the files under ``path``."""
+    return chunk_files(read_corpus(spark, path), collection, metadata, chunk_size)

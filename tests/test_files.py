@@ -86,3 +86,13 @@ def test_native_xml_mode(spark, tmpdir_path):
     native = {os.path.basename(r.path): r.text for r in extract_files(files, xml_mode="native").collect()}
     assert native["a.xml"] == py["a.xml"] == "head x y z é"
     assert py["b.xml"] == "h  y" and native["b.xml"] == "h y"  # the documented difference
+
+
+def test_survey_named_entry_points(spark, tmpdir_path):
+    from ragloom.operators.web import extract_links, url_domain
+    from ragloom.sources.files import chunk_file, read_corpus
+    _write(tmpdir_path, "n.txt", b"one\n\ntwo")
+    assert read_corpus(spark, tmpdir_path).first().text == "one\n\ntwo"
+    assert [r.text for r in chunk_file(spark, tmpdir_path, chunk_size=3).orderBy("chunk_index").collect()] == \
+        ["one", "two"]
+    assert url_domain is not None and extract_links is not None
