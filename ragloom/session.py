@@ -34,6 +34,9 @@ def build_session(master: str | None = None, app: str = "ragloom",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Arrow batches for Python UDFs are cut by bytes as well as rows, so
+        # a run of very large pages or documents never lands in one batch
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
         .config("spark.driver.memory", os.environ.get("RAGLOOM_DRIVER_MEM", "16g"))
         .config("spark.sql.shuffle.partitions",
                 str(shuffle_partitions or int(cpus) * 2))
