@@ -261,15 +261,13 @@ def _sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text):
             kk = min(k, len(ids))
             kth = -np.partition(-rounded, kk - 1, axis=0)[kk - 1]
             return np.nonzero((rounded >= kth[None, :]) & (scores > 0))
-        rows, cols = [], []
-        for j in range(scores.shape[1]):
-            order = np.lexsort((ids, -rounded[:, j]))
-            order = order[scores[order, j] > 0]
-            used = np.cumsum(tl[order] + sep_len) - sep_len
-            order = order[used <= budget]
-            rows.append(order)
-            cols.append(np.full(len(order), j))
-        return np.concatenate(rows), np.concatenate(cols)
+        # every question column sorted at once: score (9 places) desc, then
+        # chunk_id; zero scores sort last, so they never shift a running sum
+        id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        order = np.lexsort((np.broadcast_to(id_rank[:, None], rounded.shape), -rounded), axis=0)
+        used = np.cumsum(tl[order] + sep_len, axis=0) - sep_len
+        keep = (np.take_along_axis(scores, order, axis=0) > 0) & (used <= budget)
+        return order[keep], np.nonzero(keep)[1]
 
     def run(batches):
         kept = None
