@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(E.QUERIES))
 def test_no_cross_join_in_plan(spark, key):
     df = E.queries()[key](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
