@@ -8,13 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .language_id import language_id
+from .packing import pack_documents
+from .token_counts import token_counts
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ["doc_id"])
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
+    "op7_token_counts": op7_token_counts,
 }
 LLM_ORACLE: dict[str, str] = {}
