@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -45,9 +46,13 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same model for words that are one normalised pre-token already
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -55,42 +60,41 @@ class WordEncoder:
 
     def clear(self):
         self.memo: dict[str, int] = {}          # word -> slot
+        self.base: dict[str, list[int]] = {"": []}  # normalised word of letters -> ids
         self.start, self.size, self.pool = array("q"), array("q"), array("I")
 
-    def _keep(self, word: str, ids) -> None:
-        self.memo[word] = len(self.start)
-        self.start.append(len(self.pool))
-        self.size.append(len(ids))
-        self.pool.extend(ids)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ids(tok, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, words: list[str]) -> None:
-        """Encode new words.  Words of letters alone are one pre-token each, so many are encoded
-        as one text and parted at the ids that end a word; the rest is encoded one by one."""
-        cut = {}
+        """Encode new words.  A word of letters alone is one pre-token, so many are encoded as one
+        text and parted at the ids that end a word; the rest is encoded one by one."""
+        base, other, parts = self.base, [], []
         for w in words:
-            base = w.rstrip(_TAIL)
-            if len(base) <= MEMO_CHARS and (base if base.isascii() else normalize("NFC", base).lower()).isalpha():
-                cut[w] = (base, w[len(base):])
-        plain = list(dict.fromkeys(b for b, _ in cut.values()))
-        bases: dict[str, list[int]] = {}
-        groups = [plain[i:i + 512] for i in range(0, len(plain), 512)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
-            stop = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
-            if len(stop) == len(group):
-                bases.update((g, ids[a:b]) for g, a, b in
-                             zip(group, [0, *stop[:-1].tolist()], stop.tolist(), strict=True))
+            stem = w.rstrip(_TAIL)
+            tail = w[len(stem):]
+            stem = stem.lower() if stem.isascii() else normalize("NFC", stem).replace("Σ", "σ").lower()
+            if stem.isalpha() and len(stem) <= MEMO_CHARS:
+                parts.append((w, stem, tail))
             else:
-                bases.update(zip(group, self._ids(group), strict=True))
-        tails = list({t for _, t in cut.values() if t})
-        tail_ids = dict(zip(tails, self._ids(tails), strict=True)) | {"": []}
-        other = [w for w in words if w not in cut]
-        for w, ids in zip(other, self._ids(other), strict=True):
-            self._keep(w, ids)
-        for w, (base, tail) in cut.items():
-            self._keep(w, bases[base] + tail_ids[tail])
+                other.append(w)
+        fresh = list({s for _, s, _ in parts if s not in base})
+        groups = [fresh[i:i + 512] for i in range(0, len(fresh), 512)]
+        for group, ids in zip(groups, self._ids(self.plain, [" ".join(g) for g in groups]), strict=True):
+            stop = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist()
+            if len(stop) != len(group):
+                raise ValueError("a word of letters became several pre-tokens")
+            base.update((g, ids[a:b]) for g, a, b in zip(group, [0, *stop[:-1]], stop, strict=True))
+        tails = list({t for _, _, t in parts if t not in base})
+        base.update(zip(tails, self._ids(self.tok, tails), strict=True))
+        found = [base[s] + base[t] if t else base[s] for _, s, t in parts] + self._ids(self.tok, other)
+        self.memo.update(zip([w for w, _, _ in parts] + other, range(len(self.start), len(self.start) + len(found)),
+                             strict=True))
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self.start.frombytes((len(self.pool) + np.cumsum(n) - n).astype(np.int64).tobytes())
+        self.size.frombytes(n.tobytes())
+        self.pool.extend(chain.from_iterable(found))
 
     def __call__(self, texts: list) -> list[np.ndarray]:
         rows = [_WORD.findall(t) if t else [] for t in texts]
@@ -98,16 +102,17 @@ class WordEncoder:
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.clear()
             fresh = list({w for words in rows for w in words})
-        self._learn(fresh)
-        start, size = np.frombuffer(self.start, np.int64), np.frombuffer(self.size, np.int64)
-        pool = np.frombuffer(self.pool, np.uint32)
+        if fresh:
+            self._learn(fresh)
+        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
+        pool = np.frombuffer(self.pool, np.uint32) if len(self.pool) else np.zeros(0, np.uint32)
         get, out = self.memo.__getitem__, []
         for words in rows:
             slot = np.fromiter(map(get, words), np.int64, len(words))
             n = size[slot]
             at = np.repeat(start[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             out.append(np.append(pool[at], np.uint32(END_ID)) if len(words) else np.array([END_ID], np.uint32))
-        del start, size, pool
+        del pool  # lets the array grow again
         for w in fresh:
             if len(w) > MEMO_CHARS:
                 del self.memo[w]
