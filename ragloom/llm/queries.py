@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .language_id import language_id
 from .packing import pack_documents
+from .quality import quality_scores
 from .token_counts import token_counts
 
 
@@ -30,9 +31,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
+    "op9_quality": op9_quality,
 }
 LLM_ORACLE: dict[str, str] = {}
