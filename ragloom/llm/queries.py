@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .language_id import language_id
+from .line_rules import ORACLE as LINE_RULES_SQL
+from .line_rules import quality_rules
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
@@ -35,10 +37,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
     "op9_quality": op9_quality,
+    "op10_line_frequency": op10_line_frequency,
+}
+LLM_ORACLE: dict[str, str] = {
+    "op10_line_frequency": LINE_RULES_SQL,
 }
-LLM_ORACLE: dict[str, str] = {}
