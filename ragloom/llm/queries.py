@@ -10,6 +10,8 @@ from .common import table
 from .language_id import language_id
 from .line_rules import ORACLE as LINE_RULES_SQL
 from .line_rules import quality_rules
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import mixed_documents
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
@@ -33,6 +35,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ["doc_id"])
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,9 +51,11 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
+    "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_frequency": op10_line_frequency,
 }
 LLM_ORACLE: dict[str, str] = {
+    "op8_mixing": MIXING_SQL,
     "op10_line_frequency": LINE_RULES_SQL,
 }
