@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard_join import ORACLE as JACCARD_SQL
+from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .line_rules import ORACLE as LINE_RULES_SQL
 from .line_rules import quality_rules
@@ -31,6 +33,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ["doc_id"])
 
@@ -50,12 +56,14 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_frequency": op10_line_frequency,
 }
 LLM_ORACLE: dict[str, str] = {
+    "op5_jaccard_join": JACCARD_SQL,
     "op8_mixing": MIXING_SQL,
     "op10_line_frequency": LINE_RULES_SQL,
 }
