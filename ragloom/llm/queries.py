@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard_join import ORACLE as JACCARD_SQL
@@ -17,6 +18,8 @@ from .mixing import mixed_documents
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_counts import token_counts
+from .topk import ORACLE as TOPK_SQL
+from .topk import exact_top_k
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +40,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), ["doc_id"])
 
@@ -57,6 +64,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_topk": op6_topk,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
@@ -64,6 +72,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 LLM_ORACLE: dict[str, str] = {
     "op5_jaccard_join": JACCARD_SQL,
+    "op6_topk": TOPK_SQL,
     "op8_mixing": MIXING_SQL,
     "op10_line_frequency": LINE_RULES_SQL,
 }
