@@ -16,6 +16,7 @@ from .line_rules import quality_rules
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mixed_documents
 from .packing import pack_documents
+from .pii import personal_data
 from .quality import quality_scores
 from .token_counts import token_counts
 from .topk import ORACLE as TOPK_SQL
@@ -32,6 +33,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -61,6 +66,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
