@@ -257,7 +257,7 @@ def pack_documents(docs: DataFrame, path: str, payload: str = "crc") -> DataFram
     merged = (last.withColumn("grp", F.floor(F.col("part") / MERGE_GROUP)).groupBy("grp")
               .applyInPandas(_merge_leftovers, "part long, merged_id long, shift long"))
     merged = merged.join(last.select("part", "window"), "part")
-    out = pieces.join(F.broadcast(merged), ["part", "window"], "left")  # at most one row per task
+    out = pieces.join(merged, ["part", "window"], "left")
     extra = ["ids"] if payload == "ids" else []
     return out.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
