@@ -11,6 +11,7 @@ from .common import table
 from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_components
 from .language_id import language_id
+from .line_dedup import line_dedup
 from .line_rules import ORACLE as LINE_RULES_SQL
 from .line_rules import quality_rules
 from .mixing import ORACLE as MIXING_SQL
@@ -37,6 +38,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -67,6 +72,7 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op5_jaccard_join": op5_jaccard_join,
