@@ -153,7 +153,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs (late, early) of rows that share a key and may be within reach."""
         met = left.join(right, "key").filter((F.col("h1") != F.col("h")) & (
-            F.bit_count(F.col("parity").bitwiseXOR(F.col("p"))) <= 3 * edits))
+            F.bit_count(F.col("parity").bitwiseXOR(F.col("p")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+            <= 3 * edits))
         return met.select(F.when(F.col("at") > F.col("t"), F.col("h1")).otherwise(F.col("h")).alias("late"),
                           F.when(F.col("at") > F.col("t"), F.col("h")).otherwise(F.col("h1")).alias("early"))
 
