@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -31,6 +31,7 @@ from .components import connected_components
 SHINGLE, PERCENT = 4, 85
 SKETCH_BITS = 16            # the count sketch has 2 ** SKETCH_BITS cells at any corpus size
 PIVOT_ROUNDS = 2
+CELLS = 1 << 20             # hash cells of ids that narrow a text scan (a bounded broadcast)
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _MEMO_WORDS = 500_000
@@ -86,15 +87,17 @@ def _long(values) -> pa.Array:
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, np.ndarray]:
-    """(one row per document: doc_id, n, s1, s2 (128-bit signature of its set), the count sketch)."""
+    """(one row per document: doc_id, content (hash of its text), n, s1, s2 (128-bit signature of its set);
+    the count sketch)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "content", "n", "s1", "s2", "cell", "times"]
 
     def run(batches):
         shingle = Shingler(size)
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         ids = None
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, content, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in blocks(texts):
                 sets = shingle(texts[a:b])
                 np.add(cells, np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
@@ -102,17 +105,16 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, np.n
                 sig = [_signature(s) for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), _long([len(s) for s in sets]), _long([x for x, _ in sig]),
-                     _long([x for _, x in sig]), none, none], names=["doc_id", "n", "s1", "s2", "cell", "times"])
+                    [ids.slice(a, b - a), content.slice(a, b - a), _long([len(s) for s in sets]),
+                     _long([x for x, _ in sig]), _long([x for _, x in sig]), none, none], names=names)
         cell = np.flatnonzero(cells)
         if ids is not None and len(cell):
             none = pa.nulls(len(cell), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(cell), ids.type), none, none, none, _long(cell), _long(cells[cell])],
-                names=["doc_id", "n", "s1", "s2", "cell", "times"])
+                [pa.nulls(len(cell), ids.type), none, none, none, none, _long(cell), _long(cells[cell])], names=names)
 
-    rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n long, s1 long, s2 long, cell long, times long").checkpoint()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(
+        run, f"doc_id {id_type}, content long, n long, s1 long, s2 long, cell long, times long").checkpoint()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     # at most 2 ** SKETCH_BITS rows
     for r in rows.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("times").alias("times")).collect():
@@ -171,9 +173,14 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataF
                     [batch.column(0).slice(a, b - a).take(pa.array(at, pa.int64())),
                      pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["sid", "items"])
 
-    found = (docs.select(F.col("doc_id").alias("__id"), "text")
-             .join(wanted, F.col("__id").eqNullSafe(F.col("least_doc"))).select("sid", "s1", "s2", "text"))
-    return found.mapInArrow(run, "sid long, items array<long>").dropDuplicates(["sid"]).checkpoint()
+    # only texts whose id falls in a wanted hash cell are shuffled
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
+    cells = wanted.select(F.pmod(F.xxhash64("least_doc"), F.lit(CELLS)).alias("cell")).distinct()   # at most CELLS rows
+    near = docs.select("doc_id", "text").withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
+    ids = near.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("content"))
+    found = (ids.join(wanted, F.col("id").eqNullSafe(F.col("least_doc")))
+             .groupBy("least_doc", "sid", "s1", "s2", "content").agg(F.first("text").alias("text")))
+    return found.select("sid", "s1", "s2", "text").mapInArrow(run, "sid long, items array<long>").checkpoint()
 
 
 def verified(pairs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -182,60 +189,86 @@ def verified(pairs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Data
     right = items.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
+def _may_reach(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of rows (a, b, n, m, pos, pos2), one per shared prefix shingle, that can reach the similarity.
+
+    The first shared shingle bounds what can follow it.  And behind the prefix that ends first nothing is common
+    but that set's own remainder, so the shared prefix shingles have to make up the difference."""
+    least = (F.col("n") + F.col("m")) * percent
+    rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2"))
+    pairs = pairs.filter(_sizes_fit(F.col("n"), F.col("m"), percent))
+    shared = pairs.groupBy("a", "b", "n", "m").agg(
+        F.count("*").alias("c"), F.max(rest * (100 + percent) >= least).alias("near"))
+    behind = F.greatest(_needed(F.col("n"), percent), _needed(F.col("m"), percent)) - 1
+    return shared.filter(F.col("near") & ((F.col("c") + behind) * (100 + percent) >= least)).select("a", "b")
+
+
+class _Items:
+    """Whole sets by sid, fetched once each as candidates need them."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame, size: int):
+        self.docs, self.sets, self.size, self.have = docs, sets.select("sid", "s1", "s2", "least_doc"), size, None
+
+    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+        need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+        if self.have is not None:
+            need = need.join(self.have.select("sid"), "sid", "left_anti")
+        more = whole_sets(self.docs, self.sets.join(need, "sid"), self.size)
+        self.have = more if self.have is None else self.have.unionByName(more)
+        return verified(pairs, self.have, percent)
+
+
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n, s1, s2; sets: s1, s2, n, sid, least_doc, component (a sid), linked_doc)."""
+    """(documents: doc_id, content, n, s1, s2; sets: s1, s2, n, sid, least_doc, component (a sid), linked_doc)."""
     ensure_checkpoint_dir(docs.sparkSession)
     documents, sketch = document_sets(docs, size)
     sets = prefix_sets(docs, sketch, size, percent)
-    # groups: equal size and prefix
-    keyed = sets.select("sid", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"), "prefix")
-    groups = keyed.groupBy("n", "p1", "p2").agg(F.min("sid").alias("grp"), F.count("*").alias("members"))
-    member = (keyed.drop("prefix").join(groups, ["n", "p1", "p2"]).select("sid", "n", "grp", "members").checkpoint())
-    heads = keyed.join(member.filter("sid = grp").select("sid"), "sid")
-    index = heads.select(F.col("sid").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # shingles that one group alone has make no candidate
+    # groups: equal size and prefix; only their heads are indexed
+    keyed = sets.select("sid", "n", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"))
+    groups = keyed.groupBy("n", "p1", "p2").agg(F.min("sid").alias("grp"))
+    member = keyed.join(groups, ["n", "p1", "p2"]).select("sid", "n", "grp").checkpoint()
+    index = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # shingles that one set alone has make no candidate
     shared = index.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    index = index.join(shared, "token").checkpoint()
-    busy = (member.filter("members > 1").select("sid")
-            .unionByName(member.join(index.select("grp").distinct(), "grp", "left_semi").select("sid")).distinct())
-    items = whole_sets(docs, busy.join(sets.select("sid", "s1", "s2", "least_doc"), "sid"), size)
+    index = (index.join(shared, "token").join(member.filter("sid <> grp").select("sid"), "sid", "left_anti")
+             .select("token", "pos", F.col("sid").alias("grp"), "n").checkpoint())
+    items = _Items(docs, sets, size)
 
-    # pivots: per bucket of similar sizes one member; every other member is verified against it
-    component = member.select("sid", "grp", "n", F.col("sid").alias("component"))
+    # pivots: per bucket of similar sizes one member; the others are verified against it
+    component = member.withColumn("component", F.col("sid"))
     links = None
     for turn in range(PIVOT_ROUNDS):
         band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 0.5 * turn)
-        comp = component.select(F.col("sid").alias("grp"), "component")
-        row = index.join(comp, "grp").withColumn("band", band)
-        first = F.struct(F.xxhash64("grp", F.lit(turn)), F.col("grp"), F.col("n"), F.col("component"))
-        pivot = row.groupBy("token", "band").agg(F.min(first).alias("p")) \
-            .select("token", "band", F.col("p.grp").alias("b"), F.col("p.n").alias("m"), F.col("p.component").alias("pc"))
-        star = (row.join(pivot, ["token", "band"])
-                .filter((F.col("component") != F.col("pc")) & _sizes_fit(F.col("n"), F.col("m"), percent))
-                .select(F.col("grp").alias("a"), "b"))
+        row = (index.join(component.select(F.col("sid").alias("grp"), "component"), "grp").withColumn("band", band))
+        first = F.struct(F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", "n", "component", "pos")
+        pivot = row.groupBy("token", "band").agg(F.min(first).alias("p")).select(
+            "token", "band", F.col("p.grp").alias("b"), F.col("p.n").alias("m"),
+            F.col("p.component").alias("other"), F.col("p.pos").alias("pos2"))
+        star = row.join(pivot, ["token", "band"]).filter(F.col("component") != F.col("other"))
+        star = _may_reach(star.withColumnRenamed("grp", "a"), percent)
         if turn == 0:       # members of a group against its head
-            star = star.unionByName(component.filter("sid <> grp").select(F.col("sid").alias("a"), F.col("grp").alias("b")))
-        found = verified(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), items, percent)
+            star = star.unionByName(member.filter("sid <> grp").select(F.col("sid").alias("a"), F.col("grp").alias("b")))
+        found = items.verified(star, percent)
         links = (found if links is None else links.unionByName(found)).checkpoint()
         component = _labelled(member, links)
 
-    # what is left: pairs of different components, through a shared shingle or within a group
-    by_grp = component.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    apart = by_grp.filter("lo <> hi").select("grp")
-    mixed = component.join(apart, "grp", "left_semi")
-    inner = _cross(mixed, mixed, ["grp"], percent)
-    row = (index.withColumnRenamed("n", "gn").join(component, "grp")
-           .select("token", "pos", "grp", "sid", "n", "component"))
-    kinds = row.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    row = row.join(kinds.select("token"), "token", "left_semi")
-    links = links.unionByName(verified(inner.unionByName(_cross(row, row, ["token"], percent)), items, percent)).checkpoint()
+    # what is left: pairs of different components, within a group or through shared shingles
+    apart = component.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .filter("lo <> hi").select("grp")
+    inner = _cross(component.join(apart, "grp", "left_semi"), "grp").select("a", "b", "n", "m") \
+        .filter(_sizes_fit(F.col("n"), F.col("m"), percent)).select("a", "b")
+    row = index.drop("n").join(component, "grp")
+    mixed = row.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    outer = _may_reach(_cross(row.join(mixed.select("token"), "token", "left_semi"), "token"), percent)
+    links = links.unionByName(items.verified(inner.unionByName(outer), percent)).checkpoint()
     component = _labelled(member, links)
     least = sets.select("sid", "least_doc").join(component.select("sid", "component"), "sid") \
         .groupBy("component").agg(F.min("least_doc").alias("linked_doc"))
@@ -249,24 +282,28 @@ def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
         .select("sid", "grp", "n", F.coalesce("c", "sid").alias("component")).checkpoint()
 
 
-def _cross(left: DataFrame, right: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Pairs (a < b) of different components that share ``key``, under the size bound and, where
-    positions are known, the bound on what can still be common behind the first shared shingle.
+def _cross(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (a, b, n, m, pos, pos2) of members of different components that share ``key``.
+
     Components meet first; only pairs of different ones are expanded to their members."""
-    span = left.groupBy(*key, "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = span.select(*key, F.col("component").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meet = (span.join(other, key).filter((F.col("component") < F.col("other"))
-                                         & (F.col("hi") * 100 >= F.col("lo2") * percent)
-                                         & (F.col("hi2") * 100 >= F.col("lo") * percent))
-            .select(*key, "component", "other"))
-    a = left.select(*key, "component", F.col("sid").alias("a"), "n", *(["pos"] if "pos" in left.columns else []))
-    b = right.select(*key, F.col("component").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"),
-                     *([F.col("pos").alias("pos2")] if "pos" in left.columns else []))
-    pair = meet.join(a, [*key, "component"]).join(b, [*key, "other"]).filter(_sizes_fit(F.col("n"), F.col("m"), percent))
-    if "pos" in left.columns:
-        rest = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2"))
-        pair = pair.filter(rest * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-    return pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    span = rows.select(key, "component").distinct()
+    meet = (span.join(span.select(key, F.col("component").alias("other")), key)
+            .filter(F.col("component") < F.col("other")))
+    pos = F.col("pos") if "pos" in rows.columns else F.lit(0)
+    a = rows.select(key, "component", F.col("sid").alias("a"), "n", pos.alias("pos"))
+    b = rows.select(key, F.col("component").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"),
+                    pos.alias("pos2"))
+    return meet.join(a, [key, "component"]).join(b, [key, "other"])
+
+
+def _with_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, content, n_shingles, component_id, set_of (the component's number; null: no shingles)."""
+    documents, sets = shingle_components(docs, size, percent)
+    known = sets.select("s1", "s2", F.col("n").alias("set_n"), "component", "linked_doc")
+    out = documents.join(known, (documents["s1"] == known["s1"]) & (documents["s2"] == known["s2"])
+                         & (documents["n"] == known["set_n"]), "left")
+    return out.select("doc_id", "content", documents["n"].alias("n_shingles"),
+                      F.coalesce("linked_doc", "doc_id").alias("component_id"), F.col("component").alias("set_of"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -276,12 +313,23 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     exact copies share a set and so a component; rows that repeat an id with another text are
     separate documents.  Other columns are ignored; an empty table gives an empty result; texts are
     shingled whole."""
-    documents, sets = shingle_components(docs, size, percent)
-    known = sets.select("s1", "s2", F.col("n").alias("set_n"), "linked_doc")
-    out = documents.join(known, (documents["s1"] == known["s1"]) & (documents["s2"] == known["s2"])
-                         & (documents["n"] == known["set_n"]), "left")
-    return out.select("doc_id", documents["n"].alias("n_shingles"),
-                      F.coalesce("linked_doc", "doc_id").alias("component_id"))
+    return _with_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_per_component(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component does: that of the smallest id (null
+    last), then text hash.  Rows without a shingle stay.  Rows that repeat an id and a text count as one document."""
+    rows = _with_components(docs, size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
+    best = rows.filter("set_of IS NOT NULL").groupBy("set_of").agg(F.min(order).alias("b")) \
+        .select(F.col("b.doc_id").alias("__id"), F.col("b.content").alias("__content"))
+    best = best.unionByName(rows.filter("set_of IS NULL").select(
+        F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct())
+    key = F.xxhash64("text")
+    kept = docs.withColumn("__hash", key).join(best, F.col("doc_id").eqNullSafe(F.col("__id"))
+                                               & (F.col("__hash") == F.col("__content")))
+    first = F.row_number().over(Window.partitionBy("__id", "__content").orderBy(F.lit(1)))
+    return kept.withColumn("__row", first).filter("__row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

@@ -52,7 +52,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     Shares by weight of the total; a share above MAX_PASSES times its source is cut to that and the
     excess goes to the others by weight.  With sources sorted by limit / weight the cut ones are a
-    prefix, so the common level of the rest follows from running sums.  One row per source."""
+    prefix; the level left for the rest rises while sources are cut that lie below it and falls
+    afterwards, so the common level is the greatest over all prefixes.  One row per source."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("idx", (F.row_number().over(by_name) - 1).cast("bigint"))
@@ -63,8 +64,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     cut = F.coalesce(F.sum("most").over(before), F.lit(0))
     rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     per = per.withColumn("level", (F.sum("source_size").over(every) - cut).cast("double") / rest)
-    fits = F.col("level") <= F.col("most") / F.col("weight")
-    per = per.withColumn("common", F.min(F.when(fits, F.col("level"))).over(every))
+    per = per.withColumn("common", F.max("level").over(every))
     return per.select("idx", "source", "weight", "source_size",
                       F.least(F.col("most").cast("double"), F.col("common") * F.col("weight")).alias("target"))
 
@@ -78,7 +78,7 @@ def document_stream(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     total = df.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(W.partitionBy("idx").orderBy("bucket")) - F.col("n")
     total = total.withColumn("before", before).drop("n")
-    inside = F.sum("size").over(W.partitionBy("idx", "bucket").orderBy("order_key", "doc_id", "size")
+    inside = F.sum("size").over(W.partitionBy("idx", "bucket").orderBy("order_key", "doc_id", "size", "content")
                                 .rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     return (df.withColumn("inside", inside).join(total, ["idx", "bucket"])
             .withColumn("at", F.col("before") + F.col("inside"))
@@ -121,7 +121,8 @@ def mix_sources(docs: DataFrame) -> Mix:
     Ties of the hash order go by id and size, so reruns agree."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    sizes = docs.select("doc_id", "source", count_words(F.col("text")).alias("size")).checkpoint()
+    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("content"),
+                        count_words(F.col("text")).alias("size")).checkpoint()
     sources = source_targets(sizes).checkpoint()        # one row per source
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     block_words = min(BLOCK_WORDS, max(1, -(-total // LEAST_SLOTS)))
@@ -136,14 +137,33 @@ def mix_sources(docs: DataFrame) -> Mix:
     return Mix(sources, stream, slots.join(pieces, ["idx", "block"]), block_words)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes of the document, repeats counted)."""
+def _taken(docs: DataFrame) -> DataFrame:
+    """The stream with ``taken``, the words the mix takes of each document, repeats counted."""
     mix = mix_sources(docs)
     taken = mix.rows.groupBy("idx", "at").agg(F.sum("words").alias("taken"))
     # documents of 0 words share the position of the next one
-    return mix.stream.join(taken, ["idx", "at"], "left").select(
-        "doc_id", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("taken"))
+    words = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    return mix.stream.join(taken, ["idx", "at"], "left").withColumn("taken", words)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row."""
+    return _taken(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` in the mix's proportions, in whole documents: each row as often as the mix takes it, rounded
+    (half up) to 0 to MAX_PASSES copies.  All columns stay; documents of 0 words go."""
+    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    per = _taken(docs).groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")) \
+        .agg(F.sum(copies).cast("int").alias("__copies")).filter("__copies > 0")
+    rows = docs.withColumn("__hash", F.xxhash64("text")).join(
+        per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__content")))
+    # rows that repeat an id and a text were added up, so one of them carries the copies
+    first = F.row_number().over(W.partitionBy("__id", "__content").orderBy(F.lit(1)))
+    rows = rows.withColumn("__row", first).filter("__row = 1")
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""
@@ -156,7 +176,7 @@ s2 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER w, 0))::DOU
               / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
        FROM s1 WINDOW w AS (ORDER BY most / weight, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT idx, source, source_size, least(most::DOUBLE,
-              (min(level) FILTER (level <= most / weight) OVER ()) * weight) AS target FROM s2),
+              (max(level) OVER ()) * weight) AS target FROM s2),
 c AS (SELECT sum(source_size)::BIGINT AS total,
              least(2048, greatest(1, (sum(source_size)::BIGINT + 65535) // 65536)) AS b FROM s3),
 s4 AS (SELECT *, sum(target) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING) AS cum FROM s3),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_frequency": op10_line_frequency,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLE: dict[str, str] = {
     "op5_jaccard_join": JACCARD_SQL,
