@@ -5,20 +5,21 @@ from pyspark.sql import functions as F
 from ragloom.operators.chunking import chunk_text, explode_chunks, file_key
 
 
-def ref_chunk(text, size=1000, sep="\n\n"):
-    """Short restatement of the packing rule."""
-    out, cur, n = [], [], 0
-    for p in text.split(sep):
-        if not p.strip():
-            continue
-        if n + len(p) > size and cur:
-            out.append(sep.join(cur))
-            cur, n = [], 0
-        cur.append(p)
-        n += len(p)
-    if cur:
-        out.append(sep.join(cur))
-    return out or [text]
+def check_packing(text, size, sep, chunks):
+    """The properties of a packing: the non-blank paragraphs in order, each chunk within the size or one
+    paragraph, and no chunk with room for the paragraph that opens the next one."""
+    paras = [p for p in text.split(sep) if p.strip()]
+    if not paras:
+        assert chunks == [text]
+        return
+    at = 0
+    for chunk in chunks:
+        taken = next(k for k in range(1, len(paras) - at + 1) if sep.join(paras[at:at + k]) == chunk)
+        chars = sum(map(len, paras[at:at + taken]))
+        at += taken
+        assert chars <= size or taken == 1
+        assert at == len(paras) or chars + len(paras[at]) > size
+    assert at == len(paras)
 
 
 ALPHABET = ["a", "bc", " ", "\n", "\n\n", "\n\n\n", "\t", " ", " ", "é", "😀", "\x1c", "\r\n"]
@@ -36,7 +37,16 @@ def test_chunk_text_matches_rule(spark):
     for size, sep in [(20, "\n\n"), (60, "\n"), (1000, "\n\n"), (7, "bc")]:
         got = {r.id: list(r.c) for r in df.select("id", chunk_text(F.col("text"), size, sep).alias("c")).collect()}
         for i, t in rows:
-            assert got[i] == ref_chunk(t, size, sep), (i, size, sep)
+            check_packing(t, size, sep, got[i])
+
+
+def test_chunk_text_worked_examples(spark):
+    cases = [("aa\n\nbb\n\ncc", 4, ["aa\n\nbb", "cc"]), ("aa\n\nbbb\n\nc", 4, ["aa", "bbb\n\nc"]),
+             ("a\n\n \n\nb", 9, ["a\n\nb"]), ("", 5, [""]), (" \n\n\t", 5, [" \n\n\t"]),
+             ("longer\n\nx\n\ny", 3, ["longer", "x\n\ny"])]
+    for text, size, want in cases:
+        df = spark.createDataFrame([(text,)], "text string")
+        assert list(df.select(chunk_text(F.col("text"), size).alias("c")).first().c) == want
 
 
 def test_lone_oversize_paragraph_stays_whole(spark):
