@@ -36,6 +36,7 @@ PARSED = T.StructType([
         T.StructField("abs_url", T.StringType()),
         T.StructField("text", T.StringType()),
     ]))),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -150,12 +151,14 @@ class _PageParser(HTMLParser):
 
 def parse_page(html: str | None, base_url: str | None) -> dict:
     if html is None:
-        return {"title": None, "text": None, "links": []}
+        return {"title": None, "text": None, "links": [], "error": None}
     p = _PageParser()
+    error = None
     try:
         p.feed(html)
         p.finish()
-    except Exception:  # noqa: BLE001 - malformed markup: keep what was parsed
+    except Exception as exc:  # noqa: BLE001 - one page must not end the job: its receipt names the error
+        error = f"{type(exc).__name__}: {exc}"
         p._flush()
     links = []
     for href, parts in p.links:
@@ -164,14 +167,15 @@ def parse_page(html: str | None, base_url: str | None) -> dict:
         except ValueError:
             absolute = None
         links.append({"href": href, "abs_url": absolute, "text": "".join(parts)})
-    return {"title": p.title(), "text": "\n".join(p.nodes), "links": links}
+    return {"title": p.title(), "text": "\n".join(p.nodes), "links": links, "error": error}
 
 
 def _parse_batch(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = [parse_page(h, u) for h, u in zip(html, url)]
     return pd.DataFrame({"title": [r["title"] for r in rows],
                          "text": [r["text"] for r in rows],
-                         "links": [r["links"] for r in rows]})
+                         "links": [r["links"] for r in rows],
+                         "error": [r["error"] for r in rows]})
 
 
 # Declared nondeterministic so the optimizer never copies the call into a

@@ -47,26 +47,39 @@ def token_bucket(token, dim: int):
     return (F.conv(F.substring(F.md5(col_of(token)), 1, 8), 16, 10).cast("bigint") % F.lit(dim))
 
 
+def _runs(values):
+    """(values, counts) of the runs of a sorted array, in one pass: a run starts where an item differs
+    from the one before it."""
+    def spans(b):
+        starts = F.filter(F.transform(b, lambda x, i: F.when(
+            (i == 0) | (x != F.get(b, i - 1)), i)), lambda i: i.isNotNull())
+
+        def count(at):
+            ends = F.concat(F.slice(at, 2, 1 << 30), F.array(F.size(b)))
+            return F.struct(F.transform(at, lambda i: F.get(b, i)).alias("values"),
+                            F.zip_with(at, ends, lambda s, e: (e - s).cast("bigint")).alias("counts"))
+        return let(starts, count)
+    return let(values, spans)
+
+
+def tokens_of(text):
+    return F.array_remove(F.split(F.lower(col_of(text)), TOKEN_SPLIT, -1), "")
+
+
 def hashed_counts(text, dim: int = HASH_DIM):
-    """Row-local term counting: (buckets ARRAY<BIGINT>, counts ARRAY<BIGINT>)
-    for the whole text, buckets ascending.  Tokens are hashed and sorted
-    inside the row; each distinct bucket's count is the distance between the
-    first positions of consecutive distinct buckets.  No token leaves its row
-    (no explode, no shuffle) and only the hashing runs a lambda per token."""
-    toks = F.array_remove(F.split(F.lower(col_of(text)), TOKEN_SPLIT, -1), "")
-    sorted_buckets = F.sort_array(F.transform(toks, lambda t: token_bucket(t, dim)))
-
-    def runs(b):
-        def count(d):
-            def spans(starts):
-                ends = F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(b) + 1))
-                return F.struct(d.alias("buckets"),
-                                F.zip_with(starts, ends, lambda s_, e: (e - s_).cast("bigint"))
-                                .alias("counts"))
-            return let(F.transform(d, lambda x: F.array_position(b, x)), spans)
-        return let(F.array_distinct(b), count)
-
-    return let(sorted_buckets, runs)
+    """Row-local term counting: (buckets ARRAY<BIGINT>, counts ARRAY<BIGINT>) for the whole text, buckets
+    ascending.  Tokens are hashed, sorted and run-length counted inside the row (no explode, no shuffle)."""
+    sorted_buckets = F.sort_array(F.transform(tokens_of(text), lambda t: token_bucket(t, dim)))
+    return let(_runs(sorted_buckets), lambda r: F.struct(r["values"].alias("buckets"), r["counts"].alias("counts")))
+
+
+def term_weights(text):
+    """(tokens ARRAY<BIGINT>, weights): 64-bit token hashes with unit-length term-frequency weights."""
+    def scale(r):
+        norm = F.sqrt(F.aggregate(r["counts"], F.lit(0).cast("bigint"), lambda acc, c: acc + c * c))
+        return let(norm, lambda n: F.struct(r["values"].alias("tokens"),
+                                            F.transform(r["counts"], lambda c: c / n).alias("weights")))
+    return let(_runs(F.sort_array(F.transform(tokens_of(text), lambda t: F.xxhash64(t)))), scale)
 
 
 def hashed_vector(text, dim: int = HASH_DIM):

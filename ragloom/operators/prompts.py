@@ -17,10 +17,37 @@ NO_DOCS_HEAD = "⚠️ No relevant documents found in "
 NO_DOCS_TAIL = ". Please ensure data is uploaded."
 
 
-def chat_prompt(df: DataFrame, context: str = "context", query: str = "query") -> DataFrame:
-    """``{context}\\n\\n`` + instruction + query."""
-    return df.withColumn("prompt", F.concat(F.col(context), F.lit("\n\n" + CHAT_INSTRUCTION),
-                                            F.col(query)))
+def chat_parts(requests: DataFrame, context: DataFrame) -> DataFrame:
+    """P1 + P3 as ordered rows: scope, query_id, pos, kind, text.
+
+    ``context`` rows (scope, pos, text, from ``scoped_context``; query_id null) belong to every request of
+    their scope.  Each request adds one row behind them: its ``instruction``, or the ``response`` that its
+    scope holds no documents.  A prompt is the context texts joined by blank lines and the instruction.
+    Nothing is cut or gathered in one value; whether a scope was found comes from the key match alone."""
+    sizes = context.groupBy("scope").agg(F.count("*").alias("_n"))
+    found = F.col("_n").isNotNull()
+    asked = requests.join(sizes, "scope", "left").select(
+        "scope", "query_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("pos"),
+        F.when(found, F.lit("instruction")).otherwise(F.lit("response")).alias("kind"),
+        F.when(found, F.concat(F.lit("\n\n" + CHAT_INSTRUCTION), F.col("query")))
+        .otherwise(no_documents_message()).alias("text"))
+    rows = context.select("scope", F.lit(None).cast(requests.schema["query_id"].dataType).alias("query_id"),
+                          F.col("pos").cast("bigint").alias("pos"), F.lit("context").alias("kind"), "text")
+    return rows.unionByName(asked)
+
+
+def assemble_prompts(parts: DataFrame, budget: int) -> DataFrame:
+    """(query_id, prompt, response) of ``chat_parts`` rows for a model that takes ``budget`` characters of
+    context: the leading context rows that fit, joined by blank lines, and the instruction."""
+    from .retrieval import context_budget, ordered_concat
+
+    context = parts.where("kind = 'context'")
+    kept = context_budget(context, [F.col("pos")], budget, group="scope")
+    texts = ordered_concat(kept, ["scope"], "pos")
+    asked = parts.where("kind <> 'context'").join(texts, "scope", "left")
+    instruction = F.col("kind") == "instruction"
+    return asked.select("query_id", F.when(instruction, F.concat(F.coalesce("context", F.lit("")), F.col("text"))).alias("prompt"),
+                        F.when(~instruction, F.col("text")).alias("response"))
 
 
 def ranked_prompt(df: DataFrame, context: str = "context", query: str = "query") -> DataFrame:
@@ -38,6 +65,15 @@ def scope_description(folder: str = "folder_name", document: str = "document_nam
             .otherwise(F.lit("your documents")))
 
 
+def ranked_prompts(questions: DataFrame, context: DataFrame) -> DataFrame:
+    """P2 for every question: (query_id, prompt, response).  ``context`` (query_id, context) holds the
+    questions with hits (an empty context: none fitted); the others get the no-documents answer."""
+    j = questions.join(context, "query_id", "left").withColumn("_found", F.col("context").isNotNull())
+    out = ranked_prompt(j.withColumn("context", F.coalesce("context", F.lit(""))))
+    return out.select("query_id", F.when(F.col("_found"), F.col("prompt")).alias("prompt"),
+                      F.when(~F.col("_found"), F.lit(NO_DOCS_HEAD + "your documents" + NO_DOCS_TAIL)).alias("response"))
+
+
 def no_documents_message(folder: str = "folder_name", document: str = "document_name"):
     return F.concat(F.lit(NO_DOCS_HEAD), scope_description(folder, document), F.lit(NO_DOCS_TAIL))
 

@@ -15,31 +15,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows above which a side table is shuffled instead of broadcast.
-BROADCAST_ROW_LIMIT = 1_000_000
-
-
-GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
-
-
 def topk_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
                    out: str = "rank") -> DataFrame:
-    # The optimizer plans the partial (pre-shuffle) group limit only for k up
-    # to this threshold; raise it so large k keep the bounded plan.
-    spark = df.sparkSession
-    if k >= int(spark.conf.get(GROUP_LIMIT_CONF, "1000")):
-        spark.conf.set(GROUP_LIMIT_CONF, str(k + 1))
+    """The first ``k`` rows of each group.  For k below the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` the limit is also planned before the shuffle."""
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return (df.withColumn(out, F.row_number().over(w))
             .where(F.col(out) <= k)
             .withColumn(out, F.col(out).cast("bigint")))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when the table is proven small (a count job)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def distributed_row_number(df: DataFrame, group_cols: list[str], order: list[Column],
                            out: str = "rank", num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
@@ -59,7 +44,7 @@ def distributed_row_number(df: DataFrame, group_cols: list[str], order: list[Col
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = checked_broadcast(offsets.select("_pid", *group_cols, "_off", "_first"))
+    offsets = offsets.select("_pid", *group_cols, "_off", "_first")
     return (numbered.join(offsets, ["_pid", *group_cols])
             .withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))
             .drop("_pid", "_pos", "_off", "_first"))

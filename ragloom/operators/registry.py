@@ -47,15 +47,23 @@ def add_folders(users: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def apply_folder_adds(users: DataFrame, statuses: DataFrame) -> DataFrame:
-    """New registry after the adds (appended, sorted)."""
+    """New registry after the adds: new folders behind the known ones, in name order."""
     added = (statuses.where(F.col("status") == "added").groupBy("username")
              .agg(F.collect_list("folder").alias("_new")))
     j = users.join(added, "username", "left")
     return j.select("username", "collection",
-                    F.sort_array(F.concat("folders", F.coalesce("_new", F.array().cast("array<string>"))))
+                    F.concat("folders", F.coalesce(F.sort_array("_new"), F.array().cast("array<string>")))
                     .alias("folders"))
 
 
+def apply_folder_clears(users: DataFrame, requests: DataFrame) -> DataFrame:
+    """New registry after the clears: the requested users have no folders, the others are unchanged."""
+    asked = requests.select("username", F.lit(True).alias("_clear")).distinct()
+    j = users.join(asked, "username", "left")
+    return j.select(*[F.when(F.col("_clear"), F.array().cast("array<string>")).otherwise(F.col(c)).alias(c)
+                      if c == "folders" else F.col(c) for c in users.columns])
+
+
 def clear_folders(users: DataFrame, requests: DataFrame) -> DataFrame:
     """Folder count before clearing; status True only when something
     was cleared (an already empty list is not modified)."""

@@ -1,16 +1,14 @@
 """F1-F4 filters, J3-J6 question-to-chunk retrieval, R1-R6 ranking.
 
-Dense retrieval (J3) is a map-side job, not a join: the question batch is a
-size-checked block shipped to every task (inside the task closure, which
-PySpark broadcasts once it is large), each Arrow batch of stored vectors is
-scored against it with one matrix product, and only each partition's running
-top-k per question leaves the task (``topk``).  Results that keep every pair
-(``rank_all``) stream all scores out of the same map side and are numbered
-with ``distributed_row_number``.
-
-Sparse retrieval (J4) scores hashed chunk vectors the same way
-(``sparse_rank``); the inverted-index equi-join on the hash bucket
-(``sparse_scores``) gives the same scores through a join.
+Dense top-k (J3, R5) scores a question set against all stored vectors in blocks:
+stored vectors and questions are packed into rows of bounded size, every question
+block meets every stored block in an equi-join on the block number, and only the k
+best of each pair of blocks leave the task.  Sparse retrieval (J4) is an inverted
+index: an equi-join of question and chunk postings on the token's 64-bit hash, hot
+tokens salted on both sides.  Nothing is fetched to the driver but two counts.
+
+Contexts (J6, A1) are ordered rows over each distinct scope, never one value, and
+nothing is cut from them.  A budget (R6) is what a caller asks for explicitly.
 """
 
 from __future__ import annotations
@@ -19,20 +17,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import collection_name
-from .partitioning import spread
-from .ranking import checked_broadcast, distributed_row_number, topk_per_group
-
-# Largest question block shipped to tasks at once (rows).  Larger batches are
-# split into hash blocks, each scanning the stored vectors once.
-MAX_QUESTION_BLOCK = 4096
-# Candidates kept per question before the exact re-score (beyond k).
-RESCORE_SLACK = 8
-# Doubles in one score block inside a Python worker (~32 MB): questions are
-# scored in sub-blocks so worker memory does not grow with the batch sizes.
+from ..functions.vectors import l2_normalize
+from .embedding import term_weights
+from .ranking import distributed_row_number, topk_per_group
+
+# Rows of one packed block of stored vectors / of questions (expected; packing is by hash).
+BLOCK_ROWS = 1024
+QUESTION_ROWS = 128
+# Doubles in one difference tensor inside a Python worker (~32 MB).
 SCORE_CELLS = 4_000_000
+# Keys a token's postings are spread over.
+TOKEN_SALTS = 16
+# Places that distances and scores are rounded to before they rank.
+PLACES = 9
 
 
 # ---------------------------------------------------------------- filters
@@ -57,333 +56,196 @@ def select_collections(chunks: DataFrame, selector: str | None) -> DataFrame:
 
 
 # ---------------------------------------------------------------- dense scoring
-def _to_block(rows):
-    ids = np.array([r[0] for r in rows], dtype="int64")
-    mat = np.array([np.asarray(r[1], dtype="float64") for r in rows])
-    return ids, mat
-
-
-def _question_blocks(questions: DataFrame, qid: str, vec: str, level: int = 0):
-    """Yield bounded (ids, matrix) blocks of the question batch.  A batch that
-    fits one block is fetched once (at most ``MAX_QUESTION_BLOCK`` rows);
-    a larger one is split in two by a hash of the id, recursively, so every
-    block fetched to the driver is bounded and no question is dropped."""
-    rows = questions.select(qid, vec).limit(MAX_QUESTION_BLOCK + 1).collect()
-    if len(rows) <= MAX_QUESTION_BLOCK:
-        if rows:
-            yield _to_block(rows)
-        return
-    if level >= 32:
-        raise ValueError(f"more than {MAX_QUESTION_BLOCK} questions share one id")
-    for b in (0, 1):
-        half = questions.where(F.pmod(F.xxhash64(F.col(qid), F.lit(level)), F.lit(2)) == b)
-        yield from _question_blocks(half, qid, vec, level + 1)
-
-
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype="float64") for v in vectors])
-
-
-_OUT = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("vec_id", T.LongType()),
-    T.StructField("collection", T.StringType()),
-    T.StructField("distance", T.DoubleType()),
-    T.StructField("similarity", T.DoubleType()),
-])
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _exact_sq_l2(vecs: np.ndarray, q: np.ndarray) -> np.ndarray:
-    d = vecs - q
-    return np.einsum("ij,ij->i", d, d)
-
+def _metric_vector(vec, metric: str):
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    v = F.transform(vec, lambda x: x.cast("double"))
+    return l2_normalize(v) if metric == "cosine" else v
+
+
+def score_pairs(stored: DataFrame, questions: DataFrame, pairs: DataFrame, id_col: str = "vec_id",
+                coll_col: str = "collection", vec_col: str = "embedding", qid: str = "query_id",
+                qvec: str = "embedding", metric: str = "l2") -> DataFrame:
+    """R1/R2 over a given pair table (``qid``, ``id_col``): squared L2 distance (or 1 - cosine) and
+    similarity = max(0, 1 - distance).  Two equi-joins; one row per given pair."""
+    q = questions.select(qid, _metric_vector(F.col(qvec), metric).alias("_q"))
+    s = stored.select(id_col, F.col(coll_col).alias("collection"), _metric_vector(F.col(vec_col), metric).alias("_v"))
+    scale = 0.5 if metric == "cosine" else 1.0
+    squares = F.zip_with("_v", "_q", lambda a, b: (a - b) * (a - b))
+    d = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x) * scale
+    out = pairs.select(qid, id_col).join(q, qid).join(s, id_col)
+    return (out.withColumn("distance", F.round(d, PLACES))
+            .withColumn("similarity", F.greatest(F.lit(0.0), 1.0 - F.col("distance")))
+            .select(qid, id_col, "collection", "distance", "similarity"))
 
-def _topk_mapper(qids, qmat, k, id_col, coll_col, vec_col, scale=1.0, unit=False):
-    cells = SCORE_CELLS
-    qn = np.einsum("ij,ij->i", qmat, qmat)
 
-    def run(batches):
-        best: dict[int, pd.DataFrame] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = _stack(pdf[vec_col])
-            if unit:
-                vecs = _unit_rows(vecs)
-            vn = np.einsum("ij,ij->i", vecs, vecs)
-            ids = pdf[id_col].to_numpy(dtype="int64")
-            colls = pdf[coll_col].astype(str).to_numpy()
-            m = min(len(pdf), k + RESCORE_SLACK)
-            step = max(1, cells // len(pdf))  # score matrix of about `cells` doubles
-            for lo in range(0, len(qids), step):
-                approx = scale * (vn[:, None] + qn[None, lo:lo + step] - 2.0 * (vecs @ qmat[lo:lo + step].T))
-                for jj in range(approx.shape[1]):
-                    j, q = lo + jj, qids[lo + jj]
-                    sim = np.maximum(0.0, 1.0 - approx[:, jj])
-                    order = np.lexsort((ids, approx[:, jj], colls, -sim))[:m]
-                    exact = scale * _exact_sq_l2(vecs[order], qmat[j])
-                    cand = pd.DataFrame({"query_id": q, "vec_id": ids[order],
-                                         "collection": colls[order], "distance": exact,
-                                         "similarity": np.maximum(0.0, 1.0 - exact)})
-                    prev = best.get(q)
-                    if prev is not None:
-                        cand = pd.concat([prev, cand], ignore_index=True)
-                    best[q] = cand.sort_values(["similarity", "collection", "distance", "vec_id"],
-                                               ascending=[False, True, True, True]).head(k)
-        if best:
-            yield pd.concat(best.values(), ignore_index=True)
-
-    return run
-
-
-def _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col, scale=1.0, unit=False):
+# R4 order: similarity desc, then collection, distance and id (stable tie rule).
+def hit_order(id_col: str = "vec_id"):
+    return [F.col("similarity").desc(), F.col("collection").asc(), F.col("distance").asc(), F.col(id_col).asc()]
+
+
+def rank_all(scored: DataFrame, qid: str = "query_id", id_col: str = "vec_id") -> DataFrame:
+    """Every scored pair numbered within its question (nothing cut)."""
+    return distributed_row_number(scored, [qid], hit_order(id_col))
+
+
+def _rank_keys(values) -> np.ndarray:
+    """Order numbers of strings or ids, for numeric sorting."""
+    return np.unique(np.asarray(values), return_inverse=True)[1]
+
+
+def topk(stored: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", coll_col: str = "collection",
+         vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding", metric: str = "l2") -> DataFrame:
+    """Exact top-k per question; ids of any type.  Distances are exact differences, rounded to
+    PLACES, in every block; vectors without a value or of another width than the question take no part."""
+    scale = 0.5 if metric == "cosine" else 1.0
+    n_blocks = max(1, -(-stored.count() // BLOCK_ROWS))
+    n_parts = max(1, -(-questions.count() // QUESTION_ROWS))
+    s = stored.select(F.col(id_col).alias("i"), F.col(coll_col).cast("string").alias("c"),
+                      _metric_vector(F.col(vec_col), metric).alias("v")).where("v IS NOT NULL")
+    s = s.withColumn("block", F.pmod(F.xxhash64("i", "c", "v"), F.lit(n_blocks)).cast("int")) \
+        .groupBy("block").agg(F.collect_list(F.struct("i", "c", "v")).alias("s")) \
+        .select("block", F.col("s.i").alias("i"), F.col("s.c").alias("c"), F.col("s.v").alias("v"))
+    q = questions.select(F.col(qid).alias("qi"), _metric_vector(F.col(qvec), metric).alias("qv")).where("qv IS NOT NULL")
+    q = q.groupBy(F.pmod(F.xxhash64("qi"), F.lit(n_parts)).alias("part")).agg(
+        F.collect_list(F.struct("qi", "qv")).alias("q")) \
+        .select(F.col("q.qi").alias("qi"), F.col("q.qv").alias("qv"),
+                F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    qtype, itype = (questions.schema[qid].dataType.simpleString(), stored.schema[id_col].dataType.simpleString())
     cells = SCORE_CELLS
 
     def run(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = _stack(pdf[vec_col])
-            if unit:
-                vecs = _unit_rows(vecs)
-            ids = pdf[id_col].to_numpy(dtype="int64")
-            colls = pdf[coll_col].astype(str).to_numpy()
-            n = len(ids)
-            # difference tensor of n x qblock x dim doubles stays near `cells`
-            qblock = max(1, cells // max(1, n * vecs.shape[1]))
-            for lo in range(0, len(qids), qblock):
-                qb = qmat[lo:lo + qblock]
-                diff = vecs[:, None, :] - qb[None, :, :]
-                d = scale * np.einsum("ijk,ijk->ji", diff, diff).ravel()
-                yield pd.DataFrame({"query_id": np.repeat(qids[lo:lo + qblock], n),
-                                    "vec_id": np.tile(ids, len(qb)),
-                                    "collection": np.tile(colls, len(qb)),
-                                    "distance": d, "similarity": np.maximum(0.0, 1.0 - d)})
-    return run
-
-
-def dense_scores(stored: DataFrame, questions: DataFrame, k: int | None,
-                 id_col: str = "vec_id", coll_col: str = "collection",
-                 vec_col: str = "embedding", qid: str = "query_id",
-                 qvec: str = "embedding", metric: str = "l2") -> DataFrame:
-    """Score every stored vector against every question.
-
-    ``metric='l2'``: distance = squared L2 (the reference's store default).
-    ``metric='cosine'``: distance = 1 - cosine similarity (computed as half
-    the squared L2 of the unit vectors).  similarity = max(0, 1 - distance).
-    ``k`` given: each task emits only its top-k per question (then a final
-    bounded WindowGroupLimit is applied by ``topk``).  ``k=None``: all pairs.
-    """
-    if metric not in ("l2", "cosine"):
-        raise ValueError(f"unknown metric {metric!r}")
-    scale, unit = (0.5, True) if metric == "cosine" else (1.0, False)
-    src = spread(stored.select(F.col(id_col).cast("bigint").alias(id_col),
-                               F.col(coll_col).cast("string").alias(coll_col), vec_col))
-    parts = []
-    for qids, qmat in _question_blocks(questions, qid, qvec):
-        if unit:
-            qmat = _unit_rows(qmat)
-        fn = (_topk_mapper(qids, qmat, k, id_col, coll_col, vec_col, scale, unit) if k is not None
-              else _all_pairs_mapper(qids, qmat, id_col, coll_col, vec_col, scale, unit))
-        parts.append(src.mapInPandas(fn, schema=_OUT))
-    if not parts:
-        return stored.sparkSession.createDataFrame([], _OUT)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+            for qi, qv, ids, colls, vecs in zip(pdf["qi"], pdf["qv"], pdf["i"], pdf["c"], pdf["v"], strict=True):
+                width = np.array([len(v) for v in vecs])
+                ids, colls = np.asarray(ids), np.asarray(colls)
+                for question, vector in zip(qi, qv, strict=True):
+                    at = np.flatnonzero(width == len(vector))
+                    if not len(at):
+                        continue
+                    d = np.empty(len(at))
+                    step = max(1, cells // max(1, len(vector)))
+                    for a in range(0, len(at), step):
+                        diff = np.stack([vecs[j] for j in at[a:a + step]]) - vector
+                        d[a:a + step] = scale * np.einsum("ij,ij->i", diff, diff)
+                    d = np.round(d, PLACES)
+                    sim = np.maximum(0.0, 1.0 - d)
+                    best = np.lexsort((_rank_keys(ids[at]), d, _rank_keys(colls[at].astype(str)), -sim))[:k]
+                    yield pd.DataFrame({"query_id": question, "hit": ids[at][best], "collection": colls[at][best],
+                                        "distance": d[best], "similarity": sim[best]})
+
+    met = q.join(s, "block").select("qi", "qv", "i", "c", "v")
+    found = met.mapInPandas(run, f"query_id {qtype}, hit {itype}, collection string, distance double, similarity double")
+    found = found.withColumnRenamed("hit", id_col).withColumnRenamed("query_id", qid)
+    return topk_per_group(found, [qid], hit_order(id_col), k)
 
-# R4 order: similarity desc, then collection, distance and id (stable tie rule).
-def hit_order():
-    return [F.col("similarity").desc(), F.col("collection").asc(),
-            F.col("distance").asc(), F.col("vec_id").asc()]
 
+# ---------------------------------------------------------------- sparse
+def postings(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """(key, token, weight): 64-bit token hashes with unit-length term-frequency weights, one row per
+    distinct token of a text."""
+    v = df.select(key, term_weights(F.col(text_col)).alias("v"))
+    return v.select(key, F.inline(F.arrays_zip(F.col("v.tokens").alias("token"), F.col("v.weights").alias("weight"))))
 
-def topk(stored: DataFrame, questions: DataFrame, k: int, **kw) -> DataFrame:
-    """Exact top-k per question."""
-    scored = dense_scores(stored, questions, k, **kw)
-    return topk_per_group(scored, ["query_id"], hit_order(), k)
 
+def sparse_scores(chunk_terms: DataFrame, question_terms: DataFrame,
+                  chunk_key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
+    """Dot products of unit-length term vectors through their shared tokens.
 
-def rank_all(stored: DataFrame, questions: DataFrame, **kw) -> DataFrame:
-    """Every stored vector ranked for every question (nothing cut)."""
-    scored = dense_scores(stored, questions, None, **kw)
-    return distributed_row_number(scored, ["query_id"], hit_order())
+    A frequent token's chunk postings are spread over TOKEN_SALTS keys and its question postings copied
+    to each, so no token is one task.  Chunks that share no token with a question score 0 and are not
+    emitted."""
+    salt = F.pmod(F.xxhash64(chunk_key), F.lit(TOKEN_SALTS)).cast("int")
+    q = question_terms.select(query_key, "token", F.col("weight").alias("qw"),
+                              F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
+    joined = chunk_terms.withColumn("salt", salt).join(q, ["token", "salt"])
+    return joined.groupBy(query_key, chunk_key).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
 
 
-# ---------------------------------------------------------------- sparse
-def sparse_scores(chunk_terms: DataFrame, question_terms: DataFrame,
-                  chunk_key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
-    """J4 as an inverted-index equi-join: dot products of unit-length hashed
-    vectors through the shared buckets.  The question postings are bounded
-    (questions x buckets) and broadcast after a size check, so the chunk
-    postings are not shuffled and a hot bucket causes no skew.  Chunks sharing no bucket with
-    a question score 0 and are not emitted.  Every shared posting becomes a
-    join row, so for large chunk sets prefer ``sparse_rank`` (same scores,
-    computed per Arrow batch)."""
-    q = checked_broadcast(question_terms.select(query_key, "bucket", F.col("weight").alias("qw")))
-    joined = chunk_terms.join(q, "bucket")
-    return (joined.groupBy(query_key, chunk_key)
-            .agg(F.sum(F.col("weight") * F.col("qw")).alias("score")))
-
-
-_SPARSE_OUT = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("chunk_id", T.StringType()),
-    T.StructField("score", T.DoubleType()),
-    T.StructField("text_len", T.LongType()),
-    T.StructField("text", T.StringType()),
-])
-
-
-def _sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text):
-    cells = SCORE_CELLS
+def sparse_order(chunk_key: str = "chunk_id"):
+    return [F.round(F.col("score"), PLACES).desc(), F.col(chunk_key).asc()]
 
-    def keep(cand: pd.DataFrame) -> pd.DataFrame:
-        # rank order inside the partition: score (9 places) desc, chunk_id asc
-        cand = cand.assign(_k=-cand["score"].round(9)).sort_values(
-            ["query_id", "_k", "chunk_id"], kind="mergesort").drop(columns="_k")
-        if k is not None:
-            return cand.groupby("query_id", sort=False).head(k)
-        used = (cand["text_len"] + sep_len).groupby(cand["query_id"], sort=False).cumsum() - sep_len
-        return cand[used.to_numpy() <= budget]
-
-    def select(scores, ids, tl):
-        """(row, question) pairs that can still be in this partition's result."""
-        rounded = np.round(scores, 9)
-        if k is not None:
-            kk = min(k, len(ids))
-            kth = -np.partition(-rounded, kk - 1, axis=0)[kk - 1]
-            return np.nonzero((rounded >= kth[None, :]) & (scores > 0))
-        # every question column sorted at once: score (9 places) desc, then
-        # chunk_id; zero scores sort last, so they never shift a running sum
-        id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        order = np.lexsort((np.broadcast_to(id_rank[:, None], rounded.shape), -rounded), axis=0)
-        used = np.cumsum(tl[order] + sep_len, axis=0) - sep_len
-        keep = (np.take_along_axis(scores, order, axis=0) > 0) & (used <= budget)
-        return order[keep], np.nonzero(keep)[1]
 
-    def run(batches):
-        kept = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            lens = pdf["buckets"].map(len).to_numpy()
-            mat = np.zeros((n, dim))
-            if lens.sum():
-                mat[np.repeat(np.arange(n), lens),
-                    np.concatenate(pdf["buckets"].to_numpy()).astype("int64")] = \
-                    np.concatenate(pdf["weights"].to_numpy())
-            ids = pdf["chunk_id"].to_numpy().astype(str)
-            tl = pdf["text_len"].to_numpy(dtype="int64")
-            step = max(1, cells // n)  # score matrix of about `cells` doubles
-            for lo in range(0, len(qids), step):
-                scores = mat @ qmat[lo:lo + step].T
-                row, col = select(scores, ids, tl)
-                if not len(row):
-                    continue
-                cand = pd.DataFrame({"query_id": qids[lo:lo + step][col], "chunk_id": ids[row],
-                                     "score": scores[row, col], "text_len": tl[row],
-                                     "text": pdf["text"].to_numpy()[row] if carry_text else None})
-                kept = keep(cand if kept is None else pd.concat([kept, cand], ignore_index=True))
-        if kept is not None and len(kept):
-            yield kept[["query_id", "chunk_id", "score", "text_len", "text"]]
-    return run
-
-
-def sparse_rank(chunk_vectors: DataFrame, question_vectors: DataFrame, dim: int,
-                k: int | None = None, budget: int | None = None, sep_len: int = 2,
-                carry_text: bool = False) -> DataFrame:
-    """J4 scored per Arrow batch: each chunk's hashed vector (``buckets``,
-    ``weights``) against a bounded block of question vectors (dense
-    ``embedding`` of width ``dim``).  Only per-partition survivors leave a
-    task: the top ``k`` per question, or - with ``budget`` - the rows whose
-    partition-local running length fits the budget (every row of the global
-    budgeted prefix survives this, so the final cut stays exact).  With
-    ``carry_text`` the survivors keep their text, so no join back is needed."""
-    cols = [F.col("chunk_id").cast("string").alias("chunk_id"), "buckets", "weights",
-            F.col("text_len").cast("bigint")]
-    if carry_text:
-        cols.append("text")
-    src = spread(chunk_vectors.select(*cols))
-    parts = []
-    for qids, qmat in _question_blocks(question_vectors, "query_id", "embedding"):
-        parts.append(src.mapInPandas(_sparse_mapper(qids, qmat, dim, k, budget, sep_len, carry_text),
-                                     schema=_SPARSE_OUT))
-    if not parts:
-        return chunk_vectors.sparkSession.createDataFrame([], _SPARSE_OUT)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if carry_text else out.drop("text")
+def rank_sparse(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """J4 + R5: (query_id, rank, chunk_id, score) of the k best chunks per question."""
+    scored = scored_chunks(chunks, questions)
+    return topk_per_group(scored, ["query_id"], sparse_order(), k)
 
 
 def context_budget(ranked: DataFrame, order: list, budget: int, sep_len: int = 2,
                    group: str = "query_id", text_col: str = "text") -> DataFrame:
-    """Keep rows in rank order while the running length (text plus
-    separator) stays within ``budget`` characters.  At most
-    ``budget // (1 + sep_len) + 1`` rows can fit, so only that many per group
-    pass the partial/final group limit before the running sum."""
-    cap = budget // (1 + sep_len) + 1
-    top = topk_per_group(ranked, [group], order, cap, out="_r")
+    """Rows in rank order while the running length (texts plus separators) stays within ``budget``.
+
+    The running sum is over the whole ranking, so the layout of the data does not matter.  A row takes at
+    least its separator, so only ``budget // sep_len + 1`` rows can fit and no more pass the group limit."""
+    if sep_len < 1:
+        raise ValueError("a separator of at least one character bounds the rows that can fit")
+    top = topk_per_group(ranked, [group], order, budget // sep_len + 1, out="_r")
     w = Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.length(F.col(text_col)) + F.lit(sep_len)).over(w) - F.lit(sep_len)
-    return (top.withColumn("used_chars", used.cast("bigint"))
-            .where(F.col("used_chars") <= budget))
+    return top.withColumn("used_chars", used.cast("bigint")).where(F.col("used_chars") <= budget)
+
+
+def scored_chunks(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of every chunk that shares a token with a question."""
+    return sparse_scores(postings(chunks, "chunk_id"), postings(questions, "query_id", "query"))
+
+
+def ranked_rows(scored: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
+    """Ranked context within a caller's budget as ordered rows: query_id, rank, chunk_id, text, used_chars."""
+    sized = scored.join(chunks.select("chunk_id", "text"), "chunk_id")
+    return context_budget(sized, sparse_order(), budget).select(
+        "query_id", F.col("_r").alias("rank"), "chunk_id", "text", "used_chars")
+
+
+def with_empty_contexts(hits: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(query_id, context) of every question in ``hits`` (rows with query_id): one whose first chunk exceeds
+    the budget has hits and an empty context."""
+    return (hits.select("query_id").distinct().join(contexts, "query_id", "left")
+            .withColumn("context", F.coalesce("context", F.lit(""))))
 
 
 def ordered_concat(df: DataFrame, group: list[str], order_col: str, text_col: str = "text",
                    sep: str = "\n\n", out: str = "context") -> DataFrame:
-    """A1: texts joined with ``sep`` in ``order_col`` order (bounded groups
-    only - feed it through ``context_budget``)."""
+    """A1: texts joined with ``sep`` in ``order_col`` order, for rows that ``context_budget`` has bounded."""
     return (df.groupBy(*group)
             .agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),
                                                       F.col(text_col).alias("t")))).alias("_l"))
             .select(*group, F.array_join(F.transform("_l", lambda s: s["t"]), sep).alias(out)))
 
 
+# ---------------------------------------------------------------- scopes
+def _scope(shape, collection, folder, document):
+    return F.concat_ws("|", shape, collection, folder, document)
+
 
+def request_scopes(requests: DataFrame) -> DataFrame:
+    """``requests`` (username, folder_name, document_name) with ``scope``: the one key their filters name."""
+    none = F.lit("")
+    has_f = F.coalesce(F.col("folder_name"), none) != ""
+    has_d = F.coalesce(F.col("document_name"), none) != ""
+    shape = F.when(has_f & has_d, F.lit("B")).when(has_f, F.lit("F")).when(has_d, F.lit("D")).otherwise(F.lit("U"))
+    return requests.withColumn("scope", _scope(
+        shape, collection_name(F.col("username")), F.when(has_f, F.col("folder_name")).otherwise(none),
+        F.when(has_d, F.col("document_name")).otherwise(none)))
 
-def scoped_context(chunks: DataFrame, questions: DataFrame, budget: int,
+
+def scoped_context(chunks: DataFrame, requests: DataFrame,
                    order_cols: tuple[str, str] = ("doc_key", "chunk_index")) -> DataFrame:
-    """J6 + F1 + R6 + A1: per chat request, the chunks of the user's
-    collection that match its folder and/or document, in document order,
-    within ``budget`` characters, joined with blank lines.
-
-    One equi-join matches every scope shape: each chunk carries its four scope
-    keys (user; user+folder; user+document; user+folder+document) and each
-    request computes the one key its filters describe, so no request is paired
-    with chunks outside its scope and the chunk table is read once.  The
-    request batch is the build side of a broadcast hash join after a size
-    check, so the chunk side is streamed, never shuffled, and a user holding
-    most of the chunks does not concentrate in one task (beyond the check the
-    join shuffles and AQE's skew-join splits hot keys)."""
+    """J6 + F1 + A1: (scope, pos, chunk_id, text), all chunks of each distinct scope in document order.
+
+    Every chunk carries its four scope keys (user; + folder; + document; both), so matching is one
+    equi-join on ids and no request is paired with chunks outside its scope; a scope that many requests
+    share is built once.  Rows are numbered over range partitions, so a user who holds most chunks is no
+    single task, and texts join last."""
     none = F.lit("")
-    f = F.coalesce(F.col("folder_name"), none)
-    d = F.coalesce(F.col("document_name"), none)
-    scope_keys = F.array(
-        F.struct(F.lit("U").alias("shape"), none.alias("kf"), none.alias("kd")),
-        F.struct(F.lit("F").alias("shape"), f.alias("kf"), none.alias("kd")),
-        F.struct(F.lit("D").alias("shape"), none.alias("kf"), d.alias("kd")),
-        F.struct(F.lit("B").alias("shape"), f.alias("kf"), d.alias("kd")))
-    c = (chunks.select("collection", "chunk_id", "text", *order_cols, F.explode(scope_keys).alias("k"))
-         .select("collection", "chunk_id", "text", *order_cols, "k.shape", "k.kf", "k.kd"))
-    has_f = F.col("folder_name").isNotNull() & (F.col("folder_name") != "")
-    has_d = F.col("document_name").isNotNull() & (F.col("document_name") != "")
-    shape = (F.when(has_f & has_d, F.lit("B")).when(has_f, F.lit("F"))
-             .when(has_d, F.lit("D")).otherwise(F.lit("U")))
-    q = questions.select(
-        "query_id", collection_name(F.col("username")).alias("collection"), shape.alias("shape"),
-        F.when(has_f, F.col("folder_name")).otherwise(none).alias("kf"),
-        F.when(has_d, F.col("document_name")).otherwise(none).alias("kd"))
-    hits = c.join(checked_broadcast(q), ["collection", "shape", "kf", "kd"]).select(
-        "query_id", "chunk_id", "text", *order_cols)
-    kept = context_budget(hits, [F.col(order_cols[0]), F.col(order_cols[1])], budget)
-    return ordered_concat(kept, ["query_id"], "_r")
+    f, d = F.coalesce(F.col("folder_name"), none), F.coalesce(F.col("document_name"), none)
+    keys = F.array(*(_scope(F.lit(s), F.col("collection"), x, y)
+                     for s, x, y in (("U", none, none), ("F", f, none), ("D", none, d), ("B", f, d))))
+    wanted = request_scopes(requests).select("scope").distinct()
+    hits = (chunks.select("collection", "chunk_id", *order_cols, F.explode(keys).alias("scope"))
+            .join(wanted, "scope"))
+    order = [F.col(order_cols[0]), F.col(order_cols[1]), F.col("chunk_id")]
+    numbered = distributed_row_number(hits, ["scope"], order, out="pos")
+    return (numbered.join(chunks.select("collection", "chunk_id", "text"), ["collection", "chunk_id"])
+            .select("scope", (F.col("pos") - 1).alias("pos"), "chunk_id", "text"))

@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import BROADCAST_ROW_LIMIT
-
 KEYS = ["collection", "chunk_id"]
 # Largest number of collections one delete/replace names in a manifest; a
 # change touching more collections is written as a full compaction instead.
@@ -31,6 +29,9 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("source_type", T.StringType()),
     T.StructField("content_type", T.StringType()),
+    T.StructField("domain", T.StringType()),
+    T.StructField("title", T.StringType()),
+    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     T.StructField("embedding", T.ArrayType(T.DoubleType())),
 ])
 
@@ -43,15 +44,22 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def first_write_wins(batch: DataFrame, order_col: str = "ingest_seq") -> DataFrame:
-    """One row per (collection, chunk_id): the one with the lowest
-    ``order_col``.  ``min_by`` is a partial + final aggregate, so a key with
-    many copies is reduced map-side before the shuffle."""
-    if order_col not in batch.columns:
-        batch = batch.withColumn(order_col, F.lit(0).cast("bigint"))
-    others = [c for c in batch.columns if c not in KEYS]
-    picked = (batch.groupBy(*KEYS)
-              .agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_row")))
-    return picked.select(*KEYS, *[F.col(f"_row.{c}").alias(c) for c in others]).drop(order_col)
+    """One row per (collection, chunk_id), all chunks of a document from one delivery.
+
+    The first delivery of a (collection, doc_key) wins whole: the one with the lowest (``order_col`` when
+    given, ``source``).  Its other deliveries are dropped before chunks are compared, so chunks of two files
+    with one key never mix, whatever the layout."""
+    doc = ["collection", "doc_key"] if "doc_key" in batch.columns else KEYS
+    order = F.struct(*[F.col(c) for c in (order_col, "source") if c in batch.columns], F.lit(0).alias("_z"))
+    batch = batch.withColumn("_order", order)
+    first = batch.groupBy(*doc).agg(F.min("_order").alias("_first"))
+    for c in doc:
+        first = first.withColumnRenamed(c, f"_{c}")
+    match = F.col("_order") == F.col("_first")
+    for c in doc:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    kept = batch.join(first, match).drop("_order", "_first", order_col, *[f"_{c}" for c in doc])
+    return kept.dropDuplicates(KEYS)
 
 
 def add_if_absent(existing: DataFrame, new: DataFrame, order_col: str = "ingest_seq") -> DataFrame:
@@ -73,19 +81,20 @@ def replace_documents(existing: DataFrame, new: DataFrame, order_col: str = "ing
 
 def delete_by_ids(existing: DataFrame, ids: DataFrame) -> DataFrame:
     """K9: remove exactly the listed (collection, chunk_id) rows."""
-    ids = ids.select(*KEYS).distinct()
-    if ids.count() <= BROADCAST_ROW_LIMIT:
-        ids = F.broadcast(ids)
-    return existing.join(ids, KEYS, "left_anti")
+    return existing.join(ids.select(*KEYS).distinct(), KEYS, "left_anti")
 
 
-def clear_collections(existing: DataFrame, requests: DataFrame, name_col: str = "collection"
-                      ) -> DataFrame:
+def clear_collections(existing: DataFrame, requests: DataFrame, name_col: str = "collection",
+                      emptied: DataFrame | None = None) -> DataFrame:
     """K8 result rows: per requested collection, whether it existed, how many
-    chunks were deleted, and the status (False when missing, else True)."""
+    chunks were deleted, and the status (False when missing, else True).
+    ``emptied`` (collection): collections that exist without chunks."""
     req = requests.select(F.col(name_col).alias("collection")).distinct()
     # per-collection counts need only the partition column of the table
     counts = existing.groupBy("collection").agg(F.count(F.lit(1)).alias("_n"))
+    if emptied is not None:
+        counts = counts.unionByName(emptied.select("collection", F.lit(0).cast("bigint").alias("_n"))) \
+            .groupBy("collection").agg(F.max("_n").alias("_n"))
     r = req.join(counts, "collection", "left")
     return r.select("collection",
                     F.col("_n").isNotNull().alias("existed"),
@@ -199,19 +208,22 @@ class ChunkStore:
         if not fs.rename(tmp, self._jpath(f"{self.path}/_versions/v{n:06d}.json")):
             raise RuntimeError(f"version {n} was published concurrently")
 
-    def _write_batch(self, df: DataFrame, n: int) -> str:
+    def _write_batch(self, df: DataFrame, n: int, embed=None) -> str:
         folder = f"b{n:06d}"
-        (conform(df)
-         # range partitioning keeps a collection's rows together yet spreads a
-         # very large collection over several writer tasks
-         .repartitionByRange("collection", "doc_key", "chunk_index")
-         .write.mode("error").partitionBy("collection").parquet(f"{self.path}/data/{folder}"))
+        # range partitioning keeps a collection's rows together yet spreads a
+        # very large collection over several writer tasks
+        rows = conform(df).repartitionByRange("collection", "doc_key", "chunk_index")
+        if embed is not None:
+            rows = conform(embed(rows.drop("embedding")))   # behind the range sample: once per chunk
+        rows.write.mode("error").partitionBy("collection").parquet(f"{self.path}/data/{folder}")
         return folder
 
     # ------------------------------------------------------------ reads
     def _read_entries(self, entries: list[dict]) -> DataFrame:
         parts = []
         for e in entries:
+            if "folder" not in e:
+                continue
             df = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/data/{e['folder']}")
             if e.get("excluded"):
                 df = df.where(~F.col("collection").isin(*e["excluded"]))
@@ -229,11 +241,14 @@ class ChunkStore:
         return self._read_entries(self._manifest(version))
 
     # ------------------------------------------------------------ writes
-    def add(self, new: DataFrame, replace: bool = False) -> int:
+    def add(self, new: DataFrame, replace: bool = False, embed=None) -> int:
         """K1 insert-if-absent: only rows whose (collection, chunk_id) is not
         stored are written, as a new batch folder.  With ``replace`` the
         stored chunks of the incoming documents are dropped first (only the
-        collections of the batch are rewritten).  Returns the rows written."""
+        collections of the batch are rewritten).  ``embed`` adds the embedding
+        column to the rows that are new, after the stored ones are left out, so
+        a chunk is embedded once and a replay embeds nothing.  Returns the rows
+        written."""
         entries = self._manifest()
         current = self._read_entries(entries)
         extra = [c for c in new.columns if c == "ingest_seq"]
@@ -242,8 +257,11 @@ class ChunkStore:
         if replace:
             touched = self._touched(batch)
             scope = current if touched is None else current.where(F.col("collection").isin(*touched))
-            folder = self._write_batch(replace_documents(scope, batch), n)
-            entries = self._hide(entries, touched)
+            docs = batch.select("collection", "doc_key").distinct()
+            kept = scope.join(docs, ["collection", "doc_key"], "left_anti")
+            entries = self._hide(entries, touched) + [{"folder": self._write_batch(kept, n), "excluded": []}]
+            n += 1
+            folder = self._write_batch(first_write_wins(batch), n, embed)
         else:
             # only the collections present in the batch are read for the
             # anti-join: a partition filter, pruned at the scan
@@ -252,7 +270,7 @@ class ChunkStore:
             if touched is not None:
                 stored_keys = stored_keys.where(F.col("collection").isin(*touched))
             fresh = first_write_wins(batch).join(stored_keys, KEYS, "left_anti")
-            folder = self._write_batch(fresh, n)
+            folder = self._write_batch(fresh, n, embed)
         written = self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/data/{folder}").count()
         if written or replace:
             self._publish(n, entries + [{"folder": folder, "excluded": []}])
@@ -283,23 +301,30 @@ class ChunkStore:
         the change was a full rewrite)."""
         if touched is None:
             return []
-        return [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched))) for e in entries]
+        return [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(touched))) if "folder" in e else e
+                for e in entries]
+
+    def emptied(self) -> DataFrame:
+        """Collections that were cleared: they exist without chunks until something is added."""
+        names = sorted({c for e in self._manifest() for c in e.get("emptied", [])})
+        return self.spark.createDataFrame([(c,) for c in names], "collection string")
 
     def clear(self, collections: list[str]) -> DataFrame:
         """K8: result rows, then a new version that hides the collections
         (no data is rewritten)."""
         cur = self.read()
         req = self.spark.createDataFrame([(c,) for c in collections], "collection string")
-        result = clear_collections(cur, req).cache()
-        result.count()
-        entries = [dict(e, excluded=sorted(set(e.get("excluded", [])) | set(collections)))
-                   for e in self._manifest()]
+        result = clear_collections(cur, req, emptied=self.emptied())
+        rows = result.collect()         # one per name the caller listed
+        known = [r["collection"] for r in rows if r["existed"]]
+        entries = self._hide(self._manifest(), list(collections)) + ([{"emptied": known}] if known else [])
         self._publish(self._next_number(), entries)
-        return result
+        return self.spark.createDataFrame(rows, result.schema)
 
     def compact(self) -> None:
         """Merge every visible row into one batch folder (drops hidden data
         from the current version; older versions keep their folders)."""
         n = self._next_number()
         folder = self._write_batch(self.read(), n)
-        self._publish(n, [{"folder": folder, "excluded": []}])
+        emptied = [e for e in self._manifest() if "folder" not in e]
+        self._publish(n, [{"folder": folder, "excluded": []}, *emptied])

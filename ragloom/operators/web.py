@@ -77,6 +77,7 @@ def parsed_pages(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("_p.title"), F.lit(UNTITLED)).alias("title"),
         squash_lines(F.col("_p.text")).alias("text"),
         F.col("_p.links").alias("raw_links"),
+        F.col("_p.error").alias("parse_error"),
     )
 
 
@@ -147,9 +148,17 @@ def page_metadata(parsed: DataFrame, caller: dict | None = None) -> DataFrame:
     )
 
 
-def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
+def one_page_per_url(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with ``_key``, the URL without its fragment; of several crawled pages with one key the
+    lowest page_id stands for it."""
+    keyed = parsed.withColumn("_key", url_without_fragment(F.col("url")))
+    first = keyed.groupBy("_key").agg(F.min("page_id").alias("page_id"))
+    return keyed.join(first, ["_key", "page_id"], "left_semi")
+
+
+def linked_content(parsed: DataFrame, max_links: int | None = None,
                    links: DataFrame | None = None, materialized: bool = False) -> DataFrame:
-    """For each of the first ``max_links`` kept links, the linked page's
+    """For each kept link (the first ``max_links`` when given), the linked page's
     block ``--- Content from TITLE (URL) ---\\n\\nTEXT\\n\\n``.  Links whose
     target is not in the crawl are skipped (they still used up the cap).
     ``links`` (page_id, pos, url) replaces the links found in the pages."""
@@ -157,24 +166,24 @@ def linked_content(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
         parsed = materialize(parsed)  # read by both sides of the join
     if links is None:
         links = page_links(parsed, max_links)
-    else:
+    elif max_links is not None:
         links = links.where(F.col("pos") < max_links)
     links = links.withColumn("_key", url_without_fragment(F.col("url")))
-    targets = parsed.where(is_html_type(F.col("content_type"))).select(
-        url_without_fragment(F.col("url")).alias("_key"),
-        F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
+    targets = one_page_per_url(parsed.where(is_html_type(F.col("content_type")))).select(
+        "_key", F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
     joined = links.join(targets, "_key")
     block = F.concat(F.lit("--- Content from "), F.col("_t_title"), F.lit(" ("), F.col("url"),
                      F.lit(") ---\n\n"), F.col("_t_text"), F.lit("\n\n"))
     return joined.select("page_id", "pos", "url", block.alias("block"))
 
 
-def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
+def pages_with_links(parsed: DataFrame, max_links: int | None = None,
                      follow_links: bool = True, materialized: bool = False,
                      links: DataFrame | None = None) -> DataFrame:
     """Page text plus ``--- LINKED CONTENT ---`` and the linked blocks
-    joined by a newline in link order; ``linked_pages_count`` counts pages
-    (each page has at most ``max_links`` blocks)."""
+    joined by a newline in link order; ``linked_pages_count`` counts pages.
+    A page's row holds the blocks of its own links; ``linked_content`` has
+    them as rows."""
     if not follow_links:
         return parsed.select("page_id", "url", "domain", "title", "text",
                              F.lit(False).alias("includes_linked_content"),
@@ -196,7 +205,7 @@ def pages_with_links(parsed: DataFrame, max_links: int = MAX_LINKS_SINGLE,
 
 
 def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
-              max_links: int = MAX_LINKS_BATCH, follow_links: bool = True,
+              max_links: int | None = None, follow_links: bool = True,
               chunk_size: int = CHUNK_SIZE, sep: str = PARAGRAPH_SEP,
               materialized: bool = False) -> DataFrame:
     """S9 + K3: one receipt per requested URL.  URLs found in the crawl are
@@ -207,11 +216,15 @@ def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
     content = pages_with_links(parsed.where(content_kind(F.col("content_type")) == "html"),
                                max_links, follow_links, materialized=True)
     text = empty_placeholder(F.col("text"), F.col("url"), kind="url")
-    ok = content.select("url", F.size(chunk_text(text, chunk_size, sep)).cast("bigint").alias("_n"))
+    failed = parsed.where(F.col("parse_error").isNotNull()).select("page_id", "parse_error")
+    ok = (one_page_per_url(content.join(failed, "page_id", "left"))
+          .select("_key", F.size(chunk_text(text, chunk_size, sep)).cast("bigint").alias("_n"), "parse_error"))
     pdf_urls = parsed.where(content_kind(F.col("content_type")) == "pdf").select(
-        "url", F.lit(True).alias("_pdf"))
-    j = urls.select("url").join(ok, "url", "left").join(pdf_urls, "url", "left")
-    found = F.col("_n").isNotNull()
+        url_without_fragment(F.col("url")).alias("_key"), F.lit(True).alias("_pdf")).distinct()
+    j = (urls.select("url").withColumn("_key", url_without_fragment(F.col("url")))
+         .join(ok, "_key", "left").join(pdf_urls, "_key", "left"))
+    found = F.col("_n").isNotNull() & F.col("parse_error").isNull()
+    broken = F.concat(F.lit("Failed to process content from "), F.col("url"), F.lit(": "), F.col("parse_error"))
     missing = F.concat(F.lit("Failed to fetch content from "), F.col("url"), F.lit(": not in the crawl table"))
     no_pdf = F.concat(F.lit("Failed to process PDF content from "), F.col("url"),
                       F.lit(": no PDF extractor is available"))
@@ -221,8 +234,9 @@ def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
         F.when(found, F.md5(F.col("url"))).alias("document_id"),
         F.when(found, F.lit("html")).alias("content_type"),
         F.when(found, F.lit(collection)).alias("collection"),
-        F.col("_n").alias("chunks"),
-        F.when(~found, F.when(F.col("_pdf"), no_pdf).otherwise(missing)).alias("error"),
+        F.when(found, F.col("_n")).alias("chunks"),
+        F.when(~found, F.when(F.col("parse_error").isNotNull(), broken).when(F.col("_pdf"), no_pdf)
+               .otherwise(missing)).alias("error"),
     )
 
 

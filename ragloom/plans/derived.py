@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collection_name
 from ..operators.chunking import CHUNK_SIZE, explode_chunks
-from ..operators.embedding import hash_dense, hashed_vector
+from ..operators.embedding import hash_dense
 from ..operators.partitioning import spread
 from ..sources import tables
 
@@ -20,7 +20,7 @@ from ..sources import tables
 FIXTURE_SEP = "\n"
 QUESTION_DIM = 64          # = width of the stored vectors in `embeddings`
 TEXT_DIM = 256             # hashed width for chunk/question text retrieval
-CONTEXT_BUDGET = 8000      # characters of context handed to the model
+CONTEXT_BUDGET = 8000      # the budget that the context_budget query asks for
 TOP_K = 5
 SPARSE_TOP_K = 10
 
@@ -58,16 +58,17 @@ def stored_vectors(spark, sf_dir) -> DataFrame:
     return e.select("vec_id", F.col("label").cast("string").alias("collection"), "embedding")
 
 
-def chunk_vectors(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
-    """Hashed vectors of every chunk, kept sparse in the row."""
-    c = doc_chunks(spark, sf_dir)
-    return c.select("chunk_id", "text", hashed_vector(F.col("text"), dim).alias("v"),
-                    F.length("text").cast("bigint").alias("text_len")).select(
-        "chunk_id", "text", "v.buckets", "v.weights", "text_len")
+def question_pairs(spark, sf_dir) -> DataFrame:
+    """A given pair table: each stored vector with one question, dealt round-robin by id."""
+    n = questions(spark, sf_dir).agg((F.max("query_id") + 1).alias("n"))
+    v = stored_vectors(spark, sf_dir).select("vec_id", F.lit(1).alias("_k")).join(n.withColumn("_k", F.lit(1)), "_k")
+    return v.select((F.col("vec_id") % F.col("n")).alias("query_id"), "vec_id")
 
 
-def question_dense(spark, sf_dir, dim: int = TEXT_DIM) -> DataFrame:
-    return hash_dense(questions(spark, sf_dir), "query_id", "query", dim)
+def chunk_embeddings(spark, sf_dir, dim: int = QUESTION_DIM) -> DataFrame:
+    """Document chunks with the vectors of the bundled provider, as the store keeps them."""
+    c = doc_chunks(spark, sf_dir).select("chunk_id", "collection", "text")
+    return c.join(hash_dense(c, "chunk_id", "text", dim), "chunk_id")
 
 
 def page_chunks(spark, sf_dir) -> DataFrame:

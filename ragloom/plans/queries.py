@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import fit_dimension, l2_normalize
 from ..operators import chunking, embedding, retrieval
-from ..operators.ranking import topk_per_group
 from ..sources import tables
 from . import derived as D
 
@@ -82,20 +81,24 @@ def embedding_normalize(spark, sf):
 
 
 # ------------------------------------------------------------------ dense retrieval
-def _hits(df):
-    return df.select("query_id", "vec_id", "collection", r6(F.col("distance")).alias("distance"),
+def _hits(df, id_col="vec_id"):
+    return df.select("query_id", id_col, "collection", r6(F.col("distance")).alias("distance"),
                      r6(F.col("similarity")).alias("similarity"), *[c for c in ["rank"] if c in df.columns])
 
 
+def _scored_pairs(spark, sf):
+    return retrieval.score_pairs(D.stored_vectors(spark, sf), D.question_vectors(spark, sf),
+                                 D.question_pairs(spark, sf))
+
+
 @query
 def pairwise_distance(spark, sf):
-    s = retrieval.dense_scores(D.stored_vectors(spark, sf), D.question_vectors(spark, sf), None)
-    return _hits(s)
+    return _hits(_scored_pairs(spark, sf))
 
 
 @query
 def rank_all(spark, sf):
-    return _hits(retrieval.rank_all(D.stored_vectors(spark, sf), D.question_vectors(spark, sf)))
+    return _hits(retrieval.rank_all(_scored_pairs(spark, sf)))
 
 
 @query
@@ -103,45 +106,44 @@ def topk(spark, sf):
     return _hits(retrieval.topk(D.stored_vectors(spark, sf), D.question_vectors(spark, sf), D.TOP_K))
 
 
-# ------------------------------------------------------------------ sparse retrieval
-def sparse_order():
-    return [F.round(F.col("score"), 9).desc(), F.col("chunk_id").asc()]
+@query
+def store_topk(spark, sf):
+    """Dense ranking of the chunk table by its stored vectors: string ids, the text carried."""
+    c = D.chunk_embeddings(spark, sf)
+    best = retrieval.topk(c, D.question_vectors(spark, sf), D.TOP_K, id_col="chunk_id")
+    return _hits(best, "chunk_id").join(c.select("chunk_id", "text"), "chunk_id")
 
 
+# ------------------------------------------------------------------ sparse retrieval
 @query
 def rank_sparse(spark, sf):
-    s = retrieval.sparse_rank(D.chunk_vectors(spark, sf), D.question_dense(spark, sf), D.TEXT_DIM,
-                              k=D.SPARSE_TOP_K)
-    r = topk_per_group(s, ["query_id"], sparse_order(), D.SPARSE_TOP_K)
+    r = retrieval.rank_sparse(D.doc_chunks(spark, sf), D.questions(spark, sf), D.SPARSE_TOP_K)
     return r.select("query_id", "rank", "chunk_id", r6(F.col("score")).alias("score"))
 
 
-def _budgeted(spark, sf):
-    survivors = retrieval.sparse_rank(D.chunk_vectors(spark, sf), D.question_dense(spark, sf),
-                                      D.TEXT_DIM, budget=D.CONTEXT_BUDGET, carry_text=True)
-    return retrieval.context_budget(survivors, sparse_order(), D.CONTEXT_BUDGET)
+def _scored(spark, sf):
+    return retrieval.scored_chunks(D.doc_chunks(spark, sf), D.questions(spark, sf))
 
 
-@query
-def context_budget(spark, sf):
-    b = _budgeted(spark, sf)
-    return b.select("query_id", F.col("_r").alias("rank"), "chunk_id", "used_chars")
+def _ranked_rows(spark, sf):
+    return retrieval.ranked_rows(_scored(spark, sf), D.doc_chunks(spark, sf), D.CONTEXT_BUDGET)
 
 
-def _ranked_context(spark, sf):
-    return retrieval.ordered_concat(_budgeted(spark, sf), ["query_id"], "_r")
+@query
+def context_budget(spark, sf):
+    return _ranked_rows(spark, sf).drop("text")
 
 
 @query
 def ranked_context(spark, sf):
-    return _ranked_context(spark, sf)
+    return retrieval.ordered_concat(_ranked_rows(spark, sf), ["query_id"], "rank")
 
 
 @query
 def ranked_prompt(spark, sf):
-    from ..operators.prompts import ranked_prompt as build
-    ctx = _ranked_context(spark, sf)
-    return build(ctx.join(D.questions(spark, sf), "query_id")).select("query_id", "prompt")
+    from ..operators.prompts import ranked_prompts
+    context = retrieval.with_empty_contexts(_scored(spark, sf), ranked_context(spark, sf))
+    return ranked_prompts(D.questions(spark, sf), context)
 
 
 # ------------------------------------------------------------------ web pages
@@ -220,7 +222,7 @@ def sitemap_linked_content(spark, sf):
     """J1 over the derived host-successor edges (no fixture link resolves)."""
     from ..operators import web
     parsed, links = _sitemap(spark, sf)
-    return web.linked_content(parsed, web.MAX_LINKS_SINGLE, links)
+    return web.linked_content(parsed, links=links)
 
 
 @query
@@ -405,24 +407,12 @@ def clear_all_user_data(spark, sf):
 
 
 # ------------------------------------------------------------------ chat
-def _scoped(spark, sf):
-    return retrieval.scoped_context(D.store_chunks(spark, sf, include_web=False), D.chat_questions(spark, sf),
-                                    D.CONTEXT_BUDGET)
-
-
 @query
 def scoped_context(spark, sf):
-    return _scoped(spark, sf)
+    return retrieval.scoped_context(D.store_chunks(spark, sf, include_web=False), D.chat_questions(spark, sf))
 
 
 @query
 def chat_prompt(spark, sf):
-    from ..operators.prompts import chat_prompt as build
-    from ..operators.prompts import no_documents_message
-    q = D.chat_questions(spark, sf)
-    j = q.join(_scoped(spark, sf), "query_id", "left").withColumn("_found", F.col("context").isNotNull())
-    found = F.col("_found")
-    out = build(j.withColumn("context", F.coalesce("context", F.lit(""))))
-    return out.select("query_id",
-                      F.when(found, F.col("prompt")).alias("prompt"),
-                      F.when(~found, no_documents_message()).alias("response"))
+    from ..operators.prompts import chat_parts
+    return chat_parts(retrieval.request_scopes(D.chat_questions(spark, sf)), scoped_context(spark, sf))

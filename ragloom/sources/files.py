@@ -187,7 +187,13 @@ def chunk_files(extracted: DataFrame, collection: str = "default", metadata: dic
         F.lit(collection).alias("collection"), "chunk_id", "doc_key", "chunk_index", "text",
         doc_name.alias("document_name"), folder.alias("folder_name"),
         F.col("path").alias("source"), F.lit("file").alias("source_type"),
-        F.regexp_replace(F.col("ext"), r"^\.", "").alias("content_type"))
+        F.regexp_replace(F.col("ext"), r"^\.", "").alias("content_type"),
+        _metadata_map(meta).alias("metadata"))
+
+
+def _metadata_map(meta: dict) -> Column:
+    pairs = [F.lit(str(x)) for kv in sorted(meta.items()) for x in kv]
+    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
 
 
 def ingest_receipts(extracted: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@
   micro-batch writes its own ``epoch=N`` folder, so a replay overwrites the
   same output instead of duplicating it.
 
-Checkpoints go under the session's ``spark.checkpoint.dir`` (shared
-storage on a cluster) unless a location is given.
+Each stream keeps its progress in the checkpoint folder its caller names.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import ChunkStore
-from ..session import scratch_path
 from ..sources.files import BINARY_FILE_SCHEMA, chunk_files, extract_files
 
 QUESTION_SCHEMA = "query_id string, username string, folder_name string, document_name string, query string"
@@ -30,35 +28,29 @@ QUESTION_SCHEMA = "query_id string, username string, folder_name string, documen
 def ingest_files(files: DataFrame, store: ChunkStore, collection: str = "default",
                  metadata: dict | None = None, provider=None, dim: int = 768,
                  input_cap: int | None = None) -> DataFrame:
-    """Path A as one batch job: extract -> chunk -> (embed) -> insert-if-absent.
-    Returns the per-file receipts.  The extracted files are persisted so the
-    embedding provider sees each chunk once."""
+    """Path A as one batch job: extract -> chunk -> insert-if-absent, new chunks
+    embedded by ``provider`` as they are written.  Returns the per-file receipts.
+    The chunks are checkpointed, so nothing is extracted or packed twice."""
     from ..operators.embedding import embed
+    from ..operators.partitioning import materialize
     from ..sources.files import ingest_receipts
 
-    extracted = extract_files(files).persist()
-    try:
-        chunks = chunk_files(extracted, collection, metadata)
-        if provider is not None:
-            chunks = embed(chunks, provider, dim=dim, input_cap=input_cap)
-        store.add(chunks)
-        receipts = ingest_receipts(extracted, chunk_files(extracted, collection, metadata))
-        receipts = receipts.cache()
-        receipts.count()
-        return receipts
-    finally:
-        extracted.unpersist()
-
-
-def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore,
-                      collection: str = "default", metadata: dict | None = None,
-                      checkpoint: str | None = None, available_now: bool = True,
+    extracted = materialize(extract_files(files))
+    chunks = materialize(chunk_files(extracted, collection, metadata))
+    adding = None if provider is None else (lambda rows: embed(rows, provider, dim=dim, input_cap=input_cap))
+    store.add(chunks, embed=adding)
+    return ingest_receipts(extracted, chunks)
+
+
+def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore, checkpoint: str,
+                      collection: str = "default", metadata: dict | None = None, available_now: bool = True,
                       glob: str | None = None, receipts_path: str | None = None,
                       provider=None, dim: int = 768,
                       max_files_per_trigger: int = 1000) -> StreamingQuery:
     """T1 + T3: each micro-batch holds at most ``max_files_per_trigger`` new
     files (a backlog becomes several bounded batches, also with
-    ``availableNow``) and goes through ``ingest_files``."""
+    ``availableNow``) and goes through ``ingest_files``.  ``checkpoint`` names
+    the stream's own shared folder, so a restart goes on where it stopped."""
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger))
     if glob:
@@ -70,35 +62,30 @@ def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore,
         if receipts_path:
             (receipts.withColumn("epoch", F.lit(epoch_id))
              .write.mode("overwrite").parquet(f"{receipts_path}/epoch={epoch_id}"))
-        receipts.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option(
-        "checkpointLocation", checkpoint or scratch_path(spark, "ingest-ckpt"))
+        "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def start_question_stream(spark: SparkSession, source_dir: str, store: ChunkStore, out_path: str,
-                          budget: int = 8000, checkpoint: str | None = None,
-                          available_now: bool = True,
+                          checkpoint: str, budget: int, available_now: bool = True,
                           max_files_per_trigger: int = 100) -> StreamingQuery:
-    """Question files -> scoped prompts against the current chunk table,
-    one ``epoch=N`` output folder per micro-batch."""
-    from ..operators.prompts import chat_prompt, no_documents_message
-    from ..operators.retrieval import scoped_context
+    """Question files -> scoped prompts of at most ``budget`` characters of context against the current
+    chunk table, one ``epoch=N`` output folder per micro-batch.  ``checkpoint`` names the stream's own shared
+    folder, so a restart goes on where it stopped."""
+    from ..operators.prompts import assemble_prompts
+    from ..workflows import chat
 
     stream = (spark.readStream.schema(QUESTION_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        ctx = scoped_context(store.read(), batch, budget)
-        j = batch.join(ctx, "query_id", "left").withColumn("_found", F.col("context").isNotNull())
-        out = chat_prompt(j.withColumn("context", F.coalesce("context", F.lit(""))))
-        (out.select("query_id", F.when(F.col("_found"), F.col("prompt")).alias("prompt"),
-                    F.when(~F.col("_found"), no_documents_message()).alias("response"))
+        (assemble_prompts(chat(store.read(), batch), budget)
          .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}"))
 
     w = stream.writeStream.foreachBatch(handle).option(
-        "checkpointLocation", checkpoint or scratch_path(spark, "questions-ckpt"))
+        "checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -19,13 +19,10 @@ from pyspark.sql import functions as F
 from .functions.text import empty_placeholder
 from .operators import prompts, registry, retrieval, store, trainset, web
 from .operators.chunking import CHUNK_SIZE, PARAGRAPH_SEP, explode_chunks
-from .operators.embedding import HASH_DIM, hash_dense, hashed_vector
+from .operators.embedding import HASH_DIM, embed
 from .operators.partitioning import materialize
-from .operators.ranking import topk_per_group
 from .sources.files import read_files
 
-CONTEXT_BUDGET = 8000
-
 
 def ingest_path(spark: SparkSession, path: str, chunk_store: store.ChunkStore, username: str | None = None,
                 collection: str = "default", metadata: dict | None = None, provider=None,
@@ -39,65 +36,76 @@ def ingest_path(spark: SparkSession, path: str, chunk_store: store.ChunkStore, u
 
 def ingest_pages(pages: DataFrame, chunk_store: store.ChunkStore, collection: str = "default",
                  metadata: dict | None = None, follow_links: bool = True,
-                 max_links: int = web.MAX_LINKS_BATCH) -> DataFrame:
+                 max_links: int | None = None) -> DataFrame:
     """Path B over a crawl table (page_id, url, html[, content_type]): page
     text with linked pages, placeholder, packing, md5 ids, merged metadata;
     returns one receipt per page."""
     parsed = materialize(web.parsed_pages(pages))
     html_pages = parsed.where(web.content_kind(F.col("content_type")) == "html")
     content = web.pages_with_links(html_pages, max_links, follow_links, materialized=True)
-    meta = web.page_metadata(parsed, metadata).select("page_id", "document_name", "source",
-                                                      F.col("metadata"))
+    meta = web.page_metadata(parsed, metadata).select("page_id", "document_name", "metadata")
     content = (content.join(meta, "page_id")
                .withColumn("text", empty_placeholder(F.col("text"), F.col("url"), kind="url"))
                .withColumn("doc_key", F.md5("url")))
     chunks = explode_chunks(content, "doc_key", "text", CHUNK_SIZE, PARAGRAPH_SEP,
-                            keep=["url", "document_name", "metadata"])
+                            keep=["url", "domain", "title", "document_name", "metadata"])
     rows = chunks.select(
         F.lit(collection).alias("collection"), "chunk_id", "doc_key", "chunk_index", "text",
         "document_name", F.element_at("metadata", F.lit("folder_name")).alias("folder_name"),
         F.col("url").alias("source"), F.lit("web").alias("source_type"),
-        F.element_at("metadata", F.lit("content_type")).alias("content_type"))
+        F.element_at("metadata", F.lit("content_type")).alias("content_type"), "domain", "title", "metadata")
     chunk_store.add(rows)
     return web.url_batch(pages.select("url"), parsed, collection, max_links, follow_links,
                          materialized=True)
 
 
-def chat(chunks: DataFrame, requests: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
-    """Path C for a batch of requests (query_id, username, query,
-    folder_name, document_name): the scoped prompt, or the no-documents
-    answer when the scope is empty."""
-    ctx = retrieval.scoped_context(chunks, requests, budget)
-    j = requests.join(ctx, "query_id", "left").withColumn("_found", F.col("context").isNotNull())
-    out = prompts.chat_prompt(j.withColumn("context", F.coalesce("context", F.lit(""))))
-    return out.select("query_id", F.when(F.col("_found"), F.col("prompt")).alias("prompt"),
-                      F.when(~F.col("_found"), prompts.no_documents_message()).alias("response"))
+def chat(chunks: DataFrame, requests: DataFrame) -> DataFrame:
+    """Path C for a batch of requests (query_id, username, query, folder_name, document_name): ordered prompt
+    rows (``prompts.chat_parts``), every chunk of the scope, or the no-documents answer."""
+    return prompts.chat_parts(retrieval.request_scopes(requests), retrieval.scoped_context(chunks, requests))
+
+
+def answer(chunks: DataFrame, requests: DataFrame, model, budget: int) -> DataFrame:
+    """Path C from request to answer (query_id, prompt, response): prompts of at most ``budget`` characters of
+    context through the caller's batch function ``model``; scopes without documents keep their message."""
+    asked = prompts.assemble_prompts(chat(chunks, requests), budget)
+    return _answered(asked, model)
+
+
+def _answered(asked: DataFrame, model) -> DataFrame:
+    got = prompts.infer(asked.where("prompt IS NOT NULL").drop("response"), model)
+    return got.select("query_id", "prompt", "response").unionByName(
+        asked.where("prompt IS NULL").select("query_id", "prompt", "response"))
+
 
+def ask(chunks: DataFrame, questions: DataFrame, budget: int, selector: str | None = None, model=None,
+        provider=None, k: int | None = None, dim: int = HASH_DIM) -> DataFrame:
+    """Path D for a batch of questions (query_id, query): the CLI prompt over ranked chunks of the selected
+    collection(s) within ``budget`` characters; questions without any hit get the no-documents answer.
 
-def ask(chunks: DataFrame, questions: DataFrame, selector: str | None = None,
-        budget: int = CONTEXT_BUDGET, dim: int = HASH_DIM) -> DataFrame:
-    """Path D for a batch of questions (query_id BIGINT, query): chunks of the
-    selected collection(s) ranked by hashed-vector similarity, the budgeted
-    context, and the CLI prompt.  Questions without any hit get no row."""
+    Without ``provider`` chunks rank by their term vectors.  With ``provider`` (the batch embedding function
+    the chunks were stored with) the questions are embedded and ranked against the stored ``embedding``
+    column, the ``k`` nearest chunks of each.  ``model`` turns prompts into responses."""
     scoped = retrieval.select_collections(chunks, selector)
-    vecs = scoped.select("chunk_id", "text", hashed_vector(F.col("text"), dim).alias("v"),
-                         F.length("text").cast("bigint").alias("text_len")).select(
-        "chunk_id", "text", "v.buckets", "v.weights", "text_len")
-    qv = hash_dense(questions, "query_id", "query", dim)
-    survivors = retrieval.sparse_rank(vecs, qv, dim, budget=budget, carry_text=True)
-    kept = retrieval.context_budget(survivors, [F.round(F.col("score"), 9).desc(), F.col("chunk_id")],
-                                    budget)
-    ctx = retrieval.ordered_concat(kept, ["query_id"], "_r")
-    return prompts.ranked_prompt(ctx.join(questions, "query_id")).select("query_id", "context", "prompt")
-
-
-def top_chunks(chunks: DataFrame, questions: DataFrame, k: int, dim: int = HASH_DIM) -> DataFrame:
-    """R5 over hashed vectors: the k best chunks per question."""
-    vecs = chunks.select("chunk_id", hashed_vector(F.col("text"), dim).alias("v"),
-                         F.length("text").cast("bigint").alias("text_len")).select(
-        "chunk_id", "v.buckets", "v.weights", "text_len")
-    s = retrieval.sparse_rank(vecs, hash_dense(questions, "query_id", "query", dim), dim, k=k)
-    return topk_per_group(s, ["query_id"], [F.round(F.col("score"), 9).desc(), F.col("chunk_id")], k)
+    if provider is None:
+        ranked = retrieval.scored_chunks(scoped, questions)
+        kept = retrieval.ranked_rows(ranked, scoped, budget)
+    else:
+        if k is None:
+            raise ValueError("ranking by stored vectors needs k")
+        vectors = embed(questions.select("query_id", "query"), provider, "query", dim=dim)
+        stored = scoped.where("embedding IS NOT NULL")
+        top = retrieval.topk(stored, vectors, k, id_col="chunk_id")
+        ranked = top.join(stored.select("chunk_id", "collection", "text"), ["chunk_id", "collection"])
+        kept = retrieval.context_budget(ranked, [F.col("rank")], budget)
+    context = retrieval.with_empty_contexts(ranked, retrieval.ordered_concat(kept, ["query_id"], "rank"))
+    out = prompts.ranked_prompts(questions, context)
+    return out if model is None else _answered(out, model)
+
+
+def top_chunks(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """R5 over term vectors: the k best chunks per question."""
+    return retrieval.rank_sparse(chunks, questions, k)
 
 
 def curate_training(spark: SparkSession, path: str, fmt: str = "json") -> tuple[DataFrame, DataFrame,
@@ -109,10 +117,10 @@ def curate_training(spark: SparkSession, path: str, fmt: str = "json") -> tuple[
     return distinct, pairs, rejects
 
 
-def clear_user(chunk_store: store.ChunkStore, users: DataFrame, usernames: list[str]) -> DataFrame:
-    """Chunks (K8) and folders (K10) of the users; True only if both
-    succeed.  The store gets a new version without those collections."""
+def clear_user(chunk_store: store.ChunkStore, users: DataFrame, usernames: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Chunks (K8) and folders (K10) of the users; True only if both succeed.  Returns (result rows, the
+    registry after the clear); the store gets a new version without those collections."""
     spark = chunk_store.spark
     req = spark.createDataFrame([(u,) for u in usernames], "username string")
     k8 = chunk_store.clear([f"user_{u}_docs" for u in usernames])
-    return registry.clear_all(users, k8, req)
+    return registry.clear_all(users, k8, req), registry.apply_folder_clears(users, req)

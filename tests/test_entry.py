@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.columns == ["query_id", "prompt"]
+    assert df.columns == ["query_id", "prompt", "response"]
     assert df.count() > 0
 
 
@@ -19,7 +19,7 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.parametrize("key", ["chunk_documents", "hash_embedding", "topk", "html_to_text", "page_links",
-                                 "scoped_context", "train_pairs", "add_if_absent", "rank_sparse"])
+                                 "scoped_context", "train_pairs", "add_if_absent", "rank_sparse", "store_topk", "chat_prompt"])
 def test_queries_match_oracle_small(spark, key):
     con = duckdb.connect()
     for t in TABLES:

@@ -116,3 +116,25 @@ def test_content_type_dispatch(spark):
     assert got["http://h.example.com/b"].status == "success"
     meta = {r.page_id: r.content_type for r in web.page_metadata(parsed).collect()}
     assert meta == {1: "html", 2: "pdf", 3: "html"}
+
+
+def test_one_target_per_url_and_fragment_receipts(spark):
+    from ragloom.operators import web
+
+    link = '<a href="/b">the other page</a>'
+    rows = [(1, "http://h/a", f"<title>A</title><p>text a</p>{link}"), (2, "http://h/b#x", "<title>B</title><p>late</p>"),
+            (0, "http://h/b", "<title>B</title><p>text b</p>")]
+    parsed = web.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    page = web.pages_with_links(parsed).where("page_id = 1").first()
+    assert page.linked_pages_count == 1 and "text b" in page.text and "late" not in page.text
+    urls = spark.createDataFrame([("http://h/b#sec",), ("http://h/none",)], "url string")
+    got = {r.url: r.status for r in web.url_batch(urls, parsed).collect()}
+    assert got == {"http://h/b#sec": "success", "http://h/none": "error"}
+
+
+def test_parser_error_becomes_a_receipt(spark, monkeypatch):
+    from ragloom.functions import html
+
+    assert html.parse_page("<p>x</p>", "http://h/")["error"] is None
+    monkeypatch.setattr(html._PageParser, "finish", lambda self: 1 / 0)
+    assert html.parse_page("<p>x</p>", "http://h/")["error"].startswith("ZeroDivisionError")

@@ -39,23 +39,50 @@ def test_topk_matches_brute_force(spark):
     assert len(got) == 5 * len(qs)
 
 
-def test_rank_all_matches_brute_force(spark):
+def test_rank_all_of_given_pairs(spark):
     vecs, qs, stored, questions = _data(spark, n=120, q=3)
-    got = retrieval.rank_all(stored, questions).collect()
+    pairs = stored.select("vec_id").crossJoin(questions.select("query_id")).where("vec_id % 2 = 0 OR query_id = 100")
+    got = retrieval.rank_all(retrieval.score_pairs(stored, questions, pairs)).collect()
     exp = _brute(vecs, qs)
-    assert len(got) == 120 * 3
+    assert len(got) == 120 + 60 * 2
     for r in got:
-        assert exp[r.query_id][r.rank - 1] == r.vec_id
+        order = [i for i in exp[r.query_id] if i % 2 == 0 or r.query_id == 100]
+        assert order[r["rank"] - 1] == r.vec_id
+        assert np.isclose(r.distance, ((vecs[r.vec_id] - qs[r.query_id - 100]) ** 2).sum(), atol=1e-8)
 
 
-def test_question_blocks_split(spark, monkeypatch):
-    vecs, qs, stored, questions = _data(spark, n=50, q=9)
-    monkeypatch.setattr(retrieval, "MAX_QUESTION_BLOCK", 4)
+def test_topk_over_many_blocks(spark, monkeypatch):
+    vecs, qs, stored, questions = _data(spark, n=90, q=9)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(retrieval, "QUESTION_ROWS", 2)
+    monkeypatch.setattr(retrieval, "SCORE_CELLS", 25)
     got = retrieval.topk(stored, questions, 3).collect()
     exp = _brute(vecs, qs, 3)
     assert len(got) == 27
     for r in got:
-        assert exp[r.query_id][r.rank - 1] == r.vec_id
+        assert exp[r.query_id][r["rank"] - 1] == r.vec_id
+
+
+def test_topk_is_exact_for_large_norms(spark):
+    """Norms that hide the differences from a |v|^2 + |q|^2 - 2vq shortcut."""
+    rnd = np.random.default_rng(3)
+    vecs = 1e4 + np.round(rnd.normal(size=(400, 8)), 3)
+    q = 1e4 + np.round(rnd.normal(size=8), 3)
+    stored = spark.createDataFrame([(f"c{i}", "x", vecs[i].tolist()) for i in range(400)],
+                                   "vec_id string, collection string, embedding array<double>")
+    questions = spark.createDataFrame([("q", q.tolist())], "query_id string, embedding array<double>")
+    d = np.round(((vecs - q) ** 2).sum(1), 9)
+    want = sorted(range(400), key=lambda i: (-max(0.0, 1 - d[i]), d[i], f"c{i}"))[:5]
+    got = retrieval.topk(stored, questions, 5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [f"c{i}" for i in want]
+
+
+def test_topk_edges(spark):
+    _, _, stored, questions = _data(spark, n=4, q=2)
+    assert retrieval.topk(stored.limit(0), questions, 3).count() == 0
+    assert retrieval.topk(stored, questions.limit(0), 3).count() == 0
+    odd = stored.unionByName(spark.createDataFrame([(50, "z", None), (51, "z", [1.0])], stored.schema))
+    assert retrieval.topk(odd, questions, 9).count() == 8
 
 
 def test_distributed_row_number_on_skewed_groups(spark):
@@ -82,12 +109,21 @@ def test_topk_plan_uses_group_limit(spark):
 
 def test_sparse_scores_equal_dot_products(spark):
     c = spark.createDataFrame([("c1", 0, 0.6), ("c1", 1, 0.8), ("c2", 1, 1.0), ("c3", 2, 1.0)],
-                              "chunk_id string, bucket long, weight double")
-    q = spark.createDataFrame([(1, 0, 1.0), (2, 1, 0.6), (2, 2, 0.8)], "query_id long, bucket long, weight double")
+                              "chunk_id string, token long, weight double")
+    q = spark.createDataFrame([(1, 0, 1.0), (2, 1, 0.6), (2, 2, 0.8)], "query_id long, token long, weight double")
     got = {(r.query_id, r.chunk_id): round(r.score, 9) for r in retrieval.sparse_scores(c, q).collect()}
     assert got == {(1, "c1"): 0.6, (2, "c1"): 0.48, (2, "c2"): 0.6, (2, "c3"): 0.8}
 
 
+def test_rank_sparse(spark):
+    chunks = spark.createDataFrame([("a", "red fish, red boat"), ("b", "Red fish"), ("c", "green"), ("d", "")],
+                                   "chunk_id string, text string")
+    qs = spark.createDataFrame([(1, "red fish"), (2, "nothing here"), (3, None)], "query_id long, query string")
+    got = [(r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in
+           retrieval.rank_sparse(chunks, qs, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, "b", 1.0), (1, 2, "a", round(3 / (6 ** 0.5 * 2 ** 0.5), 6))]
+
+
 def test_context_budget_prefix(spark):
     rows = [(1, i, "x" * 10) for i in range(10)]
     df = spark.createDataFrame(rows, "query_id long, pos long, text string")
@@ -98,31 +134,35 @@ def test_context_budget_prefix(spark):
     assert ctx == "\n\n".join(["x" * 10] * 3)
 
 
-def test_scoring_in_small_sub_blocks(spark, monkeypatch):
-    vecs, qs, stored, questions = _data(spark, n=60, q=7)
-    monkeypatch.setattr(retrieval, "SCORE_CELLS", 25)  # one question per sub-block
-    got = retrieval.topk(stored, questions, 4).collect()
-    exp = _brute(vecs, qs, 4)
-    assert len(got) == 28
-    for r in got:
-        assert exp[r.query_id][r.rank - 1] == r.vec_id
-    pairs = retrieval.dense_scores(stored, questions, None).count()
-    assert pairs == 60 * 7
-    # sparse scoring: dense question block of width 3, chunks as (buckets, weights)
-    chunks = spark.createDataFrame(
-        [(f"c{i}", [i % 3], [1.0], 10, f"t{i:02d}".ljust(10, ".")) for i in range(12)],
-        "chunk_id string, buckets array<bigint>, weights array<double>, text_len bigint, text string")
-    qv = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 0.6, 0.8])], "query_id long, embedding array<double>")
-    top = retrieval.sparse_rank(chunks, qv, 3, k=2).collect()
-    by_q = {}
-    for r in top:
-        by_q.setdefault(r.query_id, set()).add(r.chunk_id)
-    assert by_q[1] <= {"c0", "c3", "c6", "c9"} and len(by_q[1]) >= 2
-    budgeted = retrieval.sparse_rank(chunks, qv, 3, budget=22, carry_text=True).collect()
-    kept = retrieval.context_budget(spark.createDataFrame(budgeted), [F.round(F.col("score"), 9).desc(),
-                                                                      F.col("chunk_id")], 22).collect()
-    # 10 + 2 + 10 = 22 fits, a third chunk does not; ties on score go by chunk_id
-    assert sorted((r.query_id, r.chunk_id) for r in kept) == [(1, "c0"), (1, "c3"), (2, "c11"), (2, "c2")]
+def test_budget_does_not_depend_on_the_layout(spark):
+    rows = [(1, i, "x" * n) for i, n in enumerate([5000, 1000, 4000, 500])]
+    df = spark.createDataFrame(rows, "query_id long, pos long, text string")
+    for parts in (1, 2, 4, 16):
+        kept = retrieval.context_budget(df.repartition(parts, "pos"), [F.col("pos")], budget=8000)
+        assert sorted(r.pos for r in kept.collect()) == [0, 1]
+
+
+def test_budget_counts_empty_texts(spark):
+    df = spark.range(6000).select(F.lit(1).alias("query_id"), "id", F.lit("").alias("text"))
+    assert retrieval.context_budget(df, [F.col("id")], budget=8000).count() == 4001
+
+
+def test_scoped_context_is_whole_on_any_layout(spark):
+    rows = [("user_a_docs", f"d{d}_{i}", f"d{d}", i, f"name{d}", f"f{d % 2}", "t" * (900 if d == 1 else 3))
+            for d in range(4) for i in range(30)]
+    chunks = spark.createDataFrame(rows, "collection string, chunk_id string, doc_key string, chunk_index long, "
+                                         "document_name string, folder_name string, text string")
+    reqs = spark.createDataFrame([(1, "a", None, None), (2, "a", "f1", ""), (3, "a", None, "name1"), (4, "a", "f0", "name1"),
+                                  (5, "b", None, None), (6, "a", None, "name1")],
+                                 "query_id long, username string, folder_name string, document_name string")
+    want = {"U|user_a_docs||": rows, "F|user_a_docs|f1|": [r for r in rows if r[5] == "f1"],
+            "D|user_a_docs||name1": [r for r in rows if r[4] == "name1"]}
+    for parts in (1, 16):
+        got = {}
+        for r in retrieval.scoped_context(chunks.repartition(parts), reqs).collect():
+            got.setdefault(r.scope, []).append((r.pos, r.chunk_id, r.text))
+        assert {s: sorted(x) for s, x in got.items()} == {
+            s: [(p, r[1], r[6]) for p, r in enumerate(sorted(x, key=lambda r: (r[2], r[3])))] for s, x in want.items()}
 
 
 def test_cosine_metric(spark):

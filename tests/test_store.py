@@ -25,6 +25,23 @@ def test_first_write_wins_inside_batch(spark):
     assert store.first_write_wins(df).first().text == "first"
 
 
+def test_one_delivery_wins_whole_on_any_layout(spark):
+    rows = [("c", f"k_doc_{i}", "k", i, f"{path}{i}", path) for path, n in (("b/x", 5), ("a/x", 3), ("z/x", 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "collection string, chunk_id string, doc_key string, chunk_index long, text string, source string")
+    for parts in (1, 3, 5, 7):
+        got = store.first_write_wins(df.repartition(parts))
+        assert sorted(r.text for r in got.collect()) == ["a/x0", "a/x1", "a/x2"]
+
+
+def test_cleared_collection_still_exists(spark):
+    st = store.ChunkStore(spark, scratch_path(spark, "store-empty"))
+    st.add(spark.createDataFrame(_rows("user_a_docs", "x", 3), COLS))
+    assert [(r.status, r.deleted) for r in st.clear(["user_a_docs"]).collect()] == [(True, 3)]
+    assert [(r.status, r.existed, r.deleted) for r in st.clear(["user_a_docs"]).collect()] == [(True, True, 0)]
+    assert st.add(spark.createDataFrame(_rows("user_a_docs", "x", 2), COLS)) == 2
+    assert st.read().count() == 2
+
+
 def test_chunk_store_replay_delete_clear(spark):
     st = store.ChunkStore(spark, scratch_path(spark, "store-test"))
     assert st.read().count() == 0
@@ -70,7 +87,7 @@ def test_registry_flows(spark):
     st = {(r.username, r.folder): r.status for r in registry.add_folders(users, req).collect()}
     assert st == {("en", "s1"): "exists", ("en", "new"): "added", ("xx", "s1"): "unknown_user"}
     updated = {r.username: r.folders for r in registry.apply_folder_adds(users, registry.add_folders(users, req)).collect()}
-    assert updated["en"] == ["new", "s1", "s2"]
+    assert updated["en"] == ["s1", "s2", "new"]  # appended behind the known folders
     folders = registry.user_folders(users, req.select("username")).collect()
     assert sorted((r.username, r.folder) for r in folders if r.username == "xx") == [("xx", None)]
     cleared = {r.username: (r.folder_count, r.status) for r in registry.clear_folders(users, req).collect()}

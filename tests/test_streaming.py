@@ -39,7 +39,7 @@ def test_file_stream_replay_and_restart(spark, tmpdir_path):
                     {"query_id": "q2", "username": "nobody", "query": "hm?"}]:
             f.write(json.dumps(rec) + "\n")
     out = scratch_path(spark, "prompts")
-    q = start_question_stream(spark, qdir, st, out)
+    q = start_question_stream(spark, qdir, st, out, scratch_path(spark, "questions-ckpt"), budget=8000)
     q.awaitTermination()
     got = {r.query_id: r for r in spark.read.parquet(out).collect()}
     assert got["q1"].prompt.startswith("one\n\ntwo\n\nthree\n\nfour\n\nAnswer concisely")
