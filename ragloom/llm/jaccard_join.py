@@ -157,39 +157,58 @@ def prefix_sets(docs: DataFrame, sketch: np.ndarray, size: int = SHINGLE, percen
             .withColumn("sid", F.monotonically_increasing_id()).checkpoint())
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(sid, items) of the sets in ``wanted`` (sid, s1, s2, least_doc), shingled again from their texts."""
+def whole_texts(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(sid, text) of the sets in ``wanted`` (sid, s1, s2, least_doc): a text that has the set.
+
+    Texts travel, not sets: hashes do not compress, and a set is quickly made again."""
     def run(batches):
         shingle = Shingler(size)
         for batch in batches:
             texts = batch.column(3).to_pylist()
             for a, b in blocks(texts):
-                sets = shingle(texts[a:b])
-                sig = [_signature(s) for s in sets]
-                same = [x == (p, q) for x, p, q in zip(sig, batch.column(1).slice(a, b - a).to_pylist(),
-                                                       batch.column(2).slice(a, b - a).to_pylist(), strict=True)]
-                at = [i for i, ok in enumerate(same) if ok]     # an id may have rows of other texts
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(pa.array(at, pa.int64())),
-                     pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))], names=["sid", "items"])
+                sig = [_signature(s) for s in shingle(texts[a:b])]
+                own = zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(),
+                          strict=True)
+                at = pa.array([i for i, (x, y) in enumerate(zip(sig, own, strict=True)) if x == y], pa.int64())
+                yield pa.RecordBatch.from_arrays(       # an id may have rows of other texts
+                    [batch.column(0).slice(a, b - a).take(at), batch.column(3).slice(a, b - a).take(at)],
+                    names=["sid", "text"])
 
     # only texts whose id falls in a wanted hash cell are shuffled
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
-    cells = wanted.select(F.pmod(F.xxhash64("least_doc"), F.lit(CELLS)).alias("cell")).distinct()   # at most CELLS rows
-    near = docs.select("doc_id", "text").withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
+    near = _in_cells(docs.select("doc_id", "text"), "doc_id", wanted, "least_doc")
     ids = near.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("content"))
     found = (ids.join(wanted, F.col("id").eqNullSafe(F.col("least_doc")))
              .groupBy("least_doc", "sid", "s1", "s2", "content").agg(F.first("text").alias("text")))
-    return found.select("sid", "s1", "s2", "text").mapInArrow(run, "sid long, items array<long>").checkpoint()
+    return found.select("sid", "s1", "s2", "text").mapInArrow(run, "sid long, text string").checkpoint()
+
+
+def _in_cells(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` whose key falls in a hash cell of a wanted key: a filter with a broadcast of at most CELLS rows."""
+    cells = wanted.select(F.pmod(F.xxhash64(wanted_key), F.lit(CELLS)).alias("cell")).distinct()
+    return rows.withColumn("cell", F.pmod(F.xxhash64(key), F.lit(CELLS))) \
+        .join(F.broadcast(cells), "cell", "left_semi").drop("cell")
 
 
-def verified(pairs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose whole sets reach the similarity."""
-    left = items.select(F.col("sid").alias("a"), F.col("items").alias("x"))
-    right = items.select(F.col("sid").alias("b"), F.col("items").alias("y"))
-    both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+    def run(batches):
+        shingle = Shingler(size)
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b in blocks([s + t for s, t in zip(x, y, strict=True)]):
+                left, right = shingle(x[a:b]), shingle(y[a:b])
+                at = []
+                for i, (s, t) in enumerate(zip(left, right, strict=True)):
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        at.append(a + i)
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -210,20 +229,20 @@ def _may_reach(pairs: DataFrame, percent: int) -> DataFrame:
     return shared.filter(F.col("near") & ((F.col("c") + behind) * (100 + percent) >= least)).select("a", "b")
 
 
-class _Items:
-    """Whole sets by sid, fetched once each as candidates need them."""
+class _Texts:
+    """Texts of sets by sid, fetched once each as candidates need them."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, size: int):
-        self.docs, self.sets, self.size, self.have = docs, sets.select("sid", "s1", "s2", "least_doc"), size, None
+    def __init__(self, docs: DataFrame, sets: DataFrame, size: int, percent: int):
+        self.docs, self.sets = docs, sets.select("sid", "s1", "s2", "least_doc")
+        self.size, self.percent, self.have = size, percent, None
 
-    def verified(self, pairs: DataFrame, percent: int) -> DataFrame:
+    def verified(self, pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
         need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        if self.have is not None:
-            need = need.join(self.have.select("sid"), "sid", "left_anti")
-        more = whole_sets(self.docs, self.sets.join(need, "sid"), self.size)
+        missing = need if self.have is None else need.join(self.have.select("sid"), "sid", "left_anti")
+        more = whole_texts(self.docs, self.sets.join(missing, "sid"), self.size)
         self.have = more if self.have is None else self.have.unionByName(more)
-        return verified(pairs, self.have, percent)
+        return verified(pairs, _in_cells(self.have, "sid", need, "sid"), self.size, self.percent)
 
 
 def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -239,15 +258,14 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     # shingles that one set alone has make no candidate
     shared = index.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     index = (index.join(shared, "token").join(member.filter("sid <> grp").select("sid"), "sid", "left_anti")
-             .select("token", "pos", F.col("sid").alias("grp"), "n").checkpoint())
-    items = _Items(docs, sets, size)
+             .select("token", "pos", F.col("sid").alias("grp"), "n", F.col("sid").alias("component")).checkpoint())
+    texts = _Texts(docs, sets, size, percent)
 
     # pivots: per bucket of similar sizes one member; the others are verified against it
-    component = member.withColumn("component", F.col("sid"))
-    links = None
+    component, links = member.withColumn("component", F.col("sid")), None
     for turn in range(PIVOT_ROUNDS):
         band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 0.5 * turn)
-        row = (index.join(component.select(F.col("sid").alias("grp"), "component"), "grp").withColumn("band", band))
+        row = index.withColumn("band", band)
         first = F.struct(F.xxhash64("grp", F.lit(turn)).alias("h"), "grp", "n", "component", "pos")
         pivot = row.groupBy("token", "band").agg(F.min(first).alias("p")).select(
             "token", "band", F.col("p.grp").alias("b"), F.col("p.n").alias("m"),
@@ -256,19 +274,19 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         star = _may_reach(star.withColumnRenamed("grp", "a"), percent)
         if turn == 0:       # members of a group against its head
             star = star.unionByName(member.filter("sid <> grp").select(F.col("sid").alias("a"), F.col("grp").alias("b")))
-        found = items.verified(star, percent)
+        found = texts.verified(star)
         links = (found if links is None else links.unionByName(found)).checkpoint()
         component = _labelled(member, links)
+        index = _mixed(index, component)
 
     # what is left: pairs of different components, within a group or through shared shingles
     apart = component.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .filter("lo <> hi").select("grp")
     inner = _cross(component.join(apart, "grp", "left_semi"), "grp").select("a", "b", "n", "m") \
         .filter(_sizes_fit(F.col("n"), F.col("m"), percent)).select("a", "b")
-    row = index.drop("n").join(component, "grp")
-    mixed = row.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    outer = _may_reach(_cross(row.join(mixed.select("token"), "token", "left_semi"), "token"), percent)
-    links = links.unionByName(items.verified(inner.unionByName(outer), percent)).checkpoint()
+    row = index.select("token", "pos", "grp").join(component, "grp")
+    outer = _may_reach(_cross(row, "token"), percent)
+    links = links.unionByName(texts.verified(inner.unionByName(outer))).checkpoint()
     component = _labelled(member, links)
     least = sets.select("sid", "least_doc").join(component.select("sid", "component"), "sid") \
         .groupBy("component").agg(F.min("least_doc").alias("linked_doc"))
@@ -276,6 +294,18 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     return documents, labelled
 
 
+def _mixed(index: DataFrame, component: DataFrame) -> DataFrame:
+    """``index`` under the heads' new components, without the shingles that lie in one component alone.
+
+    A group of several components is in the index by its head only, so its shingles all stay."""
+    label = component.groupBy("grp").agg(F.min(F.when(F.col("sid") == F.col("grp"), F.col("component"))).alias("component"),
+                                         F.min("component").alias("lo"), F.max("component").alias("hi"))
+    row = index.drop("component").join(label, "grp")
+    mixed = row.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("token")
+    return row.drop("lo", "hi").join(mixed, "token", "left_semi") \
+        .select("token", "pos", "grp", "n", "component").checkpoint()
+
+
 def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
     comp = connected_components(links)
     return member.join(comp.withColumnRenamed("node", "sid").withColumnRenamed("component", "c"), "sid", "left") \

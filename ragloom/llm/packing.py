@@ -13,7 +13,6 @@ looked up word by word in a memo and only new words are encoded.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from itertools import chain
@@ -35,7 +34,6 @@ MERGE_GROUP = 256           # leftover windows merged in one group
 MEMO_WORDS = 400_000        # encoded words a worker remembers (speed only)
 MEMO_CHARS = 64
 
-_WORD = re.compile(r"[^ \n]+")
 _TAIL = ".,!?;:"
 
 
@@ -73,12 +71,11 @@ class WordEncoder:
         base, other, parts = self.base, [], []
         for w in words:
             stem = w.rstrip(_TAIL)
-            tail = w[len(stem):]
-            stem = stem.lower() if stem.isascii() else normalize("NFC", stem).replace("Σ", "σ").lower()
-            if stem.isalpha() and len(stem) <= MEMO_CHARS:
-                parts.append((w, stem, tail))
+            low = stem.lower() if stem.isascii() else normalize("NFC", stem).replace("Σ", "σ").lower()
+            if low.isalpha() and len(low) <= MEMO_CHARS:
+                parts.append((w, low, w[len(stem):]))
             else:
-                other.append(w)
+                other.append(w)     # also the empty string that a double space leaves
         fresh = list({s for _, s, _ in parts if s not in base})
         groups = [fresh[i:i + 512] for i in range(0, len(fresh), 512)]
         for group, ids in zip(groups, self._ids(self.plain, [" ".join(g) for g in groups]), strict=True):
@@ -97,11 +94,12 @@ class WordEncoder:
         self.pool.extend(chain.from_iterable(found))
 
     def __call__(self, texts: list) -> list[np.ndarray]:
-        rows = [_WORD.findall(t) if t else [] for t in texts]
-        fresh = list({w for words in rows for w in words if w not in self.memo})
+        rows = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        known = set().union(*rows)
+        fresh = [w for w in known if w not in self.memo]
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.clear()
-            fresh = list({w for words in rows for w in words})
+            fresh = list(known)
         if fresh:
             self._learn(fresh)
         start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
@@ -111,7 +109,7 @@ class WordEncoder:
             slot = np.fromiter(map(get, words), np.int64, len(words))
             n = size[slot]
             at = np.repeat(start[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.append(pool[at], np.uint32(END_ID)) if len(words) else np.array([END_ID], np.uint32))
+            out.append(np.append(pool[at], np.uint32(END_ID)))
         del pool  # lets the array grow again
         for w in fresh:
             if len(w) > MEMO_CHARS:
