@@ -32,14 +32,13 @@ HASH_DIM = 256
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def embed_input(df: DataFrame, text_col: str = "text", cap: int | None = EMBED_INPUT_CAP) -> DataFrame:
-    """The text a capped provider receives (first ``cap`` characters) plus
-    a ``truncated`` flag.  Providers without a payload cap see the whole text."""
+def embed_input(df: DataFrame, text_col: str = "text", cap: int = EMBED_INPUT_CAP) -> DataFrame:
+    """What a provider with a payload limit receives: numbered pieces (``piece`` from 0, ``embed_text``) of
+    at most ``cap`` characters that together are the whole text.  An empty or null text is one piece."""
     t = F.col(text_col)
-    if cap is None:
-        return df.withColumn("embed_text", t).withColumn("truncated", F.lit(False))
-    return (df.withColumn("embed_text", F.left(t, F.lit(cap)))
-            .withColumn("truncated", F.length(t) > F.lit(cap)))
+    last = F.floor((F.greatest(F.coalesce(F.length(t), F.lit(0)), F.lit(1)) - 1) / F.lit(cap))
+    out = df.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return out.withColumn("embed_text", F.substring(t, (F.col("piece") * cap + 1).cast("int"), F.lit(cap)))
 
 
 def token_bucket(token, dim: int):
@@ -129,19 +128,22 @@ def embed(df: DataFrame, provider: Callable[[list[str]], list[list[float]]],
           dim: int = EMBEDDING_DIMENSION, input_cap: int | None = None) -> DataFrame:
     """E2 hook: run ``provider`` on executors over Arrow batches, then E3 + E4.
 
+    With ``input_cap`` a longer text reaches the provider as pieces of at most
+    that many characters and gets the mean of their vectors; nothing is cut off.
     Call it on a persisted or written input so the provider is not invoked
     twice when the result feeds more than one action.
     """
-    src = df
-    if input_cap is not None:
-        src = embed_input(df, text_col, input_cap).drop("truncated")
-        feed = "embed_text"
-    else:
-        feed = text_col
-    schema = T.StructType(src.schema.fields + [T.StructField("_raw", T.ArrayType(T.DoubleType()))])
-    raw = src.mapInPandas(_provider_udf(provider, feed, "_raw"), schema=schema)
-    out = raw.withColumn(out_col, l2_normalize(fit_dimension(F.col("_raw"), dim))).drop("_raw")
-    return out.drop("embed_text") if input_cap is not None else out
+    if input_cap is None:
+        schema = T.StructType(df.schema.fields + [T.StructField("_raw", T.ArrayType(T.DoubleType()))])
+        raw = df.mapInPandas(_provider_udf(provider, text_col, "_raw"), schema=schema)
+        return raw.withColumn(out_col, l2_normalize(fit_dimension(F.col("_raw"), dim))).drop("_raw")
+
+    def whole(texts: list[str]) -> list:
+        pieces = [[t[i:i + input_cap] for i in range(0, max(1, len(t or "")), input_cap)] if t else [t] for t in texts]
+        vectors = iter(provider([p for ps in pieces for p in ps]))
+        return [np.mean([np.asarray(next(vectors), dtype="float64") for _ in ps], axis=0) for ps in pieces]
+
+    return embed(df, whole, text_col, out_col, dim)
 
 
 def hashing_provider(dim: int = HASH_DIM) -> Callable[[list[str]], list[list[float]]]:

@@ -49,8 +49,8 @@ def chunk_stats(spark, sf):
 @query
 def embed_input(spark, sf):
     d = embedding.embed_input(tables.documents(spark, sf), "text")
-    return d.select("doc_id", F.length("embed_text").cast("bigint").alias("input_chars"),
-                    "truncated")
+    return d.select("doc_id", "piece", F.length("embed_text").cast("bigint").alias("input_chars"),
+                    F.md5("embed_text").alias("input_md5"))
 
 
 @query

@@ -17,8 +17,8 @@ def test_embed_hook_fits_and_normalises(spark):
     out = {r.id: r.embedding for r in embed(df, provider, dim=5, input_cap=8000).collect()}
     assert len(out[1]) == 5 and np.isclose(np.linalg.norm(out[1]), 1.0)
     assert out[2] == [0.0] * 5                      # zero vector unchanged
-    assert np.isclose(out[3][0] * 5 / out[3][1], 8000 * 5 / 3.0)  # capped input length
-    assert calls.value == 3
+    assert np.isclose(out[3][0] / out[3][1], (8000 + 1000) / 2 / 3.0)  # mean of its two pieces
+    assert calls.value == 4
 
 
 def test_python_provider_agrees_with_native_hashing(spark):
