@@ -60,9 +60,8 @@ def stored_vectors(spark, sf_dir) -> DataFrame:
 
 def question_pairs(spark, sf_dir) -> DataFrame:
     """A given pair table: each stored vector with one question, dealt round-robin by id."""
-    n = questions(spark, sf_dir).agg((F.max("query_id") + 1).alias("n"))
-    v = stored_vectors(spark, sf_dir).select("vec_id", F.lit(1).alias("_k")).join(n.withColumn("_k", F.lit(1)), "_k")
-    return v.select((F.col("vec_id") % F.col("n")).alias("query_id"), "vec_id")
+    n = questions(spark, sf_dir).agg(F.max("query_id")).first()[0] + 1
+    return stored_vectors(spark, sf_dir).select((F.col("vec_id") % n).alias("query_id"), "vec_id")
 
 
 def chunk_embeddings(spark, sf_dir, dim: int = QUESTION_DIM) -> DataFrame:
