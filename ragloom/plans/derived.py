@@ -13,6 +13,7 @@ from ..functions.text import collection_name
 from ..operators.chunking import CHUNK_SIZE, explode_chunks
 from ..operators.embedding import hash_dense
 from ..operators.partitioning import spread
+from ..operators.store import ChunkStore
 from ..sources import tables
 
 # Fixture settings: documents have no blank lines, so the
@@ -81,12 +82,14 @@ def page_chunks(spark, sf_dir) -> DataFrame:
     content = web.pages_with_links(web.parsed_pages(tables.pages(spark, sf_dir)))
     content = content.withColumn("text", empty_placeholder(F.col("text"), F.col("url"), kind="url"))
     content = content.withColumn("doc_key", F.md5("url"))
-    ch = explode_chunks(content, "doc_key", "text", CHUNK_SIZE, PARAGRAPH_SEP, keep=["url", "title"])
+    ch = explode_chunks(content, "doc_key", "text", CHUNK_SIZE, PARAGRAPH_SEP, keep=["url", "domain", "title"])
     return ch.select(
         F.lit("default").alias("collection"), "chunk_id", "doc_key", "chunk_index", "text",
         F.col("title").alias("document_name"), F.lit(None).cast("string").alias("folder_name"),
         F.col("url").alias("source"), F.lit("web").alias("source_type"),
-        F.lit("html").alias("content_type"))
+        F.lit("html").alias("content_type"), "domain", "title",
+        F.create_map(F.lit("source"), F.col("url"), F.lit("domain"), F.col("domain"), F.lit("title"), F.col("title"),
+                     F.lit("content_type"), F.lit("html"), F.lit("source_type"), F.lit("web")).alias("metadata"))
 
 
 def store_chunks(spark, sf_dir, include_web: bool = True) -> DataFrame:
@@ -97,7 +100,23 @@ def store_chunks(spark, sf_dir, include_web: bool = True) -> DataFrame:
         "collection", "chunk_id", F.col("doc_id").cast("string").alias("doc_key"), "chunk_index",
         "text", "document_name", "folder_name", F.col("document_name").alias("source"),
         "source_type", "content_type")
-    return d.unionByName(page_chunks(spark, sf_dir)) if include_web else d
+    return d.unionByName(page_chunks(spark, sf_dir), allowMissingColumns=True) if include_web else d
+
+
+_STORES: dict[tuple[str, str], str] = {}  # (application, tables) -> path of the written chunk table
+
+
+def written_store(spark, sf_dir) -> ChunkStore:
+    """The chunk table of these tables as a ``ChunkStore`` in the shared folder, written once per session
+    and read by every store job."""
+    from ..session import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = scratch_path(spark, "chunk-store")
+        ChunkStore(spark, path).add(store_chunks(spark, sf_dir))
+        _STORES[key] = path
+    return ChunkStore(spark, _STORES[key])
 
 
 def users(spark, sf_dir) -> DataFrame:

@@ -251,7 +251,10 @@ def empty_placeholder(spark, sf):
     from ..functions.text import empty_placeholder as ph
     d = tables.documents(spark, sf)
     name = F.concat(D.document_name(F.col("doc_id")), F.lit(".txt"))
-    return d.select("doc_id", ph(F.col("text"), name, kind="file").alias("text"))
+    # the tables hold no blank text, so every tenth is blanked in one of three ways
+    blank = (F.when(F.col("doc_id") % 30 == 0, F.lit("")).when(F.col("doc_id") % 30 == 10, F.lit(" \n\t"))
+             .when(F.col("doc_id") % 30 == 20, F.lit(None).cast("string")).otherwise(F.col("text")))
+    return d.withColumn("text", blank).select("doc_id", ph(F.col("text"), name, kind="file").alias("text"))
 
 
 @query
@@ -300,19 +303,19 @@ def transcript(spark, sf):
 @query
 def list_collections(spark, sf):
     from ..operators import store
-    return store.list_collections(D.store_chunks(spark, sf))
+    return store.list_collections(D.written_store(spark, sf).read())
 
 
 @query
 def collection_counts(spark, sf):
     from ..operators import store
-    return store.collection_counts(D.store_chunks(spark, sf))
+    return store.collection_counts(D.written_store(spark, sf).read())
 
 
 @query
 def collection_inventory(spark, sf):
     from ..operators import store
-    return store.inventory(D.store_chunks(spark, sf))
+    return store.inventory(D.written_store(spark, sf).read())
 
 
 @query
@@ -323,7 +326,7 @@ def scoped_chunks(spark, sf):
 
 @query
 def collection_selector(spark, sf):
-    c = D.store_chunks(spark, sf)
+    c = D.written_store(spark, sf).read()
     parts = [retrieval.select_collections(c, sel).select(F.lit(sel).alias("selector"), "collection",
                                                          "chunk_id")
              for sel in ("ALL", "user_fr_docs")]
@@ -349,8 +352,7 @@ def add_if_absent(spark, sf):
 def delete_by_ids(spark, sf):
     """Moderation clean-up: delete every chunk of a document labelled toxic."""
     from ..operators import store
-    from ..operators.partitioning import materialize
-    c = materialize(D.store_chunks(spark, sf))
+    c = D.written_store(spark, sf).read()
     toxic = tables.table(spark, sf, "labels").where(F.col("toxic") == 1).select(
         F.col("doc_id").cast("string").alias("doc_key"))
     ids = c.join(toxic, "doc_key", "left_semi").select("collection", "chunk_id")
@@ -363,7 +365,23 @@ def clear_collection(spark, sf):
     req = D.users(spark, sf).select("collection").unionByName(
         D.page_requests(spark, sf).select(F.concat(F.lit("user_"), "username", F.lit("_docs"))
                                           .alias("collection")))
-    return store.clear_collections(D.store_chunks(spark, sf), req)
+    return store.clear_collections(D.written_store(spark, sf).read(), req)
+
+
+@query
+def chunk_metadata(spark, sf):
+    """The stored metadata map of every crawled chunk."""
+    c = D.written_store(spark, sf).read().where("source_type = 'web'")
+    return c.select("chunk_id", "domain", "title", F.explode("metadata").alias("name", "value"))
+
+
+@query
+def sitemap_chunks(spark, sf):
+    """C1 with its default blank-line separator on real text: pages joined with their derived links."""
+    from ..operators import web
+    parsed, links = _sitemap(spark, sf)
+    pages = web.pages_with_links(parsed, materialized=True, links=links)
+    return chunking.explode_chunks(pages, "page_id", "text").select("page_id", "chunk_index", "text")
 
 
 # ------------------------------------------------------------------ users
