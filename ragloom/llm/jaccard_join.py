@@ -31,6 +31,7 @@ from .components import connected_components
 SHINGLE, PERCENT = 4, 85
 SKETCH_BITS = 16            # the count sketch has 2 ** SKETCH_BITS cells at any corpus size
 PIVOT_ROUNDS = 2
+PARITY_BITS = 256
 CELLS = 1 << 20             # hash cells of ids that narrow a text scan (a bounded broadcast)
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -128,7 +129,8 @@ def _needed(n: Column, percent: int) -> Column:
 
 
 def prefix_sets(docs: DataFrame, sketch: np.ndarray, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per distinct non-empty set: sid, s1, s2, n, prefix (rare shingles first), least_doc."""
+    """One row per distinct non-empty set: sid, s1, s2, n, prefix (rare shingles first), parity (of the shingles
+    in each of PARITY_BITS hash cells), least_doc."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)       # 2 ** SKETCH_BITS numbers
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -138,22 +140,25 @@ def prefix_sets(docs: DataFrame, sketch: np.ndarray, size: int = SHINGLE, percen
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                sig, lens, prefix = [], [], []
+                sig, lens, prefix, parity = [], [], [], []
                 for s in shingle(texts[a:b]):
                     n = len(s)
                     keep = n - (percent * n + 99) // 100 + 1 if n else 0
                     often = cells[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     prefix.append(s[np.lexsort((s, often))[:keep]].view(np.int64))
+                    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     lens.append(n)
                     sig.append(_signature(s))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), _long(lens), _long([x for x, _ in sig]),
-                     _long([x for _, x in sig]), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "s1", "s2", "prefix"])
+                     _long([x for _, x in sig]), pa.array(prefix, pa.list_(pa.int64())),
+                     pa.array(parity, pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "prefix", "parity"])
 
     rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n long, s1 long, s2 long, prefix array<long>").filter("n > 0")
-    return (rows.groupBy("s1", "s2", "n").agg(F.first("prefix").alias("prefix"), F.min("doc_id").alias("least_doc"))
+        run, f"doc_id {id_type}, n long, s1 long, s2 long, prefix array<long>, parity array<long>").filter("n > 0")
+    return (rows.groupBy("s1", "s2", "n").agg(F.first("prefix").alias("prefix"), F.first("parity").alias("parity"),
+                                              F.min("doc_id").alias("least_doc"))
             .withColumn("sid", F.monotonically_increasing_id()).checkpoint())
 
 
@@ -215,6 +220,13 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
+def _parity_fits(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
+    """Whether two sets can reach the similarity by their parities: each cell that differs holds a shingle that
+    only one of them has, and at most (100 - percent) / (100 + percent) of the sizes may differ."""
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _may_reach(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of rows (a, b, n, m, pos, pos2), one per shared prefix shingle, that can reach the similarity.
 
@@ -233,14 +245,19 @@ class _Texts:
     """Texts of sets by sid, fetched once each as candidates need them."""
 
     def __init__(self, docs: DataFrame, sets: DataFrame, size: int, percent: int):
-        self.docs, self.sets = docs, sets.select("sid", "s1", "s2", "least_doc")
+        self.docs, self.sets = docs, sets.drop("prefix")
         self.size, self.percent, self.have = size, percent, None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x = self.sets.select(F.col("sid").alias("a"), "n", F.col("parity").alias("x"))
+        y = self.sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("parity").alias("y"))
+        fits = _parity_fits("x", "y", F.col("n"), F.col("m"), self.percent)
+        pairs = pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b").checkpoint()
         need = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         missing = need if self.have is None else need.join(self.have.select("sid"), "sid", "left_anti")
-        more = whole_texts(self.docs, self.sets.join(missing, "sid"), self.size)
+        more = whole_texts(self.docs, self.sets.select("sid", "s1", "s2", "least_doc").join(missing, "sid"),
+                           self.size)
         self.have = more if self.have is None else self.have.unionByName(more)
         return verified(pairs, _in_cells(self.have, "sid", need, "sid"), self.size, self.percent)
 
@@ -282,15 +299,15 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     # what is left: pairs of different components, within a group or through shared shingles
     apart = component.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .filter("lo <> hi").select("grp")
-    inner = _cross(component.join(apart, "grp", "left_semi"), "grp").select("a", "b", "n", "m") \
-        .filter(_sizes_fit(F.col("n"), F.col("m"), percent)).select("a", "b")
-    row = index.select("token", "pos", "grp").join(component, "grp")
-    outer = _may_reach(_cross(row, "token"), percent)
+    known = component.join(sets.select("sid", "parity"), "sid")
+    inner = _cross(known.join(apart, "grp", "left_semi"), "grp", percent).select("a", "b")
+    row = index.select("token", "pos", "grp").join(known, "grp")
+    outer = _may_reach(_cross(row, "token", percent), percent)
     links = links.unionByName(texts.verified(inner.unionByName(outer))).checkpoint()
     component = _labelled(member, links)
     least = sets.select("sid", "least_doc").join(component.select("sid", "component"), "sid") \
         .groupBy("component").agg(F.min("least_doc").alias("linked_doc"))
-    labelled = sets.drop("prefix").join(component.select("sid", "component"), "sid").join(least, "component")
+    labelled = sets.drop("prefix", "parity").join(component.select("sid", "component"), "sid").join(least, "component")
     return documents, labelled
 
 
@@ -312,18 +329,31 @@ def _labelled(member: DataFrame, links: DataFrame) -> DataFrame:
         .select("sid", "grp", "n", F.coalesce("c", "sid").alias("component")).checkpoint()
 
 
-def _cross(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (a, b, n, m, pos, pos2) of members of different components that share ``key``.
-
-    Components meet first; only pairs of different ones are expanded to their members."""
-    span = rows.select(key, "component").distinct()
-    meet = (span.join(span.select(key, F.col("component").alias("other")), key)
-            .filter(F.col("component") < F.col("other")))
+def _cross(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Rows (a, b, n, m, pos, pos2) of members of different components that share ``key`` and can reach the
+    similarity by size and parity.
+
+    Components meet first, by the range of their sizes and, of single members, their parity; only what meets is
+    expanded, the smaller component before the larger, so pairs inside a component are never formed."""
+    span = rows.groupBy(key, "component").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                              F.first("parity").alias("x"))
+    other = span.select(key, F.col("component").alias("other"), F.col("k").alias("k2"), F.col("lo").alias("lo2"),
+                        F.col("hi").alias("hi2"), F.col("x").alias("y"))
+    alone = (F.col("k") == 1) & (F.col("k2") == 1)
+    meet = (span.join(other, key).filter(
+        (F.struct("k", "component") > F.struct("k2", "other"))
+        & (F.col("hi") * 100 >= F.col("lo2") * percent) & (F.col("hi2") * 100 >= F.col("lo") * percent)
+        & (~alone | _parity_fits("x", "y", F.col("hi"), F.col("hi2"), percent))).select(key, "component", "other"))
     pos = F.col("pos") if "pos" in rows.columns else F.lit(0)
-    a = rows.select(key, "component", F.col("sid").alias("a"), "n", pos.alias("pos"))
+    a = rows.select(key, "component", F.col("sid").alias("a"), "n", pos.alias("pos"), F.col("parity").alias("x"))
     b = rows.select(key, F.col("component").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"),
-                    pos.alias("pos2"))
-    return meet.join(a, [key, "component"]).join(b, [key, "other"])
+                    pos.alias("pos2"), F.col("parity").alias("y"))
+    fits = _sizes_fit(F.col("n"), F.col("m"), percent) & _parity_fits("x", "y", F.col("n"), F.col("m"), percent)
+    pairs = meet.join(b, [key, "other"]).join(a, [key, "component"]).filter(fits)
+    # which component is the larger differs from key to key; a pair is always named by its smaller sid first
+    swap = F.col("a") > F.col("b")
+    return pairs.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (
+        ("a", "b"), ("b", "a"), ("n", "m"), ("m", "n"), ("pos", "pos2"), ("pos2", "pos"))))
 
 
 def _with_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
