@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 EDITS = 1
 MIN_CHARS = 24
@@ -43,24 +43,25 @@ def _identity(x: Column) -> tuple[Column, Column]:
 
 
 def segment_keys(line: str, length: str, edits: int) -> str:
-    """SQL array of (key, probe): the line's own segments and the substrings that probe shorter or equal lines."""
+    """SQL array of keys: the line's own EDITS + 1 segments, then the substrings that probe lines of its length
+    and shorter ones."""
     def start(n: str, i: int) -> str:       # 1-based start of segment i; the last n % (edits + 1) are one longer
         return f"(({n}) div {edits + 1} * {i} + greatest(0, {i} - ({edits + 1} - ({n}) % {edits + 1})) + 1)"
 
     def size(n: str, i: int) -> str:
         return f"(({n}) div {edits + 1} + if({i} >= {edits + 1} - ({n}) % {edits + 1}, 1, 0))"
 
-    def key(n: str, i: int, at: str, probe: str) -> str:
+    def key(n: str, i: int, at: str) -> str:
         text = f"substring({line}, cast({at} as int), cast({size(n, i)} as int))"
-        return f"struct(xxhash64(cast({n} as int), {i}, {text}) as key, {probe} as probe)"
+        return f"xxhash64(cast({n} as int), {i}, {text})"
 
-    out = [key(length, i, start(length, i), "false") for i in range(edits + 1)]
+    out = [key(length, i, start(length, i)) for i in range(edits + 1)]
     for gap in range(edits + 1):
         n = f"{length} - {gap}"
         for i in range(edits + 1):
             low = max(-i, gap - (edits - i))
             high = min(i, gap + (edits - i))
-            out += [key(n, i, f"{start(n, i)} + {shift}", "true") for shift in range(low, high + 1)
+            out += [key(n, i, f"{start(n, i)} + {shift}") for shift in range(low, high + 1)
                     if (gap, shift) != (0, 0)]
     return f"array({', '.join(out)})"
 
@@ -91,8 +92,16 @@ def characters(line: Column) -> Column:
     return F.array_remove(F.split(line, ""), "")
 
 
-def _order(prefix: str = "") -> Column:
-    return F.struct(*(F.col(prefix + c) for c in ("no_id", "doc_id", "content", "pos")))
+def _place(doc_id: Column) -> Column:
+    """Ids in order, null last."""
+    return F.coalesce(doc_id.cast("bigint"), F.lit((1 << 63) - 1))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -106,16 +115,15 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, edits: int) -> DataFrame:
-    """h1, h2, first occurrence (no_id, doc_id, content, pos), copies, parity and keys of every distinct line."""
+    """h1, h2, first occurrence (doc, content, pos), copies, parity and keys of every distinct line."""
     df = docs.select("doc_id", F.xxhash64("text").alias("content"), F.explode(F.filter(
         _normal_lines(F.col("text")), lambda x: F.length(x["line"]) >= MIN_CHARS)).alias("l"))
     df = df.select("doc_id", "content", "l.pos", "l.line").withColumn("n", F.length("line"))
     # each edit changes at most three words, so at most three bits
     parity = "cast(aggregate(split(line, ' '), 0, (a, w) -> a ^ shiftleft(1, cast(pmod(xxhash64(w), 32) as int))) as int)"
     h1, h2 = _identity(F.col("line"))
-    df = df.select(h1.alias("h1"), h2.alias("h2"), F.struct(
-        F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "pos").alias("first"),
-        F.expr(parity).alias("parity"), F.expr(segment_keys("line", "n", edits)).alias("keys"))
+    df = df.select(h1.alias("h1"), h2.alias("h2"), F.struct(_place(F.col("doc_id")).alias("doc"), "content", "pos").alias("first"),
+                   F.expr(parity).alias("parity"), F.expr(segment_keys("line", "n", edits)).alias("keys"))
     return (df.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("copies"),
                                        F.first("parity").alias("parity"), F.first("keys").alias("keys"))
             .select("h1", "h2", "first.*", "copies", "parity", "keys"))
@@ -125,21 +133,20 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h1, chars) of the lines whose first occurrences are in ``wanted``.
 
     Only texts whose id falls in a wanted hash cell are shuffled."""
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))
-    cells = wanted.select(cell.alias("cell")).distinct()                # at most CELLS rows
-    near = docs.select("doc_id", "text").withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
-    near = near.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("c"), "text").dropDuplicates(["id", "c"])
-    rows = near.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("c") == F.col("content")))
+    cells = wanted.select(F.pmod(F.xxhash64("doc"), F.lit(CELLS)).alias("cell")).distinct()     # at most CELLS rows
+    near = docs.select(_place(F.col("doc_id")).alias("id"), "text").withColumn(
+        "cell", F.pmod(F.xxhash64("id"), F.lit(CELLS))).join(F.broadcast(cells), "cell", "left_semi")
+    rows = near.withColumn("c", F.xxhash64("text")).join(
+        wanted, (F.col("id") == F.col("doc")) & (F.col("c") == F.col("content")))
     line = normal_line(F.get(F.split("text", "\n"), F.col("pos")))
-    return rows.select("h1", characters(line).alias("chars"))
+    return rows.select("h1", "h2", line.alias("line")).dropDuplicates(["h1", "h2"]).select("h1", characters(F.col("line")).alias("chars"))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """h1, h2 of the lines with an earlier line within ``edits`` edits."""
-    order = F.struct("no_id", "doc_id", "pos", "h1")
-    rows = distinct.select("h1", "parity", order.alias("at"), F.explode("keys").alias("k")) \
-        .select("h1", "parity", "at", "k.key", "k.probe")
-    places = distinct.select("h1", "no_id", "doc_id", "content", "pos")
+    rows = distinct.select("h1", "parity", "doc", "pos", F.posexplode("keys").alias("k", "key")) \
+        .withColumn("probe", F.col("k") > edits).drop("k")
+    places = distinct.select("h1", "h2", "doc", "content", "pos")
 
     def settle(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().checkpoint()
@@ -150,49 +157,54 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
         return (pairs.join(a, "late").join(b, "early").filter(F.expr(within_edits("x", "y", edits)))
                 .select(F.col("late").alias("h1")).distinct().checkpoint())
 
-    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs (late, early) of rows that share a key and may be within reach."""
-        met = left.join(right, "key").filter((F.col("h1") != F.col("h")) & (
-            F.bit_count(F.col("parity").bitwiseXOR(F.col("p")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-            <= 3 * edits))
-        return met.select(F.when(F.col("at") > F.col("t"), F.col("h1")).otherwise(F.col("h")).alias("late"),
-                          F.when(F.col("at") > F.col("t"), F.col("h")).otherwise(F.col("h1")).alias("early"))
-
-    index = rows.filter(~F.col("probe"))
-    head = index.groupBy("key").agg(F.min(F.struct("at", "h1", "parity")).alias("m")) \
-        .select("key", F.col("m.h1").alias("h"), F.col("m.parity").alias("p"), F.col("m.at").alias("t"))
-    settled = settle(candidates(rows, head))
-    open_rows = rows.join(settled, "h1", "left_anti")
-    other = index.select("key", F.col("h1").alias("h"), F.col("parity").alias("p"), F.col("at").alias("t"))
+    def pairs_of(met: DataFrame) -> DataFrame:
+        """(late, early) of rows with a line (h1, parity, doc, pos) and another (h, p, d, q), if within reach."""
+        flips = F.bit_count(F.col("parity").bitwiseXOR(F.col("p")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+        later = F.struct("doc", "pos", "h1") > F.struct("d", "q", "h")
+        return met.filter((F.col("h1") != F.col("h")) & (flips <= 3 * edits)).select(
+            F.when(later, F.col("h1")).otherwise(F.col("h")).alias("late"),
+            F.when(later, F.col("h")).otherwise(F.col("h1")).alias("early"))
+
+    def as_other(index: DataFrame) -> DataFrame:
+        return index.select("key", F.col("h1").alias("h"), F.col("parity").alias("p"), F.col("doc").alias("d"),
+                            F.col("pos").alias("q"))
+
+    # rows that meet an index line of another line, each with its bucket's earliest
+    head = rows.filter(~F.col("probe")).groupBy("key").agg(
+        F.min(F.struct("doc", "pos", "h1", "parity")).alias("m"), F.count("*").alias("c")).select(
+        "key", "c", F.col("m.h1").alias("h"), F.col("m.parity").alias("p"), F.col("m.doc").alias("d"), F.col("m.pos").alias("q"))
+    met = rows.join(head, "key").filter((F.col("h1") != F.col("h")) | (F.col("c") > 1)).checkpoint()
+    settled = settle(pairs_of(met))
+
+    heads = met.select("key", F.col("h").alias("h1"), F.col("p").alias("parity"), F.col("d").alias("doc"),
+                       F.col("q").alias("pos"), F.lit(False).alias("probe")).distinct()
+    busy = met.filter((F.col("h1") != F.col("h")) | F.col("probe")).select(*heads.columns).unionByName(heads)
+    open_rows = busy.join(settled, "h1", "left_anti")
+    index = busy.filter(~F.col("probe"))
     # the later line of a pair is the one in question, whichever side probes
-    late = candidates(open_rows, other)
-    if edits:
-        probes = rows.filter("probe").join(settled.select("h1"), "h1", "left_semi")
-        open_index = index.join(settled, "h1", "left_anti").select(
-            "key", F.col("h1").alias("h"), F.col("parity").alias("p"), F.col("at").alias("t"))
-        late = late.unionByName(candidates(probes, open_index))
+    late = pairs_of(open_rows.join(as_other(index), "key"))
+    probes = busy.filter("probe").join(settled, "h1", "left_semi")
+    late = late.unionByName(pairs_of(probes.join(as_other(index.join(settled, "h1", "left_anti")), "key")))
     rest = settle(late.join(settled.withColumnRenamed("h1", "late"), "late", "left_anti"))
-    gone = settled.unionByName(rest)
-    return distinct.select("h1", "h2").join(gone, "h1", "left_semi")
+    return distinct.select("h1", "h2").join(settled.unionByName(rest), "h1", "left_semi")
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """(document_lines, removed occurrences: doc_id, content, pos, chars, near)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = document_lines(docs).checkpoint()
-    distinct = distinct_lines(docs, edits).checkpoint()
+    rows = _written(document_lines(docs), "document-lines")
+    distinct = _written(distinct_lines(docs, edits), "distinct-lines")
     near = near_lines(docs, distinct, edits).withColumn("near", F.lit(True)).checkpoint()
-    first = F.struct("no_id", "doc_id", "content", "pos").alias("first")
-    hit = (distinct.select("h1", "h2", "copies", first).join(near, ["h1", "h2"], "left")
-           .filter((F.col("copies") > 1) | F.col("near"))
+    hit = (distinct.select("h1", "h2", "copies", F.struct("doc", "content", "pos").alias("first"))
+           .join(near, ["h1", "h2"], "left").filter((F.col("copies") > 1) | F.col("near"))
            .select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"),
                    F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    seen = rows.select("doc_id", "content", F.explode("lines").alias("l")).select("doc_id", "content", "l.*").distinct()
-    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "pos")
+    seen = rows.select("doc_id", "content", F.explode("lines").alias("l")).select("doc_id", "content", "l.*")
+    here = F.struct(_place(F.col("doc_id")).alias("doc"), "content", "pos")
     # a common line is a hot key: its occurrences are spread over SALTS keys
     gone = (seen.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
             .join(hit, ["h1", "h2", "salt"]).filter(F.col("near") | ~here.eqNullSafe(F.col("first"))))
-    return rows, gone.select("doc_id", "content", "pos", "chars", "near")
+    return rows, gone.select("doc_id", "content", "pos", "chars", "near").distinct()
 
 
 def _per_document(gone: DataFrame) -> DataFrame:
