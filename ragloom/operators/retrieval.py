@@ -74,14 +74,15 @@ def score_pairs(stored: DataFrame, questions: DataFrame, pairs: DataFrame, id_co
     squares = F.zip_with("_v", "_q", lambda a, b: (a - b) * (a - b))
     d = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x) * scale
     out = pairs.select(qid, id_col).join(q, qid).join(s, id_col)
-    return (out.withColumn("distance", F.round(d, PLACES))
+    return (out.withColumn("distance", d)
             .withColumn("similarity", F.greatest(F.lit(0.0), 1.0 - F.col("distance")))
             .select(qid, id_col, "collection", "distance", "similarity"))
 
 
 # R4 order: similarity desc, then collection, distance and id (stable tie rule).
 def hit_order(id_col: str = "vec_id"):
-    return [F.col("similarity").desc(), F.col("collection").asc(), F.col("distance").asc(), F.col(id_col).asc()]
+    return [F.round("similarity", PLACES).desc(), F.col("collection").asc(), F.round("distance", PLACES).asc(),
+            F.col(id_col).asc()]
 
 
 def rank_all(scored: DataFrame, qid: str = "query_id", id_col: str = "vec_id") -> DataFrame:
@@ -96,8 +97,8 @@ def _rank_keys(values) -> np.ndarray:
 
 def topk(stored: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", coll_col: str = "collection",
          vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding", metric: str = "l2") -> DataFrame:
-    """Exact top-k per question; ids of any type.  Distances are exact differences, rounded to
-    PLACES, in every block; vectors without a value or of another width than the question take no part."""
+    """Exact top-k per question; ids of any type.  Distances are exact differences, ranked by PLACES
+    decimals, in every block; vectors without a value or of another width than the question take no part."""
     scale = 0.5 if metric == "cosine" else 1.0
     n_blocks = max(1, -(-stored.count() // BLOCK_ROWS))
     n_parts = max(1, -(-questions.count() // QUESTION_ROWS))
@@ -128,9 +129,9 @@ def topk(stored: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id"
                     for a in range(0, len(at), step):
                         diff = np.stack([vecs[j] for j in at[a:a + step]]) - vector
                         d[a:a + step] = scale * np.einsum("ij,ij->i", diff, diff)
-                    d = np.round(d, PLACES)
                     sim = np.maximum(0.0, 1.0 - d)
-                    best = np.lexsort((_rank_keys(ids[at]), d, _rank_keys(colls[at].astype(str)), -sim))[:k]
+                    best = np.lexsort((_rank_keys(ids[at]), np.round(d, PLACES), _rank_keys(colls[at].astype(str)),
+                                       -np.round(sim, PLACES)))[:k]
                     yield pd.DataFrame({"query_id": question, "hit": ids[at][best], "collection": colls[at][best],
                                         "distance": d[best], "similarity": sim[best]})
 
