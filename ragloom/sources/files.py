@@ -50,12 +50,20 @@ def clear_extractors() -> None:
     _EXTRACTORS.clear()
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None,
-               recursive: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True,
+               expected: DataFrame | None = None) -> DataFrame:
+    """Files under ``path``.  Spark does not list zero-length files; with ``expected`` (path), a listing of
+    what was delivered, those that are not found come as empty files and get their placeholder."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(path)
+    files = r.load(path)
+    if expected is None:
+        return files
+    empty = expected.select("path").distinct().join(files.select("path"), "path", "left_anti")
+    return files.unionByName(empty.select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"),
+        F.lit(b"").alias("content")))
 
 
 def base_name(path) -> Column:

@@ -96,3 +96,14 @@ def test_survey_named_entry_points(spark, tmpdir_path):
     assert [r.text for r in chunk_file(spark, tmpdir_path, chunk_size=3).orderBy("chunk_index").collect()] == \
         ["one", "two"]
     assert url_domain is not None and extract_links is not None
+
+
+def test_expected_paths_bring_back_empty_files(spark, tmpdir_path):
+    from ragloom.sources.files import extract_files, read_files
+
+    for name, body in (("a.txt", "text"), ("b.txt", "")):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(body)
+    listing = spark.createDataFrame([(f"file:{os.path.join(tmpdir_path, n)}",) for n in ("a.txt", "b.txt")], "path string")
+    got = {r["name"]: r["text"] for r in extract_files(read_files(spark, tmpdir_path, expected=listing)).collect()}
+    assert got == {"a.txt": "text", "b.txt": "This is an empty text file."}
