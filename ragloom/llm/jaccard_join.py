@@ -274,7 +274,9 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     index = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     # shingles that one set alone has make no candidate
     shared = index.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    index = (index.join(shared, "token").join(member.filter("sid <> grp").select("sid"), "sid", "left_anti")
+    # (an outer join: an anti join would be pushed below the explode and shuffle every prefix)
+    behind = member.filter("sid <> grp").select("sid", F.lit(True).alias("behind"))
+    index = (index.join(shared, "token").join(behind, "sid", "left").filter("behind IS NULL")
              .select("token", "pos", F.col("sid").alias("grp"), "n", F.col("sid").alias("component")).checkpoint())
     texts = _Texts(docs, sets, size, percent)
 
