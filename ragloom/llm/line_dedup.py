@@ -1,16 +1,17 @@
 """Line de-duplication by a segment-partition edit join.
 
 Native Spark only.  Lines are compared in lower case with white space collapsed and
-trimmed; lines under ``MIN_CHARS`` take no part.  Equal lines keep their first
-occurrence.  Different lines within ``EDITS`` edits are found by segments: a line is
-split into EDITS + 1 segments, and a line at most EDITS longer that is within reach
-holds one of them unchanged near its place, so its substrings of the right lengths
-and places probe an index of (length, segment number, segment).  Candidates that
-share a key are filtered by a word parity signature and verified by a bit-parallel
-automaton over the 2 * EDITS + 1 diagonals of the edit band.
-
-A line goes when a line that occurs earlier is within EDITS edits of it.  One such
-witness is enough, so a bucket of many similar lines is first settled against its
+trimmed.  Equal lines keep their first occurrence; lines of ``MIN_CHARS``
+take part, and with ``short`` every line that holds a word.  Different lines of ``MIN_CHARS`` and more are near when their
+edits are at most those of the shorter one: ``EDITS``, and one more for every ``STEP``
+characters up to the ``MOST`` that the edit band holds.  They are found by segments: a
+line of e edits is split into e + 1 segments, and a line at most e longer that is
+within reach holds one of them unchanged near its place, so its substrings of the
+right lengths and places probe an index of (length, segment number, segment).
+Candidates that share a key are filtered by a word parity signature and verified by a
+bit-parallel automaton over the 2 * e + 1 diagonals of the edit band.
+
+A line goes when a line that occurs earlier is near it.  One such witness is enough, so a bucket of many similar lines is first settled against its
 earliest line; only lines that are left meet the other lines of their buckets.
 """
 
@@ -23,6 +24,8 @@ from ..session import ensure_checkpoint_dir, scratch_path
 
 EDITS = 1
 MIN_CHARS = 24
+STEP = 64
+MOST = 3
 SALTS = 16
 CELLS = 1 << 20         # hash cells of document ids that narrow a text scan (a bounded broadcast)
 
@@ -42,9 +45,20 @@ def _identity(x: Column) -> tuple[Column, Column]:
     return F.xxhash64(x), F.xxhash64(F.lit(1), x)
 
 
-def segment_keys(line: str, length: str, edits: int) -> str:
-    """SQL array of keys: the line's own EDITS + 1 segments, then the substrings that probe lines of its length
-    and shorter ones."""
+def takes_part(line: Column, short: bool) -> Column:
+    """Lines that are compared: those of MIN_CHARS, with ``short`` also shorter ones that hold a word."""
+    long = F.length(line) >= MIN_CHARS
+    return long | line.rlike(r"[\p{L}\p{N}]") if short else long
+
+
+def allowed(length: str, edits: int | None) -> str:
+    """SQL int: edits that a line of ``length`` characters may differ by; ``edits`` when given."""
+    return str(edits) if edits is not None else f"cast(least({MOST}, {EDITS} + ({length}) div {STEP}) as int)"
+
+
+def segment_parts(line: str, length: str, edits: int) -> tuple[list[str], list[list[str]]]:
+    """SQL keys of the line's own ``edits`` + 1 segments, and per gap those of the substrings that probe lines
+    ``gap`` shorter.  The two lowest bits of a key hold ``edits``."""
     def start(n: str, i: int) -> str:       # 1-based start of segment i; the last n % (edits + 1) are one longer
         return f"(({n}) div {edits + 1} * {i} + greatest(0, {i} - ({edits + 1} - ({n}) % {edits + 1})) + 1)"
 
@@ -53,17 +67,43 @@ def segment_keys(line: str, length: str, edits: int) -> str:
 
     def key(n: str, i: int, at: str) -> str:
         text = f"substring({line}, cast({at} as int), cast({size(n, i)} as int))"
-        return f"xxhash64(cast({n} as int), {i}, {text})"
+        return f"((xxhash64(cast({n} as int), {i}, {text}) & -4L) | {edits}L)"
 
-    out = [key(length, i, start(length, i)) for i in range(edits + 1)]
+    own, probes = [key(length, i, start(length, i)) for i in range(edits + 1)], []
     for gap in range(edits + 1):
-        n = f"{length} - {gap}"
+        n, out = f"{length} - {gap}", []
         for i in range(edits + 1):
             low = max(-i, gap - (edits - i))
             high = min(i, gap + (edits - i))
             out += [key(n, i, f"{start(n, i)} + {shift}") for shift in range(low, high + 1)
                     if (gap, shift) != (0, 0)]
-    return f"array({', '.join(out)})"
+        probes.append(out)
+    return own, probes
+
+
+def segment_keys(line: str, length: str, edits: int) -> str:
+    """SQL array of keys: the line's own EDITS + 1 segments, then the substrings that probe lines of its length
+    and shorter ones."""
+    own, probes = segment_parts(line, length, edits)
+    return f"array({', '.join(own + [k for out in probes for k in out])})"
+
+
+def line_keys(line: str, length: str, edits: int | None) -> str:
+    """As ``segment_keys``, each line split by the edits its own length allows; short lines have no key."""
+    none, tiers = "cast(array() as array<bigint>)", range(EDITS, MOST + 1)
+    if edits is not None:
+        return f"if({length} >= {MIN_CHARS}, {segment_keys(line, length, edits)}, {none})"
+    parts = {e: segment_parts(line, length, e) for e in tiers}
+
+    def choose(n: str, arrays: dict[int, list[str]]) -> str:
+        when = " ".join(f"when {n} >= {MIN_CHARS} and {allowed(n, None)} = {e} then array({', '.join(a)})"
+                        for e, a in arrays.items())
+        return f"case {when} else {none} end"
+
+    out = [choose(length, {e: parts[e][0] for e in tiers})]
+    for gap in range(MOST + 1):
+        out.append(choose(f"({length} - {gap})", {e: parts[e][1][gap] for e in tiers if gap <= e}))
+    return f"concat({', '.join(out)})"
 
 
 def within_edits(a: str, b: str, edits: int) -> str:
@@ -88,6 +128,14 @@ def within_edits(a: str, b: str, edits: int) -> str:
     return f"abs(size({a}) - size({b})) <= {edits} and ({goal}) = 1L"
 
 
+def near_enough(a: str, b: str, edits: int | None) -> str:
+    """SQL boolean: ``within_edits`` by the edits that the shorter line allows."""
+    if edits is not None:
+        return within_edits(a, b, edits)
+    when = " ".join(f"when {e} then {within_edits(a, b, e)}" for e in range(EDITS, MOST + 1))
+    return f"case {allowed(f'least(size({a}), size({b}))', None)} {when} end"
+
+
 def characters(line: Column) -> Column:
     return F.array_remove(F.split(line, ""), "")
 
@@ -104,29 +152,29 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
+def document_lines(docs: DataFrame, short: bool) -> DataFrame:
     """doc_id, content (hash of the text), n_lines, lines (pos, chars, h1, h2 of the lines that take part)."""
     df = docs.select("doc_id", "text").withColumn("content", F.xxhash64("text"))
     df = df.withColumn("all", _normal_lines(F.col("text")))
-    part = F.filter("all", lambda x: F.length(x["line"]) >= MIN_CHARS)
+    part = F.filter("all", lambda x: takes_part(x["line"], short))
     return df.select("doc_id", "content", F.size("all").alias("n_lines"), F.transform(part, lambda x: F.struct(
         x["pos"].alias("pos"), F.length(x["line"]).alias("chars"), _identity(x["line"])[0].alias("h1"),
         _identity(x["line"])[1].alias("h2"))).alias("lines"))
 
 
-def distinct_lines(docs: DataFrame, edits: int) -> DataFrame:
-    """h1, h2, first occurrence (doc, content, pos), copies, parity and keys of every distinct line."""
+def distinct_lines(docs: DataFrame, edits: int | None, short: bool) -> DataFrame:
+    """h1, h2, first occurrence (doc, content, pos), copies, parity, own edits and keys of every distinct line."""
     df = docs.select("doc_id", F.xxhash64("text").alias("content"), F.explode(F.filter(
-        _normal_lines(F.col("text")), lambda x: F.length(x["line"]) >= MIN_CHARS)).alias("l"))
+        _normal_lines(F.col("text")), lambda x: takes_part(x["line"], short))).alias("l"))
     df = df.select("doc_id", "content", "l.pos", "l.line").withColumn("n", F.length("line"))
     # each edit changes at most three words, so at most three bits
     parity = "cast(aggregate(split(line, ' '), 0, (a, w) -> a ^ shiftleft(1, cast(pmod(xxhash64(w), 32) as int))) as int)"
     h1, h2 = _identity(F.col("line"))
     df = df.select(h1.alias("h1"), h2.alias("h2"), F.struct(_place(F.col("doc_id")).alias("doc"), "content", "pos").alias("first"),
-                   F.expr(parity).alias("parity"), F.expr(segment_keys("line", "n", edits)).alias("keys"))
+                   F.expr(parity).alias("parity"), F.expr(allowed("n", edits)).alias("own"), F.expr(line_keys("line", "n", edits)).alias("keys"))
     return (df.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("copies"),
-                                       F.first("parity").alias("parity"), F.first("keys").alias("keys"))
-            .select("h1", "h2", "first.*", "copies", "parity", "keys"))
+                                       F.first("parity").alias("parity"), F.first("own").alias("own"), F.first("keys").alias("keys"))
+            .select("h1", "h2", "first.*", "copies", "parity", "own", "keys"))
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,10 +190,10 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("h1", "h2", line.alias("line")).dropDuplicates(["h1", "h2"]).select("h1", characters(F.col("line")).alias("chars"))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
-    """h1, h2 of the lines with an earlier line within ``edits`` edits."""
-    rows = distinct.select("h1", "parity", "doc", "pos", F.posexplode("keys").alias("k", "key")) \
-        .withColumn("probe", F.col("k") > edits).drop("k")
+def near_lines(docs: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
+    """h1, h2 of the lines with an earlier line within ``edits`` edits, or those that the lengths allow."""
+    rows = distinct.select("h1", "parity", "doc", "pos", "own", F.posexplode("keys").alias("k", "key")) \
+        .withColumn("probe", F.col("k") > F.col("own")).drop("k", "own")
     places = distinct.select("h1", "h2", "doc", "content", "pos")
 
     def settle(pairs: DataFrame) -> DataFrame:
@@ -154,14 +202,14 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
         texts = line_texts(docs, places.join(need, "h1")).checkpoint()
         a = texts.select(F.col("h1").alias("late"), F.col("chars").alias("x"))
         b = texts.select(F.col("h1").alias("early"), F.col("chars").alias("y"))
-        return (pairs.join(a, "late").join(b, "early").filter(F.expr(within_edits("x", "y", edits)))
+        return (pairs.join(a, "late").join(b, "early").filter(F.expr(near_enough("x", "y", edits)))
                 .select(F.col("late").alias("h1")).distinct().checkpoint())
 
     def pairs_of(met: DataFrame) -> DataFrame:
         """(late, early) of rows with a line (h1, parity, doc, pos) and another (h, p, d, q), if within reach."""
         flips = F.bit_count(F.col("parity").bitwiseXOR(F.col("p")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
         later = F.struct("doc", "pos", "h1") > F.struct("d", "q", "h")
-        return met.filter((F.col("h1") != F.col("h")) & (flips <= 3 * edits)).select(
+        return met.filter((F.col("h1") != F.col("h")) & (flips <= 3 * F.col("key").bitwiseAND(F.lit(3)))).select(
             F.when(later, F.col("h1")).otherwise(F.col("h")).alias("late"),
             F.when(later, F.col("h")).otherwise(F.col("h1")).alias("early"))
 
@@ -189,11 +237,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     return distinct.select("h1", "h2").join(settled.unionByName(rest), "h1", "left_semi")
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, edits: int | None = None, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(document_lines, removed occurrences: doc_id, content, pos, chars, near)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = _written(document_lines(docs), "document-lines")
-    distinct = _written(distinct_lines(docs, edits), "distinct-lines")
+    rows = _written(document_lines(docs, short), "document-lines")
+    distinct = _written(distinct_lines(docs, edits, short), "distinct-lines")
     near = near_lines(docs, distinct, edits).withColumn("near", F.lit(True)).checkpoint()
     hit = (distinct.select("h1", "h2", "copies", F.struct("doc", "content", "pos").alias("first"))
            .join(near, ["h1", "h2"], "left").filter((F.col("copies") > 1) | F.col("near"))
@@ -214,14 +262,14 @@ def _per_document(gone: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("pos")).alias("at"))      # at most the lines of one text
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int | None = None, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near (removed lines) and removed_chars (normalised) of every row.
 
     Null and empty texts have one empty line, which takes no part.  Rows that repeat an id and a text are
     one document: their lines are not removed for each other.  The order of occurrences is by id (null
     last), then text hash, then place.  Other columns are ignored; an empty table gives an empty result;
     lines are compared whole, whatever their length."""
-    rows, gone = removed_lines(docs, edits)
+    rows, gone = removed_lines(docs, edits, short)
     per = _per_document(gone)
     out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("id"))
                     & F.col("content").eqNullSafe(F.col("c")), "left")
@@ -231,10 +279,10 @@ def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                       F.coalesce("chars", zero).cast("bigint").alias("removed_chars"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int | None = None, text: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the removed lines cut out of the text (a null text stays null); rows left without a
     word that had one go.  All columns stay."""
-    _, gone = removed_lines(docs.select("doc_id", text), edits)
+    _, gone = removed_lines(docs.select("doc_id", text), edits, short)
     per = _per_document(gone).select("id", "c", "at")
     df = docs.withColumn("__c", F.xxhash64(text)).alias("d").join(per.alias("p"), F.col("d.doc_id").eqNullSafe(
         F.col("p.id")) & F.col("d.__c").eqNullSafe(F.col("p.c")), "left")
