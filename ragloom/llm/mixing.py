@@ -6,6 +6,11 @@ to end in hash order and cut into blocks of equally many words; a source's r-th
 takes its block r modulo the number of blocks, so any prefix of the mix holds the
 sources close to their shares.
 
+A source's last block is short, and a small source is due only a few slots.  Where
+slots of whole blocks miss a source's target by more than ``MISS`` or leave the source
+out, it is laid out word by word instead: its documents repeat end to end up to the target, cut into
+blocks that are spread evenly over the slots.
+
 Ranks and running sums are computed in two levels (bounded groups plus a prefix sum
 over group totals), so a source that holds most rows is no single task.
 """
@@ -23,6 +28,7 @@ from ..session import ensure_checkpoint_dir
 BLOCK_WORDS = 2048          # longest block ...
 LEAST_SLOTS = 1 << 16       # ... shorter where the mix would have fewer slots than this
 MAX_PASSES = 3              # times a source, and so a document, may be repeated
+MISS = (3, 0.01)            # words and share of the target that whole blocks may miss
 WEIGHTS = 3                 # sources in code point order, null last, weigh 1, 2, 3, 1, 2, 3, ...
 
 # Points are multiples of the golden ratio on a grid of 2**31.
@@ -34,8 +40,9 @@ CHUNK = 4096                # slots ranked together
 
 @dataclass
 class Mix:
-    """sources: idx, source, weight, source_size, target, blocks; stream: every document with its source
-    and word position; rows: the mix itself, one row per slot and document piece."""
+    """sources: idx, source, weight, source_size, target, exact (words of a source laid out word by word, else
+    null); stream: every document with its source and word position; rows: the mix itself, one row per slot and
+    document piece, where pieces of sources laid out word by word share slots with others."""
     sources: DataFrame
     stream: DataFrame
     rows: DataFrame
@@ -71,7 +78,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def document_stream(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with its source's idx and ``at``, the words before it in its source's hash order."""
-    df = sizes.join(sources.select("idx", "source", "source_size", "target"),
+    df = sizes.join(sources.select("idx", "source", "source_size", "target", "exact"),
                     sizes["source"].eqNullSafe(sources["source"])).drop("source")
     df = df.withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     df = df.withColumn("bucket", F.substring("order_key", 1, 3))
@@ -114,6 +121,36 @@ def slot_schedule(spark, sources: DataFrame, total: int, block_words: int) -> Da
                     (F.col("rank") % F.col("blocks")).alias("block")))
 
 
+def exact_sources(sources: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """``sources`` with ``exact``, the target in whole words where the slots miss it by more than MISS or give nothing, else null."""
+    due = slots.groupBy("idx").agg(F.count("*").alias("n"))
+    df = sources.join(due, "idx", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    size = F.col("source_size")
+    blocks = F.greatest(F.ceil(size / F.lit(block_words)), F.lit(1)).cast("bigint")
+    given = F.floor(F.col("n") / blocks) * size + F.least(size, F.col("n") % blocks * block_words)
+    off = F.abs(given - F.col("target")) > F.greatest(F.lit(float(MISS[0])), F.col("target") * MISS[1])
+    off = off | ((given == 0) & (F.col("target") > 0))
+    exact = F.least(F.round("target").cast("bigint"), size * MAX_PASSES)
+    return df.withColumn("exact", F.when(off, exact)).drop("n")
+
+
+def exact_pieces(stream: DataFrame, block_words: int, total: int) -> DataFrame:
+    """Rows of the sources laid out word by word: block k holds the words from k * block_words of the source's
+    repeated documents."""
+    lo = F.col("pass") * F.col("source_size") + F.col("at")
+    df = (stream.filter(F.col("exact").isNotNull() & (F.col("size") > 0))
+          .withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(MAX_PASSES - 1).cast("bigint"))))
+          .withColumn("lo", lo).withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("exact")))
+          .filter(F.col("hi") > F.col("lo")))
+    df = df.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block_words),
+                                                     F.floor((F.col("hi") - 1) / block_words))))
+    df = (df.withColumn("begin", F.greatest("lo", F.col("block") * block_words))
+          .withColumn("words", F.least("hi", (F.col("block") + 1) * block_words) - F.col("begin")))
+    slot = F.floor((F.col("block") + 0.5) * -(-total // block_words) / F.ceil(F.col("exact") / block_words))
+    return df.select("idx", "block", slot.alias("slot"), "pass", "doc_id", "at",
+                     (F.col("begin") - F.col("lo")).alias("from_word"), "words")
+
+
 def mix_sources(docs: DataFrame) -> Mix:
     """The mix of all documents.  A null text has 0 words and a null source is a source of its own (last);
     documents of 0 words are in the stream but in no block.  Repeated rows are laid out one by one; other
@@ -126,15 +163,17 @@ def mix_sources(docs: DataFrame) -> Mix:
     sources = source_targets(sizes).checkpoint()        # one row per source
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     block_words = min(BLOCK_WORDS, max(1, -(-total // LEAST_SLOTS)))
+    slots = slot_schedule(spark, sources, total, block_words).checkpoint()
+    sources = exact_sources(sources, slots, block_words).checkpoint()
     stream = document_stream(sizes, sources).checkpoint()
-    slots = slot_schedule(spark, sources, total, block_words)
     first, after = F.floor(F.col("at") / block_words), F.col("at") + F.col("size")
-    pieces = (stream.filter(F.col("size") > 0)
+    pieces = (stream.filter((F.col("size") > 0) & F.col("exact").isNull())
               .withColumn("block", F.explode(F.sequence(first, F.floor((after - 1) / block_words))))
               .withColumn("begin", F.greatest(F.col("at"), F.col("block") * block_words))
               .withColumn("words", F.least(after, (F.col("block") + 1) * block_words) - F.col("begin"))
               .select("idx", "block", "doc_id", "at", (F.col("begin") - F.col("at")).alias("from_word"), "words"))
-    return Mix(sources, stream, slots.join(pieces, ["idx", "block"]), block_words)
+    rows = slots.join(pieces, ["idx", "block"]).unionByName(exact_pieces(stream, block_words, total))
+    return Mix(sources, stream, rows, block_words)
 
 
 def _taken(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from ragloom.llm import line_dedup as LD
+from ragloom.llm import mixing
 
 from . import brute
 from .conftest import rows_of
@@ -42,3 +43,28 @@ def test_short_lines_match_exactly(spark):
     want = [(1, 0, 0), (2, 1, 0), (3, 1, 0), (4, 1, 0), (5, 1, 0)]
     assert removals(rows) == want
     assert rows_of(LD.line_dedup(df, short=True), "doc_id", "n_exact", "n_near") == want
+
+
+def test_small_sources_reach_their_targets(spark, monkeypatch):
+    """Long blocks, a hot source and small ones: every source delivers its target, in order, spread over the mix."""
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 16)
+    sizes = {"a": 100, "b": 500, "c": 2100, "d": 3000, "e": 5000, "f": 1, "g": 20_000, "hot": 200_000, "z": 0}
+    rows, step = [], 37
+    for source, n in sizes.items():
+        rows += [(len(rows) + i, "w " * min(step, n - at), source) for i, at in enumerate(range(0, n, step))]
+    rows.append((99_999, "", "z"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mix = mixing.mix_sources(df)
+    assert mix.block_words == 2048
+    slots = -(-sum(sizes.values()) // 2048)
+    target = {r["idx"]: (r["source"], r["target"]) for r in mix.sources.collect()}
+    got = {}
+    for r in mix.rows.collect():
+        assert 0 <= r["slot"] < slots and 0 < r["words"] <= step and 0 <= r["from_word"] < step
+        got[r["idx"]] = got.get(r["idx"], 0) + r["words"]
+    for idx, (source, want) in target.items():
+        assert abs(got.get(idx, 0) - want) <= max(3, 0.01 * want), source
+    small = {s: want for s, want in target.values() if s in "abcdef"}
+    assert all(want == 3 * sizes[s] for s, want in small.items())
+    for r in mixing.mixed_documents(df).where("source_size < 6000").collect():
+        assert r["taken"] == 3 * r["size"]
