@@ -65,7 +65,10 @@ def first_write_wins(batch: DataFrame, order_col: str = "ingest_seq") -> DataFra
 def add_if_absent(existing: DataFrame, new: DataFrame, order_col: str = "ingest_seq") -> DataFrame:
     """K1: rows of ``new`` whose (collection, chunk_id) is not stored yet
     (first write wins, also inside the batch), appended to ``existing``."""
-    fresh = first_write_wins(new, order_col).join(existing.select(*KEYS), KEYS, "left_anti")
+    fresh = first_write_wins(new, order_col)
+    stored = existing.select(*[F.col(k).alias(f"_{k}") for k in KEYS])      # a null collection is one, too
+    same = F.col(KEYS[0]).eqNullSafe(F.col(f"_{KEYS[0]}")) & F.col(KEYS[1]).eqNullSafe(F.col(f"_{KEYS[1]}"))
+    fresh = fresh.join(stored, same, "left_anti")
     return existing.unionByName(fresh.select(*existing.columns))
 
 

@@ -334,13 +334,21 @@ def collection_selector(spark, sf):
 
 
 def _ingest_batches(spark, sf):
+    """Every document chunk in two batches that share the French ones; any other or null language is in the second."""
     c = D.store_chunks(spark, sf, include_web=False)
     first = c.where(F.col("collection").isin("user_en_docs", "user_fr_docs"))
-    second = (c.where(F.col("collection").isin("user_fr_docs", "user_de_docs", "user_es_docs"))
+    second = (c.where(~F.col("collection").eqNullSafe("user_en_docs"))
               .withColumn("source_type", F.lit("reingest")))
     return first, second
 
 
+def _store_batches(spark, sf):
+    """The whole chunk table, web chunks included, in two batches that overlap by the first digit of the id's md5."""
+    c = D.store_chunks(spark, sf)
+    digit = F.substring(F.md5(F.col("chunk_id").cast("binary")), 1, 1)
+    return c.where(digit <= "a"), c.where(digit >= "5").withColumn("source_type", F.lit("reingest"))
+
+
 @query
 def add_if_absent(spark, sf):
     from ..operators import store
@@ -348,6 +356,13 @@ def add_if_absent(spark, sf):
     return store.add_if_absent(first, second).select("collection", "chunk_id", "source_type")
 
 
+@query
+def add_if_absent_store(spark, sf):
+    from ..operators import store
+    first, second = _store_batches(spark, sf)
+    return store.add_if_absent(first, second).select("collection", "chunk_id", "source_type")
+
+
 @query
 def delete_by_ids(spark, sf):
     """Moderation clean-up: delete every chunk of a document labelled toxic."""
