@@ -8,7 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encoding_digests
 from .common import table
+from .filter_audit import ORACLE as FILTER_AUDIT_SQL
+from .filter_audit import filter_audit
 from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_components
 from .language_id import language_id
@@ -23,6 +26,8 @@ from .quality import quality_scores
 from .token_counts import token_counts
 from .topk import ORACLE as TOPK_SQL
 from .topk import exact_top_k
+from .vector_codes import ORACLE as VECTOR_CODES_SQL
+from .vector_codes import vector_codes
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +76,18 @@ def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), ["doc_id"])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), ["vec_id"], "label")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +99,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_line_frequency": op10_line_frequency,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLE: dict[str, str] = {
@@ -89,4 +109,6 @@ LLM_ORACLE: dict[str, str] = {
     "op6_topk": TOPK_SQL,
     "op8_mixing": MIXING_SQL,
     "op10_line_frequency": LINE_RULES_SQL,
+    "op11_filter_audit": FILTER_AUDIT_SQL,
+    "op13_vector_codes": VECTOR_CODES_SQL,
 }
