@@ -38,12 +38,16 @@ def chat_parts(requests: DataFrame, context: DataFrame) -> DataFrame:
 
 def assemble_prompts(parts: DataFrame, budget: int) -> DataFrame:
     """(query_id, prompt, response) of ``chat_parts`` rows for a model that takes ``budget`` characters of
-    context: the leading context rows that fit, joined by blank lines, and the instruction."""
+    context: the leading context rows that fit, joined by blank lines, and the instruction.
+
+    ``pos`` numbers the rows of a scope and each takes its separator, so no row past ``budget`` / 2 can fit; of
+    the others only positions and lengths are summed up, and texts join what is kept."""
     from .retrieval import context_budget, ordered_concat
 
-    context = parts.where("kind = 'context'")
-    kept = context_budget(context, [F.col("pos")], budget, group="scope")
-    texts = ordered_concat(kept, ["scope"], "pos")
+    context = parts.where((F.col("kind") == "context") & (F.col("pos") <= budget // 2))
+    sizes = context.select("scope", "pos", F.length("text").alias("n_chars"))
+    kept = context_budget(sizes, [F.col("pos")], budget, group="scope", size=F.col("n_chars"))
+    texts = ordered_concat(kept.join(context.select("scope", "pos", "text"), ["scope", "pos"]), ["scope"], "pos")
     asked = parts.where("kind <> 'context'").join(texts, "scope", "left")
     instruction = F.col("kind") == "instruction"
     return asked.select("query_id", F.when(instruction, F.concat(F.coalesce("context", F.lit("")), F.col("text"))).alias("prompt"),

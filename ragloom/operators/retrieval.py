@@ -3,9 +3,8 @@
 Dense top-k (J3, R5) scores a question set against all stored vectors in blocks:
 stored vectors and questions are packed into rows of bounded size, every question
 block meets every stored block in an equi-join on the block number, and only the k
-best of each pair of blocks leave the task.  Sparse retrieval (J4) is an inverted
-index: an equi-join of question and chunk postings on the token's 64-bit hash, hot
-tokens salted on both sides.  Nothing is fetched to the driver but two counts.
+best of each pair of blocks leave the task.  Lexical retrieval (J4) meets question and
+chunk vectors in the same way, see ``lexical``.  Nothing is fetched to the driver but counts.
 
 Contexts (J6, A1) are ordered rows over each distinct scope, never one value, and
 nothing is cut from them.  A budget (R6) is what a caller asks for explicitly.
@@ -20,16 +19,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collection_name
 from ..functions.vectors import l2_normalize
-from .embedding import term_weights
-from .ranking import distributed_row_number, topk_per_group
+from .lexical import lexical_hits
+from .ranking import distributed_row_number, topk_per_group, weighted_prefix
 
 # Rows of one packed block of stored vectors / of questions (expected; packing is by hash).
 BLOCK_ROWS = 1024
 QUESTION_ROWS = 128
 # Doubles in one difference tensor inside a Python worker (~32 MB).
 SCORE_CELLS = 4_000_000
-# Keys a token's postings are spread over.
-TOKEN_SALTS = 16
 # Places that distances and scores are rounded to before they rank.
 PLACES = 9
 
@@ -141,62 +138,37 @@ def topk(stored: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id"
     return topk_per_group(found, [qid], hit_order(id_col), k)
 
 
-# ---------------------------------------------------------------- sparse
-def postings(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, token, weight): 64-bit token hashes with unit-length term-frequency weights, one row per
-    distinct token of a text."""
-    v = df.select(key, term_weights(F.col(text_col)).alias("v"))
-    return v.select(key, F.inline(F.arrays_zip(F.col("v.tokens").alias("token"), F.col("v.weights").alias("weight"))))
-
-
-def sparse_scores(chunk_terms: DataFrame, question_terms: DataFrame,
-                  chunk_key: str = "chunk_id", query_key: str = "query_id") -> DataFrame:
-    """Dot products of unit-length term vectors through their shared tokens.
-
-    A frequent token's chunk postings are spread over TOKEN_SALTS keys and its question postings copied
-    to each, so no token is one task.  Chunks that share no token with a question score 0 and are not
-    emitted."""
-    salt = F.pmod(F.xxhash64(chunk_key), F.lit(TOKEN_SALTS)).cast("int")
-    q = question_terms.select(query_key, "token", F.col("weight").alias("qw"),
-                              F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
-    joined = chunk_terms.withColumn("salt", salt).join(q, ["token", "salt"])
-    return joined.groupBy(query_key, chunk_key).agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-
-
-def sparse_order(chunk_key: str = "chunk_id"):
-    return [F.round(F.col("score"), PLACES).desc(), F.col(chunk_key).asc()]
+# ---------------------------------------------------------------- lexical
+def lexical_order(chunk_key: str = "chunk_id"):
+    return [F.col("score").desc(), F.col(chunk_key).asc()]
 
 
 def rank_sparse(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """J4 + R5: (query_id, rank, chunk_id, score) of the k best chunks per question."""
-    scored = scored_chunks(chunks, questions)
-    return topk_per_group(scored, ["query_id"], sparse_order(), k)
+    return topk_per_group(lexical_hits(chunks, questions, k=k).drop("n_chars"), ["query_id"], lexical_order(), k)
 
 
-def context_budget(ranked: DataFrame, order: list, budget: int, sep_len: int = 2,
-                   group: str = "query_id", text_col: str = "text") -> DataFrame:
-    """Rows in rank order while the running length (texts plus separators) stays within ``budget``.
+def context_budget(ranked: DataFrame, order: list, budget: int, sep_len: int = 2, group: str = "query_id",
+                   size=None, rank: str = "_r") -> DataFrame:
+    """Rows in rank order while the running length (texts plus separators) stays within ``budget``, with
+    ``rank`` and ``used_chars``.  ``size``: the length of a row's text (of column ``text``, if not given).
 
-    The running sum is over the whole ranking, so the layout of the data does not matter.  A row takes at
-    least its separator, so only ``budget // sep_len + 1`` rows can fit and no more pass the group limit."""
-    if sep_len < 1:
-        raise ValueError("a separator of at least one character bounds the rows that can fit")
-    top = topk_per_group(ranked, [group], order, budget // sep_len + 1, out="_r")
-    w = Window.partitionBy(group).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.length(F.col(text_col)) + F.lit(sep_len)).over(w) - F.lit(sep_len)
-    return top.withColumn("used_chars", used.cast("bigint")).where(F.col("used_chars") <= budget)
+    The cut is a weighted prefix sum over all rows (``weighted_prefix``), so the layout of the data does not
+    matter; give rows without their texts and join these to what is kept."""
+    size = F.length("text") if size is None else size
+    kept = weighted_prefix(ranked, [group], order, size + F.lit(sep_len), budget + sep_len, rank, "used_chars")
+    return kept.withColumn("used_chars", F.col("used_chars") - F.lit(sep_len))
 
 
-def scored_chunks(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a token with a question."""
-    return sparse_scores(postings(chunks, "chunk_id"), postings(questions, "query_id", "query"))
+def budget_rows(hits: DataFrame, budget: int) -> DataFrame:
+    """Hits (``lexical_hits``) within a caller's budget: query_id, rank, chunk_id, used_chars."""
+    kept = context_budget(hits, lexical_order(), budget, size=F.col("n_chars"), rank="rank")
+    return kept.select("query_id", "rank", "chunk_id", "used_chars")
 
 
-def ranked_rows(scored: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
+def ranked_rows(hits: DataFrame, chunks: DataFrame, budget: int) -> DataFrame:
     """Ranked context within a caller's budget as ordered rows: query_id, rank, chunk_id, text, used_chars."""
-    sized = scored.join(chunks.select("chunk_id", "text"), "chunk_id")
-    return context_budget(sized, sparse_order(), budget).select(
-        "query_id", F.col("_r").alias("rank"), "chunk_id", "text", "used_chars")
+    return budget_rows(hits, budget).join(chunks.select("chunk_id", "text"), "chunk_id")
 
 
 def with_empty_contexts(hits: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -217,7 +189,9 @@ def ordered_concat(df: DataFrame, group: list[str], order_col: str, text_col: st
 
 # ---------------------------------------------------------------- scopes
 def _scope(shape, collection, folder, document):
-    return F.concat_ws("|", shape, collection, folder, document)
+    """One key of a scope: the parts as a JSON array, so that no character in a name runs into the next part
+    (no collection: no key)."""
+    return F.when(collection.isNotNull(), F.to_json(F.array(shape, collection, folder, document)))
 
 
 def request_scopes(requests: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import fit_dimension, l2_normalize
-from ..operators import chunking, embedding, retrieval
+from ..operators import chunking, embedding, lexical, retrieval
 from ..sources import tables
 from . import derived as D
 
@@ -121,29 +121,31 @@ def rank_sparse(spark, sf):
     return r.select("query_id", "rank", "chunk_id", r6(F.col("score")).alias("score"))
 
 
-def _scored(spark, sf):
-    return retrieval.scored_chunks(D.doc_chunks(spark, sf), D.questions(spark, sf))
-
-
-def _ranked_rows(spark, sf):
-    return retrieval.ranked_rows(_scored(spark, sf), D.doc_chunks(spark, sf), D.CONTEXT_BUDGET)
+def _hits_in_budget(spark, sf):
+    return lexical.lexical_hits(D.doc_chunks(spark, sf), D.questions(spark, sf), budget=D.CONTEXT_BUDGET)
 
 
 @query
 def context_budget(spark, sf):
-    return _ranked_rows(spark, sf).drop("text")
+    return retrieval.budget_rows(_hits_in_budget(spark, sf), D.CONTEXT_BUDGET)
+
+
+def _context(spark, sf, hits):
+    rows = retrieval.ranked_rows(hits, D.doc_chunks(spark, sf), D.CONTEXT_BUDGET)
+    return retrieval.ordered_concat(rows, ["query_id"], "rank")
 
 
 @query
 def ranked_context(spark, sf):
-    return retrieval.ordered_concat(_ranked_rows(spark, sf), ["query_id"], "rank")
+    return _context(spark, sf, _hits_in_budget(spark, sf))
 
 
 @query
 def ranked_prompt(spark, sf):
+    from ..operators.partitioning import materialize
     from ..operators.prompts import ranked_prompts
-    context = retrieval.with_empty_contexts(_scored(spark, sf), ranked_context(spark, sf))
-    return ranked_prompts(D.questions(spark, sf), context)
+    hits = materialize(_hits_in_budget(spark, sf))
+    return ranked_prompts(D.questions(spark, sf), retrieval.with_empty_contexts(hits, _context(spark, sf, hits)))
 
 
 # ------------------------------------------------------------------ web pages

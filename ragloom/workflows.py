@@ -20,6 +20,7 @@ from .functions.text import empty_placeholder
 from .operators import prompts, registry, retrieval, store, trainset, web
 from .operators.chunking import CHUNK_SIZE, PARAGRAPH_SEP, explode_chunks
 from .operators.embedding import HASH_DIM, embed
+from .operators.lexical import lexical_hits
 from .operators.partitioning import materialize
 from .sources.files import read_files
 
@@ -88,7 +89,7 @@ def ask(chunks: DataFrame, questions: DataFrame, budget: int, selector: str | No
     column, the ``k`` nearest chunks of each.  ``model`` turns prompts into responses."""
     scoped = retrieval.select_collections(chunks, selector)
     if provider is None:
-        ranked = retrieval.scored_chunks(scoped, questions)
+        ranked = materialize(lexical_hits(scoped, questions, budget=budget))
         kept = retrieval.ranked_rows(ranked, scoped, budget)
     else:
         if k is None:
@@ -96,8 +97,11 @@ def ask(chunks: DataFrame, questions: DataFrame, budget: int, selector: str | No
         vectors = embed(questions.select("query_id", "query"), provider, "query", dim=dim)
         stored = scoped.where("embedding IS NOT NULL")
         top = retrieval.topk(stored, vectors, k, id_col="chunk_id")
-        ranked = top.join(stored.select("chunk_id", "collection", "text"), ["chunk_id", "collection"])
-        kept = retrieval.context_budget(ranked, [F.col("rank")], budget)
+        texts = stored.select("chunk_id", "collection", "text")
+        ranked = materialize(top.select("query_id", "rank", "chunk_id", "collection").join(
+            texts.withColumn("n_chars", F.length("text")).drop("text"), ["chunk_id", "collection"]))
+        kept = retrieval.context_budget(ranked, [F.col("rank")], budget, size=F.col("n_chars"))
+        kept = kept.join(texts, ["chunk_id", "collection"])
     context = retrieval.with_empty_contexts(ranked, retrieval.ordered_concat(kept, ["query_id"], "rank"))
     out = prompts.ranked_prompts(questions, context)
     return out if model is None else _answered(out, model)

@@ -107,14 +107,6 @@ def test_topk_plan_uses_group_limit(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_sparse_scores_equal_dot_products(spark):
-    c = spark.createDataFrame([("c1", 0, 0.6), ("c1", 1, 0.8), ("c2", 1, 1.0), ("c3", 2, 1.0)],
-                              "chunk_id string, token long, weight double")
-    q = spark.createDataFrame([(1, 0, 1.0), (2, 1, 0.6), (2, 2, 0.8)], "query_id long, token long, weight double")
-    got = {(r.query_id, r.chunk_id): round(r.score, 9) for r in retrieval.sparse_scores(c, q).collect()}
-    assert got == {(1, "c1"): 0.6, (2, "c1"): 0.48, (2, "c2"): 0.6, (2, "c3"): 0.8}
-
-
 def test_rank_sparse(spark):
     chunks = spark.createDataFrame([("a", "red fish, red boat"), ("b", "Red fish"), ("c", "green"), ("d", "")],
                                    "chunk_id string, text string")
@@ -155,8 +147,8 @@ def test_scoped_context_is_whole_on_any_layout(spark):
     reqs = spark.createDataFrame([(1, "a", None, None), (2, "a", "f1", ""), (3, "a", None, "name1"), (4, "a", "f0", "name1"),
                                   (5, "b", None, None), (6, "a", None, "name1")],
                                  "query_id long, username string, folder_name string, document_name string")
-    want = {"U|user_a_docs||": rows, "F|user_a_docs|f1|": [r for r in rows if r[5] == "f1"],
-            "D|user_a_docs||name1": [r for r in rows if r[4] == "name1"]}
+    want = {'["U","user_a_docs","",""]': rows, '["F","user_a_docs","f1",""]': [r for r in rows if r[5] == "f1"],
+            '["D","user_a_docs","","name1"]': [r for r in rows if r[4] == "name1"]}
     for parts in (1, 16):
         got = {}
         for r in retrieval.scoped_context(chunks.repartition(parts), reqs).collect():
@@ -165,6 +157,21 @@ def test_scoped_context_is_whole_on_any_layout(spark):
             s: [(p, r[1], r[6]) for p, r in enumerate(sorted(x, key=lambda r: (r[2], r[3])))] for s, x in want.items()}
 
 
+def test_scopes_of_names_with_separators(spark):
+    """Folder x|y with document z is not folder x with document y|z, nor any quoting of them."""
+    chunks = spark.createDataFrame(
+        [("user_a_docs", "c1", "k1", 0, "z", "x|y", "foreign"), ("user_a_docs", "c2", "k2", 0, 'y","z', "x", "foreign"),
+         ("user_a_docs", "c3", "k3", 0, None, None, "none"), (None, "c4", "k4", 0, "z", "x", "no user")],
+        "collection string, chunk_id string, doc_key string, chunk_index long, document_name string, "
+        "folder_name string, text string")
+    reqs = spark.createDataFrame(
+        [(1, "a", "x", "y|z"), (2, "a", "x|y", "z"), (3, "a", "x", 'y","z'), (4, "a", 'x","y', "z"), (5, None, "x", "z")],
+        "query_id long, username string, folder_name string, document_name string")
+    asked = retrieval.request_scopes(reqs).select("query_id", "scope")
+    got = retrieval.scoped_context(chunks, reqs).join(asked, "scope").collect()
+    assert sorted((r.query_id, r.chunk_id) for r in got) == [(2, "c1"), (3, "c2")]
+
+
 def test_cosine_metric(spark):
     rnd = np.random.default_rng(5)
     vecs = rnd.normal(size=(80, 8)) * rnd.uniform(0.5, 3, size=(80, 1))  # not unit length

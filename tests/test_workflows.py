@@ -28,7 +28,7 @@ def test_pages_then_chat_and_ask(spark, tmpdir_path):
          ("q3", "web", "none?", "nowhere", None)],
         "query_id string, username string, query string, folder_name string, document_name string")
     parts = workflows.chat(stored, reqs)
-    context = parts.where("kind = 'context' AND scope LIKE 'U|%'").orderBy("pos").collect()
+    context = parts.where((F.col("kind") == "context") & F.col("scope").startswith('["U",')).orderBy("pos").collect()
     assert [r.text for r in context] == [r.text for r in stored.orderBy("doc_key", "chunk_index", "chunk_id").collect()]
     out = {r.query_id: r for r in assemble_prompts(parts, 10_000_000).collect()}
     assert out["q1"].prompt.endswith("Query: hello?") and out["q1"].response is None
