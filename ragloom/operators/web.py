@@ -156,11 +156,17 @@ def one_page_per_url(parsed: DataFrame) -> DataFrame:
     return keyed.join(first, ["_key", "page_id"], "left_semi")
 
 
+def first_crawl(parsed: DataFrame) -> DataFrame:
+    """One page per URL, fragment included: of several crawls the lowest page_id."""
+    first = parsed.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return parsed.join(first, ["url", "page_id"], "left_semi")
+
+
 def linked_content(parsed: DataFrame, max_links: int | None = None,
                    links: DataFrame | None = None, materialized: bool = False) -> DataFrame:
     """For each kept link (the first ``max_links`` when given), the linked page's
     block ``--- Content from TITLE (URL) ---\\n\\nTEXT\\n\\n``.  Links whose
-    target is not in the crawl are skipped (they still used up the cap).
+    target is not in the crawl or failed to parse are skipped (they still used up the cap).
     ``links`` (page_id, pos, url) replaces the links found in the pages."""
     if links is None and not materialized:
         parsed = materialize(parsed)  # read by both sides of the join
@@ -169,7 +175,7 @@ def linked_content(parsed: DataFrame, max_links: int | None = None,
     elif max_links is not None:
         links = links.where(F.col("pos") < max_links)
     links = links.withColumn("_key", url_without_fragment(F.col("url")))
-    targets = one_page_per_url(parsed.where(is_html_type(F.col("content_type")))).select(
+    targets = one_page_per_url(parsed.where(is_html_type(F.col("content_type")) & F.col("parse_error").isNull())).select(
         "_key", F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
     joined = links.join(targets, "_key")
     block = F.concat(F.lit("--- Content from "), F.col("_t_title"), F.lit(" ("), F.col("url"),
@@ -213,17 +219,17 @@ def url_batch(urls: DataFrame, parsed: DataFrame, collection: str = "default",
     document id and chunk count); the rest become error rows."""
     if not materialized:
         parsed = materialize(parsed)
-    content = pages_with_links(parsed.where(content_kind(F.col("content_type")) == "html"),
-                               max_links, follow_links, materialized=True)
+    html_pages = parsed.where(content_kind(F.col("content_type")) == "html")
+    content = pages_with_links(html_pages.where("parse_error IS NULL"), max_links, follow_links, materialized=True)
     text = empty_placeholder(F.col("text"), F.col("url"), kind="url")
-    failed = parsed.where(F.col("parse_error").isNotNull()).select("page_id", "parse_error")
-    ok = (one_page_per_url(content.join(failed, "page_id", "left"))
-          .select("_key", F.size(chunk_text(text, chunk_size, sep)).cast("bigint").alias("_n"), "parse_error"))
+    ok = one_page_per_url(content).select("_key", F.size(chunk_text(text, chunk_size, sep)).cast("bigint").alias("_n"))
+    failed = (html_pages.where("parse_error IS NOT NULL")
+              .groupBy(url_without_fragment(F.col("url")).alias("_key")).agg(F.min("parse_error").alias("parse_error")))
     pdf_urls = parsed.where(content_kind(F.col("content_type")) == "pdf").select(
         url_without_fragment(F.col("url")).alias("_key"), F.lit(True).alias("_pdf")).distinct()
     j = (urls.select("url").withColumn("_key", url_without_fragment(F.col("url")))
-         .join(ok, "_key", "left").join(pdf_urls, "_key", "left"))
-    found = F.col("_n").isNotNull() & F.col("parse_error").isNull()
+         .join(ok, "_key", "left").join(failed, "_key", "left").join(pdf_urls, "_key", "left"))
+    found = F.col("_n").isNotNull()
     broken = F.concat(F.lit("Failed to process content from "), F.col("url"), F.lit(": "), F.col("parse_error"))
     missing = F.concat(F.lit("Failed to fetch content from "), F.col("url"), F.lit(": not in the crawl table"))
     no_pdf = F.concat(F.lit("Failed to process PDF content from "), F.col("url"),

@@ -365,6 +365,44 @@ def add_if_absent_store(spark, sf):
     return store.add_if_absent(first, second).select("collection", "chunk_id", "source_type")
 
 
+def _store_rows(spark, sf):
+    """The whole chunk table; web chunks come without a collection, as a delivery that names none."""
+    c = D.store_chunks(spark, sf)
+    return c.withColumn("collection", F.when(F.col("source_type") != "web", F.col("collection")))
+
+
+@query
+def store_replay(spark, sf):
+    """K1, T3 through ``ChunkStore``: two overlapping deliveries, the second sent twice."""
+    from ..operators.partitioning import materialize
+    from ..operators.store import ChunkStore
+    from ..session import scratch_path
+    rows = materialize(_store_rows(spark, sf))
+    digit = F.substring(F.md5(F.col("chunk_id").cast("binary")), 1, 1)
+    again = rows.where(digit >= "5").withColumn("source_type", F.lit("reingest"))
+    st = ChunkStore(spark, scratch_path(spark, "store-replay"))
+    for delivery in (rows.where(digit <= "a"), again, again):
+        st.add(delivery)
+    return st.read().select("collection", "chunk_id", "source_type")
+
+
+@query
+def store_delete(spark, sf):
+    """K9 through ``ChunkStore``: every chunk of a document labelled toxic, and listed chunks without a collection."""
+    from ..operators.partitioning import materialize
+    from ..operators.store import ChunkStore
+    from ..session import scratch_path
+    rows = materialize(_store_rows(spark, sf))
+    st = ChunkStore(spark, scratch_path(spark, "store-delete"))
+    st.add(rows)
+    toxic = tables.table(spark, sf, "labels").where(F.col("toxic") == 1).select(
+        F.col("doc_id").cast("string").alias("doc_key"))
+    listed = F.col("collection").isNull() & (F.substring(F.md5(F.col("chunk_id").cast("binary")), 1, 1) <= "3")
+    st.delete_ids(rows.join(toxic, "doc_key", "left_semi").select("collection", "chunk_id").unionByName(
+        rows.where(listed).select("collection", "chunk_id")))
+    return st.read().select("collection", "chunk_id")
+
+
 @query
 def delete_by_ids(spark, sf):
     """Moderation clean-up: delete every chunk of a document labelled toxic."""

@@ -45,7 +45,7 @@ def ingest_files(files: DataFrame, store: ChunkStore, collection: str = "default
 def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore, checkpoint: str,
                       collection: str = "default", metadata: dict | None = None, available_now: bool = True,
                       glob: str | None = None, receipts_path: str | None = None,
-                      provider=None, dim: int = 768,
+                      provider=None, dim: int = 768, input_cap: int | None = None,
                       max_files_per_trigger: int = 1000) -> StreamingQuery:
     """T1 + T3: each micro-batch holds at most ``max_files_per_trigger`` new
     files (a backlog becomes several bounded batches, also with
@@ -58,7 +58,7 @@ def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore, c
     stream = reader.option("recursiveFileLookup", "true").load(source_dir)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        receipts = ingest_files(batch, store, collection, metadata, provider, dim)
+        receipts = ingest_files(batch, store, collection, metadata, provider, dim, input_cap)
         if receipts_path:
             (receipts.withColumn("epoch", F.lit(epoch_id))
              .write.mode("overwrite").parquet(f"{receipts_path}/epoch={epoch_id}"))

@@ -27,12 +27,13 @@ from .sources.files import read_files
 
 def ingest_path(spark: SparkSession, path: str, chunk_store: store.ChunkStore, username: str | None = None,
                 collection: str = "default", metadata: dict | None = None, provider=None,
-                dim: int = 768) -> DataFrame:
-    """Path A for every file under ``path``; returns per-file receipts."""
+                dim: int = 768, input_cap: int | None = None) -> DataFrame:
+    """Path A for every file under ``path``; returns per-file receipts.  ``input_cap``: characters that the
+    provider takes at once."""
     from .streaming.ingest import ingest_files
 
     coll = f"user_{username}_docs" if username else collection
-    return ingest_files(read_files(spark, path), chunk_store, coll, metadata, provider, dim)
+    return ingest_files(read_files(spark, path), chunk_store, coll, metadata, provider, dim, input_cap)
 
 
 def ingest_pages(pages: DataFrame, chunk_store: store.ChunkStore, collection: str = "default",
@@ -40,9 +41,13 @@ def ingest_pages(pages: DataFrame, chunk_store: store.ChunkStore, collection: st
                  max_links: int | None = None) -> DataFrame:
     """Path B over a crawl table (page_id, url, html[, content_type]): page
     text with linked pages, placeholder, packing, md5 ids, merged metadata;
-    returns one receipt per page."""
+    returns one receipt per page.
+
+    A page that failed to parse stores nothing and links to nothing.  Of several crawls of one URL the
+    one with the lowest page_id that parsed is stored, whole."""
     parsed = materialize(web.parsed_pages(pages))
-    html_pages = parsed.where(web.content_kind(F.col("content_type")) == "html")
+    html_pages = web.first_crawl(parsed.where((web.content_kind(F.col("content_type")) == "html")
+                                              & F.col("parse_error").isNull()))
     content = web.pages_with_links(html_pages, max_links, follow_links, materialized=True)
     meta = web.page_metadata(parsed, metadata).select("page_id", "document_name", "metadata")
     content = (content.join(meta, "page_id")

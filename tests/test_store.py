@@ -64,11 +64,13 @@ def test_chunk_store_replay_delete_clear(spark):
 def test_scope_filter_prunes_partitions(spark):
     st = store.ChunkStore(spark, scratch_path(spark, "store-prune"))
     st.add(spark.createDataFrame(_rows("user_a_docs", "x", 3, folder="f1") + _rows("user_b_docs", "y", 2), COLS))
-    scoped = scope_filter(st.read(), "a", folder="f1")
+    scoped = scope_filter(st.read_collection("user_a_docs"), "a", folder="f1")
     plan = scoped._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(collection" in plan and "user_a_docs" in plan
-    assert "PushedFilters: [IsNotNull(folder_name), EqualTo(folder_name,f1)]" in plan
+    assert "PartitionFilters: [isnotnull(part" in plan
+    pushed = plan[plan.index("PushedFilters"):]
+    assert "EqualTo(collection,user_a_docs)" in pushed and "EqualTo(folder_n" in pushed, pushed
     assert scoped.count() == 3
+    assert scope_filter(st.read(), "a", folder="f1").count() == 3
 
 
 def test_inventory_and_counts(spark):
@@ -116,8 +118,8 @@ def test_add_writes_only_new_rows(spark):
     st = store.ChunkStore(spark, path)
     st.add(spark.createDataFrame(_rows("c", "x", 3), COLS))
     assert st.add(spark.createDataFrame(_rows("c", "x", 4), COLS)) == 1  # only x_doc_3 is new
-    m = st._manifest()
-    assert [e["folder"] for e in m] == ["b000001", "b000002"]
+    m = [e for e in st._manifest() if "folder" in e]
+    assert [(e["folder"], e["rows"]) for e in m] == [("b000001", 3), ("b000002", 1)]
     assert spark.read.parquet(f"{path}/data/b000002").count() == 1
 
 
@@ -129,13 +131,79 @@ def test_replace_drops_stale_tail_chunks(spark):
     assert got == {"x_doc_0": "v2-x-0", "x_doc_1": "v2-x-1", "y_doc_0": "v1-y-0"}
 
 
-def test_wide_delete_becomes_compaction(spark, monkeypatch):
-    monkeypatch.setattr(store, "MAX_TOUCHED_COLLECTIONS", 1)
-    st = store.ChunkStore(spark, scratch_path(spark, "store-wide"))
-    st.add(spark.createDataFrame(_rows("c1", "x", 2) + _rows("c2", "y", 2) + _rows("c3", "z", 1), COLS))
-    ids = spark.createDataFrame([("c1", "x_doc_0"), ("c2", "y_doc_1")], "collection string, chunk_id string")
-    st.delete_ids(ids)
-    assert sorted(r.chunk_id for r in st.read().collect()) == ["x_doc_1", "y_doc_0", "z_doc_0"]
-    assert len(st._manifest()) == 1  # one rewritten folder
-    st.add(spark.createDataFrame(_rows("c1", "x", 1, "v9"), COLS), replace=True)
-    assert sorted(r.chunk_id for r in st.read().collect()) == ["x_doc_0", "y_doc_0", "z_doc_0"]
+def _ids(spark, rows):
+    return spark.createDataFrame(rows, "collection string, chunk_id string")
+
+
+def _seen(st):
+    return sorted(((r.collection, r.chunk_id, r.text) for r in st.read().collect()), key=repr)
+
+
+def test_null_collection_is_a_collection(spark):
+    """A replay, a delete and a clear of another collection leave it alone; its own work on it."""
+    st = store.ChunkStore(spark, scratch_path(spark, "store-null"), buckets=2, shards=2)
+    rows = _rows("a", "x", 1) + _rows("b", "y", 1) + _rows(None, "z", 2)
+    batch = spark.createDataFrame(rows, COLS)
+    assert st.add(batch) == 4 and st.add(batch) == 0
+    st.delete_ids(_ids(spark, [("a", "x_doc_0"), ("b", "z_doc_0"), (None, "y_doc_0")]))
+    assert [k[1] for k in _seen(st)] == ["y_doc_0", "z_doc_0", "z_doc_1"]
+    assert {(r.collection, r.status, r.deleted) for r in st.clear(["a", "b"]).collect()} == {("a", False, 0), ("b", True, 1)}
+    assert [k[1] for k in _seen(st)] == ["z_doc_0", "z_doc_1"]
+    st.delete_ids(_ids(spark, [(None, "z_doc_0")]))
+    assert [k[:2] for k in _seen(st)] == [(None, "z_doc_1")]
+    assert [r.chunk_id for r in st.read_collection(None).collect()] == ["z_doc_1"]
+    assert st.add(spark.createDataFrame(_rows(None, "z", 1, "v2"), COLS), replace=True) == 1
+    assert _seen(st) == [(None, "z_doc_0", "v2-z-0")]
+    assert [(r.status, r.deleted) for r in st.clear([None]).collect()] == [(True, 1)] and _seen(st) == []
+    assert sorted((r[0] for r in st.emptied().collect()), key=repr) == sorted(["b", None], key=repr)
+
+
+def test_deliveries_are_told_apart_by_sequence(spark):
+    """Two deliveries of one document with one source: the lower ingest_seq is stored whole, on any layout."""
+    cols = COLS + ", ingest_seq long"
+    rows = [(*r, seq) for seq, n, tag in ((7, 4, "late"), (2, 6, "first")) for r in _rows("c", "u", n, tag)]
+    for parts in (1, 2, 5):
+        st = store.ChunkStore(spark, scratch_path(spark, "store-seq"))
+        assert st.add(spark.createDataFrame(rows, cols).repartition(parts)) == 6
+        assert [t for _, _, t in _seen(st)] == [f"first-u-{i}" for i in range(6)]
+    alike = spark.createDataFrame([r[:-1] for r in rows], COLS)
+    got = {tuple(sorted(map(tuple, store.first_write_wins(alike.repartition(p)).select("chunk_id", "text").collect())))
+           for p in (1, 2, 3, 5, 7)}
+    assert len(got) == 1
+
+
+def test_deletes_rewrite_only_touched_parts(spark):
+    path = scratch_path(spark, "store-parts")
+    st = store.ChunkStore(spark, path, buckets=4, shards=4)
+    rows = [r for k in range(40) for r in _rows(f"c{k % 7}", f"k{k}", 3)]
+    st.add(spark.createDataFrame(rows, COLS))
+    st.delete_ids(_ids(spark, [("c1", "k1_doc_0"), ("c1", "k8_doc_2"), ("c9", "k1_doc_0")]))
+    entries = [e for e in st._manifest() if "folder" in e]
+    assert 1 <= len(entries[0]["hidden"]) <= 2 and entries[1]["rows"] < 60
+    gone = {("c1", "k1_doc_0"), ("c1", "k8_doc_2")}
+    assert {k[:2] for k in _seen(st)} == {r[:2] for r in rows} - gone
+    again = store.ChunkStore(spark, path)           # the layout is the table's, not the caller's
+    assert (again.buckets, again.shards) == (4, 4)
+    before = again.versions()
+    again.delete_ids(_ids(spark, [("c1", "not there")]))
+    assert {k[:2] for k in _seen(again)} == {r[:2] for r in rows} - gone and len(again.versions()) == len(before) + 1
+
+
+def test_small_folders_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(store, "MERGE_AFTER", 3)
+    st = store.ChunkStore(spark, scratch_path(spark, "store-merge"))
+    st.add(spark.createDataFrame(_rows("c", "big", 30), COLS))
+    for i in range(6):
+        assert st.add(spark.createDataFrame(_rows("c", f"s{i}", 2), COLS)) == 2
+        assert len([e for e in st._manifest() if "folder" in e]) <= 3
+    assert st.read().count() == 42 and st.read(st.versions()[0]).count() == 30
+
+
+def test_a_version_is_published_once(spark):
+    import pytest
+
+    st = store.ChunkStore(spark, scratch_path(spark, "store-claim"))
+    st.add(spark.createDataFrame(_rows("c", "x", 1), COLS))
+    with pytest.raises(RuntimeError):
+        st._publish(1, [])
+    assert st.read().count() == 1
