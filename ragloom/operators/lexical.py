@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .embedding import term_weights
 from .partitioning import materialize
 
-BLOCK_CHARS = 1 << 19       # text of one chunk block (expected; packing is by hash)
+BLOCK_CHARS = 1 << 21       # text of one chunk block (expected; packing is by hash)
 CHUNK_CHARS = 64            # a chunk counts as so many characters more than it has
 QUESTION_ROWS = 128         # questions of one question block (expected)
 CELLS = 2_000_000           # products formed at once in a task
@@ -126,12 +126,13 @@ def lexical_hits(chunks: DataFrame, questions: DataFrame, k: int | None = None,
     ``k`` chunks, or at ``budget`` characters (texts and separators), asks for, the best chunk in any case.
 
     Scores are rounded to ``PLACES`` decimals, by which they rank.  Null and empty texts have no token and are
-    in no result.  The vectors are computed once (``materialize``); two numbers reach the driver."""
+    in no result.  Two numbers reach the driver.  The join is no broadcast: question blocks are copied for every
+    chunk block, so that side grows with both."""
     if (k is None) == (budget is None):
         raise ValueError("cut at k chunks or at a budget of characters")
-    c = materialize(term_vectors(chunks, chunk_key, text_col))
+    c = term_vectors(chunks, chunk_key, text_col)
     q = materialize(term_vectors(questions, query_key, query_col))
-    chars = c.agg(F.sum(F.col("n_chars") + CHUNK_CHARS)).first()[0] or 0
+    chars = chunks.agg(F.sum(F.length(text_col).cast("long") + CHUNK_CHARS)).first()[0] or 0
     n_blocks = max(1, -(-int(chars) // BLOCK_CHARS))
     n_parts = max(1, -(-q.count() // QUESTION_ROWS))
 
@@ -141,7 +142,7 @@ def lexical_hits(chunks: DataFrame, questions: DataFrame, k: int | None = None,
     blocks = packed(c, chunk_key, F.pmod(F.xxhash64(chunk_key, "n_chars", "tokens"), F.lit(n_blocks)).cast("int").alias("block"))
     parts = packed(q, query_key, F.pmod(F.xxhash64(query_key), F.lit(n_parts)).alias("part")).select(
         F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    met = parts.join(blocks, "block").select("q", "v")
+    met = parts.hint("merge").join(blocks, "block").select("q", "v")
     out = T.StructType([T.StructField(query_key, questions.schema[query_key].dataType),
                         T.StructField(chunk_key, chunks.schema[chunk_key].dataType),
                         T.StructField("score", T.DoubleType()), T.StructField("n_chars", T.LongType())])

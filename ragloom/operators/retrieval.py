@@ -1,9 +1,8 @@
 """F1-F4 filters, J3-J6 question-to-chunk retrieval, R1-R6 ranking.
 
-Dense top-k (J3, R5) scores a question set against all stored vectors in blocks:
-stored vectors and questions are packed into rows of bounded size, every question
-block meets every stored block in an equi-join on the block number, and only the k
-best of each pair of blocks leave the task.  Lexical retrieval (J4) meets question and
+Dense top-k (J3, R5) meets a question set with all stored vectors in blocks: bounds
+from one-byte approximations choose the pairs (see ``vafile``), and only these pairs
+meet the vectors themselves.  Lexical retrieval (J4) meets question and
 chunk vectors in the same way, see ``lexical``.  Nothing is fetched to the driver but counts.
 
 Contexts (J6, A1) are ordered rows over each distinct scope, never one value, and
@@ -12,21 +11,15 @@ nothing is cut from them.  A budget (R6) is what a caller asks for explicitly.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collection_name
 from ..functions.vectors import l2_normalize
 from .lexical import lexical_hits
 from .ranking import distributed_row_number, topk_per_group, weighted_prefix
+from .vafile import candidates
 
-# Rows of one packed block of stored vectors / of questions (expected; packing is by hash).
-BLOCK_ROWS = 1024
-QUESTION_ROWS = 128
-# Doubles in one difference tensor inside a Python worker (~32 MB).
-SCORE_CELLS = 4_000_000
 # Places that distances and scores are rounded to before they rank.
 PLACES = 9
 
@@ -87,54 +80,23 @@ def rank_all(scored: DataFrame, qid: str = "query_id", id_col: str = "vec_id") -
     return distributed_row_number(scored, [qid], hit_order(id_col))
 
 
-def _rank_keys(values) -> np.ndarray:
-    """Order numbers of strings or ids, for numeric sorting."""
-    return np.unique(np.asarray(values), return_inverse=True)[1]
-
-
 def topk(stored: DataFrame, questions: DataFrame, k: int, id_col: str = "vec_id", coll_col: str = "collection",
          vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding", metric: str = "l2") -> DataFrame:
-    """Exact top-k per question; ids of any type.  Distances are exact differences, ranked by PLACES
-    decimals, in every block; vectors without a value or of another width than the question take no part."""
+    """Exact top-k per question; ids of any type.  Bounds from one-byte approximations choose the pairs
+    (``vafile``), whose distances are exact differences, ranked by PLACES decimals; vectors without a value or
+    of another width than the question take no part."""
     scale = 0.5 if metric == "cosine" else 1.0
-    n_blocks = max(1, -(-stored.count() // BLOCK_ROWS))
-    n_parts = max(1, -(-questions.count() // QUESTION_ROWS))
     s = stored.select(F.col(id_col).alias("i"), F.col(coll_col).cast("string").alias("c"),
                       _metric_vector(F.col(vec_col), metric).alias("v")).where("v IS NOT NULL")
-    s = s.withColumn("block", F.pmod(F.xxhash64("i", "c", "v"), F.lit(n_blocks)).cast("int")) \
-        .groupBy("block").agg(F.collect_list(F.struct("i", "c", "v")).alias("s")) \
-        .select("block", F.col("s.i").alias("i"), F.col("s.c").alias("c"), F.col("s.v").alias("v"))
     q = questions.select(F.col(qid).alias("qi"), _metric_vector(F.col(qvec), metric).alias("qv")).where("qv IS NOT NULL")
-    q = q.groupBy(F.pmod(F.xxhash64("qi"), F.lit(n_parts)).alias("part")).agg(
-        F.collect_list(F.struct("qi", "qv")).alias("q")) \
-        .select(F.col("q.qi").alias("qi"), F.col("q.qv").alias("qv"),
-                F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    qtype, itype = (questions.schema[qid].dataType.simpleString(), stored.schema[id_col].dataType.simpleString())
-    cells = SCORE_CELLS
-
-    def run(batches):
-        for pdf in batches:
-            for qi, qv, ids, colls, vecs in zip(pdf["qi"], pdf["qv"], pdf["i"], pdf["c"], pdf["v"], strict=True):
-                width = np.array([len(v) for v in vecs])
-                ids, colls = np.asarray(ids), np.asarray(colls)
-                for question, vector in zip(qi, qv, strict=True):
-                    at = np.flatnonzero(width == len(vector))
-                    if not len(at):
-                        continue
-                    d = np.empty(len(at))
-                    step = max(1, cells // max(1, len(vector)))
-                    for a in range(0, len(at), step):
-                        diff = np.stack([vecs[j] for j in at[a:a + step]]) - vector
-                        d[a:a + step] = scale * np.einsum("ij,ij->i", diff, diff)
-                    sim = np.maximum(0.0, 1.0 - d)
-                    best = np.lexsort((_rank_keys(ids[at]), np.round(d, PLACES), _rank_keys(colls[at].astype(str)),
-                                       -np.round(sim, PLACES)))[:k]
-                    yield pd.DataFrame({"query_id": question, "hit": ids[at][best], "collection": colls[at][best],
-                                        "distance": d[best], "similarity": sim[best]})
-
-    met = q.join(s, "block").select("qi", "qv", "i", "c", "v")
-    found = met.mapInPandas(run, f"query_id {qtype}, hit {itype}, collection string, distance double, similarity double")
-    found = found.withColumnRenamed("hit", id_col).withColumnRenamed("query_id", qid)
+    pairs = candidates(s, q, k, scale).alias("p")
+    same = F.col("p.i").eqNullSafe(F.col("s.i")) & F.col("p.c").eqNullSafe(F.col("s.c"))
+    met = pairs.join(s.alias("s"), same).join(q.alias("q"), F.col("p.qi") == F.col("q.qi")).where(
+        F.size("s.v") == F.size("q.qv"))
+    squares = F.zip_with("s.v", "q.qv", lambda a, b: (a - b) * (a - b))
+    found = met.select(F.col("p.qi").alias(qid), F.col("p.i").alias(id_col), F.col("p.c").alias("collection"),
+                       (F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x) * scale).alias("distance"))
+    found = found.withColumn("similarity", F.greatest(F.lit(0.0), 1.0 - F.col("distance")))
     return topk_per_group(found, [qid], hit_order(id_col), k)
 
 

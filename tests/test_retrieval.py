@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragloom.operators import retrieval
+from ragloom.operators import retrieval, vafile
 from ragloom.operators.ranking import distributed_row_number
 
 
@@ -53,9 +53,8 @@ def test_rank_all_of_given_pairs(spark):
 
 def test_topk_over_many_blocks(spark, monkeypatch):
     vecs, qs, stored, questions = _data(spark, n=90, q=9)
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(retrieval, "QUESTION_ROWS", 2)
-    monkeypatch.setattr(retrieval, "SCORE_CELLS", 25)
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(vafile, "QUESTION_ROWS", 2)
     got = retrieval.topk(stored, questions, 3).collect()
     exp = _brute(vecs, qs, 3)
     assert len(got) == 27
@@ -77,6 +76,50 @@ def test_topk_is_exact_for_large_norms(spark):
     assert [r.vec_id for r in got] == [f"c{i}" for i in want]
 
 
+def test_few_exact_distances(spark):
+    """Whatever the layout the same rows; the share of pairs whose distance is computed."""
+    rnd = np.random.default_rng(11)
+    vecs = rnd.normal(size=(4000, 32))
+    vecs = 0.3 * vecs / np.linalg.norm(vecs, axis=1, keepdims=True) + rnd.normal(size=(8, 32))[rnd.integers(0, 8, 4000)]
+    stored = spark.createDataFrame([(f"v{i}", str(i % 3), vecs[i].tolist()) for i in range(4000)],
+                                   "vec_id string, collection string, embedding array<double>")
+    questions = spark.createDataFrame([(j, (vecs[j * 97] + 0.01).tolist()) for j in range(20)],
+                                      "query_id long, embedding array<double>")
+    shares, results = [], []
+    for parts in (1, 16):
+        s = stored.repartition(parts).select(F.col("vec_id").alias("i"), F.col("collection").alias("c"), F.col("embedding").alias("v"))
+        q = questions.select(F.col("query_id").alias("qi"), F.col("embedding").alias("qv"))
+        shares.append(vafile.candidates(s, q, 5).count() / (4000 * 20))
+        results.append(sorted((r.query_id, r["rank"], r.vec_id) for r in retrieval.topk(stored.repartition(parts), questions, 5).collect()))
+    print("share of exact distances", shares)
+    assert results[0] == results[1] and max(shares) < 0.02
+    for j in range(20):
+        d = np.round(((vecs - vecs[j * 97] - 0.01) ** 2).sum(1), 9)
+        want = sorted(range(4000), key=lambda i: (-max(0.0, 1 - d[i]), str(i % 3), d[i], f"v{i}"))[:5]
+        assert [v for q, _, v in results[0] if q == j] == [f"v{i}" for i in want]
+
+
+def test_bounds_hold():
+    rnd = np.random.default_rng(2)
+    for scale in (1e-6, 1.0, 1e5):
+        x, q = rnd.normal(size=(200, 24)) * scale + scale, rnd.normal(size=(30, 24)) * scale
+        x[0], x[1] = 7.0 * scale, 0.0       # a constant vector and none
+        lower, upper = vafile.bounds(q, *vafile.quantise(x))
+        d = ((q[:, None] - x) ** 2).sum(2)
+        assert (lower <= d).all() and (d <= upper).all()
+    odd = np.array([[np.nan, 1.0], [np.inf, 0.0], [1.0, 2.0]])
+    lower, upper = vafile.bounds(np.array([[0.0, 0.0], [np.nan, 0.0]]), *vafile.quantise(odd))
+    assert (upper[0, :2] == np.inf).all() and upper[0, 2] < 6 and (lower[0, :2] < 0).all() and upper[1, 2] == np.inf
+
+
+def test_topk_with_repeated_rows(spark):
+    rows = [(1, "a", [1.0, 0.0]), (1, "a", [1.0, 0.0]), (1, "a", [0.0, 1.0]), (2, None, [1.0, 0.0]), (3, "b", [])]
+    stored = spark.createDataFrame(rows, "vec_id long, collection string, embedding array<double>")
+    questions = spark.createDataFrame([(1, [1.0, 0.0]), (2, []), (3, None)], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.collection, r.distance) for r in retrieval.topk(stored, questions, 4).collect())
+    assert got == [(1, 1, 2, None, 0.0), (1, 2, 1, "a", 0.0), (1, 3, 1, "a", 0.0), (1, 4, 1, "a", 2.0), (2, 1, 3, "b", 0.0)]
+
+
 def test_topk_edges(spark):
     _, _, stored, questions = _data(spark, n=12, q=2)
     assert retrieval.topk(stored.limit(0), questions, 3).count() == 0
