@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import collection_name
 from ..functions.vectors import fit_dimension, l2_normalize
 from ..operators import chunking, embedding, lexical, retrieval
 from ..sources import tables
@@ -403,6 +404,33 @@ def store_delete(spark, sf):
     return st.read().select("collection", "chunk_id")
 
 
+@query
+def ingest_ledger(spark, sf):
+    """Documents delivered under file names that two ids share, in three batches: odd ids, then all, then
+    even ids again with the right to replace."""
+    from ..operators.ledger import IngestLedger, ingest_documents
+    from ..operators.partitioning import materialize
+    from ..operators.store import ChunkStore
+    from ..session import scratch_path
+    docs = tables.documents(spark, sf).select(
+        "doc_id", collection_name(F.col("lang")).alias("collection"),
+        F.concat(F.lit("doc_"), F.floor(F.col("doc_id") / 2).cast("string")).alias("doc_key"), "source", "text")
+    store = ChunkStore(spark, scratch_path(spark, "ledger-store"))
+    ledger = IngestLedger(spark, scratch_path(spark, "ledger"))
+    receipts = []
+    for n, (rows, replace) in enumerate(((docs.where("doc_id % 2 = 1"), False), (docs, False),
+                                         (docs.where("doc_id % 2 = 0"), True)), 1):
+        # deliveries of a batch are numbered by their document
+        batch = rows.withColumn("delivery", F.lpad(F.col("doc_id").cast("string"), 20, "0"))
+        got = ingest_documents(batch, store, ledger, _fixture_chunks, replace)
+        receipts.append(materialize(got.select("doc_id", F.lit(n).cast("bigint").alias("delivery"), "status", "chunks")))
+    return receipts[0].unionByName(receipts[1]).unionByName(receipts[2])
+
+
+def _fixture_chunks(docs):
+    return chunking.explode_chunks(docs, "doc_key", "text", chunking.CHUNK_SIZE, D.FIXTURE_SEP, keep=["collection", "source"])
+
+
 @query
 def delete_by_ids(spark, sf):
     """Moderation clean-up: delete every chunk of a document labelled toxic."""
