@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, pairwise
 from unicodedata import normalize
 
 import numpy as np
@@ -32,7 +32,8 @@ OPEN = 32                   # open windows per task
 END_ID = 1                  # id that closes each document
 MERGE_GROUP = 256           # leftover windows merged in one group
 MEMO_WORDS = 400_000        # encoded words a worker remembers (speed only)
-MEMO_CHARS = 64
+MEMO_IDS = 16 * MEMO_WORDS  # and their ids together
+MEMO_CHARS = 64             # longer words go when the memo is renewed
 
 _TAIL = ".,!?;:"
 
@@ -60,6 +61,7 @@ class WordEncoder:
         self.memo: dict[str, int] = {}          # word -> slot
         self.base: dict[str, list[int]] = {"": []}  # normalised word of letters -> ids
         self.start, self.size, self.pool = array("q"), array("q"), array("I")
+        self.hits = np.zeros(0, np.int64)       # uses of each slot
 
     @staticmethod
     def _ids(tok, texts: list[str]) -> list[list[int]]:
@@ -93,27 +95,48 @@ class WordEncoder:
         self.size.frombytes(n.tobytes())
         self.pool.extend(chain.from_iterable(found))
 
+    def _renew(self) -> None:
+        """When the memo is full, words met more than once since the last time stay, the most frequent half of it at
+        most: a stream of new words does not push out the common ones."""
+        hits = self.hits
+        least = 2
+        if len(hits) > MEMO_WORDS // 2:
+            least = max(least, int(np.partition(hits, -(MEMO_WORDS // 2))[-(MEMO_WORDS // 2)]) + 1)
+        words = [w for w, slot in self.memo.items() if hits[slot] >= least and len(w) <= MEMO_CHARS]
+        slots = np.array([self.memo[w] for w in words], np.int64)
+        ids, n = self._gather(slots)
+        self.clear()
+        self.memo = dict(zip(words, range(len(words)), strict=True))
+        self.start.frombytes((np.cumsum(n) - n).astype(np.int64).tobytes())
+        self.size.frombytes(n.astype(np.int64).tobytes())
+        self.pool.frombytes(ids.astype(np.uint32).tobytes())
+        self.hits = np.zeros(len(words), np.int64)
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slots one behind the other, and the number of ids of each."""
+        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
+        n = size[slots]
+        at = np.repeat(start[slots] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return np.array(self.pool, np.uint32)[at], n
+
     def __call__(self, texts: list) -> list[np.ndarray]:
         rows = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        known = set().union(*rows)
-        fresh = [w for w in known if w not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.clear()
-            fresh = list(known)
-        if fresh:
-            self._learn(fresh)
-        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
-        pool = np.frombuffer(self.pool, np.uint32) if len(self.pool) else np.zeros(0, np.uint32)
-        get, out = self.memo.__getitem__, []
-        for words in rows:
-            slot = np.fromiter(map(get, words), np.int64, len(words))
-            n = size[slot]
-            at = np.repeat(start[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.append(pool[at], np.uint32(END_ID)))
-        del pool  # lets the array grow again
-        for w in fresh:
-            if len(w) > MEMO_CHARS:
-                del self.memo[w]
+        words = list(chain.from_iterable(rows))
+        slots = list(map(self.memo.get, words))
+        missing = [i for i, slot in enumerate(slots) if slot is None]
+        if missing:
+            self._learn(list({words[i] for i in missing}))
+            memo = self.memo
+            for i in missing:
+                slots[i] = memo[words[i]]
+        slots = np.array(slots, np.int64)
+        self.hits = np.bincount(slots, minlength=len(self.start)) + np.pad(self.hits, (0, len(self.start) - len(self.hits)))
+        ids, n = self._gather(slots)
+        end = np.append(0, np.cumsum(n))[np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))]
+        out = [np.append(ids[a:b], np.uint32(END_ID)) for a, b in pairwise(end.tolist())]
+        if len(self.memo) > MEMO_WORDS or len(self.pool) > MEMO_IDS:
+            self._renew()
         return out
 
 
