@@ -119,7 +119,8 @@ def written_store(spark, sf_dir) -> ChunkStore:
     return ChunkStore(spark, _STORES[key])
 
 
-def users(spark, sf_dir) -> DataFrame:
+def users(spark, sf_dir):
+    """The registry (users, folders) of the documents."""
     from ..operators.registry import users_from_documents
     return users_from_documents(tables.documents(spark, sf_dir))
 

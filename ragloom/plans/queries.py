@@ -296,6 +296,19 @@ def dedup_infer(spark, sf):
         "conv_id", "turn", "output")
 
 
+@query
+def memo_infer(spark, sf):
+    """J7 between jobs: one job over the users' turns, then one over all turns that computes what is left."""
+    from ..operators.memo import InferenceMemo
+    from ..operators.prompts import text_length_fn
+    from ..session import scratch_path
+    c = tables.conversations(spark, sf).select("conv_id", "turn", "role", "text")
+    memo = InferenceMemo(spark, scratch_path(spark, "memo"))
+    memo.infer(c.where("role = 'user'"), text_length_fn, "length", "text", "output")
+    return memo.infer(c, text_length_fn, "length", "text", "output", "computed").select(
+        "conv_id", "turn", "output", "computed")
+
+
 @query
 def transcript(spark, sf):
     from ..operators.transcript import transcript_lines
@@ -445,7 +458,7 @@ def delete_by_ids(spark, sf):
 @query
 def clear_collection(spark, sf):
     from ..operators import store
-    req = D.users(spark, sf).select("collection").unionByName(
+    req = D.users(spark, sf).users.select("collection").unionByName(
         D.page_requests(spark, sf).select(F.concat(F.lit("user_"), "username", F.lit("_docs"))
                                           .alias("collection")))
     return store.clear_collections(D.written_store(spark, sf).read(), req)
@@ -477,7 +490,7 @@ def user_lookup(spark, sf):
 @query
 def user_folders(spark, sf):
     from ..operators import registry
-    return registry.user_folders(D.users(spark, sf), D.page_requests(spark, sf))
+    return registry.user_folders(D.users(spark, sf), D.page_requests(spark, sf)).drop("pos")
 
 
 @query
@@ -502,7 +515,7 @@ def clear_all_user_data(spark, sf):
     users = D.users(spark, sf)
     req = D.page_requests(spark, sf).select("username").distinct()
     k8 = store.clear_collections(
-        D.store_chunks(spark, sf, include_web=False),
+        D.written_store(spark, sf).read(),
         req.select(F.concat(F.lit("user_"), "username", F.lit("_docs")).alias("collection")))
     return registry.clear_all(users, k8, req)
 

@@ -21,6 +21,7 @@ from .operators import prompts, registry, retrieval, store, trainset, web
 from .operators.chunking import CHUNK_SIZE, PARAGRAPH_SEP, explode_chunks
 from .operators.embedding import HASH_DIM, embed
 from .operators.lexical import lexical_hits
+from .operators.memo import InferenceMemo
 from .operators.partitioning import materialize
 from .sources.files import read_files
 
@@ -71,15 +72,18 @@ def chat(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     return prompts.chat_parts(retrieval.request_scopes(requests), retrieval.scoped_context(chunks, requests))
 
 
-def answer(chunks: DataFrame, requests: DataFrame, model, budget: int) -> DataFrame:
+def answer(chunks: DataFrame, requests: DataFrame, model, budget: int, memo: InferenceMemo | None = None,
+           model_name: str = "model") -> DataFrame:
     """Path C from request to answer (query_id, prompt, response): prompts of at most ``budget`` characters of
-    context through the caller's batch function ``model``; scopes without documents keep their message."""
+    context through the caller's batch function ``model``; scopes without documents keep their message.
+    With ``memo`` a prompt that an earlier job has answered with ``model_name`` is looked up."""
     asked = prompts.assemble_prompts(chat(chunks, requests), budget)
-    return _answered(asked, model)
+    return _answered(asked, model, memo, model_name)
 
 
-def _answered(asked: DataFrame, model) -> DataFrame:
-    got = prompts.infer(asked.where("prompt IS NOT NULL").drop("response"), model)
+def _answered(asked: DataFrame, model, memo: InferenceMemo | None = None, model_name: str = "model") -> DataFrame:
+    ready = asked.where("prompt IS NOT NULL").drop("response")
+    got = prompts.infer(ready, model) if memo is None else memo.infer(ready, model, model_name)
     return got.select("query_id", "prompt", "response").unionByName(
         asked.where("prompt IS NULL").select("query_id", "prompt", "response"))
 
@@ -126,7 +130,8 @@ def curate_training(spark: SparkSession, path: str, fmt: str = "json") -> tuple[
     return distinct, pairs, rejects
 
 
-def clear_user(chunk_store: store.ChunkStore, users: DataFrame, usernames: list[str]) -> tuple[DataFrame, DataFrame]:
+def clear_user(chunk_store: store.ChunkStore, users: registry.Registry,
+               usernames: list[str]) -> tuple[DataFrame, registry.Registry]:
     """Chunks (K8) and folders (K10) of the users; True only if both succeed.  Returns (result rows, the
     registry after the clear); the store gets a new version without those collections."""
     spark = chunk_store.spark

@@ -81,6 +81,11 @@ def test_inventory_and_counts(spark):
     assert counts == {"c1": (2, 2), "c2": (1, 1)}
 
 
+def _folders(reg, user):
+    rows = reg.folders.where(f"username = '{user}'").collect()
+    return [r.folder for r in sorted(rows, key=lambda r: (r.pos, r.folder))]
+
+
 def test_registry_flows(spark):
     docs = spark.createDataFrame([("en", "s1"), ("en", "s2"), ("fr", "s1")], "lang string, source string")
     users = registry.users_from_documents(docs)
@@ -88,15 +93,27 @@ def test_registry_flows(spark):
                                 "username string, folder string")
     st = {(r.username, r.folder): r.status for r in registry.add_folders(users, req).collect()}
     assert st == {("en", "s1"): "exists", ("en", "new"): "added", ("xx", "s1"): "unknown_user"}
-    updated = {r.username: r.folders for r in registry.apply_folder_adds(users, registry.add_folders(users, req)).collect()}
-    assert updated["en"] == ["s1", "s2", "new"]  # appended behind the known folders
+    updated = registry.apply_folder_adds(users, registry.add_folders(users, req))
+    assert _folders(updated, "en") == ["s1", "s2", "new"]  # appended behind the known folders
+    # several at once keep their order of arrival, whatever their names, also behind a later batch
+    more = spark.createDataFrame([("en", "z", 4), ("en", "b", 5), ("en", "z", 9), ("en", "s2", 1), ("fr", "y", 8)],
+                                 "username string, folder string, seq long")
+    twice = registry.apply_folder_adds(updated, registry.add_folders(updated, more))
+    assert _folders(twice, "en") == ["s1", "s2", "new", "z", "b"] and _folders(twice, "fr") == ["s1", "y"]
+    assert _folders(registry.apply_folder_clears(twice, more.where("folder = 'y'")), "fr") == []
+    arrived = spark.createDataFrame([("en", "b", 2), ("en", "a", 3), ("en", "c", 1), ("en", None, 0), ("it", None, 5)],
+                                    "lang string, source string, doc_id long")
+    first = registry.users_from_documents(arrived)
+    assert _folders(first, "en") == ["c", "b", "a"] and _folders(first, "it") == []
+    assert {(r.username, r.found, r.folder_count) for r in registry.lookup(first, spark.createDataFrame(
+        [("it",), ("en",), ("xx",)], "username string")).collect()} == {("it", True, 0), ("en", True, 3), ("xx", False, 0)}
     folders = registry.user_folders(users, req.select("username")).collect()
     assert sorted((r.username, r.folder) for r in folders if r.username == "xx") == [("xx", None)]
     cleared = {r.username: (r.folder_count, r.status) for r in registry.clear_folders(users, req).collect()}
     assert cleared == {"en": (2, True), "xx": (0, False)}
     chunks = spark.createDataFrame(_rows("user_en_docs", "x", 1), COLS)
-    k8 = store.clear_collections(chunks, users.select("collection"))
-    both = {r.username: r.status for r in registry.clear_all(users, k8, users.select("username")).collect()}
+    k8 = store.clear_collections(chunks, users.users.select("collection"))
+    both = {r.username: r.status for r in registry.clear_all(users, k8, users.users.select("username")).collect()}
     assert both == {"en": True, "fr": False}
 
 
