@@ -61,3 +61,16 @@ def hash_share(key: Column, share: float) -> Column:
     """True for about ``share`` of the distinct keys, chosen by hash."""
     grid = 1 << 30
     return F.pmod(F.xxhash64(key), F.lit(grid)) < F.lit(int(min(1.0, share) * grid))
+
+
+def carried(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct, so none can clash with an operator's own), doc_id, content
+    (hash of the text)."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"),
+                       F.xxhash64(f"`{text}`").alias("content"))
+
+
+def one_of_each(rows: DataFrame, *keep: str) -> DataFrame:
+    """Of ``carried`` rows that repeat an id and a text one, the same on every run: that of the smallest hash."""
+    return rows.groupBy("doc_id", "content").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"),
+                                                 *(F.min(k).alias(k) for k in keep))

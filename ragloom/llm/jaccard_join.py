@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import blocks
+from .common import blocks, carried, one_of_each
 from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
@@ -384,14 +384,11 @@ def one_per_component(docs: DataFrame, size: int = SHINGLE, percent: int = PERCE
     rows = _with_components(docs, size, percent)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
     best = rows.filter("set_of IS NOT NULL").groupBy("set_of").agg(F.min(order).alias("b")) \
-        .select(F.col("b.doc_id").alias("__id"), F.col("b.content").alias("__content"))
+        .select(F.col("b.doc_id").alias("id"), F.col("b.content").alias("c"))
     best = best.unionByName(rows.filter("set_of IS NULL").select(
-        F.col("doc_id").alias("__id"), F.col("content").alias("__content")).distinct())
-    key = F.xxhash64("text")
-    kept = docs.withColumn("__hash", key).join(best, F.col("doc_id").eqNullSafe(F.col("__id"))
-                                               & (F.col("__hash") == F.col("__content")))
-    first = F.row_number().over(Window.partitionBy("__id", "__content").orderBy(F.lit(1)))
-    return kept.withColumn("__row", first).filter("__row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+        F.col("doc_id").alias("id"), F.col("content").alias("c")).distinct())
+    kept = carried(docs).join(best, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")), "left_semi")
+    return one_of_each(kept).select("row.*")
 
 
 ORACLE = r"""

@@ -27,7 +27,8 @@ from .common import fold, hash_share, map_text
 
 ORDER = 4                # longest context in bytes
 FIT_DOCS = 250           # documents per language the statistics are learned from (expected; at most twice that)
-FIT_BYTES = 64 * 1024    # longest document used for fitting
+SAMPLE_DOCS = 20_000     # documents of all languages together
+FIT_BYTES = 64 * 1024    # longest piece of a document used for fitting
 MIN_COUNT = 3            # successors of the longest contexts seen less often are pruned
 EVIDENCE = 64            # bytes of evidence the confidence is stated for
 UNDETERMINED = "und"
@@ -164,13 +165,16 @@ class ContextTrees:
 
 
 def fit_language_trees(docs: DataFrame, learn, fit_docs: int = FIT_DOCS) -> ContextTrees:
-    """Trees from a bounded sample: per non-null ``lang`` about ``fit_docs`` of the rows
-    where ``learn`` holds and the text is not null or over FIT_BYTES, chosen by hash of the id."""
-    pool = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()
-                       & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "lang", "text")
+    """Trees from a bounded sample: per non-null ``lang`` about ``fit_docs`` of the rows where ``learn`` holds and
+    the text is not null, chosen by hash of the id (fewer of each where there are more than SAMPLE_DOCS /
+    ``fit_docs`` languages).  Of a text over FIT_BYTES the sample has a piece of at most that size."""
+    piece = F.when(F.octet_length("text") > FIT_BYTES, F.left("text", F.lit(FIT_BYTES // 4))).otherwise(F.col("text"))
+    pool = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", "lang", piece.alias("text"))
     sizes = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return ContextTrees.fit({})
+    fit_docs = max(1, min(fit_docs, SAMPLE_DOCS // len(sizes)))
     chosen = F.lit(False)
     for lang, n in sizes.items():
         chosen = chosen | ((F.col("lang") == lang) & hash_share(F.col("doc_id"), fit_docs / n))
@@ -189,7 +193,7 @@ def identify_language(docs: DataFrame, learn, keep: list[str]) -> DataFrame:
     empty result; without any learnable row every text is ``und``.  Repeated rows are scored
     one by one; other columns are ignored.  Long texts are scored whole."""
     trees = fit_language_trees(docs, learn)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most FIT_DOCS * 2 * FIT_BYTES per language
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most 2 * FIT_DOCS pieces of a language, 2 * SAMPLE_DOCS in all
 
     def make():
         model = shared.value

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
+from .common import carried
 
 EDITS = 1
 MIN_CHARS = 24
@@ -282,13 +283,14 @@ def line_dedup(docs: DataFrame, edits: int | None = None, short: bool = False) -
 def dedup_lines(docs: DataFrame, edits: int | None = None, text: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the removed lines cut out of the text (a null text stays null); rows left without a
     word that had one go.  All columns stay."""
-    _, gone = removed_lines(docs.select("doc_id", text), edits, short)
+    _, gone = removed_lines(docs.select("doc_id", F.col(f"`{text}`").alias("text")), edits, short)
     per = _per_document(gone).select("id", "c", "at")
-    df = docs.withColumn("__c", F.xxhash64(text)).alias("d").join(per.alias("p"), F.col("d.doc_id").eqNullSafe(
-        F.col("p.id")) & F.col("d.__c").eqNullSafe(F.col("p.c")), "left")
+    body = F.col(f"row.`{text}`")
+    df = carried(docs, text).join(per, F.col("doc_id").eqNullSafe(F.col("id"))
+                                  & F.col("content").eqNullSafe(F.col("c")), "left")
     kept = F.array_join(F.transform(F.filter(F.transform(
-        F.split("d.text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda s: ~F.array_contains("p.at", s["i"])), lambda s: s["x"]), "\n")
-    new = F.when(F.col("p.at").isNull(), F.col("d.text")).otherwise(kept)
-    df = df.withColumn("__new", new).filter(F.col("p.at").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    return df.select(*(F.col("__new").alias("text") if c == text else F.col(f"d.`{c}`") for c in docs.columns))
+        F.split(body, "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+        lambda s: ~F.array_contains("at", s["i"])), lambda s: s["x"]), "\n")
+    df = df.withColumn("new", F.when(F.col("at").isNull(), body).otherwise(kept)).filter(
+        F.col("at").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    return df.select(*(F.col("new").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .common import carried, one_of_each
 
 BLOCK_WORDS = 2048          # longest block ...
 LEAST_SLOTS = 1 << 16       # ... shorter where the mix would have fewer slots than this
@@ -194,15 +195,11 @@ def repeated_documents(docs: DataFrame) -> DataFrame:
     """``docs`` in the mix's proportions, in whole documents: each row as often as the mix takes it, rounded
     (half up) to 0 to MAX_PASSES copies.  All columns stay; documents of 0 words go."""
     copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    per = _taken(docs).groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")) \
-        .agg(F.sum(copies).cast("int").alias("__copies")).filter("__copies > 0")
-    rows = docs.withColumn("__hash", F.xxhash64("text")).join(
-        per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__content")))
+    per = _taken(docs).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("c")) \
+        .agg(F.sum(copies).cast("int").alias("copies")).filter("copies > 0")
+    rows = carried(docs).join(per, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("c")))
     # rows that repeat an id and a text were added up, so one of them carries the copies
-    first = F.row_number().over(W.partitionBy("__id", "__content").orderBy(F.lit(1)))
-    rows = rows.withColumn("__row", first).filter("__row = 1")
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return one_of_each(rows, "copies").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""

@@ -22,18 +22,23 @@ def normal(line):
     return re.sub(r"[\x20\x09\x0b-\x0d]+", " ", line).lower().strip(" ")
 
 
-def line_removals(rows, edits, least=24, order=lambda d: (d[0] is None, d[0] or 0)):
-    """(id, text) -> (exact places, near places), for rows of (id, text)."""
+def line_removals(rows, edits, least=24, order=lambda d: (d[0] is None, d[0] or 0), short=False):
+    """(id, text) -> (exact places, near places), for rows of (id, text).  ``edits`` None: one, and one more for
+    every 64 characters of the shorter line, up to 3.  ``short``: shorter lines with a word match exactly."""
+    def reach(x, y):
+        return edits if edits is not None else min(3, 1 + min(len(x), len(y)) // 64)
+
     seen = []
     for d in dict.fromkeys(rows):
         for pos, line in enumerate((d[1] or "").split("\n")):
             n = normal(line)
-            if len(n) >= least:
+            if len(n) >= least or short and re.search(r"[^\W_]", n):
                 seen.append(((*order(d), pos), d, pos, n))
     first = {}
     for at, _, _, n in seen:
         first[n] = min(at, first.get(n, at))
-    near = {x for x in first if any(first[y] < first[x] and y != x and distance_within(x, y, edits) for y in first)}
+    near = {x for x in first if len(x) >= least and any(
+        first[y] < first[x] and y != x and len(y) >= least and distance_within(x, y, reach(x, y)) for y in first)}
     out = defaultdict(lambda: (set(), set()))
     for at, d, pos, n in seen:
         if n in near:

@@ -28,6 +28,38 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+# ---- operators of earlier rounds ----------------------------------------------------------------------------------
+
+
+def test_columns_with_the_operators_own_names(docs):
+    """Extra columns keep their values, whatever they are called."""
+    from ragloom.llm.jaccard_join import one_per_component
+    from ragloom.llm.line_dedup import dedup_lines
+    from ragloom.llm.mixing import repeated_documents
+
+    names = ["__c", "__new", "__hash", "__id", "__content", "__row", "__copy", "__copies", "at", "c", "new", "row", "content",
+             "copies", "keys", "parity", "set_of", "taken"]
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id", "text"])
+    clash = plain.select("*", *(F.concat(F.lit(n + " of "), F.col("doc_id").cast("string")).alias(n) for n in names)).checkpoint()
+    for run in (lambda d: dedup_lines(d, short=True), one_per_component, repeated_documents):
+        got = run(clash)
+        assert got.columns == clash.columns
+        assert rows_of(got, "doc_id", "text") == rows_of(run(plain), "doc_id", "text")
+        assert all(r[n] == (None if r.doc_id is None else f"{n} of {r.doc_id}") for r in got.collect() for n in names)
+
+
+def test_language_with_long_documents_only(spark):
+    """A language whose documents are all longer than a fitting piece is learned."""
+    from ragloom.llm.language_id import FIT_BYTES, identify_language
+
+    rng = random.Random(4)
+    words = {"en": ["the", "house", "with", "thing", "other", "which"], "de": ["das", "haus", "mit", "nicht", "andere", "welche"]}
+    rows = [(i, " ".join(rng.choice(words["en"]) for _ in range(40)), "en") for i in range(60)]
+    rows += [(100 + i, " ".join(rng.choice(words["de"]) for _ in range(FIT_BYTES // 4)), "de") for i in range(6)]
+    got = identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), ["doc_id", "lang"])
+    assert all(r.lang == r.lang_pred for r in got.collect())
+
+
 # ---- filter audit -------------------------------------------------------------------------------------------------
 
 
