@@ -115,9 +115,9 @@ class IngestLedger:
         self._append(done.withColumn("delivery", F.lit(None).cast("string")).withColumn("state", F.lit("stored")))
 
 
-def ingest_documents(docs: DataFrame, store, ledger: IngestLedger, chunk, replace: bool = False) -> DataFrame:
+def ingest_documents(docs: DataFrame, store, ledger: IngestLedger, chunk, replace: bool = False, embed=None) -> DataFrame:
     """One delivery batch: ``docs`` are admitted, what is to be stored is packed by ``chunk`` (a function from
-    such rows to rows of the chunk table) and written, and the ledger is told.  Returns the documents without
+    such rows to rows of the chunk table) and written (through ``embed``, if given), and the ledger is told.  Returns the documents without
     their text, with ``status`` and ``chunks``, the number of chunks this delivery has in the store (0: none).
 
     Chunks of documents that are new go in as they are; those of replaced documents, and of documents whose
@@ -127,9 +127,9 @@ def ingest_documents(docs: DataFrame, store, ledger: IngestLedger, chunk, replac
     fresh = seen.where("store AND status = 'new'").select(*DOC).alias("f")
     is_new = chunks.alias("c").join(fresh, same_keys("c", "f", DOC), "left_semi")
     swapped = chunks.alias("c").join(fresh, same_keys("c", "f", DOC), "left_anti")
-    store.add(is_new)
+    store.add(is_new, embed=embed)
     if not swapped.isEmpty():
-        store.add(swapped, replace=True)
+        store.add(swapped, replace=True, embed=embed)
     ledger.confirm(seen.where("store"))
     sizes = chunks.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n")).alias("z")
     out = seen.drop("text").alias("s").join(sizes, same_keys("s", "z", DOC), "left")

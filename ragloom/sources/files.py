@@ -152,10 +152,12 @@ def extract_files(files: DataFrame, strict: bool = False, xml_mode: str = "pytho
     ``.xml`` are rendered in Python (``xml_mode="native"`` renders XML with
     Spark's ``xpath`` instead); registered extensions use their extractor;
     anything else decodes like text (or fails when ``strict``).  Empty
-    results get the document placeholder."""
+    results get the document placeholder.  Rows with a ``status`` other than ``ok`` (the corpus source's files
+    that could not be read) keep it as their error."""
     registry = dict(_EXTRACTORS)
     ext = extension(F.col("path"))
-    f = files.select("path", "content", base_name(F.col("path")).alias("name"), ext.alias("ext"))
+    unread = F.when(F.col("status") != "ok", F.col("status")) if "status" in files.columns else F.lit(None).cast("string")
+    f = files.select("path", "content", unread.alias("_unread"), base_name(F.col("path")).alias("name"), ext.alias("ext"))
     structured = {".json", *registry} | ({".xml"} if xml_mode == "python" else set())
     f = f.withColumn("_s", F.when(F.col("ext").isin(*structured),
                                   _structured_udf(registry)(F.col("content"), F.col("ext"))))
@@ -167,7 +169,8 @@ def extract_files(files: DataFrame, strict: bool = False, xml_mode: str = "pytho
             .when(F.col("ext") == ".md", F.when(valid_utf8, decoded))
             .when(F.col("ext") == ".txt", F.when(is_blank(decoded), F.lit(EMPTY_TXT_TEXT)).otherwise(decoded))
             .otherwise(F.lit(None) if strict else decoded))
-    error = (F.when(F.col("ext").isin(*structured), F.col("_s.error"))
+    error = (F.when(F.col("_unread").isNotNull(), F.col("_unread"))
+             .when(F.col("ext").isin(*structured), F.col("_s.error"))
              .when((F.col("ext") == ".md") & ~valid_utf8, F.lit("UnicodeDecodeError: not UTF-8"))
              .when(~known & F.lit(strict), F.concat(F.lit("Unsupported file format: "), F.col("ext"))))
     f = f.withColumn("_text", text).withColumn("error", error)

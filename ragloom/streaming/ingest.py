@@ -19,7 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.chunking import file_key
+from ..operators.ledger import IngestLedger, ingest_documents
 from ..operators.store import ChunkStore
+from ..sources.corpus import stream_corpus_files
 from ..sources.files import BINARY_FILE_SCHEMA, chunk_files, extract_files
 
 QUESTION_SCHEMA = "query_id string, username string, folder_name string, document_name string, query string"
@@ -27,17 +30,31 @@ QUESTION_SCHEMA = "query_id string, username string, folder_name string, documen
 
 def ingest_files(files: DataFrame, store: ChunkStore, collection: str = "default",
                  metadata: dict | None = None, provider=None, dim: int = 768,
-                 input_cap: int | None = None) -> DataFrame:
+                 input_cap: int | None = None, ledger: IngestLedger | None = None,
+                 delivery: str = "") -> DataFrame:
     """Path A as one batch job: extract -> chunk -> insert-if-absent, new chunks
     embedded by ``provider`` as they are written.  Returns the per-file receipts.
-    The chunks are checkpointed, so nothing is extracted or packed twice."""
+    The chunks are checkpointed, so nothing is extracted or packed twice.
+
+    With ``ledger`` each file goes through it under ``delivery``: of files with one document key only the
+    admitted one is stored, and the receipts say what each was (``delivery_status``)."""
     from ..operators.embedding import embed
     from ..operators.partitioning import materialize
     from ..sources.files import ingest_receipts
 
     extracted = materialize(extract_files(files))
-    chunks = materialize(chunk_files(extracted, collection, metadata))
     adding = None if provider is None else (lambda rows: embed(rows, provider, dim=dim, input_cap=input_cap))
+    if ledger is not None:
+        docs = extracted.where("extract_status = 'ok'").select(
+            "*", F.lit(collection).alias("collection"), file_key(F.col("path")).alias("doc_key"),
+            F.col("path").alias("source"), F.lit(delivery).alias("delivery"))
+        got = ingest_documents(docs, store, ledger, lambda d: chunk_files(d, collection, metadata), embed=adding)
+        seen = got.select("path", "chunks", F.col("status").alias("delivery_status"))
+        return extracted.join(seen, "path", "left").select(
+            "path", F.when(F.col("extract_status") == "ok", F.lit("success")).otherwise(F.lit("error")).alias("status"),
+            F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
+            F.when(F.col("extract_status") != "ok", F.col("extract_status")).alias("error"), "delivery_status")
+    chunks = materialize(chunk_files(extracted, collection, metadata))
     store.add(chunks, embed=adding)
     return ingest_receipts(extracted, chunks)
 
@@ -46,19 +63,26 @@ def start_file_ingest(spark: SparkSession, source_dir: str, store: ChunkStore, c
                       collection: str = "default", metadata: dict | None = None, available_now: bool = True,
                       glob: str | None = None, receipts_path: str | None = None,
                       provider=None, dim: int = 768, input_cap: int | None = None,
-                      max_files_per_trigger: int = 1000) -> StreamingQuery:
-    """T1 + T3: each micro-batch holds at most ``max_files_per_trigger`` new
+                      max_files_per_trigger: int = 1000, ledger: IngestLedger | None = None,
+                      every_file: bool = False) -> StreamingQuery:
+    """T1 + T3: with ``every_file`` the files come from the corpus source, which lists zero-length ones too and
+    runs until it is stopped; with ``ledger`` deliveries of one document are told apart.  Each micro-batch holds at most ``max_files_per_trigger`` new
     files (a backlog becomes several bounded batches, also with
     ``availableNow``) and goes through ``ingest_files``.  ``checkpoint`` names
     the stream's own shared folder, so a restart goes on where it stopped."""
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("maxFilesPerTrigger", max_files_per_trigger))
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    stream = reader.option("recursiveFileLookup", "true").load(source_dir)
+    if every_file:
+        stream = stream_corpus_files(spark, source_dir, maxFilesPerTrigger=str(max_files_per_trigger),
+                                     **({"glob": glob} if glob else {}))
+        available_now = False
+    else:
+        reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                  .option("maxFilesPerTrigger", max_files_per_trigger))
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        stream = reader.option("recursiveFileLookup", "true").load(source_dir)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        receipts = ingest_files(batch, store, collection, metadata, provider, dim, input_cap)
+        receipts = ingest_files(batch, store, collection, metadata, provider, dim, input_cap, ledger, str(epoch_id))
         if receipts_path:
             (receipts.withColumn("epoch", F.lit(epoch_id))
              .write.mode("overwrite").parquet(f"{receipts_path}/epoch={epoch_id}"))

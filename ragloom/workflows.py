@@ -21,20 +21,25 @@ from .operators import prompts, registry, retrieval, store, trainset, web
 from .operators.chunking import CHUNK_SIZE, PARAGRAPH_SEP, explode_chunks
 from .operators.embedding import HASH_DIM, embed
 from .operators.lexical import lexical_hits
+from .operators.ledger import IngestLedger
 from .operators.memo import InferenceMemo
 from .operators.partitioning import materialize
+from .sources.corpus import read_corpus_files
 from .sources.files import read_files
 
 
 def ingest_path(spark: SparkSession, path: str, chunk_store: store.ChunkStore, username: str | None = None,
                 collection: str = "default", metadata: dict | None = None, provider=None,
-                dim: int = 768, input_cap: int | None = None) -> DataFrame:
+                dim: int = 768, input_cap: int | None = None, ledger: IngestLedger | None = None,
+                delivery: str = "", every_file: bool = False) -> DataFrame:
     """Path A for every file under ``path``; returns per-file receipts.  ``input_cap``: characters that the
-    provider takes at once."""
+    provider takes at once.  ``ledger`` and ``delivery``: see ``ingest_files``.  ``every_file``: through the
+    corpus source, which lists zero-length files too."""
     from .streaming.ingest import ingest_files
 
     coll = f"user_{username}_docs" if username else collection
-    return ingest_files(read_files(spark, path), chunk_store, coll, metadata, provider, dim, input_cap)
+    files = read_corpus_files(spark, path) if every_file else read_files(spark, path)
+    return ingest_files(files, chunk_store, coll, metadata, provider, dim, input_cap, ledger, delivery)
 
 
 def ingest_pages(pages: DataFrame, chunk_store: store.ChunkStore, collection: str = "default",

@@ -103,3 +103,23 @@ def test_ledger_edges(spark):
     place = _place(spark)
     assert _send(spark, place, []) == []
     assert place[1].current().count() == 0
+
+
+def test_files_of_one_base_name(spark, tmp_path):
+    """Files through the ledger: a longer re-delivery and a colliding base name add no chunk."""
+    from ragloom import workflows
+
+    def deliver(name, files):
+        for path, body in files.items():
+            (tmp_path / name / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / path).write_text(body)
+        got = workflows.ingest_path(spark, str(tmp_path / name), st, username="u", ledger=ledger, delivery=name, every_file=True)
+        return sorted((r.path.split(name + "/")[1], r.status, r.chunks, r.delivery_status) for r in got.collect())
+
+    st, ledger = _place(spark)
+    long = "a" * 900 + "\n\n" + "b" * 900
+    assert deliver("1", {"x.txt": "short", "e.txt": "", "bad.json": "{"}) == [
+        ("bad.json", "error", 0, None), ("e.txt", "success", 1, "new"), ("x.txt", "success", 1, "new")]
+    assert deliver("2", {"x.txt": long, "sub/x.txt": "other"}) == [
+        ("sub/x.txt", "success", 0, "collision"), ("x.txt", "success", 0, "collision")]
+    assert sorted(r.text for r in st.read().collect()) == ["This is an empty text file.", "short"]
