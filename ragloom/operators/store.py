@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .partitioning import materialize
+from .partitioning import drop_written, materialize, written
 
 KEYS = ["collection", "chunk_id"]
 # Parts of the table: a collection is in one bucket, its documents are spread over the bucket's shards.
@@ -77,12 +77,21 @@ def first_write_wins(batch: DataFrame, order_col: str = ORDER_COL) -> DataFrame:
     given, ``source``).  Its other deliveries are dropped before chunks are compared, so chunks of two files
     with one key never mix, whatever the layout.  Two deliveries with one source need ``order_col`` to be told
     apart; without it the row of the smallest content hash is taken of each chunk."""
+    return one_row(one_delivery(batch, order_col))
+
+
+def one_delivery(batch: DataFrame, order_col: str = ORDER_COL) -> DataFrame:
+    """The rows of each document's first delivery."""
     doc = ["collection", "doc_key"] if "doc_key" in batch.columns else KEYS
     order = F.struct(*[F.col(c) for c in (order_col, "source") if c in batch.columns], F.lit(0).alias("_z"))
     batch = batch.withColumn("_order", order)
     first = batch.groupBy(*doc).agg(F.min("_order").alias("_first"))
-    kept = (batch.alias("b").join(first.alias("f"), same_keys("b", "f", doc) & (F.col("b._order") == F.col("f._first")))
+    return (batch.alias("b").join(first.alias("f"), same_keys("b", "f", doc) & (F.col("b._order") == F.col("f._first")))
             .select("b.*").drop("_order", order_col))
+
+
+def one_row(kept: DataFrame) -> DataFrame:
+    """One row per (collection, chunk_id): that of the smallest content hash."""
     rest = [c for c in kept.columns if c not in KEYS]
     content = F.xxhash64(F.to_json(F.struct(*rest)) if rest else F.lit(0))
     picked = kept.groupBy(*KEYS).agg(F.min_by(F.struct(*rest, F.lit(0).alias("_z")), content).alias("_row"))
@@ -299,9 +308,9 @@ class ChunkStore:
         ``ingest_seq`` tells deliveries of one document apart.  The batch is
         computed once.  Returns the rows written."""
         entries = self._manifest()
-        batch = materialize(conform(new, (ORDER_COL,)).withColumn("part", self._part()))
+        batch = written(conform(new, (ORDER_COL,)).withColumn("part", self._part()), "store-batch")
         current = self._read_entries(entries, self._parts(batch))
-        fresh = first_write_wins(batch.drop("part"))
+        fresh = one_delivery(batch.drop("part"))
         n = self._next_number()
         if replace:
             docs = batch.select("collection", "doc_key").distinct()
@@ -309,12 +318,13 @@ class ChunkStore:
             entries = self._replaced(entries, self._parts(batch), kept, n)
             n += 1
         else:
-            fresh = without(fresh, current, KEYS)
-        written = self._write_batch(fresh, n, embed)
-        if written["rows"] or replace:
-            self._publish(n, [*entries, written])
+            fresh = without(fresh, current, KEYS)       # before the texts are compared: a replay ends here
+        added = self._write_batch(one_row(fresh), n, embed)
+        if added["rows"] or replace:
+            self._publish(n, [*entries, added])
             self._merge()
-        return written["rows"]
+        drop_written(batch)
+        return added["rows"]
 
     def _replaced(self, entries: list[dict], parts: list[int], rows: DataFrame, n: int) -> list[dict]:
         """Entries of a version whose ``parts`` hold ``rows`` (written as folder ``n``)."""

@@ -388,10 +388,10 @@ def _store_rows(spark, sf):
 @query
 def store_replay(spark, sf):
     """K1, T3 through ``ChunkStore``: two overlapping deliveries, the second sent twice."""
-    from ..operators.partitioning import materialize
+    from ..operators.partitioning import written
     from ..operators.store import ChunkStore
     from ..session import scratch_path
-    rows = materialize(_store_rows(spark, sf))
+    rows = written(_store_rows(spark, sf), "store-rows")
     digit = F.substring(F.md5(F.col("chunk_id").cast("binary")), 1, 1)
     again = rows.where(digit >= "5").withColumn("source_type", F.lit("reingest"))
     st = ChunkStore(spark, scratch_path(spark, "store-replay"))
@@ -403,10 +403,10 @@ def store_replay(spark, sf):
 @query
 def store_delete(spark, sf):
     """K9 through ``ChunkStore``: every chunk of a document labelled toxic, and listed chunks without a collection."""
-    from ..operators.partitioning import materialize
+    from ..operators.partitioning import written
     from ..operators.store import ChunkStore
     from ..session import scratch_path
-    rows = materialize(_store_rows(spark, sf))
+    rows = written(_store_rows(spark, sf), "store-rows")
     st = ChunkStore(spark, scratch_path(spark, "store-delete"))
     st.add(rows)
     toxic = tables.table(spark, sf, "labels").where(F.col("toxic") == 1).select(
