@@ -107,7 +107,7 @@ def test_jaccard_join(spark, docs, rows, k, percent):
     extra += [(2500, "one two"), (2501, "One  TWO"), (2502, "one"), (2503, "é É"), (2504, "É é")]
     every = [(r[0], r[1]) for r in rows] + extra
     df = docs.select("doc_id", "text", "score").unionByName(
-        spark.createDataFrame(extra, "doc_id long, text string").withColumn("score", F.lit(1)))
+        spark.createDataFrame(extra, "doc_id long, text string").withColumn("score", F.lit("y")))
     order = sorted(range(len(every)), key=lambda i: (every[i][0] is None, every[i][0] or 0))
     head, sets = brute.components([every[i][1] for i in order], k, percent)
     want = sorted(((every[i][0], len(sets[p]), every[order[head[p]]][0]) for p, i in enumerate(order)), key=repr)
