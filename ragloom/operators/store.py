@@ -98,6 +98,30 @@ def one_row(kept: DataFrame) -> DataFrame:
     return picked.select(*[F.col(c) if c in KEYS else F.col(f"_row.{c}").alias(c) for c in kept.columns])
 
 
+def numbered_rows(batch: DataFrame) -> DataFrame:
+    """``batch`` with a number (``_row``, to be written before it is read) and the content hash of ``one_row`` for
+    every row, so rows can be chosen by their keys alone."""
+    rest = [f.name for f in CHUNK_SCHEMA.fields if f.name not in KEYS]
+    return batch.withColumns({"_content": F.xxhash64(F.to_json(F.struct(*rest))), "_row": F.monotonically_increasing_id()})
+
+
+def chosen_rows(batch: DataFrame, candidates: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows, written tables that they read beside ``batch``): rows of a written, numbered batch: of each (collection, chunk_id) in ``candidates`` (KEYS, ``_content``, ``_row``)
+    the one of the smallest content hash.
+
+    Keys and numbers are compared; the texts pass only a semi- or anti-join with the shorter list of numbers, which
+    is broadcast when it is small, so they need not be shuffled or sorted before the layout."""
+    best = candidates.groupBy(*KEYS).agg(F.min(F.struct("_content", "_row")).alias("_best"))
+    won = written(best.select("_best._row"), "store-won")
+    n, total = won.count(), batch.count()
+    if n == total:
+        return batch, [won]
+    if 2 * n < total:
+        return batch.join(won, "_row", "left_semi"), [won]
+    lost = written(batch.select("_row").join(won, "_row", "left_anti"), "store-lost")
+    return batch.join(lost, "_row", "left_anti"), [won, lost]
+
+
 def add_if_absent(existing: DataFrame, new: DataFrame, order_col: str = ORDER_COL) -> DataFrame:
     """K1: rows of ``new`` whose (collection, chunk_id) is not stored yet
     (first write wins, also inside the batch), appended to ``existing``."""
@@ -308,22 +332,25 @@ class ChunkStore:
         ``ingest_seq`` tells deliveries of one document apart.  The batch is
         computed once.  Returns the rows written."""
         entries = self._manifest()
-        batch = written(conform(new, (ORDER_COL,)).withColumn("part", self._part()), "store-batch")
+        batch = written(numbered_rows(conform(new, (ORDER_COL,)).withColumn("part", self._part())), "store-batch")
         current = self._read_entries(entries, self._parts(batch))
-        fresh = one_delivery(batch.drop("part"))
+        first = one_delivery(batch.select(*KEYS, "doc_key", "source", "_content", "_row",
+                                          *(c for c in (ORDER_COL,) if c in batch.columns)))
         n = self._next_number()
         if replace:
             docs = batch.select("collection", "doc_key").distinct()
             kept = without(current, docs, ["collection", "doc_key"])
             entries = self._replaced(entries, self._parts(batch), kept, n)
             n += 1
-        else:
-            fresh = without(fresh, current, KEYS)       # before the texts are compared: a replay ends here
-        added = self._write_batch(one_row(fresh), n, embed)
+        elif entries:
+            first = without(first, current, KEYS)
+        rows, numbers = chosen_rows(batch, first)
+        added = self._write_batch(rows, n, embed)
         if added["rows"] or replace:
             self._publish(n, [*entries, added])
             self._merge()
-        drop_written(batch)
+        for table in (batch, *numbers):
+            drop_written(table)
         return added["rows"]
 
     def _replaced(self, entries: list[dict], parts: list[int], rows: DataFrame, n: int) -> list[dict]:

@@ -224,3 +224,26 @@ def test_a_version_is_published_once(spark):
     with pytest.raises(RuntimeError):
         st._publish(1, [])
     assert st.read().count() == 1
+
+
+def test_texts_of_a_batch_are_shuffled_only_for_the_layout(spark, monkeypatch):
+    plans, write = [], store.ChunkStore._write_batch
+
+    def seen(self, df, n, embed=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, n, embed)
+
+    monkeypatch.setattr(store.ChunkStore, "_write_batch", seen)
+    rows = _rows("c", "x", 4) + _rows("c", "y", 4) + _rows(None, "x", 2)
+    twice = rows[:2] + [(*_rows("c", "y", 1)[0][:4], "other text", *_rows("c", "y", 1)[0][5:])]
+    late = [(*r[:7], "z/late", *r[8:]) for r in _rows("c", "x", 6, "late")]
+    batch = spark.createDataFrame(rows + twice + late, COLS)
+    want = sorted(map(repr, store.first_write_wins(store.conform(batch)).collect()))
+    st = store.ChunkStore(spark, scratch_path(spark, "store-layout"))
+    assert st.add(batch) == 10
+    assert sorted(map(repr, st.read().collect())) == want
+    assert st.add(batch.where("doc_key = 'x'")) == 0
+    more = spark.createDataFrame(_rows("c", "x", 9), COLS)
+    assert st.add(more) == 5
+    assert st.read().count() == 15
+    assert len(plans) == 3 and not any("Exchange hashpartitioning" in p or "SortMergeJoin" in p for p in plans)
