@@ -175,9 +175,12 @@ def linked_content(parsed: DataFrame, max_links: int | None = None,
     elif max_links is not None:
         links = links.where(F.col("pos") < max_links)
     links = links.withColumn("_key", url_without_fragment(F.col("url")))
-    targets = one_page_per_url(parsed.where(is_html_type(F.col("content_type")) & F.col("parse_error").isNull())).select(
-        "_key", F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
-    joined = links.join(targets, "_key")
+    # link and page meet by number first, as in ``one_page_per_url``; texts are shuffled once
+    pages = parsed.where(is_html_type(F.col("content_type")) & F.col("parse_error").isNull()).select(
+        url_without_fragment(F.col("url")).alias("_key"), F.col("page_id").alias("_target"),
+        F.col("title").alias("_t_title"), F.col("text").alias("_t_text"))
+    first = pages.groupBy("_key").agg(F.min("_target").alias("_target"))
+    joined = links.join(first, "_key").join(pages, ["_key", "_target"])
     block = F.concat(F.lit("--- Content from "), F.col("_t_title"), F.lit(" ("), F.col("url"),
                      F.lit(") ---\n\n"), F.col("_t_text"), F.lit("\n\n"))
     return joined.select("page_id", "pos", "url", block.alias("block"))

@@ -138,3 +138,28 @@ def test_parser_error_becomes_a_receipt(spark, monkeypatch):
     assert html.parse_page("<p>x</p>", "http://h/")["error"] is None
     monkeypatch.setattr(html._PageParser, "finish", lambda self: 1 / 0)
     assert html.parse_page("<p>x</p>", "http://h/")["error"].startswith("ZeroDivisionError")
+
+
+def test_pages_are_parsed_block_by_block(monkeypatch):
+    import pyarrow as pa
+
+    from ragloom.functions import html
+
+    parsed, parse = [], html.parse_page
+    monkeypatch.setattr(html, "parse_page", lambda h, u: (parsed.append(u), parse(h, u))[1])
+    pages = [None, PAGE, "<p>é</p>" + "x" * (html.BLOCK_BYTES + 1), "", PAGE] + ["<p>" + "y" * 100_000 for _ in range(40)]
+    urls = [f"{BASE}?{i}" for i in range(len(pages))]
+    out = html._parse_batches(iter([(pa.array(pages), pa.array(urls)), (pa.array([], pa.string()), pa.array([], pa.string()))]))
+    got = next(out).to_pylist()
+    assert len(got) == len(parsed) == 2         # no page of the second block is touched yet
+    got += [r for block in out for r in block.to_pylist()]
+    assert got == [parse(h, u) for h, u in zip(pages, urls)]
+
+
+def test_link_targets_with_repeated_and_null_page_ids(spark):
+    cols = "page_id long, url string, content_type string, title string, text string, parse_error string"
+    pages = spark.createDataFrame([(7, "http://a/x#1", None, "T", "low", None), (7, "http://a/x", None, "T", "low again", None),
+                                   (9, "http://a/x", None, "T", "high", None), (None, "http://a/y", None, "T", "no id", None)], cols)
+    links = spark.createDataFrame([(1, 0, "http://a/x#2"), (1, 1, "http://a/y"), (2, 0, "http://a/z")], "page_id long, pos long, url string")
+    out = web.linked_content(pages, links=links, materialized=True)
+    assert sorted(r.block for r in out.collect()) == [f"--- Content from T (http://a/x#2) ---\n\n{t}\n\n" for t in ("low", "low again")]
