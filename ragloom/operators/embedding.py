@@ -106,10 +106,11 @@ def dense_from_sparse(buckets, weights, dim: int):
         lambda i: F.coalesce(F.element_at(m, i.cast("bigint")), F.lit(0.0).cast("double"))))
 
 
-def hash_dense(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM) -> DataFrame:
-    """E2 bundled provider, dense form (ARRAY<DOUBLE> of ``dim``), unit length."""
-    v = spread(df).select(key_col, hashed_vector(F.col(text_col), dim).alias("v"))
-    return v.select(key_col, dense_from_sparse(F.col("v.buckets"), F.col("v.weights"), dim)
+def hash_dense(df: DataFrame, key_col: str, text_col: str = "text", dim: int = HASH_DIM,
+               keep: list[str] | None = None) -> DataFrame:
+    """E2 bundled provider, dense form (ARRAY<DOUBLE> of ``dim``), unit length; ``keep``: further columns to carry."""
+    v = spread(df).select(key_col, *(keep or []), hashed_vector(F.col(text_col), dim).alias("_hashed"))
+    return v.select(key_col, *(keep or []), dense_from_sparse(F.col("_hashed.buckets"), F.col("_hashed.weights"), dim)
                     .alias("embedding"))
 
 

@@ -66,9 +66,21 @@ def question_pairs(spark, sf_dir) -> DataFrame:
 
 
 def chunk_embeddings(spark, sf_dir, dim: int = QUESTION_DIM) -> DataFrame:
-    """Document chunks with the vectors of the bundled provider, as the store keeps them."""
+    """Document chunks with the vectors of the bundled provider, as the store keeps them: packed and hashed once,
+    in a written table.
+
+    A chunk meets every vector of its id, so an id that comes n times gives n * n rows and a null id none; only
+    such ids are joined."""
+    from ..operators.partitioning import written
+
     c = doc_chunks(spark, sf_dir).select("chunk_id", "collection", "text")
-    return c.join(hash_dense(c, "chunk_id", "text", dim), "chunk_id")
+    c = written(hash_dense(c, "chunk_id", "text", dim, keep=["collection", "text"]), "chunk-vectors").where("chunk_id IS NOT NULL")
+    again = written(c.groupBy("chunk_id").count().where("count > 1").select("chunk_id"), "repeated-chunks")
+    if again.isEmpty():
+        return c
+    twice = c.join(again, "chunk_id", "left_semi")
+    pairs = twice.select("chunk_id", "collection", "text").join(twice.select("chunk_id", "embedding"), "chunk_id")
+    return c.join(again, "chunk_id", "left_anti").unionByName(pairs)
 
 
 def page_chunks(spark, sf_dir) -> DataFrame:

@@ -230,3 +230,19 @@ def test_cosine_metric(spark):
         order = sorted(range(80), key=lambda i: (-max(0.0, cos[i]), "c", 1 - cos[i], i))
         assert order[r.rank - 1] == r.vec_id
         assert np.isclose(r.distance, 1 - cos[r.vec_id]) and np.isclose(r.similarity, max(0, cos[r.vec_id]))
+
+
+def test_chunks_are_packed_and_hashed_once(spark, tmpdir_path):
+    from ragloom.operators.embedding import hash_dense
+    from ragloom.plans import derived
+
+    rows = [(1, "en", "s", "one two\nthree"), (2, "fr", None, "two two four"), (2, "en", "s", "five"), (2, "en", "s", "five"),
+            (None, "en", "s", "no id"), (4, None, "s", None)]
+    for name, docs in (("twice", rows), ("plain", rows[:2])):
+        path = f"{tmpdir_path}/{name}"
+        spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{path}/documents.parquet")
+        c = derived.doc_chunks(spark, path).select("chunk_id", "collection", "text")
+        want = c.join(hash_dense(c, "chunk_id", "text", 8), "chunk_id")
+        got = derived.chunk_embeddings(spark, path, 8)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+        assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
