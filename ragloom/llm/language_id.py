@@ -70,28 +70,33 @@ class ContextTrees:
         # nodes: 0 = absent, 1 = empty string; node (string) counts per language, level by level
         counts, level_start = [np.zeros((2, n_lang))], [2]
         child_rows = {}
-        at = {x: np.ones(len(d), np.int64) for x, d in data.items()}
+        code = {x: symbol[d].astype(np.int32) for x, d in data.items()}
+        at = {x: np.ones(len(d), np.int32) for x, d in data.items()}
         n_nodes = 2
         for depth in range(order + 1):
-            keys = {}
+            wide = np.int32 if n_nodes * width < 1 << 31 else np.int64
+
+            def keys(x):                        # at[x]: node of the (depth) bytes before each position
+                return np.where((code[x] > 0) & (at[x] > 0), at[x].astype(wide) * wide(width) + code[x], wide(0))
+
+            # one language's positions at a time; what is kept grows with the distinct strings
+            found = {}
             for x in langs:
-                s = symbol[data[x]]
-                node = at[x]                    # node of the (depth) bytes before each position
-                keys[x] = np.where((s > 0) & (node > 0), node * width + s, 0)
-            every = np.concatenate([k[k > 0] for k in keys.values()]) if keys else np.zeros(0, np.int64)
-            uniq, total = np.unique(every, return_counts=True)
-            if depth == order:
-                uniq = uniq[total >= min_count]
+                k = keys(x)
+                found[x] = np.unique(k[k > 0], return_counts=True)
+            uniq = np.unique(np.concatenate([u for u, _ in found.values()])).astype(np.int64) if found else np.zeros(0, np.int64)
             count = np.zeros((len(uniq), n_lang))
-            for i, x in enumerate(langs):
-                k = keys[x]
-                pos = np.searchsorted(uniq, k)
-                ok = (k > 0) & (pos < len(uniq))
-                ok[ok] = uniq[pos[ok]] == k[ok]
-                count[:, i] = np.bincount(pos[ok], minlength=len(uniq))[: len(uniq)]
-                got = np.where(ok, pos + n_nodes, 0)
-                # the node ending at i is the context of position i + 1
-                at[x] = np.concatenate([[0], got[:-1]]) if depth < order else at[x]
+            for i, (u, times) in enumerate(found.values()):
+                count[np.searchsorted(uniq, u), i] = times
+            if depth == order:
+                often = count.sum(1) >= min_count
+                uniq, count = uniq[often], count[often]
+            else:
+                for x in langs:
+                    k = keys(x)
+                    # the node ending at i is the context of position i + 1
+                    node = np.where(k > 0, np.searchsorted(uniq, k) + n_nodes, 0).astype(np.int32)
+                    at[x][1:], at[x][:1] = node[:-1], 0
             counts.append(count)
             child_rows[depth] = (uniq // width, uniq % width, np.arange(n_nodes, n_nodes + len(uniq)))
             n_nodes += len(uniq)
