@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,20 @@ def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
+def text_blocks(*columns: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[list]]]:
+    """(a, b, texts of each column) of ranges [a, b) of rows whose texts hold about ``limit`` bytes together: only
+    one range's texts are Python objects at a time."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in columns)
+    a = held = 0
+    for i, n in enumerate(size.tolist()):
+        if i > a and held + n > limit:
+            yield a, i, [c.slice(a, i - a).to_pylist() for c in columns]
+            a, held = i, 0
+        held += n
+    if len(size) > a:
+        yield a, len(size), [c.slice(a).to_pylist() for c in columns]
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, schema: str,
              make: Callable[[], Callable[[list], dict[str, pa.Array]]]) -> DataFrame:
     """``keep`` columns plus what a per-block function computes from the text column.

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import blocks, carried, one_of_each
+from .common import carried, one_of_each, text_blocks
 from .components import connected_components
 
 SHINGLE, PERCENT = 4, 85
@@ -35,7 +35,7 @@ PARITY_BITS = 256
 CELLS = 1 << 20             # hash cells of ids that narrow a text scan (a bounded broadcast)
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 200_000
 
 
 class Shingler:
@@ -47,20 +47,19 @@ class Shingler:
     def __call__(self, texts: list) -> list[np.ndarray]:
         from xxhash import xxh64_intdigest
 
-        rows = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-        memo = self.memo
-        fresh = {w for words in rows for w in words if w not in memo}
-        if len(memo) + len(fresh) > _MEMO_WORDS:
-            memo.clear()
-            fresh = {w for words in rows for w in words}
-        memo.update((w, xxh64_intdigest(w)) for w in fresh)
-        get, out = memo.__getitem__, []
-        for words in rows:
-            h = np.fromiter(map(get, words), np.uint64, len(words))
-            out.append(np.unique(self._shingles(h)))
-        for w in fresh:
-            if len(w) > 64:
-                del memo[w]
+        memo, out = self.memo, []
+        get = memo.__getitem__
+        for t in texts:     # one text's words at a time
+            words = t.encode("utf-8", "surrogatepass").lower().split() if t else []
+            fresh = {w for w in words if w not in memo}
+            if len(memo) + len(fresh) > _MEMO_WORDS:
+                memo.clear()
+                fresh = set(words)
+            memo.update((w, xxh64_intdigest(w)) for w in fresh)
+            out.append(np.unique(self._shingles(np.fromiter(map(get, words), np.uint64, len(words)))))
+            for w in fresh:
+                if len(w) > 64:
+                    del memo[w]
         return out
 
     def _shingles(self, h: np.ndarray) -> np.ndarray:
@@ -98,9 +97,9 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, np.n
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         ids = None
         for batch in batches:
-            ids, content, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for a, b in blocks(texts):
-                sets = shingle(texts[a:b])
+            ids, content = batch.column(0), batch.column(1)
+            for a, b, (texts,) in text_blocks(batch.column(2)):
+                sets = shingle(texts)
                 np.add(cells, np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
                                           minlength=len(cells)), out=cells)
                 sig = [_signature(s) for s in sets]
@@ -138,10 +137,9 @@ def prefix_sets(docs: DataFrame, sketch: np.ndarray, size: int = SHINGLE, percen
     def run(batches):
         shingle, cells = Shingler(size), shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b, (texts,) in text_blocks(batch.column(1)):
                 sig, lens, prefix, parity = [], [], [], []
-                for s in shingle(texts[a:b]):
+                for s in shingle(texts):
                     n = len(s)
                     keep = n - (percent * n + 99) // 100 + 1 if n else 0
                     often = cells[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -169,9 +167,8 @@ def whole_texts(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> Data
     def run(batches):
         shingle = Shingler(size)
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            for a, b in blocks(texts):
-                sig = [_signature(s) for s in shingle(texts[a:b])]
+            for a, b, (texts,) in text_blocks(batch.column(3)):
+                sig = [_signature(s) for s in shingle(texts)]
                 own = zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_pylist(),
                           strict=True)
                 at = pa.array([i for i, (x, y) in enumerate(zip(sig, own, strict=True)) if x == y], pa.int64())
@@ -199,11 +196,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: i
     def run(batches):
         shingle = Shingler(size)
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b in blocks([s + t for s, t in zip(x, y, strict=True)]):
-                left, right = shingle(x[a:b]), shingle(y[a:b])
+            for a, b, (x, y) in text_blocks(batch.column(2), batch.column(3)):
+                left, right = (batch.column(c).slice(a, b - a).to_pylist() for c in (0, 1))
+                texts = dict(zip(left + right, x + y, strict=True))     # a set in several pairs of a range is made once
+                sets = dict(zip(texts, shingle(list(texts.values())), strict=True))
                 at = []
-                for i, (s, t) in enumerate(zip(left, right, strict=True)):
+                for i, (s, t) in enumerate((sets[p], sets[q]) for p, q in zip(left, right, strict=True)):
                     both = len(np.intersect1d(s, t, assume_unique=True))
                     if 100 * both >= percent * (len(s) + len(t) - both):
                         at.append(a + i)
