@@ -23,7 +23,7 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a recognised language; rejects those without a letter and undecided ones."""
     rows = docs.select("doc_id", "lang", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    out = identify_language(rows, fold(F.col("doc_id"), 3) != 1, ["__row"])
+    out = identify_language(rows, fold(F.col("doc_id"), 3) != 1, ["__row"], "__row.text")
     return out.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("__row.*")
 
 

@@ -45,26 +45,30 @@ def text_blocks(*columns: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[
 
 
 def map_text(df: DataFrame, keep: list[str], text: str, schema: str,
-             make: Callable[[], Callable[[list], dict[str, pa.Array]]]) -> DataFrame:
+             make: Callable[[], Callable[[list], dict[str, pa.Array]]], limit: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns plus what a per-block function computes from the text column.
 
-    ``make()`` runs once per task and returns the block function: a list of texts
-    (None for null) in, one Arrow array per output column out, row for row."""
+    ``text`` may be a field ``column.field`` of a kept struct column: then it is sent once, not twice.
+    ``make()`` runs once per task and returns the block function: a list of texts (None for null) of about ``limit``
+    bytes in, one Arrow array per output column out, row for row."""
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     out_schema = f"{fields}, {schema}" if keep else schema
     n_keep = len(keep)
+    whole, _, field = text.partition(".")
+    at = keep.index(whole) if field else n_keep
 
     def run(batches):
         fn = make()
         for batch in batches:
-            texts = batch.column(n_keep).to_pylist()
-            for a, b in blocks(texts):
-                got = fn(texts[a:b])
+            column = pc.struct_field(batch.column(at), field) if field else batch.column(at)
+            for a, b, (texts,) in text_blocks(column, limit=limit):
+                got = fn(texts)
                 cols = [batch.column(i).slice(a, b - a) for i in range(n_keep)]
                 yield pa.RecordBatch.from_arrays(
                     cols + list(got.values()), names=list(keep) + list(got))
 
-    return df.select(*[F.col(k) for k in keep], F.col(text).alias("__text")).mapInArrow(run, out_schema)
+    sent = [F.col(k) for k in keep] + ([] if field else [F.col(text).alias("__text")])
+    return df.select(*sent).mapInArrow(run, out_schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -30,6 +30,7 @@ FIT_DOCS = 250           # documents per language the statistics are learned fro
 SAMPLE_DOCS = 20_000     # documents of all languages together
 FIT_BYTES = 64 * 1024    # longest piece of a document used for fitting
 MIN_COUNT = 3            # successors of the longest contexts seen less often are pruned
+SCORE_BYTES = 1 << 20    # text scored at once; a worker's arrays are about 60 times that
 EVIDENCE = 64            # bytes of evidence the confidence is stated for
 UNDETERMINED = "und"
 
@@ -191,8 +192,9 @@ def fit_language_trees(docs: DataFrame, learn, fit_docs: int = FIT_DOCS) -> Cont
     return ContextTrees.fit(samples)
 
 
-def identify_language(docs: DataFrame, learn, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row plus lang_pred, score (0 to 1) and bits_per_byte.
+def identify_language(docs: DataFrame, learn, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns of every row plus lang_pred, score (0 to 1) and bits_per_byte.  ``text``: where the scored
+    text is, as in ``map_text``.
 
     Null texts and texts without a letter: ``und`` with score 0.  An empty table gives an
     empty result; without any learnable row every text is ``und``.  Repeated rows are scored
@@ -210,7 +212,7 @@ def identify_language(docs: DataFrame, learn, keep: list[str]) -> DataFrame:
 
         return fn
 
-    return map_text(docs, keep, "text", "lang_pred string, score double, bits_per_byte double", make)
+    return map_text(docs, keep, text, "lang_pred string, score double, bits_per_byte double", make, SCORE_BYTES)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
