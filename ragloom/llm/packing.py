@@ -20,6 +20,7 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ class WordEncoder:
 
     def clear(self):
         self.memo: dict[str, int] = {}          # word -> slot
-        self.base: dict[str, list[int]] = {"": []}  # normalised word of letters -> ids
+        self.base: dict[str, bytes] = {"": b""}  # normalised word of letters -> ids as bytes (no object per id)
         self.start, self.size, self.pool = array("q"), array("q"), array("I")
         self.hits = np.zeros(0, np.int64)       # uses of each slot
 
@@ -81,19 +82,27 @@ class WordEncoder:
         fresh = list({s for _, s, _ in parts if s not in base})
         groups = [fresh[i:i + 512] for i in range(0, len(fresh), 512)]
         for group, ids in zip(groups, self._ids(self.plain, [" ".join(g) for g in groups]), strict=True):
-            stop = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist()
+            ids = np.array(ids, np.uint32)
+            stop = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(stop) != len(group):
                 raise ValueError("a word of letters became several pre-tokens")
-            base.update((g, ids[a:b]) for g, a, b in zip(group, [0, *stop[:-1]], stop, strict=True))
+            raw = ids.tobytes()
+            base.update((g, raw[a:b]) for g, a, b in zip(group, [0, *stop[:-1]], stop, strict=True))
         tails = list({t for _, _, t in parts if t not in base})
-        base.update(zip(tails, self._ids(self.tok, tails), strict=True))
-        found = [base[s] + base[t] if t else base[s] for _, s, t in parts] + self._ids(self.tok, other)
+        base.update(zip(tails, self._raw(self._ids(self.tok, tails)), strict=True))
+        found = [base[s] + base[t] if t else base[s] for _, s, t in parts] + self._raw(self._ids(self.tok, other))
         self.memo.update(zip([w for w, _, _ in parts] + other, range(len(self.start), len(self.start) + len(found)),
                              strict=True))
-        n = np.fromiter(map(len, found), np.int64, len(found))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.start.frombytes((len(self.pool) + np.cumsum(n) - n).astype(np.int64).tobytes())
         self.size.frombytes(n.tobytes())
-        self.pool.extend(chain.from_iterable(found))
+        self.pool.frombytes(b"".join(found))
+
+    @staticmethod
+    def _raw(ids: list[list[int]]) -> list[bytes]:
+        raw = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+        end = (4 * np.cumsum([0, *map(len, ids)])).tolist()
+        return [raw[a:b] for a, b in pairwise(end)]
 
     def _renew(self) -> None:
         """When the memo is full, words met more than once since the last time stay, the most frequent half of it at
@@ -114,26 +123,29 @@ class WordEncoder:
 
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the slots one behind the other, and the number of ids of each."""
-        start, size = np.array(self.start, np.int64), np.array(self.size, np.int64)
+        start, size, pool = (np.frombuffer(x, kind) if len(x) else np.zeros(0, kind)
+                             for x, kind in ((self.start, np.int64), (self.size, np.int64), (self.pool, np.uint32)))
         n = size[slots]
         at = np.repeat(start[slots] - (np.cumsum(n) - n), n)
         at += np.arange(len(at))
-        return np.array(self.pool, np.uint32)[at], n
+        return pool[at], n
 
     def __call__(self, texts: list) -> list[np.ndarray]:
-        rows = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        words = list(chain.from_iterable(rows))
+        # the words of a block are told apart by Arrow, so the memo is asked once for each
+        rows = pc.split_pattern(pc.replace_substring(pa.array([t or "" for t in texts], pa.string()), "\n", " "), " ")
+        coded = rows.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         slots = list(map(self.memo.get, words))
         missing = [i for i, slot in enumerate(slots) if slot is None]
         if missing:
-            self._learn(list({words[i] for i in missing}))
+            self._learn([words[i] for i in missing])
             memo = self.memo
             for i in missing:
                 slots[i] = memo[words[i]]
-        slots = np.array(slots, np.int64)
+        slots = np.array(slots, np.int64)[coded.indices.to_numpy()]
         self.hits = np.bincount(slots, minlength=len(self.start)) + np.pad(self.hits, (0, len(self.start) - len(self.hits)))
         ids, n = self._gather(slots)
-        end = np.append(0, np.cumsum(n))[np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))]
+        end = np.append(0, np.cumsum(n))[rows.offsets.to_numpy()]
         out = [np.append(ids[a:b], np.uint32(END_ID)) for a, b in pairwise(end.tolist())]
         if len(self.memo) > MEMO_WORDS or len(self.pool) > MEMO_IDS:
             self._renew()
