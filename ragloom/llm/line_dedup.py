@@ -5,9 +5,11 @@ trimmed.  Equal lines keep their first occurrence; lines of ``MIN_CHARS``
 take part, and with ``short`` every line that holds a word.  Different lines of ``MIN_CHARS`` and more are near when their
 edits are at most those of the shorter one: ``EDITS``, and one more for every ``STEP``
 characters up to the ``MOST`` that the edit band holds.  They are found by segments: a
-line of e edits is split into e + 1 segments, and a line at most e longer that is
-within reach holds one of them unchanged near its place, so its substrings of the
-right lengths and places probe an index of (length, segment number, segment).
+line of e edits is split into e + 1 disjoint segments, and a line within reach holds one
+of them unchanged.  The first segments are placed from the line's start and the last from
+its end, all by the lower end of the line's length class, so a line needs one key for its
+outer segments, three for the inner ones (shifted by one or not), and those of the next
+shorter class too when it is within reach of it.
 Candidates that share a key are filtered by a word parity signature and verified by a
 bit-parallel automaton over the 2 * e + 1 diagonals of the edit band.
 
@@ -17,7 +19,7 @@ earliest line; only lines that are left meet the other lines of their buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
@@ -27,19 +29,22 @@ EDITS = 1
 MIN_CHARS = 24
 STEP = 64
 MOST = 3
+CLASS = 16              # lengths of one class: segments are cut by its lowest
+LONG_LINE = 512         # lines up to this length are compared by the built-in distance, whose time grows with the square
 SALTS = 16
 CELLS = 1 << 20         # hash cells of document ids that narrow a text scan (a bounded broadcast)
 
 _INLINE_SPACE = r"[\x20\x09\x0B-\x0D]+"
+_UNEVEN_SPACE = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"
 
 
 def normal_line(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, _INLINE_SPACE, " ")))
 
 
-def _normal_lines(text: Column) -> Column:
-    clean = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _INLINE_SPACE, " "))
-    return F.transform(F.split(clean, "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+def _clean(text: Column) -> Column:
+    """The text in lower case, every run of inline space one space (single spaces are not rewritten)."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _UNEVEN_SPACE, " "))
 
 
 def _identity(x: Column) -> tuple[Column, Column]:
@@ -57,54 +62,50 @@ def allowed(length: str, edits: int | None) -> str:
     return str(edits) if edits is not None else f"cast(least({MOST}, {EDITS} + ({length}) div {STEP}) as int)"
 
 
-def segment_parts(line: str, length: str, edits: int) -> tuple[list[str], list[list[str]]]:
-    """SQL keys of the line's own ``edits`` + 1 segments, and per gap those of the substrings that probe lines
-    ``gap`` shorter.  The two lowest bits of a key hold ``edits``."""
-    def start(n: str, i: int) -> str:       # 1-based start of segment i; the last n % (edits + 1) are one longer
-        return f"(({n}) div {edits + 1} * {i} + greatest(0, {i} - ({edits + 1} - ({n}) % {edits + 1})) + 1)"
+def class_of(length: str) -> str:
+    """SQL int: the lowest length of the class that ``length`` is in."""
+    return f"if(({length}) between {MIN_CHARS} and {MIN_CHARS // CLASS * CLASS + CLASS - 1}, {MIN_CHARS}, ({length}) div {CLASS} * {CLASS})"
 
-    def size(n: str, i: int) -> str:
-        return f"(({n}) div {edits + 1} + if({i} >= {edits + 1} - ({n}) % {edits + 1}, 1, 0))"
 
-    def key(n: str, i: int, at: str) -> str:
-        text = f"substring({line}, cast({at} as int), cast({size(n, i)} as int))"
-        return f"((xxhash64(cast({n} as int), {i}, {text}) & -4L) | {edits}L)"
+def segment_parts(line: str, length: str, base: str, edits: str) -> tuple[list[str], list[str]]:
+    """SQL keys (0: none) of the line's ``edits`` + 1 segments in the class of length ``base``, and of what stands
+    beside them.
 
-    own, probes = [key(length, i, start(length, i)) for i in range(edits + 1)], []
-    for gap in range(edits + 1):
-        n, out = f"{length} - {gap}", []
-        for i in range(edits + 1):
-            low = max(-i, gap - (edits - i))
-            high = min(i, gap + (edits - i))
-            out += [key(n, i, f"{start(n, i)} + {shift}") for shift in range(low, high + 1)
-                    if (gap, shift) != (0, 0)]
-        probes.append(out)
-    return own, probes
+    If a line within ``edits`` of this one leaves some segments alone, one of them, i, has at most i edits before it
+    and ``edits`` - i behind it; so it is moved by at most i from the start, ``edits`` - i from the end.  The two
+    lowest bits of a key hold ``edits``."""
+    size = f"(({base}) div ({edits} + 1))"
+
+    def key(slot: int, shift: int) -> str:      # slots from the start: 0, 1; from the end: 2, 3
+        at = f"{slot} * {size}" if slot < 2 else f"{length} - {slot - 1} * {size}"
+        text = f"substring({line}, cast({at} + {1 + shift} as int), cast({size} as int))"
+        found = f"((xxhash64(cast({base} as int), {slot}, {text}) & -4L) | cast({edits} as bigint))"
+        return f"if({edits} >= {(1, 2, 1, 3)[slot]}, {found}, 0L)"
+
+    return [key(slot, 0) for slot in range(4)], [key(slot, shift) for slot in (1, 3) for shift in (-1, 1)]
 
 
 def segment_keys(line: str, length: str, edits: int) -> str:
-    """SQL array of keys: the line's own EDITS + 1 segments, then the substrings that probe lines of its length
-    and shorter ones."""
-    own, probes = segment_parts(line, length, edits)
-    return f"array({', '.join(own + [k for out in probes for k in out])})"
+    """SQL array of keys: the line's own EDITS + 1 segments, then what probes lines of its class and, within reach,
+    of the class below."""
+    return _two_classes(line, length, str(edits), f"{length} - {edits}", str(edits), "true")
 
 
-def line_keys(line: str, length: str, edits: int | None) -> str:
-    """As ``segment_keys``, each line split by the edits its own length allows; short lines have no key."""
-    none, tiers = "cast(array() as array<bigint>)", range(EDITS, MOST + 1)
-    if edits is not None:
-        return f"if({length} >= {MIN_CHARS}, {segment_keys(line, length, edits)}, {none})"
-    parts = {e: segment_parts(line, length, e) for e in tiers}
+def _two_classes(line: str, length: str, edits: str, least: str, edits_below: str, least_takes_part: str) -> str:
+    own, beside = segment_parts(line, length, class_of(length), edits)
+    below = class_of(least)
+    low = [f"if({below} <> {class_of(length)} and ({least}) >= 0 and {least_takes_part}, {k}, 0L)"
+           for part in segment_parts(line, length, below, edits_below) for k in part]
+    return f"array_remove(array({', '.join(own + beside + low)}), 0L)"
 
-    def choose(n: str, arrays: dict[int, list[str]]) -> str:
-        when = " ".join(f"when {n} >= {MIN_CHARS} and {allowed(n, None)} = {e} then array({', '.join(a)})"
-                        for e, a in arrays.items())
-        return f"case {when} else {none} end"
 
-    out = [choose(length, {e: parts[e][0] for e in tiers})]
-    for gap in range(MOST + 1):
-        out.append(choose(f"({length} - {gap})", {e: parts[e][1][gap] for e in tiers if gap <= e}))
-    return f"concat({', '.join(out)})"
+def line_keys(line: str, length: str, edits: int | None) -> str:
+    """As ``segment_keys``, each line split by the edits its own length allows, and for the class below by those that
+    its lengths allow (bounds of allowed edits are bounds of classes); short lines have no key."""
+    below = allowed(f"({length} - {MOST})", edits)
+    least = f"({length} - {below})"
+    keys = _two_classes(line, length, allowed(length, edits), least, below, f"{least} >= {MIN_CHARS}")
+    return f"if({length} >= {MIN_CHARS}, {keys}, cast(array() as array<bigint>))"
 
 
 def within_edits(a: str, b: str, edits: int) -> str:
@@ -130,11 +131,14 @@ def within_edits(a: str, b: str, edits: int) -> str:
 
 
 def near_enough(a: str, b: str, edits: int | None) -> str:
-    """SQL boolean: ``within_edits`` by the edits that the shorter line allows."""
-    if edits is not None:
-        return within_edits(a, b, edits)
-    when = " ".join(f"when {e} then {within_edits(a, b, e)}" for e in range(EDITS, MOST + 1))
-    return f"case {allowed(f'least(size({a}), size({b}))', None)} {when} end"
+    """SQL boolean: the edit distance of string columns ``a`` and ``b`` is at most what the shorter one allows.  Of
+    those over LONG_LINE, columns ``a``_chars and ``b``_chars hold the characters."""
+    n, m = f"length({a})", f"length({b})"
+    most = allowed(f"least({n}, {m})", edits)
+    when = " ".join(f"when {e} then {within_edits(f'{a}_chars', f'{b}_chars', e)}"
+                    for e in (range(EDITS, MOST + 1) if edits is None else [edits]))
+    return (f"case when abs({n} - {m}) > {most} then false when greatest({n}, {m}) <= {LONG_LINE} "
+            f"then levenshtein({a}, {b}, {most}) between 0 and {most} else case {most} {when} end end")
 
 
 def characters(line: Column) -> Column:
@@ -153,33 +157,29 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def document_lines(docs: DataFrame, short: bool) -> DataFrame:
-    """doc_id, content (hash of the text), n_lines, lines (pos, chars, h1, h2 of the lines that take part)."""
-    df = docs.select("doc_id", "text").withColumn("content", F.xxhash64("text"))
-    df = df.withColumn("all", _normal_lines(F.col("text")))
-    part = F.filter("all", lambda x: takes_part(x["line"], short))
-    return df.select("doc_id", "content", F.size("all").alias("n_lines"), F.transform(part, lambda x: F.struct(
-        x["pos"].alias("pos"), F.length(x["line"]).alias("chars"), _identity(x["line"])[0].alias("h1"),
-        _identity(x["line"])[1].alias("h2"))).alias("lines"))
-
-
-def distinct_lines(docs: DataFrame, edits: int | None, short: bool) -> DataFrame:
-    """h1, h2, first occurrence (doc, content, pos), copies, parity, own edits and keys of every distinct line."""
-    df = docs.select("doc_id", F.xxhash64("text").alias("content"), F.explode(F.filter(
-        _normal_lines(F.col("text")), lambda x: takes_part(x["line"], short))).alias("l"))
-    df = df.select("doc_id", "content", "l.pos", "l.line").withColumn("n", F.length("line"))
+def document_lines(docs: DataFrame, edits: int | None, short: bool) -> DataFrame:
+    """doc_id, content (hash of the text), pos, chars, h1, h2, parity, own edits and keys of every line that takes
+    part."""
+    df = docs.select("doc_id", F.xxhash64("text").alias("content"), F.posexplode(F.split(_clean(F.col("text")), "\n")).alias("pos", "line"))
+    df = df.withColumn("line", F.trim("line")).filter(takes_part(F.col("line"), short)).withColumn("n", F.length("line"))
     # each edit changes at most three words, so at most three bits
-    parity = "cast(aggregate(split(line, ' '), 0, (a, w) -> a ^ shiftleft(1, cast(pmod(xxhash64(w), 32) as int))) as int)"
+    parity = "aggregate(split(line, ' '), 0L, (a, w) -> a ^ shiftleft(1L, cast(pmod(xxhash64(w), 64) as int)))"
     h1, h2 = _identity(F.col("line"))
-    df = df.select(h1.alias("h1"), h2.alias("h2"), F.struct(_place(F.col("doc_id")).alias("doc"), "content", "pos").alias("first"),
-                   F.expr(parity).alias("parity"), F.expr(allowed("n", edits)).alias("own"), F.expr(line_keys("line", "n", edits)).alias("keys"))
-    return (df.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("copies"),
-                                       F.first("parity").alias("parity"), F.first("own").alias("own"), F.first("keys").alias("keys"))
-            .select("h1", "h2", "first.*", "copies", "parity", "own", "keys"))
+    return df.select("doc_id", "content", "pos", F.col("n").alias("chars"), h1.alias("h1"), h2.alias("h2"),
+                     F.expr(parity).alias("parity"), F.expr(allowed("n", edits)).alias("own"),
+                     F.expr(line_keys("line", "n", edits)).alias("keys"))
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """h1, h2, first occurrence (doc, content, pos), copies, chars, parity, own edits and keys of every distinct line."""
+    first = F.struct(_place(F.col("doc_id")).alias("doc"), "content", "pos")
+    return (lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("copies"),
+                                          *(F.first(c).alias(c) for c in ("chars", "parity", "own", "keys")))
+            .select("h1", "h2", "first.*", "copies", "chars", "parity", "own", "keys"))
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, chars) of the lines whose first occurrences are in ``wanted``.
+    """(h1, line, and of about LONG_LINE or more its chars) of the lines whose first occurrences are in ``wanted``.
 
     Only texts whose id falls in a wanted hash cell are shuffled."""
     cells = wanted.select(F.pmod(F.xxhash64("doc"), F.lit(CELLS)).alias("cell")).distinct()     # at most CELLS rows
@@ -188,45 +188,52 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = near.withColumn("c", F.xxhash64("text")).join(
         wanted, (F.col("id") == F.col("doc")) & (F.col("c") == F.col("content")))
     line = normal_line(F.get(F.split("text", "\n"), F.col("pos")))
-    return rows.select("h1", "h2", line.alias("line")).dropDuplicates(["h1", "h2"]).select("h1", characters(F.col("line")).alias("chars"))
+    return rows.select("h1", "h2", line.alias("line")).dropDuplicates(["h1", "h2"]).select(
+        "h1", "line", F.when(F.length("line") > LONG_LINE - MOST, characters(F.col("line"))).alias("chars"))
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, edits: int | None) -> DataFrame:
     """h1, h2 of the lines with an earlier line within ``edits`` edits, or those that the lengths allow."""
-    rows = distinct.select("h1", "parity", "doc", "pos", "own", F.posexplode("keys").alias("k", "key")) \
-        .withColumn("probe", F.col("k") > F.col("own")).drop("k", "own")
+    # a line has many keys and most meet nothing, so keys travel alone
+    rows = distinct.select("h1", "own", F.posexplode("keys").alias("k", "key")) \
+        .select("key", "h1", (F.col("k") > F.col("own")).alias("probe"))
     places = distinct.select("h1", "h2", "doc", "content", "pos")
 
     def settle(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().checkpoint()
         need = pairs.select(F.col("late").alias("h1")).unionByName(pairs.select(F.col("early").alias("h1"))).distinct()
         texts = line_texts(docs, places.join(need, "h1")).checkpoint()
-        a = texts.select(F.col("h1").alias("late"), F.col("chars").alias("x"))
-        b = texts.select(F.col("h1").alias("early"), F.col("chars").alias("y"))
+        a = texts.select(F.col("h1").alias("late"), F.col("line").alias("x"), F.col("chars").alias("x_chars"))
+        b = texts.select(F.col("h1").alias("early"), F.col("line").alias("y"), F.col("chars").alias("y_chars"))
         return (pairs.join(a, "late").join(b, "early").filter(F.expr(near_enough("x", "y", edits)))
                 .select(F.col("late").alias("h1")).distinct().checkpoint())
 
     def pairs_of(met: DataFrame) -> DataFrame:
-        """(late, early) of rows with a line (h1, parity, doc, pos) and another (h, p, d, q), if within reach."""
-        flips = F.bit_count(F.col("parity").bitwiseXOR(F.col("p")).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+        """(late, early) of rows with a line (h1, parity, doc, pos, chars) and another (h, p, d, q, n), if within reach."""
+        flips = F.bit_count(F.col("parity").bitwiseXOR(F.col("p")))
         later = F.struct("doc", "pos", "h1") > F.struct("d", "q", "h")
-        return met.filter((F.col("h1") != F.col("h")) & (flips <= 3 * F.col("key").bitwiseAND(F.lit(3)))).select(
+        most = F.col("key").bitwiseAND(F.lit(3))
+        return met.filter((F.col("h1") != F.col("h")) & (F.abs(F.col("chars") - F.col("n")) <= most) & (flips <= 3 * most)).select(
             F.when(later, F.col("h1")).otherwise(F.col("h")).alias("late"),
             F.when(later, F.col("h")).otherwise(F.col("h1")).alias("early"))
 
     def as_other(index: DataFrame) -> DataFrame:
         return index.select("key", F.col("h1").alias("h"), F.col("parity").alias("p"), F.col("doc").alias("d"),
-                            F.col("pos").alias("q"))
+                            F.col("pos").alias("q"), F.col("chars").alias("n"))
 
     # rows that meet an index line of another line, each with its bucket's earliest
-    head = rows.filter(~F.col("probe")).groupBy("key").agg(
-        F.min(F.struct("doc", "pos", "h1", "parity")).alias("m"), F.count("*").alias("c")).select(
-        "key", "c", F.col("m.h1").alias("h"), F.col("m.parity").alias("p"), F.col("m.doc").alias("d"), F.col("m.pos").alias("q"))
-    met = rows.join(head, "key").filter((F.col("h1") != F.col("h")) | (F.col("c") > 1)).checkpoint()
+    index, bucket = F.when(~F.col("probe"), F.struct("doc", "pos", "h1", "parity", "chars")), Window.partitionBy("key")
+    shared = (rows.withColumn("c", F.count(F.when(~F.col("probe"), 1)).over(bucket)).withColumn("t", F.count("*").over(bucket))
+              .filter((F.col("c") > 0) & (F.col("t") > 1)).select("key", "h1", "probe").checkpoint())
+    shared = shared.join(distinct.select("h1", "parity", "doc", "pos", "chars"), "h1")
+    met = (shared.withColumn("m", F.min(index).over(bucket)).withColumn("c", F.count(index).over(bucket))
+           .filter((F.col("m.h1") != F.col("h1")) | (F.col("c") > 1))
+           .select("key", "h1", "parity", "doc", "pos", "chars", "probe", F.col("m.h1").alias("h"), F.col("m.parity").alias("p"),
+                   F.col("m.doc").alias("d"), F.col("m.pos").alias("q"), F.col("m.chars").alias("n")).checkpoint())
     settled = settle(pairs_of(met))
 
     heads = met.select("key", F.col("h").alias("h1"), F.col("p").alias("parity"), F.col("d").alias("doc"),
-                       F.col("q").alias("pos"), F.lit(False).alias("probe")).distinct()
+                       F.col("q").alias("pos"), F.col("n").alias("chars"), F.lit(False).alias("probe")).distinct()
     busy = met.filter((F.col("h1") != F.col("h")) | F.col("probe")).select(*heads.columns).unionByName(heads)
     open_rows = busy.join(settled, "h1", "left_anti")
     index = busy.filter(~F.col("probe"))
@@ -239,16 +246,18 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int | None) -> DataF
 
 
 def removed_lines(docs: DataFrame, edits: int | None = None, short: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(document_lines, removed occurrences: doc_id, content, pos, chars, near)."""
+    """(every row's doc_id, content and n_lines; removed occurrences: doc_id, content, pos, chars, near)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = _written(document_lines(docs, short), "document-lines")
-    distinct = _written(distinct_lines(docs, edits, short), "distinct-lines")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("content"),
+                       F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"))
+    lines = _written(document_lines(docs, edits, short), "document-lines")
+    distinct = _written(distinct_lines(lines), "distinct-lines")
     near = near_lines(docs, distinct, edits).withColumn("near", F.lit(True)).checkpoint()
     hit = (distinct.select("h1", "h2", "copies", F.struct("doc", "content", "pos").alias("first"))
            .join(near, ["h1", "h2"], "left").filter((F.col("copies") > 1) | F.col("near"))
            .select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"),
                    F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
-    seen = rows.select("doc_id", "content", F.explode("lines").alias("l")).select("doc_id", "content", "l.*")
+    seen = lines.select("doc_id", "content", "pos", "chars", "h1", "h2")
     here = F.struct(_place(F.col("doc_id")).alias("doc"), "content", "pos")
     # a common line is a hot key: its occurrences are spread over SALTS keys
     gone = (seen.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
