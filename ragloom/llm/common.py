@@ -44,6 +44,24 @@ def text_blocks(*columns: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[
         yield a, len(size), [c.slice(a).to_pylist() for c in columns]
 
 
+_KEPT: dict = {}     # per worker process
+
+
+def _let_go() -> None:
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
+def kept(key, make: Callable):
+    """What ``make`` built for ``key`` in this worker process.  One at a time, and until ``map_text`` runs something
+    else here: workers are used again, and what one operator remembers is no use to the next."""
+    if key not in _KEPT:
+        _let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def map_text(df: DataFrame, keep: list[str], text: str, schema: str,
              make: Callable[[], Callable[[list], dict[str, pa.Array]]], limit: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns plus what a per-block function computes from the text column.
@@ -58,6 +76,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, schema: str,
     at = keep.index(whole) if field else n_keep
 
     def run(batches):
+        _let_go()
         fn = make()
         for batch in batches:
             column = pc.struct_field(batch.column(at), field) if field else batch.column(at)

@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import blocks
+from .common import kept, text_blocks
 
 WINDOW = 2048
 OPEN = 32                   # open windows per task
 END_ID = 1                  # id that closes each document
 MERGE_GROUP = 256           # leftover windows merged in one group
-MEMO_WORDS = 800_000        # encoded words a worker remembers (speed only)
+MEMO_WORDS = 600_000        # encoded words a worker remembers (speed only)
 MEMO_IDS = 16 * MEMO_WORDS  # and their ids together
+BASE_WORDS = 100_000        # and normalised words
+BATCH = 1024                # texts the library encodes at once
 MEMO_CHARS = 64             # longer words go when the memo is renewed
 
 _TAIL = ".,!?;:"
@@ -66,11 +68,14 @@ class WordEncoder:
 
     @staticmethod
     def _ids(tok, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        # the library's encodings are many times their ids
+        return [e.ids for i in range(0, len(texts), BATCH) for e in tok.encode_batch_fast(texts[i:i + BATCH], add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words.  A word of letters alone is one pre-token, so many are encoded as one
         text and parted at the ids that end a word; the rest is encoded one by one."""
+        if len(self.base) > BASE_WORDS:     # after this, found again as needed
+            self.base = {"": b""}
         base, other, parts = self.base, [], []
         for w in words:
             stem = w.rstrip(_TAIL)
@@ -152,13 +157,8 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}  # per worker process
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 class OnlinePacker:
@@ -273,9 +273,9 @@ def pack_documents(docs: DataFrame, path: str, payload: str = "crc") -> DataFram
         key_type = None
         for batch in batches:
             key_type = batch.column(0).type
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                for key, ids in zip(keys[a:b], encode(texts[a:b]), strict=True):
+            keys = batch.column(0).to_pylist()
+            for a, b, (texts,) in text_blocks(batch.column(1)):
+                for key, ids in zip(keys[a:b], encode(texts), strict=True):
                     packer.add(key, ids)
                 yield rows()
         if key_type is not None:
