@@ -32,9 +32,9 @@ WINDOW = 2048
 OPEN = 32                   # open windows per task
 END_ID = 1                  # id that closes each document
 MERGE_GROUP = 256           # leftover windows merged in one group
-MEMO_WORDS = 600_000        # encoded words a worker remembers (speed only)
+MEMO_WORDS = 800_000        # encoded words a worker remembers (speed only)
 MEMO_IDS = 16 * MEMO_WORDS  # and their ids together
-BASE_WORDS = 100_000        # and normalised words
+BASE_WORDS = 200_000        # and normalised words
 BATCH = 1024                # texts the library encodes at once
 MEMO_CHARS = 64             # longer words go when the memo is renewed
 
