@@ -13,6 +13,9 @@ import re
 from pyspark.sql import DataFrame
 
 
+# Rows of a short table that a join may broadcast.
+BROADCAST_ROWS = 100_000
+
 # Logical nodes that end in a shuffle (a coalesce, "Repartition n, false", does not).
 _SHUFFLING = re.compile(r"Repartition \d+, true|RepartitionByExpression|Aggregate|Join|Window|"
                         r"Sort |Distinct|Expand")
@@ -52,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_side(df: DataFrame, name: str) -> DataFrame:
+    """``written`` for the short side of a join: planned by its size on disk, so a short one is broadcast and the
+    other side is not shuffled.  One of more than ``BROADCAST_ROWS`` rows is merge-joined."""
+    out = written(df, name)
+    return out if out.count() <= BROADCAST_ROWS else out.hint("merge")
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes a table of ``written`` from the shared folder."""
     spark = df.sparkSession

@@ -134,7 +134,7 @@ def candidates(stored: DataFrame, questions: DataFrame, k: int, scale: float = 1
     """(qi, i, c): pairs whose distance has to be computed for the k best of every question.
 
     ``stored``: i, c (string), v; ``questions``: qi, qv; vectors of doubles, not null.  A pair of vectors of
-    different width is none.  Two counts reach the driver."""
+    different width is none.  Counts reach the driver.  The pairs are a written table (``written_side``)."""
     n_blocks = max(1, -(-stored.count() // BLOCK_ROWS))
     n_parts = max(1, -(-questions.count() // QUESTION_ROWS))
     itype, qtype = stored.schema["i"].dataType, questions.schema["qi"].dataType
@@ -154,11 +154,13 @@ def candidates(stored: DataFrame, questions: DataFrame, k: int, scale: float = 1
     def place(d):
         return [(-F.greatest(F.lit(0.0), 1.0 - F.col(d))).alias("a"), F.col("c").alias("b"), F.col(d).alias("d"), F.col("i").alias("e")]
 
-    from .partitioning import materialize
-    found = materialize(found)
+    from .partitioning import drop_written, written, written_side
+    found = written(found, "topk-bounds")
     order = [F.struct(*place("upper")).asc()]
     last = topk_per_group(found, ["qi"], order, k, "_n").where(F.col("_n") == k).select(
         F.col("qi").alias("_qi"), F.struct(*place("upper")).alias("_last"))
     kept = found.join(last, found.qi == last._qi, "left").where(
         F.col("_last").isNull() | (F.struct(*place("lower")) <= F.col("_last")))
-    return kept.select("qi", "i", "c").distinct()
+    pairs = written_side(kept.select("qi", "i", "c").distinct(), "topk-pairs")
+    drop_written(found)
+    return pairs

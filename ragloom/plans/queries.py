@@ -109,10 +109,16 @@ def topk(spark, sf):
 
 @query
 def store_topk(spark, sf):
-    """Dense ranking of the chunk table by its stored vectors: string ids, the text carried."""
+    """Dense ranking of the chunk table by its stored vectors: string ids, the text carried.  The hits are written,
+    so texts are not shuffled, and the scratch tables are removed."""
+    from ..operators.partitioning import drop_written, materialize, written_side
     c = D.chunk_embeddings(spark, sf)
     best = retrieval.topk(c, D.question_vectors(spark, sf), D.TOP_K, id_col="chunk_id")
-    return _hits(best, "chunk_id").join(c.select("chunk_id", "text"), "chunk_id")
+    best = written_side(_hits(best, "chunk_id"), "store-hits")
+    hits = materialize(best.join(c.select("chunk_id", "text"), "chunk_id"))
+    drop_written(best)
+    drop_written(c)
+    return hits
 
 
 # ------------------------------------------------------------------ sparse retrieval

@@ -246,3 +246,42 @@ def test_chunks_are_packed_and_hashed_once(spark, tmpdir_path):
         got = derived.chunk_embeddings(spark, path, 8)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
         assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_vectors_are_not_shuffled_for_few_pairs(spark, monkeypatch):
+    from ragloom.operators import partitioning
+
+    vecs, qs, stored, questions = _data(spark, n=3000, q=7)
+    stored, questions = partitioning.written(stored, "stored"), partitioning.written(questions, "questions")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")       # below the stored table
+    try:
+        for rows, joins in ((100_000, 0), (3, 1)):
+            monkeypatch.setattr(partitioning, "BROADCAST_ROWS", rows)
+            hits = retrieval.topk(stored, questions, 5)
+            assert hits._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == joins
+            want = _brute(vecs, qs, 5)
+            assert sorted((r.query_id, r["rank"], r.vec_id) for r in hits.collect()) == sorted(
+                (q, n, i) for q, ids in want.items() for n, i in enumerate(ids, 1))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_store_topk_removes_its_scratch_tables(spark, tmpdir_path):
+    import os
+
+    from ragloom.plans.queries import QUERIES
+
+    docs = [(1, "one two\nthree", "en", "s"), (2, "two two four", "fr", None), (2, "five", "en", "s"), (None, "no id", "en", "s")]
+    asked = [(0, "two four"), (1, "five"), (2, None)]
+    for name, rows in (("twice", docs), ("plain", docs[:2])):
+        path = f"{tmpdir_path}/{name}"
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+        before = set(os.listdir(shared))
+        hits = QUERIES["store_topk"](spark, path)
+        left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+        assert not left & {"chunk-vectors", "repeated-chunks", "topk-bounds", "store-hits"}
+        texts = {r.chunk_id: r.text for r in hits.where("query_id = 0 AND rank = 1").collect()}
+        assert texts == {"2_doc_0": "two two four"} or name == "twice" and set(texts) == {"2_doc_0"}
