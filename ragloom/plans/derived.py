@@ -70,18 +70,20 @@ def chunk_embeddings(spark, sf_dir, dim: int = QUESTION_DIM) -> DataFrame:
     in a written table.
 
     A chunk meets every vector of its id, so an id that comes n times gives n * n rows and a null id none; only
-    such ids are joined.  ``drop_written`` removes the tables."""
-    from ..operators.partitioning import drop_written, written
+    such ids are joined, and the table is written again with their rows.  ``drop_written`` removes it."""
+    from ..operators.partitioning import drop_written, written, written_side
 
     c = doc_chunks(spark, sf_dir).select("chunk_id", "collection", "text")
     c = written(hash_dense(c, "chunk_id", "text", dim, keep=["collection", "text"]), "chunk-vectors").where("chunk_id IS NOT NULL")
-    again = written(c.groupBy("chunk_id").count().where("count > 1").select("chunk_id"), "repeated-chunks")
-    if again.isEmpty():
-        drop_written(again)
-        return c
-    twice = c.join(again, "chunk_id", "left_semi")
-    pairs = twice.select("chunk_id", "collection", "text").join(twice.select("chunk_id", "embedding"), "chunk_id")
-    return c.join(again, "chunk_id", "left_anti").unionByName(pairs)
+    again = written_side(c.groupBy("chunk_id").count().where("count > 1").select("chunk_id"), "repeated-chunks")
+    out = c
+    if not again.isEmpty():
+        twice = c.join(again, "chunk_id", "left_semi")
+        pairs = twice.select("chunk_id", "collection", "text").join(twice.select("chunk_id", "embedding"), "chunk_id")
+        out = written(c.join(again, "chunk_id", "left_anti").unionByName(pairs), "chunk-vectors")
+        drop_written(c)
+    drop_written(again)
+    return out
 
 
 def page_chunks(spark, sf_dir) -> DataFrame:
